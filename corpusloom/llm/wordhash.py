@@ -22,6 +22,9 @@ _UNSTEP = pow(_STEP, -1, 2**64)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Blanks and all ASCII punctuation, for words without marks.
+_MARKS = _BLANK.copy()
+_MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -70,11 +73,12 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 class Words:
     """The words of a slice: ``hash``, byte ``start`` and ``end``, and ``first``, the
-    index of each row's first word (with one more entry at the end)."""
+    index of each row's first word (with one more entry at the end). With ``marks``,
+    punctuation separates words as blanks do."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool, marks: bool = False) -> None:
         n = len(raw)
-        inside = ~_BLANK[raw]
+        inside = ~(_MARKS if marks else _BLANK)[raw]
         before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         cuts = offsets[1:-1]
