@@ -39,7 +39,7 @@ BASE = {
 PROPOSED = {
     "key": (r"[A-Za-z0-9_-]{24}", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+"),
     "mail": (r"[\[(]at[\])]", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]++)*+"),
-    "number": (r"[0-9][ ().0-9-]{6,}[0-9]", r"(?<![0-9.+])[0-9][ ().0-9-]{6,}[0-9]"),
+    "number": (r"[0-9][ ().0-9-]{6,}[0-9]", r"(?<![A-Za-z0-9.+])[0-9][ ().0-9-]{6,}[0-9](?![A-Za-z0-9])"),
 }
 YES = r"(?i)\b(?:e-?mail|mail|phone|tel|mobile|cell|fax|call|contact|card|visa|account|iban|ssn|passport|token|key|secret|password|id)\b[^A-Za-z0-9]*$"
 NO = r"(?i)\b(?:isbn|issn|doi|version|page|pages|figure|fig|table|section|chapter|no|vol|year|rfc|sha|commit|total)\b[^A-Za-z0-9]*$"
@@ -96,7 +96,8 @@ def _votes(kind: str, x: Column) -> Column:
     form = {
         "key": F.when(m.rlike(r"^[0-9a-f]+$|^[0-9A-F]+$") | m.rlike(r"^(?:sk|pk|gh[a-z]|xox[a-z]|AKIA)[_-]?"), 1).when(m.rlike(r"[_-].*[_-]"), -1),
         "mail": F.lit(1),
-        "number": F.when(m.rlike(r"^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$|^\(?[0-9]{3}\)|^(?:[0-9]{4}[ -]){3}[0-9]{4}$|^[0-9]{16}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), 1).when(m.rlike(r"\.[0-9]+\."), -1),
+        # 16 digits that are no base card have failed its checksum
+        "number": F.when(m.rlike(r"^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), 1).otherwise(-1),
     }.get(kind, F.lit(1))
     words = F.when(before.rlike(YES), 1).when(before.rlike(NO), -1)
     place = F.when(before.rlike(r"[=:\"'<(]\s*$"), 1).when(before.rlike(r"[/#_$.,-]$"), -1)
