@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import packed, written
@@ -53,7 +53,6 @@ CHUNK_DOCS = 8192
 #: A size band reaches from 4**k to 4**(k+1); 2.4 * 4**k blocks serve all its sizes.
 BAND = 4
 BLOCKS = 2.4
-SKETCH_BITS = 1024
 #: Ids up to which a list of documents to read again is sent to all executors.
 BROADCAST_IDS = 1_000_000
 
@@ -173,21 +172,34 @@ def _keys(commons: list[np.ndarray]):
     return run
 
 
+def _sketch(s: np.ndarray, band: int) -> bytes:
+    """One-hot parity sketch of BAND**(band + 1) bits (64 at least): about as many bits
+    as the largest set of the band has shingles, so that long documents don't fill it."""
+    bits = max(64, BAND ** (band + 1))
+    place = ((mixed(s, 60) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, a 128-bit hash of the set and its one-hot parity sketch."""
-    cols: list[list] = [[], [], [], [], []]
+    """doc_id, n, a 128-bit hash of the set, its band, and its sketches for that band
+    and, where it has partners there, for the band below."""
+    names = ["doc_id", "n", "s1", "s2", "band", "own", "below"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    cols: list[list] = [[] for _ in names]
 
     def flush() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n", "s1", "s2", "sketch"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     for batch, row, s in _sets(batches):
-        bits = np.bincount((mixed(s, 60) >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1
         a, b = mixed(s, 61).sum(dtype=np.uint64, keepdims=True), np.bitwise_xor.reduce(mixed(s, 62), keepdims=True)
-        values = (batch.column("doc_id")[row].as_py(), len(s), int(a.view(np.int64)[0]), int(b.view(np.int64)[0]), np.packbits(bits.astype(np.uint8)).tobytes())
+        bands = [band for band, _ in _schemes(len(s))]
+        values = (
+            batch.column("doc_id")[row].as_py(), len(s), int(a.view(np.int64)[0]), int(b.view(np.int64)[0]), bands[0],
+            _sketch(s, bands[0]), _sketch(s, bands[1]) if len(bands) > 1 else None,
+        )
         for c, v in zip(cols, values, strict=True):
             c.append(v)
-        if len(cols[0]) >= 4096:
+        if len(cols[0]) >= 1024:
             yield flush()
             for c in cols:
                 c.clear()
@@ -195,6 +207,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with sizes, bands and sketches -> (u, v) of those within the Hamming bound."""
+    for batch in batches:
+        keep = []
+        cols = (batch.column(c).to_pylist() for c in ("nu", "nv", "bu", "bv", "ou", "ov", "lu", "lv"))
+        for nu, nv, bu, bv, ou, ov, lu, lv in zip(*cols, strict=True):
+            x, y = (ou, ov) if bu == bv else (lu, ov) if bu == bv + 1 else (ou, lv) if bv == bu + 1 else (None, None)
+            far = (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() if x is not None and y is not None else nu + nv
+            keep.append(7 * far <= nu + nv)
+        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v, su, sv: shingles as bytes) -> those of similarity NUM / DEN or more."""
     for batch in batches:
@@ -217,22 +241,15 @@ def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
 
 
-def _far(a: str, b: str) -> Column:
-    """Hamming distance of two sketches, in 64-bit words."""
-    part = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    total = F.lit(0)
-    for i in range(SKETCH_BITS // 64):
-        total = total + F.bit_count(part(a, i).bitwiseXOR(part(b, i)))
-    return total
-
-
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
     """Of the candidate pairs (u, v) of class representatives, the similar ones."""
-    a = nodes.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("ku"))
-    b = nodes.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("kv"))
-    near = written(
-        pairs.join(a, "u").join(b, "v").filter(_far("ku", "kv") * 7 <= F.col("nu") + F.col("nv")).select("u", "v").distinct(), label + "-pairs"
+    side = lambda x: nodes.select(
+        F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("band").alias(f"b{x}"), F.col("own").alias(f"o{x}"), F.col("below").alias(f"l{x}")
+    )
+    sized = pairs.join(side("u"), "u").join(side("v"), "v").filter(
+        (NUM * F.col("nu") <= DEN * F.col("nv")) & (NUM * F.col("nv") <= DEN * F.col("nu"))
     )
+    near = written(sized.mapInArrow(_near, "u long, v long").distinct(), label + "-pairs")
     ids = written(near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct(), label + "-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
@@ -247,17 +264,17 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signatures, components): doc_id, n per row of ``docs``; doc_id, component_id
     per linked document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = written(docs.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, sketch binary"), "signatures")
+    sigs = written(docs.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, band int, own binary, below binary"), "signatures")
     named = sigs.filter("doc_id IS NOT NULL AND n > 0")
     reps = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     member = written(named.join(reps, ["n", "s1", "s2"]).select("doc_id", "rep").distinct(), "members")
-    nodes = named.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+    nodes = named.join(member.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
 
     keyed = docs.mapInArrow(_keys(common_shingles(docs)), "key long, id long, n int, tier byte")
     by_key = Window.partitionBy("key").orderBy("id")
     first = (
         keyed.filter("tier = 0")
-        .withColumn("shared", F.coalesce(F.lag("id").over(by_key) != F.col("id"), F.lead("id").over(by_key) != F.col("id"), F.lit(False))
+        .withColumn("shared", F.coalesce(F.lag("id").over(by_key) != F.col("id"), F.lit(False))
                     | F.coalesce(F.lead("id").over(by_key) != F.col("id"), F.lit(False)))
         .filter("shared").select("key", "id", "n")
     )
