@@ -2,10 +2,277 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .cut import written
+from .corpus import ctes, view
+from .functions import paths, text
+from .operators import changes, enrich, extract, graph, hierarchy, ignore, packages, report, traverse, tree, update
+from .plans.build import build_graph
+from .sources import files as sources
 
-def oracle_sql() -> dict:
-    return {}
+PROJECT = "corpus"
+RULES = ["*.md", "!notes7*.md", "/src/large*/", "b3*/m1*.py"]
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "c_files").select("repo", "path", "size", F.expr("size div 4").alias("token_est"))
+
+
+def _graph(s: SparkSession, d: str, project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return build_graph(_files(s, d), view(s, d, "c_symbols"), view(s, d, "c_imports"), project)
+
+
+def _enriched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The graph with a summary on every third symbol and risks on some."""
+    nodes, edges = _graph(s, d, PROJECT)
+    told = F.col("type").isin("function", "class") & (F.col("start_line") % 3 == 0)
+    nodes = nodes.withColumn("summary", F.when(told, F.concat(F.lit("about "), "name"))).withColumn(
+        "risks", F.when(told & (F.col("start_line") % 2 == 0), F.array(F.lit("long"), F.lit("untested")))
+    )
+    return nodes, edges
+
+
+def _content(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "c_content").select("repo", "path", "text", "doc_id")
+
+
+def _sources(s: SparkSession, d: str) -> DataFrame:
+    """A Python source around every document's text."""
+    body = F.translate("text", "'\\\r", "")
+    code = F.concat(
+        F.lit("import os, json as j\nfrom "), F.regexp_replace("path", "/.*", ""), F.lit(".x import y\n\n\nclass D"), F.col("doc_id").cast("string"),
+        F.lit(":\n    def read(self):\n        return '''"), body, F.lit("'''\n"),
+    )
+    return _content(s, d).select("repo", "path", code.alias("text"))
+
+
+def _doc_symbols(s: SparkSession, d: str) -> DataFrame:
+    return _content(s, d).select(
+        "repo", F.concat("path", F.lit("::d")).alias("node_id"), "path",
+        (F.col("doc_id") % 3 + 1).cast("int").alias("start_line"), (F.col("doc_id") % 3 + 1 + F.col("doc_id") % 5 * 40).cast("int").alias("end_line"),
+    )
+
+
+def _hashes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = _content(s, d)
+    h = F.sha2("text", 256)
+    current = c.filter("doc_id % 13 <> 0").select("repo", "path", h.alias("sha256"))
+    stored = c.filter("doc_id % 10 <> 0").select("repo", "path", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x"), h)).otherwise(h).alias("sha256"))
+    return current, stored
+
+
+def _imports(s: SparkSession, d: str) -> DataFrame:
+    return graph.import_edges(graph.resolve_imports(view(s, d, "c_imports"), view(s, d, "c_files")))
+
+
+def _seeds(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "c_files").filter("path LIKE '%.py' AND file_key % 100 = 9").select("repo", F.col("path").alias("seed"))
+
+
+def _changes(s: SparkSession, d: str) -> DataFrame:
+    """Every 9th file modified, every 11th deleted, every 13th new."""
+    k = F.col("file_key")
+    status = F.when(k % 11 == 0, "D").when(k % 9 == 0, "M").when(k % 13 == 0, "A")
+    return view(s, d, "c_files").select("repo", "path", status.alias("status")).filter("status IS NOT NULL")
+
+
+def _updated(s: SparkSession, d: str, repair: bool) -> tuple[DataFrame, DataFrame]:
+    ch = _changes(s, d)
+    before = _files(s, d).join(ch.filter("status = 'A'"), ["repo", "path"], "left_anti")
+    after = _files(s, d).join(ch.filter("status = 'D'"), ["repo", "path"], "left_anti")
+    sym, imp = view(s, d, "c_symbols"), view(s, d, "c_imports")
+    inside = lambda rows, f, c: rows.join(f.select("repo", F.col("path").alias(c)), ["repo", c], "left_semi")
+    nodes, edges = build_graph(before, inside(sym, before, "path"), inside(imp, before, "src"))
+    n, e, _ = update.update_graph(written(nodes, "n"), written(edges, "e"), ch, after, inside(sym, after, "path"), inside(imp, after, "src"), repair)
+    return n, e
+
+
+def _conv(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/conversations.parquet")
+
+
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    """Model answers derived from the symbols: clean, fenced and broken ones."""
+    b = packages.batches(enrich.pending(_enriched(s, d)[0]), 50)
+    item = F.to_json(F.struct("node_id", F.concat(F.lit("does "), "name").alias("summary")))
+    g = b.groupBy("repo", "batch").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(item)), ","), F.lit("]")).alias("a"))
+    response = F.when(F.col("batch") % 5 == 4, "sorry").when(F.col("batch") % 2 == 1, F.concat(F.lit("Here:\n```json\n"), "a", F.lit("\n```"))).otherwise(F.col("a"))
+    return g.select("repo", "batch", response.alias("response"))
+
+
+def _a2(s: SparkSession, d: str) -> DataFrame:
+    raw = F.when(F.col("doc_id") % 50 == 1, F.concat(F.encode("text", "UTF-8"), F.lit(b"\x00"))).when(F.col("doc_id") % 50 == 2, F.encode(F.translate("text", "äöüßéèçêñóíÉÈÇÊÖÄÜÓÑÍáÁúÚ¿¡", "eeeeeeeeeeeeeeeeeeeeeeeeeee"), "UTF-8")).otherwise(F.encode("text", "UTF-8"))
+    c = sources.decoded(view(s, d, "c_content").select("repo", "path", raw.alias("content")))
+    return c.select("path", F.coalesce("read_error", F.lit("")).alias("read_error"), F.coalesce(F.char_length("text"), F.lit(-1)).cast("long").alias("chars"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    g = _graph
+    return {
+        "a1_inventory": lambda s, d: sources.inventory(view(s, d, "c_files")).select("path", "size", "token_est"),
+        "a2_decoded": _a2,
+        "a3_a4_graph_documents": lambda s, d: sources.graph_documents(*_enriched(s, d)).select(F.col("repo"), F.char_length("value").cast("long").alias("chars")),
+        "a5_file_hashes": lambda s, d: changes.file_hashes(_content(s, d).select("repo", "path", F.col("text").cast("binary").alias("content"))).select("path", "sha256"),
+        "b1_inventory_filter": lambda s, d: ignore.filter_inventory(_files(s, d), RULES).select("path"),
+        "b2_patterns": lambda s, d: ignore.load_patterns(_content(s, d).select(F.col("path").alias("repo"), "text")).groupBy("repo").agg(F.count(F.lit(1)).alias("n")),
+        "b3_tree_filter": lambda s, d: ignore.filter_tree(_files(s, d), ["*.md"]).select("path"),
+        "b4_language": lambda s, d: _files(s, d).select("path", F.coalesce(paths.language(F.col("path")), F.lit("?")).alias("language")),
+        "b5_pending": lambda s, d: enrich.pending(_enriched(s, d)[0]).select("node_id"),
+        "b6_parent_package": lambda s, d: graph.symbol_nodes(view(s, d, "c_symbols")).select("node_id", F.coalesce(paths.parent_package(F.col("node_id")), F.lit("-")).alias("package")),
+        "b7_rejected_symbols": lambda s, d: graph.check_symbols(graph.symbol_nodes(view(s, d, "c_symbols")), view(s, d, "c_files").filter("file_key % 3 <> 0"))[1].select("node_id", "reason"),
+        "c1_extracted": lambda s, d: extract.extract_symbols(_sources(s, d)).select("path", "type", "name", "start_line", "end_line", "parse_status"),
+        "c4_symbols": lambda s, d: graph.symbol_nodes(view(s, d, "c_symbols")).select("node_id", "type", "name", "start_line", "end_line"),
+        "c5_snippets": lambda s, d: extract.snippets(_doc_symbols(s, d), _content(s, d)).select("node_id", F.coalesce("code", F.lit("-")).alias("code")),
+        "d1_resolved": lambda s, d: graph.resolve_imports(view(s, d, "c_imports"), view(s, d, "c_files")).select("src", "name", "strategy", "dst"),
+        "d2_externals": lambda s, d: graph.external_nodes(graph.resolve_imports(view(s, d, "c_imports"), view(s, d, "c_files"))).select("node_id", "name"),
+        "d3_import_edges": lambda s, d: _imports(s, d).select("src", "dst"),
+        "d4_contains_edges": lambda s, d: graph.contains_edges(graph.symbol_nodes(view(s, d, "c_symbols"))).select("src", "dst"),
+        "d5_removed_files": lambda s, d: graph.remove_files(*g(s, d), view(s, d, "c_files").filter("file_key % 5 = 0").select("repo", "path"))[1].select("src", "dst", "relationship"),
+        "d6_removed_nodes": lambda s, d: graph.remove_nodes(*g(s, d), graph.external_nodes(graph.resolve_imports(view(s, d, "c_imports"), view(s, d, "c_files"))))[1].groupBy("relationship").agg(F.count(F.lit(1)).alias("n")),
+        "d7_hash_diff": lambda s, d: changes.diff_hashes(*_hashes(s, d)).select("path", "status"),
+        "d8_feed": lambda s, d: changes.parse_feed(view(s, d, "c_feed"), "event_id"),
+        "d10_updated_edges": lambda s, d: _updated(s, d, False)[1].select("src", "dst", "relationship"),
+        "d10_repaired_edges": lambda s, d: _updated(s, d, True)[1].select("src", "dst", "relationship"),
+        "d11_affected": lambda s, d: changes.affected_directories(_changes(s, d)).select("dir"),
+        "d12_merged": lambda s, d: enrich.merge_results(_enriched(s, d)[0], enrich.parse_responses(_answers(s, d))[0]).filter("summary IS NOT NULL").select("node_id", "summary"),
+        "d13_callers": lambda s, d: graph.callers(_imports(s, d)).select("dst", "src"),
+        "e1_e4_hierarchy": lambda s, d: hierarchy.containment_edges(_files(s, d), hierarchy.package_nodes(_files(s, d)), PROJECT).select("src", "dst"),
+        "e2_packages": lambda s, d: hierarchy.package_nodes(_files(s, d)).select("node_id", "name", "level"),
+        "e3_levels": lambda s, d: g(s, d, PROJECT)[0].select("node_id", F.coalesce("level", F.lit(-1)).alias("level")),
+        "e5_roll_up": lambda s, d: hierarchy.roll_up(*_enriched(s, d), lambda x: written(x, "roll-up")).filter("level <= 2 AND summary <> ''").select("node_id", F.sha2("summary", 256).alias("digest")),
+        "f1_graph_stats": lambda s, d: graph.graph_stats(*g(s, d)).select("nodes", "edges"),
+        "f2_counts": lambda s, d: g(s, d, PROJECT)[0].groupBy("type").agg(F.count(F.lit(1)).alias("n")),
+        "f3_inventory_totals": lambda s, d: packages.inventory_totals(_files(s, d)).select("files", "bytes", "tokens"),
+        "f4_change_totals": lambda s, d: changes.change_totals(changes.parse_feed(view(s, d, "c_feed"))),
+        "f5_importers": lambda s, d: packages.importers(_imports(s, d)).select("dst", "src", "n"),
+        "f6_package_pairs": lambda s, d: packages.package_pairs(_imports(s, d)).select("src_package", "dst_package"),
+        "f7_internal_imports": lambda s, d: packages.internal_imports(*g(s, d, PROJECT)[::-1]).select("package", "src", "dst"),
+        "f8_crossing_imports": lambda s, d: packages.crossing_imports(*g(s, d, PROJECT)[::-1]).select("package", "direction", "other"),
+        "f9_fan_in_out": lambda s, d: graph.fan_in_out(g(s, d)[1]).select("node_id", "fan_in", "fan_out"),
+        "g1_tree": lambda s, d: tree.tree_lines(_files(s, d)).select("path", "line"),
+        "g1_tree_report": lambda s, d: tree.tree_report(_files(s, d), "corpus").select("total_files", "total_folders", "estimated_tokens", F.sha2("tree_string", 256).alias("digest")),
+        "g2_batches": lambda s, d: packages.batches(enrich.pending(_enriched(s, d)[0]), 10).select("node_id", "batch"),
+        "g3_largest_files": lambda s, d: packages.first_per_repo(_files(s, d), 25, F.desc("size"), "path").select("path", "size", F.col("rank").cast("long").alias("rank")),
+        "g4_full_report": lambda s, d: report.full_report(*_enriched(s, d)).drop("repo"),
+        "g5_changed_paths": lambda s, d: changes.changed_paths(_changes(s, d), *[x for x in _hashes(s, d)]).select("path"),
+        "r0_overview": lambda s, d: report.overview(*_enriched(s, d)).select("report"),
+        "r1_packages": lambda s, d: report.packages(*_enriched(s, d)).select("node_id", "report"),
+        "r2_modules": lambda s, d: report.modules(*_enriched(s, d)).select("node_id", "report"),
+        "r3_symbols": lambda s, d: report.symbols(*_enriched(s, d)).select("node_id", "report"),
+        "r4_code": lambda s, d: extract.numbered_code(_doc_symbols(s, d), _content(s, d)).select("node_id", "report"),
+        "h1_reach": lambda s, d: traverse.reach(written(_imports(s, d), "imports"), _seeds(s, d), lambda x: written(x, "frontier")).select("seed", "node_id", "hops"),
+        "h2_impact": lambda s, d: traverse.impact(written(_imports(s, d), "imports"), _seeds(s, d), lambda x: written(x, "frontier"), 3).groupBy("seed").agg(F.count(F.lit(1)).alias("n")),
+        "j1_prompts": lambda s, d: enrich.prompts(packages.batches(enrich.pending(_enriched(s, d)[0]), 10), False).select("batch", "prompt"),
+        "j2_results": lambda s, d: enrich.parse_responses(_answers(s, d))[0].select("node_id", "summary"),
+        "j4_clean_patterns": lambda s, d: text.clean_patterns(_content(s, d), "doc_id", "text").select("doc_id", F.col("pos").cast("int").alias("pos"), "pattern"),
+        "j5_transcripts": lambda s, d: text.transcripts(_conv(s, d)),
+        "j6_actions": lambda s, d: text.parse_actions(_conv(s, d).select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit('{"action": "'), "role", F.lit('"}'))).otherwise(F.concat(F.lit('so {"action": "read", "turn": '), F.col("turn").cast("string"), F.lit("} ok"))).alias("answer")), "answer").select("conv_id", "turn", "action"),
+    }
+
+
+_RES = ctes("c_imports", "c_symbols") + r""",
+ x AS (SELECT i.src, i.name, CASE WHEN i.src LIKE '%/%' THEN regexp_replace(i.src, '[^/]+$', '') ELSE '' END AS d, replace(i.name, '.', '/') AS np FROM c_imports i),
+ cand AS (SELECT src, name, 1 AS prio, concat(d, name, '.py') AS path FROM x UNION ALL SELECT src, name, 2, concat(np, '.py') FROM x
+   UNION ALL SELECT src, name, 3, concat(d, name, '/__init__.py') FROM x UNION ALL SELECT src, name, 4, concat(np, '/__init__.py') FROM x),
+ hit AS (SELECT c.src, c.name, min(c.prio) AS prio, arg_min(c.path, c.prio) AS path FROM cand c JOIN c_files f ON f.path = c.path GROUP BY c.src, c.name),
+ res AS (SELECT i.src, i.name, CAST(coalesce(h.prio, 5) AS INT) AS strategy, coalesce(h.path, concat('external::', i.name)) AS dst FROM c_imports i LEFT JOIN hit h ON h.src = i.src AND h.name = i.name),
+ imp AS (SELECT DISTINCT src, dst FROM res),
+ sym AS (SELECT concat(path, '::', name) AS node_id, path, name, type, start_line, end_line FROM c_symbols
+   QUALIFY row_number() OVER (PARTITION BY path, name ORDER BY start_line DESC, end_line DESC, type DESC) = 1),
+ con AS (SELECT path AS src, node_id AS dst FROM sym),
+ edg AS (SELECT src, dst, 'CONTAINS' AS relationship FROM con UNION ALL SELECT src, dst, 'IMPORTS' FROM imp),
+ parts AS (SELECT path, string_split(path, '/') AS p FROM c_files),
+ pkg AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS node_id, p[i] AS name, CAST(i AS INT) AS level FROM (SELECT p, unnest(range(1, len(p))) AS i FROM parts)),
+ pcon AS (SELECT CASE WHEN child LIKE '%/%' THEN regexp_replace(child, '/[^/]*$', '') ELSE 'project::corpus' END AS src, child AS dst FROM (SELECT node_id AS child FROM pkg UNION ALL SELECT path FROM c_files)),
+ inpkg AS (SELECT src AS parent, dst AS child FROM pcon WHERE src <> 'project::corpus'),
+ pend AS (SELECT * FROM sym WHERE start_line % 3 <> 0),
+ chg AS (SELECT path, CASE WHEN file_key % 11 = 0 THEN 'D' WHEN file_key % 9 = 0 THEN 'M' ELSE 'A' END AS status FROM c_files WHERE file_key % 11 = 0 OR file_key % 9 = 0 OR file_key % 13 = 0)
+"""
+_DIR = "CASE WHEN split_part({0}, '::', 1) LIKE '%/%' THEN regexp_replace(split_part({0}, '::', 1), '/[^/]*$', '') END"
+
+
+def oracle_sql() -> dict[str, str]:
+    r = lambda q: f"WITH {_RES} {q}"
+    f, c = ctes("c_files"), ctes("c_content")
+    h = lambda q: f"""WITH {c}, hs AS (SELECT path, doc_id, sha256(text) AS h FROM c_content), cur AS (SELECT path, h FROM hs WHERE doc_id % 13 <> 0),
+      old AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'x' || h ELSE h END AS h FROM hs WHERE doc_id % 10 <> 0) {q}"""
+    feed = f"""WITH {ctes('c_feed')}, p AS (SELECT event_id, string_split(line, chr(9)) AS x FROM c_feed),
+      fd AS (SELECT event_id, x[2] AS path, x[1] AS status FROM p WHERE x[1] IN ('M', 'A', 'D') AND len(x) >= 2
+       UNION ALL SELECT event_id, x[2], 'D' FROM p WHERE x[1] LIKE 'R%' AND len(x) >= 3 UNION ALL SELECT event_id, x[3], 'A' FROM p WHERE x[1] LIKE 'R%' AND len(x) >= 3)"""
+    src, dst = _DIR.format("src"), _DIR.format("dst")
+    lines = r"regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')"
+    doc = f"""WITH {c}, l AS (SELECT concat(path, '::d') AS node_id, path, CAST(doc_id % 3 + 1 AS INT) AS a, CAST(doc_id % 3 + 1 + doc_id % 5 * 40 AS INT) AS b, {lines} AS x0 FROM c_content),
+      k AS (SELECT node_id, path, a, b, CASE WHEN x0[-1] = '' THEN x0[:len(x0) - 1] ELSE x0 END AS x FROM l), s AS (SELECT *, x[a:b] AS y FROM k)"""
+    return {
+        "a1_inventory": f"WITH {f} SELECT path, size, size // 4 AS token_est FROM c_files",
+        "a5_file_hashes": f"WITH {c} SELECT path, sha256(text) AS sha256 FROM c_content",
+        "b1_inventory_filter": f"""WITH {f} SELECT path FROM c_files WHERE NOT regexp_matches(path, '(^|/)dist/')
+          AND NOT (regexp_matches(path, '[.]md$') AND NOT regexp_matches(path, '(^|/)notes7[^/]*[.]md$') OR path LIKE 'src/large%/%' OR regexp_matches(path, '^b3[^/]*/m1[^/]*[.]py(/.*)?$'))""",
+        "b3_tree_filter": f"WITH {f} SELECT path FROM c_files WHERE NOT regexp_matches(path, '(^|/)dist/') AND path NOT LIKE '%.md'",
+        "b4_language": f"WITH {f} SELECT path, CASE WHEN lower(path) LIKE '%.py' THEN 'python' ELSE '?' END AS language FROM c_files",
+        "b5_pending": r("SELECT node_id FROM pend"),
+        "b6_parent_package": r(f"SELECT node_id, coalesce({_DIR.format('node_id')}, '-') AS package FROM sym"),
+        "b7_rejected_symbols": r("SELECT s.node_id, 'parent is no file' AS reason FROM sym s JOIN c_files f ON f.path = s.path WHERE f.file_key % 3 = 0"),
+        "c1_extracted": f"""WITH {c}, n AS (SELECT path, doc_id, regexp_replace(path, '/.*', '') AS m, CAST(7 + length(text) - length(replace(text, chr(10), '')) AS INT) AS e FROM c_content)
+            SELECT path, 'import' AS type, 'os' AS name, 1 AS start_line, 1 AS end_line, 'ok' AS parse_status FROM n UNION ALL SELECT path, 'import', concat(m, '.x'), 2, 2, 'ok' FROM n
+            UNION ALL SELECT path, 'class', concat('D', CAST(doc_id AS VARCHAR)), 5, e, 'ok' FROM n UNION ALL SELECT path, 'function', 'read', 6, e, 'ok' FROM n""",
+        "c4_symbols": r("SELECT node_id, type, name, start_line, end_line FROM sym"),
+        "c5_snippets": doc + """ SELECT node_id, CASE WHEN y IS NULL OR len(y) = 0 OR array_to_string(y, chr(10)) = '' THEN '-' WHEN len(y) > 100
+            THEN concat(array_to_string(y[1:100], chr(10)), chr(10), '... (truncated, ', CAST(len(y) - 100 AS VARCHAR), ' more lines)') ELSE array_to_string(y, chr(10)) END AS code FROM s""",
+        "d1_resolved": r("SELECT src, name, strategy, dst FROM res"),
+        "d2_externals": r("SELECT DISTINCT dst AS node_id, name FROM res WHERE strategy = 5"),
+        "d3_import_edges": r("SELECT src, dst FROM imp"),
+        "d4_contains_edges": r("SELECT src, dst FROM con"),
+        "d5_removed_files": r(""", doomed AS (SELECT path AS id FROM c_files WHERE file_key % 5 = 0 UNION SELECT dst FROM con JOIN c_files f ON f.path = src WHERE f.file_key % 5 = 0)
+            SELECT src, dst, relationship FROM edg WHERE src NOT IN (SELECT id FROM doomed) AND dst NOT IN (SELECT id FROM doomed)"""),
+        "d6_removed_nodes": r("SELECT relationship, count(*) AS n FROM edg WHERE dst NOT LIKE 'external::%' GROUP BY relationship"),
+        "d7_hash_diff": h("""SELECT coalesce(c.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'A' WHEN c.path IS NULL THEN 'D' ELSE 'M' END AS status
+            FROM cur c FULL JOIN old o ON c.path = o.path WHERE c.h IS DISTINCT FROM o.h"""),
+        "d8_feed": feed + " SELECT event_id, path, status FROM fd",
+        "d10_repaired_edges": r(""", live AS (SELECT path FROM c_files WHERE path NOT IN (SELECT path FROM chg WHERE status = 'D')),
+            h2 AS (SELECT c.src, c.name, arg_min(c.path, c.prio) AS path FROM cand c JOIN live f ON f.path = c.path GROUP BY c.src, c.name)
+            SELECT DISTINCT i.src, coalesce(h2.path, concat('external::', i.name)) AS dst, 'IMPORTS' AS relationship FROM c_imports i JOIN live ON live.path = i.src LEFT JOIN h2 ON h2.src = i.src AND h2.name = i.name
+            UNION ALL SELECT src, dst, 'CONTAINS' FROM con WHERE src IN (SELECT path FROM live)"""),
+        "d11_affected": r(", q AS (SELECT string_split(path, '/') AS p FROM chg) SELECT DISTINCT array_to_string(p[1:i], '/') AS dir FROM (SELECT p, unnest(range(1, len(p))) AS i FROM q)"),
+        "d12_merged": r(""", b AS (SELECT *, (row_number() OVER (ORDER BY node_id) - 1) // 50 AS batch FROM pend)
+            SELECT node_id, concat('does ', name) AS summary FROM b WHERE batch % 5 <> 4 UNION ALL SELECT node_id, concat('about ', name) FROM sym WHERE start_line % 3 = 0"""),
+        "d13_callers": r("SELECT dst, src FROM imp"),
+        "e1_e4_hierarchy": r("SELECT src, dst FROM pcon"),
+        "e2_packages": r("SELECT node_id, name, level FROM pkg"),
+        "e3_levels": r("""SELECT path AS node_id, CAST(len(p) AS INT) AS level FROM parts UNION ALL SELECT node_id, CAST(len(string_split(path, '/')) + 1 AS INT) FROM sym
+            UNION ALL SELECT node_id, level FROM pkg UNION ALL SELECT 'project::corpus', 0 UNION ALL SELECT DISTINCT dst, -1 FROM res WHERE strategy = 5"""),
+        "f1_graph_stats": r("SELECT (SELECT count(*) FROM c_files) + (SELECT count(*) FROM sym) + (SELECT count(DISTINCT dst) FROM res WHERE strategy = 5) AS nodes, (SELECT count(*) FROM edg) AS edges"),
+        "f2_counts": r("""SELECT 'file' AS type, count(*) AS n FROM c_files UNION ALL SELECT type, count(*) FROM sym GROUP BY type UNION ALL SELECT 'package', count(*) FROM pkg
+            UNION ALL SELECT 'project', 1 UNION ALL SELECT 'external_module', count(DISTINCT dst) FROM res WHERE strategy = 5"""),
+        "f3_inventory_totals": f"WITH {f} SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(size // 4) AS BIGINT) AS tokens FROM c_files",
+        "f4_change_totals": feed + " SELECT status, count(*) AS n FROM fd GROUP BY status",
+        "f5_importers": r("SELECT dst, src, CAST(1 AS BIGINT) AS n FROM imp"),
+        "f6_package_pairs": r(f"SELECT DISTINCT src_package, dst_package FROM (SELECT {src} AS src_package, {dst} AS dst_package FROM imp) WHERE src_package <> dst_package"),
+        "f7_internal_imports": r("SELECT a.parent AS package, i.src, i.dst FROM imp i JOIN inpkg a ON a.child = i.src JOIN inpkg b ON b.child = i.dst AND b.parent = a.parent"),
+        "f8_crossing_imports": r(""", j AS (SELECT i.src, i.dst, a.parent AS ps, b.parent AS pd FROM imp i LEFT JOIN inpkg a ON a.child = i.src LEFT JOIN inpkg b ON b.child = i.dst WHERE a.parent IS DISTINCT FROM b.parent)
+            SELECT DISTINCT ps AS package, 'out' AS direction, dst AS other FROM j WHERE ps IS NOT NULL UNION SELECT DISTINCT pd, 'in', src FROM j WHERE pd IS NOT NULL"""),
+        "f9_fan_in_out": r("SELECT n AS node_id, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT dst AS n, 1 AS i, 0 AS o FROM edg UNION ALL SELECT src, 0, 1 FROM edg) GROUP BY n"),
+        "g2_batches": r("SELECT node_id, (row_number() OVER (ORDER BY node_id) - 1) // 10 AS batch FROM pend"),
+        "g3_largest_files": f"WITH {f} SELECT path, size, row_number() OVER (ORDER BY size DESC, path) AS rank FROM c_files QUALIFY rank <= 25",
+        "g5_changed_paths": f"WITH {f}, {c} SELECT path FROM c_files WHERE file_key % 11 = 0 OR file_key % 9 = 0 OR file_key % 13 = 0 UNION SELECT path FROM c_content WHERE doc_id % 13 <> 0 OR doc_id % 10 <> 0",
+        "h1_reach": r(""", seed AS (SELECT path AS seed FROM c_files WHERE path LIKE '%.py' AND file_key % 100 = 9)""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+            rc AS (SELECT seed, seed AS node_id, 0 AS hops FROM seed UNION SELECT rc.seed, i.dst, rc.hops + 1 FROM rc JOIN imp i ON i.src = rc.node_id WHERE rc.hops < 40)
+            SELECT seed, node_id, CAST(min(hops) AS INT) AS hops FROM rc GROUP BY seed, node_id""",
+        "h2_impact": r(""", seed AS (SELECT path AS seed FROM c_files WHERE path LIKE '%.py' AND file_key % 100 = 9)""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+            rc AS (SELECT seed, seed AS node_id, 0 AS hops FROM seed UNION SELECT rc.seed, i.src, rc.hops + 1 FROM rc JOIN imp i ON i.dst = rc.node_id WHERE rc.hops < 3)
+            SELECT seed, count(DISTINCT node_id) AS n FROM rc GROUP BY seed""",
+        "j2_results": r(", b AS (SELECT *, (row_number() OVER (ORDER BY node_id) - 1) // 50 AS batch FROM pend) SELECT node_id, concat('does ', name) AS summary FROM b WHERE batch % 5 <> 4"),
+        "j4_clean_patterns": f"""WITH {c}, t AS (SELECT doc_id, string_split(trim(coalesce(text, '')), chr(10)) AS x FROM c_content), u AS (SELECT doc_id, CAST(unnest(range(0, len(x))) AS INT) AS pos, unnest(x) AS raw0 FROM t),
+            v AS (SELECT doc_id, pos, regexp_replace(raw0, '^\\s+|\\s+$', '', 'g') AS raw FROM u), w AS (SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(raw, '^[-*](\\s+|$)', ''), '^[0-9]+[.](\\s+|$)', ''), '^\\s+|\\s+$', '', 'g') AS pattern
+              FROM v WHERE raw <> '' AND raw NOT LIKE '```%' AND raw NOT LIKE '#%')
+            SELECT doc_id, pos, pattern FROM w WHERE pattern <> '' AND (pattern LIKE '%/%' OR pattern LIKE '%*%' OR pattern LIKE '.%' OR pattern NOT LIKE '% %')""",
+        "j5_transcripts": "SELECT conv_id, string_agg(concat('[', upper(role), ']', chr(10), text, chr(10)), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id",
+        "j6_actions": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role ELSE 'read' END AS action FROM conversations",
+        "r4_code": doc + """ SELECT node_id, concat('# ', node_id, ' - Quellcode', chr(10), chr(10), '```python', chr(10),
+            coalesce(array_to_string(list_transform(range(1, len(y) + 1), lambda i: concat(lpad(CAST(a + i - 1 AS VARCHAR), 4, ' '), ' | ', y[i])), chr(10)) || CASE WHEN len(y) > 0 THEN chr(10) ELSE '' END, ''),
+            '```', chr(10), chr(10), 'Zeilen ', CAST(a AS VARCHAR), '-', CAST(b AS VARCHAR)) AS report FROM s""",
+    }
