@@ -17,7 +17,7 @@ since both sides leave out the same ones. Documents made of little else (a large
 group of near copies) meet in later tiers that leave out less.
 
 Instead of all pairs of a key, each key first yields a star around its smallest
-document. Links of the stars make components, and only keys that still hold
+document (a wide key around several). Links of the stars make components, and only keys that still hold
 several components yield the pairs between those. Copies (equal sets) are one
 class throughout. Components come from distributed star contraction.
 
@@ -44,15 +44,20 @@ from .wordhash import Words, mixed, row_grams, text_slices
 N = 5
 #: Similarity NUM / DEN.
 NUM, DEN = 3, 4
-#: Shares of the documents from which a shingle is left out, tier by tier; the last
-#: tier leaves out nothing. LISTED bounds each list that is sent to the tasks (any
-#: subset of the common shingles gives the same links).
-SHARES = (0.001, 0.02)
+#: Shares of the documents from which a shingle is left out, tier by tier (0: seen in
+#: three different sets of one chunk); the last tier leaves out nothing. LISTED bounds
+#: each list that is sent to the tasks (any subset of the common shingles gives the
+#: same links).
+SHARES = (0.0, 0.002, 0.02)
+#: Keys of WIDE documents or more get stars around LEADERS documents instead of one.
+WIDE, LEADERS = 16, 8
 LISTED = 1_000_000
 CHUNK_DOCS = 8192
 #: A size band reaches from 4**k to 4**(k+1); 2.4 * 4**k blocks serve all its sizes.
 BAND = 4
 BLOCKS = 2.4
+#: Band whose sketch (1024 bits, as 64-bit words) every document has beside its own.
+COARSE = 4
 #: Ids up to which a list of documents to read again is sent to all executors.
 BROADCAST_IDS = 1_000_000
 
@@ -77,16 +82,18 @@ def _heavy(least_share: float):
         return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: list[np.ndarray] = []
+        sets: dict[int, np.ndarray] = {}  # copies count once
         size = 0
         for _, _, s in _sets(batches):
-            sets.append(s)
-            size += len(s)
+            key = int(s.sum(dtype=np.uint64))
+            if key not in sets:
+                sets[key] = s
+                size += len(s)
             if len(sets) >= CHUNK_DOCS or size > 4_000_000:
-                yield chunk(sets)
-                sets, size = [], 0
+                yield chunk(list(sets.values()))
+                sets, size = {}, 0
         if sets:
-            yield chunk(sets)
+            yield chunk(list(sets.values()))
 
     return run
 
@@ -181,10 +188,10 @@ def _sketch(s: np.ndarray, band: int) -> bytes:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, a 128-bit hash of the set, its band, and its sketches for that band
-    and, where it has partners there, for the band below."""
-    names = ["doc_id", "n", "s1", "s2", "band", "own", "below"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    """doc_id, n, a 128-bit hash of the set, its band, and its sketches for that band,
+    where it has partners there, for the band below, and the coarse one."""
+    names = ["doc_id", "n", "s1", "s2", "band", "own", "below", "coarse"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
     cols: list[list] = [[] for _ in names]
 
     def flush() -> pa.RecordBatch:
@@ -195,7 +202,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = [band for band, _ in _schemes(len(s))]
         values = (
             batch.column("doc_id")[row].as_py(), len(s), int(a.view(np.int64)[0]), int(b.view(np.int64)[0]), bands[0],
-            _sketch(s, bands[0]), _sketch(s, bands[1]) if len(bands) > 1 else None,
+            _sketch(s, bands[0]), _sketch(s, bands[1]) if len(bands) > 1 else None, np.frombuffer(_sketch(s, COARSE), dtype=np.int64),
         )
         for c, v in zip(cols, values, strict=True):
             c.append(v)
@@ -264,7 +271,7 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signatures, components): doc_id, n per row of ``docs``; doc_id, component_id
     per linked document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = written(docs.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, band int, own binary, below binary"), "signatures")
+    sigs = written(docs.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, band int, own binary, below binary, coarse array<long>"), "signatures")
     named = sigs.filter("doc_id IS NOT NULL AND n > 0")
     reps = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     member = written(named.join(reps, ["n", "s1", "s2"]).select("doc_id", "rep").distinct(), "members")
@@ -282,9 +289,11 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = written(
         shared.join(member.withColumnRenamed("doc_id", "id"), "id").select("key", F.col("rep").alias("id"), "n").distinct(), "class-keys"
     )
-    # stars around the smallest document of each key
-    lead = keys.groupBy("key").agg(F.min("id").alias("u"))
-    stars = keys.join(lead, "key").filter("id > u").select("u", F.col("id").alias("v")).distinct()
+    # stars around the smallest document of each key, and some more of a wide key
+    more_leaders = [F.min_by("id", F.xxhash64(F.lit(k), F.col("id"))) for k in range(LEADERS - 1)]
+    lead = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("u"), F.array_distinct(F.array(F.min("id"), *more_leaders)).alias("us"))
+    lead = lead.filter("c > 1").select("key", F.explode(F.when(F.col("c") >= WIDE, F.col("us")).otherwise(F.array("u"))).alias("u"))
+    stars = keys.join(lead, "key").filter("id <> u").select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
     stars = written(stars, "stars")
     links = _links(docs, stars, nodes, "star-links")
     comps = connected_components(links)
@@ -300,13 +309,23 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     )
     rows = written(open_keys.join(main, "key"), "open-keys")
-    left = rows.filter("comp <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main")
-    j = left.join(right, "key").filter(
-        (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (NUM * F.col("na") <= DEN * F.col("nb")) & (NUM * F.col("nb") <= DEN * F.col("na"))
+    # each row knows its document's open keys and coarse sketch: a pair leaves the join
+    # once, at its first common key, and only within the Hamming bound
+    own = rows.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    rows = rows.join(own, "id").join(nodes.select(F.col("doc_id").alias("id"), "coarse"), "id")
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "comp", "keys", "coarse")]
+    rows = written(rows, "open-rows")
+    left, right = rows.filter("comp <> main").select("key", *side("a")), rows.select(F.col("key").alias("b_key"), "main", *side("b"))
+    far = sum((F.bit_count(F.get("a_coarse", F.lit(i)).bitwiseXOR(F.get("b_coarse", F.lit(i)))) for i in range(BAND ** (COARSE + 1) // 64)), F.lit(0))
+    j = left.join(
+        right,
+        (F.col("key") == F.col("b_key")) & (F.col("a_comp") != F.col("b_comp"))
+        & ((F.col("b_comp") == F.col("main")) | (F.col("a_id") < F.col("b_id")))
+        & (NUM * F.col("a_n") <= DEN * F.col("b_n")) & (NUM * F.col("b_n") <= DEN * F.col("a_n"))
+        & (7 * far <= F.col("a_n") + F.col("b_n"))
+        & (F.col("key") == F.array_min(F.array_intersect("a_keys", "b_keys"))),
     )
-    rest = j.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    rest = j.select(F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     more = _links(docs, rest, nodes, "cross-links")
     final = connected_components(links.unionByName(more))
     placed_docs = member.join(final, member["rep"] == final["node"], "left").select(
