@@ -39,7 +39,7 @@ def _risks() -> Column:
 
 
 def _text(*parts: Column) -> Column:
-    return F.concat_ws("\n", *parts, F.lit(""))
+    return F.concat_ws("\n", *parts)
 
 
 def _summary(title: str = "") -> Column:
