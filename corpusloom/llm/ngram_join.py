@@ -312,11 +312,13 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # each row knows its document's open keys and coarse sketch: a pair leaves the join
     # once, at its first common key, and only within the Hamming bound
     own = rows.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    rows = rows.join(own, "id").join(nodes.select(F.col("doc_id").alias("id"), "coarse"), "id")
-    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "comp", "keys", "coarse")]
+    # its words are columns of their own, which keeps the join's condition short enough to be compiled
+    bits = {f"w{i}": F.coalesce(F.get("coarse", F.lit(i)), F.lit(0).cast("long")) for i in range(BAND ** (COARSE + 1) // 64)}
+    rows = rows.join(own, "id").join(nodes.select(F.col("doc_id").alias("id"), *[c.alias(k) for k, c in bits.items()]), "id")
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "comp", "keys", *bits)]
     rows = written(rows, "open-rows")
     left, right = rows.filter("comp <> main").select("key", *side("a")), rows.select(F.col("key").alias("b_key"), "main", *side("b"))
-    far = sum((F.bit_count(F.get("a_coarse", F.lit(i)).bitwiseXOR(F.get("b_coarse", F.lit(i)))) for i in range(BAND ** (COARSE + 1) // 64)), F.lit(0))
+    far = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in bits), F.lit(0))
     j = left.join(
         right,
         (F.col("key") == F.col("b_key")) & (F.col("a_comp") != F.col("b_comp"))
