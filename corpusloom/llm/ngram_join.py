@@ -17,9 +17,14 @@ since both sides leave out the same ones. Documents made of little else (a large
 group of near copies) meet in later tiers that leave out less.
 
 Instead of all pairs of a key, each key first yields a star around its smallest
-document (a wide key around several). Links of the stars make components, and only keys that still hold
-several components yield the pairs between those. Copies (equal sets) are one
-class throughout. Components come from distributed star contraction.
+document (a wide key around several). Links of the stars make components, and only
+documents of keys that still hold several components are looked at again. Their
+pairs meet by rare shingles: with all shingles in one order, rarest first, similar
+sets share one within the first (n - 3 (n + m) / 7) + 1 of either, n and m being the
+sizes. A shingle that no other of these documents has takes a place and meets
+nobody, so a document with many of its own is out, however common the rest is. What
+meets passes the Hamming bound and is verified like any candidate. Copies (equal
+sets) are one class throughout. Components come from distributed star contraction.
 
 Defined results: without words or text a document has an empty set and is linked
 with nothing; documents with fewer than five words have one shingle; rows that
@@ -56,8 +61,8 @@ CHUNK_DOCS = 8192
 #: A size band reaches from 4**k to 4**(k+1); 2.4 * 4**k blocks serve all its sizes.
 BAND = 4
 BLOCKS = 2.4
-#: Band whose sketch (1024 bits, as 64-bit words) every document has beside its own.
-COARSE = 4
+#: Partners by rare shingles meet in classes of size, FINE or more to each doubling.
+FINE = 16
 #: Ids up to which a list of documents to read again is sent to all executors.
 BROADCAST_IDS = 1_000_000
 
@@ -188,10 +193,10 @@ def _sketch(s: np.ndarray, band: int) -> bytes:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, a 128-bit hash of the set, its band, and its sketches for that band,
-    where it has partners there, for the band below, and the coarse one."""
-    names = ["doc_id", "n", "s1", "s2", "band", "own", "below", "coarse"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    """doc_id, n, a 128-bit hash of the set, its band, and its sketches for that band and,
+    where it has partners there, for the band below."""
+    names = ["doc_id", "n", "s1", "s2", "band", "own", "below"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
     cols: list[list] = [[] for _ in names]
 
     def flush() -> pa.RecordBatch:
@@ -202,7 +207,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = [band for band, _ in _schemes(len(s))]
         values = (
             batch.column("doc_id")[row].as_py(), len(s), int(a.view(np.int64)[0]), int(b.view(np.int64)[0]), bands[0],
-            _sketch(s, bands[0]), _sketch(s, bands[1]) if len(bands) > 1 else None, np.frombuffer(_sketch(s, COARSE), dtype=np.int64),
+            _sketch(s, bands[0]), _sketch(s, bands[1]) if len(bands) > 1 else None,
         )
         for c, v in zip(cols, values, strict=True):
             c.append(v)
@@ -248,6 +253,71 @@ def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
 
 
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle; ``tag`` tells apart the texts of a repeated doc_id."""
+    names, held, cols = ["id", "n", "tag", "h"], 0, [[], [], [], []]
+    for batch, row, s in _sets(batches):
+        doc, tag = batch.column("doc_id")[row].as_py(), s.sum(dtype=np.uint64, keepdims=True).view(np.int64)[0]
+        for c, v in zip(cols, (np.full(len(s), doc), np.full(len(s), len(s)), np.full(len(s), tag), s.view(np.int64)), strict=True):
+            c.append(v.astype(np.int64))
+        held += len(s)
+        if held > 100_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
+            held, cols = 0, [[], [], [], []]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a doc_id in ``ids`` (written, distinct)."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+
+
+def _rare_pairs(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Candidates (u, v) among the documents of ``placed`` (id, comp): in different
+    components, and with a common shingle within the first ones of both, rarest first.
+
+    The larger of two sets, of n shingles, looks once for each class of sizes from 3/4
+    n to n, with as many shingles as the least size of the class demands; the smaller is
+    found in its own class, with as many as a partner of its own size demands. Only
+    documents of different components are brought together: first the components of a
+    shingle, then their documents."""
+    rows = written(_texts_of(docs, placed.select("id")).mapInArrow(_set_rows, "id long, n long, tag long, h long"), "open-shingles")
+    seen = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = (
+        rows.join(seen, "h").groupBy("id", "n", "tag").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+        .withColumn("own", F.col("n") - F.size("hs")).join(placed, "id")
+    )
+    # class of a size: its leading binary digits q and the number e of the others
+    ranked = written(ranked.select("id", "comp", "n", "own", F.transform("hs", lambda x: x["h"]).alias("hs")), "open-ranked")
+
+    def first(length: str, q: str, e: str) -> DataFrame:
+        most = F.expr(f"CAST(greatest({length} - own, 0) AS INT)")
+        return ranked_at.select("id", "comp", F.expr(f"{e} * {4 * FINE} + {q}").alias("size"), F.explode(F.slice("hs", F.lit(1), most)).alias("h"))
+
+    e = f"greatest(0, CAST(length(bin(n)) AS INT) - {FINE.bit_length()})"
+    least = f"(({NUM} * n + {DEN - 1}) DIV {DEN})"
+    ranked_at = ranked.withColumn("e", F.expr(e)).withColumn("q", F.expr("shiftright(n, e)"))
+    small = first(f"n - ({2 * NUM} * n + {NUM + DEN - 1}) DIV {NUM + DEN} + 1", "q", "e")
+    # a class begins at q * 2**e; sizes 3/4 n to n lie in two values of e at most
+    ranked_at = (
+        ranked_at.withColumn("e", F.explode(F.array_distinct(F.array("e", F.expr(f"{e.replace('(n)', least)}")))))
+        .withColumn("q", F.explode(F.expr(f"sequence(shiftright({least}, e), least(shiftright(n, e), CAST({2 * FINE - 1} AS BIGINT)))")))
+        .filter(f"e = 0 OR q >= {FINE}")
+        .withColumn("m", F.expr(f"greatest(shiftleft(q, e), {least})"))
+    )
+    large = first(f"n - ({NUM} * (n + m) + {NUM + DEN - 1}) DIV {NUM + DEN} + 1", "q", "e")
+    small, large = written(small, "rare-small"), written(large, "rare-large")
+    comps = lambda df, c: df.select("size", "h", F.col("comp").alias(c)).distinct()
+    meet = written(comps(small, "a").join(comps(large, "b"), ["size", "h"]).filter("a <> b"), "rare-meetings")
+    pairs = (
+        meet.join(small.select("size", "h", F.col("comp").alias("a"), F.col("id").alias("x")), ["size", "h", "a"])
+        .join(large.select("size", "h", F.col("comp").alias("b"), F.col("id").alias("y")), ["size", "h", "b"])
+    )
+    return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+
+
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
     """Of the candidate pairs (u, v) of class representatives, the similar ones."""
     side = lambda x: nodes.select(
@@ -258,9 +328,7 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, label: str) -> D
     )
     near = written(sized.mapInArrow(_near, "u long, v long").distinct(), label + "-pairs")
     ids = written(near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct(), label + "-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = written(texts.mapInArrow(_set_bytes, "id long, s binary"), label + "-sets")
+    sets = written(_texts_of(docs, ids).mapInArrow(_set_bytes, "id long, s binary"), label + "-sets")
     j = near.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(
         sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v"
     )
@@ -271,7 +339,7 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signatures, components): doc_id, n per row of ``docs``; doc_id, component_id
     per linked document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = written(docs.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, band int, own binary, below binary, coarse array<long>"), "signatures")
+    sigs = written(docs.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, band int, own binary, below binary"), "signatures")
     named = sigs.filter("doc_id IS NOT NULL AND n > 0")
     reps = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     member = written(named.join(reps, ["n", "s1", "s2"]).select("doc_id", "rep").distinct(), "members")
@@ -298,36 +366,14 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = _links(docs, stars, nodes, "star-links")
     comps = connected_components(links)
 
-    # keys that still hold several components: pairs between those
+    # documents of keys that still hold several components
     placed = written(
-        keys.join(comps, keys["id"] == comps["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp")), "placed"
+        keys.join(comps, keys["id"] == comps["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "placed"
     )
     parted = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
-    open_keys = placed.join(parted.filter("lo <> hi AND c > 2").select("key"), "key", "left_semi")
-    main = (
-        open_keys.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    )
-    rows = written(open_keys.join(main, "key"), "open-keys")
-    # each row knows its document's open keys and coarse sketch: a pair leaves the join
-    # once, at its first common key, and only within the Hamming bound
-    own = rows.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    # its words are columns of their own, which keeps the join's condition short enough to be compiled
-    bits = {f"w{i}": F.coalesce(F.get("coarse", F.lit(i)), F.lit(0).cast("long")) for i in range(BAND ** (COARSE + 1) // 64)}
-    rows = rows.join(own, "id").join(nodes.select(F.col("doc_id").alias("id"), *[c.alias(k) for k, c in bits.items()]), "id")
-    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "comp", "keys", *bits)]
-    rows = written(rows, "open-rows")
-    left, right = rows.filter("comp <> main").select("key", *side("a")), rows.select(F.col("key").alias("b_key"), "main", *side("b"))
-    far = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in bits), F.lit(0))
-    j = left.join(
-        right,
-        (F.col("key") == F.col("b_key")) & (F.col("a_comp") != F.col("b_comp"))
-        & ((F.col("b_comp") == F.col("main")) | (F.col("a_id") < F.col("b_id")))
-        & (NUM * F.col("a_n") <= DEN * F.col("b_n")) & (NUM * F.col("b_n") <= DEN * F.col("a_n"))
-        & (7 * far <= F.col("a_n") + F.col("b_n"))
-        & (F.col("key") == F.array_min(F.array_intersect("a_keys", "b_keys"))),
-    )
-    rest = j.select(F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    still_open = placed.join(parted.filter("lo <> hi AND c > 2").select("key"), "key", "left_semi")
+    rest = _rare_pairs(docs, written(still_open.select("id", "comp").distinct(), "open-documents"))
+    rest = rest.join(stars, ["u", "v"], "left_anti")
     more = _links(docs, rest, nodes, "cross-links")
     final = connected_components(links.unionByName(more))
     placed_docs = member.join(final, member["rep"] == final["node"], "left").select(

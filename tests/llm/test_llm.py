@@ -1,6 +1,7 @@
 """Odd inputs and brute-force versions of the training-data operators."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -62,6 +63,37 @@ def test_near_duplicates(docs, empty):
     assert kept.columns == docs.columns and {10} == {r.doc_id for r in kept.collect()} & {10, 11, 12}
 
 
+def test_near_duplicates_by_brute_force(spark):
+    """Edited copies of one text on both sides of the threshold, in several sizes."""
+    rng, rows = random.Random(5), []
+    for i in range(260):
+        w = [f"w{k}" for k in range(rng.choice([9, 40, 63, 64, 65, 90, 120]))]
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(400)}"
+        w += [f"t{i}_{k}" for k in range(rng.choice([0, 0, 4, 15]))]
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    top = list(range(len(rows)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
+    # the candidates by rare shingles alone miss no link
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    met = {(r.u, r.v) for r in ngram_join._rare_pairs(d, d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"))).collect()}
+    links = {(j, i) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert links and links <= met
+
+
 def test_substrings(docs, empty):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_digest(docs).collect()}
     assert got[10][:2] == (120, 0) and got[12][:2] == (120, 120) and got[None][:2] == (120, 0)
