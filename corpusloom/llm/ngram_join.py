@@ -17,7 +17,7 @@ since both sides leave out the same ones. Documents made of little else (a large
 group of near copies) meet in later tiers that leave out less.
 
 Instead of all pairs of a key, each key first yields a star around its smallest
-document (a wide key around several). Links of the stars make components, and only
+document. Links of the stars make components, and only
 documents of keys that still hold several components are looked at again. Their
 pairs meet by rare shingles: with all shingles in one order, rarest first, similar
 sets share one within the first (n - 3 (n + m) / 7) + 1 of either, n and m being the
@@ -54,8 +54,6 @@ NUM, DEN = 3, 4
 #: each list that is sent to the tasks (any subset of the common shingles gives the
 #: same links).
 SHARES = (0.0, 0.002, 0.02)
-#: Keys of WIDE documents or more get stars around LEADERS documents instead of one.
-WIDE, LEADERS = 16, 8
 LISTED = 1_000_000
 CHUNK_DOCS = 8192
 #: A size band reaches from 4**k to 4**(k+1); 2.4 * 4**k blocks serve all its sizes.
@@ -357,10 +355,8 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = written(
         shared.join(member.withColumnRenamed("doc_id", "id"), "id").select("key", F.col("rep").alias("id"), "n").distinct(), "class-keys"
     )
-    # stars around the smallest document of each key, and some more of a wide key
-    more_leaders = [F.min_by("id", F.xxhash64(F.lit(k), F.col("id"))) for k in range(LEADERS - 1)]
-    lead = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("u"), F.array_distinct(F.array(F.min("id"), *more_leaders)).alias("us"))
-    lead = lead.filter("c > 1").select("key", F.explode(F.when(F.col("c") >= WIDE, F.col("us")).otherwise(F.array("u"))).alias("u"))
+    # stars around the smallest document of each key
+    lead = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("u")).filter("c > 1").select("key", "u")
     stars = keys.join(lead, "key").filter("id <> u").select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
     stars = written(stars, "stars")
     links = _links(docs, stars, nodes, "star-links")
