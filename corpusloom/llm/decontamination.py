@@ -1,17 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
 The benchmark is a query set against all documents, taken in blocks of BLOCK_ITEMS
-items, so that what is sent to the tasks is bounded. For each block a first pass
-counts, over all documents, how many hold each 5-gram of its items; each item keeps
-its rare ones as seeds (no more frequent than a multiple of its median, so that an
-item leaked a thousand times still has seeds). A second pass joins the documents
-with the seeds and aligns the words around the hits with the item by
-Smith-Waterman, which tolerates replaced, added and missing words. Both passes read
-the texts where they lie; only counts and results are shuffled.
+items, so that what is sent to the tasks is bounded. Every 5-gram of an item is a
+seed, however many documents hold it. A pass over the documents finds the seeds and
+aligns the words around the hits with the item by Smith-Waterman, which tolerates
+replaced, added and missing words. What frequent seeds bring is held down by a bound
+alone: an alignment scores no more than the item has words that the document, or the
+stretch of it, holds too, so that below the threshold none is computed. The texts
+are read where they lie and nothing is shuffled.
 
 Words are lower-cased (A-Z) and free of ASCII punctuation here. The similarity is
 the alignment score (1 for an equal word, -0.5 for a replaced, added or missing
-one) divided by the item's number of words; THRESHOLD and more is a leak.
+one) divided by the item's number of words; THRESHOLD and more is a leak. n_seeds is
+the number of places of the document where a 5-gram of the item stands.
 
 Defined results: null or empty texts and items match nothing; an item of fewer than
 five words is one seed, found as a whole document of these words only; rows that
@@ -34,8 +35,6 @@ from .wordhash import Words, row_grams, text_slices
 N = 5
 THRESHOLD = 0.5
 BLOCK_ITEMS = 20_000
-#: Seeds of an item: at most RARE times as many documents as its median n-gram, or LEAST.
-RARE, LEAST = 2.0, 5
 MATCH, OTHER, GAP = 1.0, -0.5, 0.5
 
 
@@ -50,17 +49,20 @@ class _Items:
             for r in range(len(offsets) - 1):
                 self.words.append(w.hash[w.first[r] : w.first[r + 1]])
                 grams.append(np.unique(row_grams(w, g, N, r)))
-        self.grams = grams
-        self.seeds = np.unique(np.concatenate(grams)) if grams else np.zeros(0, dtype=np.uint64)
-
-    def rare(self, counts: dict[int, int]) -> None:
-        """Keep the rare seeds of each item and index the items by seed."""
         self.by_seed: dict[int, list[int]] = {}
-        for i, g in enumerate(self.grams):
-            df = np.array([counts.get(int(x), 0) for x in g])
-            for x in g[df <= max(LEAST, RARE * np.median(df))] if len(g) else ():
+        for i, g in enumerate(grams):
+            for x in g:
                 self.by_seed.setdefault(int(x), []).append(i)
         self.seeds = np.array(sorted(self.by_seed), dtype=np.uint64)
+        self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, dtype=np.uint64)
+        self.codes = [np.searchsorted(self.vocabulary, x) for x in self.words]
+
+    def held(self, words: np.ndarray) -> np.ndarray:
+        """Which words of the vocabulary are among ``words``."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        out = np.zeros(len(self.vocabulary), dtype=bool)
+        out[at[self.vocabulary[at] == words]] = True
+        return out
 
 
 def _seed_hits(seeds: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -128,10 +130,15 @@ def _aligner(items: _Items, threshold: float):
             for p, x in zip(pos, h, strict=True):
                 for i in items.by_seed[int(x)]:
                     found.setdefault(i, []).append(int(p))
+            held = items.held(words)
             for i, ps in found.items():
                 item = items.words[i]
-                score = max(smith_waterman(item, words[a:b]) for a, b in _windows(np.array(ps), len(item), len(words)))
-                if score >= threshold * len(item):
+                least = threshold * len(item)
+                if held[items.codes[i]].sum() < least:
+                    continue
+                near = [words[a:b] for a, b in _windows(np.array(ps), len(item), len(words))]
+                score = max((smith_waterman(item, w) for w in near if np.isin(item, w).sum() >= least), default=-1.0)
+                if score >= least:
                     docs.append(batch.column("doc_id")[row].as_py())
                     its.append(items.ids[i])
                     seeds.append(len(ps))
@@ -144,17 +151,6 @@ def _aligner(items: _Items, threshold: float):
     return run
 
 
-def _counter(seeds: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(seeds), dtype=np.int64)
-        for _, _, _, _, h in _hits(batches, seeds):
-            total[np.searchsorted(seeds, np.unique(h))] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds[at].view(np.int64)), pa.array(total[at])], names=["h", "n"])
-
-    return run
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_seeds, similarity) for each document and item that align."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -167,8 +163,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         block = _Items([r["item_id"] for r in rows], [r["text"] for r in rows])
         if not len(block.seeds):
             continue
-        counted = docs.select("text").mapInArrow(_counter(block.seeds), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        block.rare({r["h"] % 2**64: r["n"] for r in counted.collect()})  # no more rows than the block has n-grams
         found = docs.mapInArrow(_aligner(block, threshold), "doc_id long, item_id long, n_seeds long, similarity double")
         out = found if n_blocks == 1 else out.unionByName(written(found, "leaks"))
     return out

@@ -110,6 +110,30 @@ def test_leaks(spark, docs, empty):
     assert decontamination.find_leaks(empty, items).count() == 0 and decontamination.find_leaks(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies, intact", [(6, 0), (1000, 0), (1000, 1)])
+def test_leaks_by_brute_force(spark, copies, intact):
+    """Groups of edited copies and half quotes, as many as there are, against alignment with whole documents."""
+    rng, item, quoted = random.Random(copies), [f"w{i}" for i in range(30)], [f"q{i}" for i in range(30)]
+    edited = ["zz" if i % 8 == 4 else w for i, w in enumerate(item)]
+    texts = [["a", *edited, f"own{k}"] for k in range(copies)] + [["b", *item]] * intact
+    texts += [[f"x{rng.randrange(50)}" for _ in range(20)] + quoted[:n] + ["y"] * 9 for n in (5, 12, 14, 15, 16) for _ in range(7)]
+
+    def score(a, b):
+        prev, best = [0.0] * (len(b) + 1), 0.0
+        for x in a:
+            row = [0.0]
+            for j, y in enumerate(b):
+                row.append(max(0.0, prev[j] + (1.0 if x == y else -0.5), prev[j + 1] - 0.5, row[j] - 0.5))
+            prev, best = row, max(best, *row)
+        return best
+
+    want = {(i, k): s / 30 for i, t in enumerate(texts) for k, x in ((1, item), (2, quoted)) if (s := score(x, t)) >= 15}
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(quoted))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.find_leaks(d, items).collect()}
+    assert len(want) == copies + intact + 14 and got == pytest.approx(want)
+
+
 def test_pii(spark, empty):
     t = "a@b.com_c@d.e x 1.2.3.4.5.6.7.8 300.1.1.1 y 4111 1111 1111 1111 x +1 (017) 555-7713 () é"
     d = spark.createDataFrame([(1, t), (2, None), (3, "")], "doc_id long, text string")
