@@ -14,7 +14,10 @@ whole sets. No link is lost, but for equal 64-bit hashes.
 Hot content: shingles that a large share of documents holds are left out of the
 sketch for as long as D + 1 blocks remain without them, which keeps the bound,
 since both sides leave out the same ones. Documents made of little else (a large
-group of near copies) meet in later tiers that leave out less.
+group of near copies) meet in later tiers that leave out less. Where D + 1 blocks
+don't come together even with nothing left out (mostly sets of 3 or 4 shingles), the
+bound says nothing, and the first n - 3/4 n + 1 shingles in the order of their hashes
+are keys as well: similar sets share one of these.
 
 Instead of all pairs of a key, each key first yields a star around its smallest
 document. Links of the stars make components, and only
@@ -148,6 +151,12 @@ def _block_keys(s: np.ndarray, band: int, tier: int, most: int) -> tuple[np.ndar
     return keys[: most + 1], len(heads) > most
 
 
+def _prefix_keys(s: np.ndarray, band: int) -> np.ndarray:
+    """Keys of the first shingles, one of which every similar set has among its own
+    first ones, as it shares NUM / DEN of the larger set at least."""
+    return mixed(s[: len(s) - (NUM * len(s) + DEN - 1) // DEN + 1] + np.uint64(band), 55)
+
+
 def _keys(commons: list[np.ndarray]):
     tiers = [*commons, np.zeros(0, dtype=np.uint64)]
 
@@ -166,6 +175,8 @@ def _keys(commons: list[np.ndarray]):
             for band, most in _schemes(len(s)):
                 for t, common in enumerate(tiers):
                     k, enough = _block_keys(_without(s, common), band, t, most)
+                    if not enough and t == len(tiers) - 1:
+                        k = np.concatenate((k, _prefix_keys(s, band)))
                     keys.append(k)
                     ids.append(np.full(len(k), doc, dtype=np.int64))
                     sizes.append(np.full(len(k), len(s), dtype=np.int32))

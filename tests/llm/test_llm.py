@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,35 @@ def test_near_duplicates_by_brute_force(spark):
     assert links and links <= met
 
 
+def test_near_duplicates_of_few_shingles(spark):
+    """Texts of 7 and 8 (3/4), 8 and 9 words (4/5), one inside the other: each pair is a link."""
+    rng, rows = random.Random(7), []
+    for i in range(1200):
+        w = [f"{rng.randrange(10**9):x}" for _ in range(8 + i % 2)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-1] if rng.random() < 0.5 else w[1:]))]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_near_duplicates_share_a_key():
+    """All similar pairs of small sets have a common key, whatever the words."""
+    rng, texts = random.Random(8), []
+    for i in range(8000):
+        w = [f"{rng.randrange(10**9):x}" for _ in range(8 if i % 2 else 5 + i % 20)]
+        v = w[rng.randrange(3) : len(w) - rng.randrange(3)]
+        if len(v) > 6 and rng.random() < 0.3:
+            v[rng.choice([0, -1])] = "e"
+        texts += [" ".join(w), " ".join(v)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    keys = [set() for _ in texts]
+    for b in ngram_join._keys([])(iter([batch])):
+        for k, d in zip(b.column("key").to_pylist(), b.column("id").to_pylist(), strict=True):
+            keys[d].add(k)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    similar = [i for i in range(0, len(texts), 2) if 4 * len(sets[i] & sets[i + 1]) >= 3 * len(sets[i] | sets[i + 1])]
+    assert len(similar) > 2000 and [i for i in similar if not keys[i] & keys[i + 1]] == []
+
+
 def test_substrings(docs, empty):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_digest(docs).collect()}
     assert got[10][:2] == (120, 0) and got[12][:2] == (120, 120) and got[None][:2] == (120, 0)
