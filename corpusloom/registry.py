@@ -73,6 +73,11 @@ def _seeds(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "c_files").filter("path LIKE '%.py' AND file_key % 100 = 9").select("repo", F.col("path").alias("seed"))
 
 
+def _query_set(s: SparkSession, d: str) -> DataFrame:
+    """The files whose dependents are asked for in full: ids divisible by 50."""
+    return view(s, d, "c_files").filter("file_key % 50 = 0").select("repo", F.col("path").alias("seed"))
+
+
 def _changes(s: SparkSession, d: str) -> DataFrame:
     """Every 9th file modified, every 11th deleted, every 13th new."""
     k = F.col("file_key")
@@ -166,6 +171,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "r4_code": lambda s, d: extract.numbered_code(_doc_symbols(s, d), _content(s, d)).select("node_id", "report"),
         "h1_reach": lambda s, d: traverse.reach(written(_imports(s, d), "imports"), _seeds(s, d), lambda x: written(x, "frontier")).select("seed", "node_id", "hops"),
         "h2_impact": lambda s, d: traverse.impact(written(_imports(s, d), "imports"), _seeds(s, d), lambda x: written(x, "frontier"), 3).groupBy("seed").agg(F.count(F.lit(1)).alias("n")),
+        "h2_impact_all": lambda s, d: traverse.impact(written(_imports(s, d), "imports"), _query_set(s, d), lambda x: written(x, "frontier")).groupBy("seed").agg(F.count(F.lit(1)).alias("n")),
         "j1_prompts": lambda s, d: enrich.prompts(packages.batches(enrich.pending(_enriched(s, d)[0]), 10), False).select("batch", "prompt"),
         "j2_results": lambda s, d: enrich.parse_responses(_answers(s, d))[0].select("node_id", "summary"),
         "j4_clean_patterns": lambda s, d: text.clean_patterns(_content(s, d), "doc_id", "text").select("doc_id", F.col("pos").cast("int").alias("pos"), "pattern"),
@@ -265,6 +271,9 @@ def oracle_sql() -> dict[str, str]:
         "h2_impact": r(""", seed AS (SELECT path AS seed FROM c_files WHERE path LIKE '%.py' AND file_key % 100 = 9)""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
             rc AS (SELECT seed, seed AS node_id, 0 AS hops FROM seed UNION SELECT rc.seed, i.src, rc.hops + 1 FROM rc JOIN imp i ON i.dst = rc.node_id WHERE rc.hops < 3)
             SELECT seed, count(DISTINCT node_id) AS n FROM rc GROUP BY seed""",
+        "h2_impact_all": r(""", seed AS (SELECT path AS seed FROM c_files WHERE file_key % 50 = 0)""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+            rc AS (SELECT seed, seed AS node_id FROM seed UNION SELECT rc.seed, i.src FROM rc JOIN imp i ON i.dst = rc.node_id)
+            SELECT seed, count(*) AS n FROM rc GROUP BY seed""",
         "j2_results": r(", b AS (SELECT *, (row_number() OVER (ORDER BY node_id) - 1) // 50 AS batch FROM pend) SELECT node_id, concat('does ', name) AS summary FROM b WHERE batch % 5 <> 4"),
         "j4_clean_patterns": f"""WITH {c}, t AS (SELECT doc_id, string_split(trim(coalesce(text, '')), chr(10)) AS x FROM c_content), u AS (SELECT doc_id, CAST(unnest(range(0, len(x))) AS INT) AS pos, unnest(x) AS raw0 FROM t),
             v AS (SELECT doc_id, pos, regexp_replace(raw0, '^\\s+|\\s+$', '', 'g') AS raw FROM u), w AS (SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(raw, '^[-*](\\s+|$)', ''), '^[0-9]+[.](\\s+|$)', ''), '^\\s+|\\s+$', '', 'g') AS pattern

@@ -143,3 +143,20 @@ def test_stream_applies_changes(spark, tmp_path):
     apply_changes(change_stream(spark, str(tmp_path / "in")), lambda df, k: seen.extend((r.path, r.status) for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == [("a", "D"), ("b", "A"), ("x.py", "M")]
     assert graph is not None
+
+
+def test_impact_of_whole_import_chains(spark):
+    """The unbounded query against a walk in plain Python, which goes over 3 hops."""
+    from corpusloom import registry
+
+    d = "/root/testdata/sf0.01"
+    users, want, deepest = {}, {}, 0
+    for r in registry._imports(spark, d).collect():
+        users.setdefault(r.dst, set()).add(r.src)
+    for r in registry._query_set(spark, d).collect():
+        seen, front, hops = {r.seed}, {r.seed}, 0
+        while front := {u for x in front for u in users.get(x, ())} - seen:
+            seen, hops = seen | front, hops + 1
+        want[r.seed], deepest = len(seen), max(deepest, hops)
+    assert {r.seed: r.n for r in registry.queries()["h2_impact_all"](spark, d).collect()} == want
+    assert deepest > 3
