@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RE = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -25,10 +28,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataF
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from
-    ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    folder of our own is made and set."""
+    ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests
+    on one machine) a folder of our own is made and set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-corpusloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -37,11 +42,28 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again. This cuts
     the lineage: a lost executor costs the tasks that it ran, not the stages
-    before, and the rows stay the same for every later use."""
+    before, and the rows stay the same for every later use. The shuffle files of
+    the write go when it has ended, since nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    old = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if old is None else spark.conf.set(SHUFFLE_CLEANUP, old)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no later step reads."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def blank_trimmed(text: Column) -> Column:

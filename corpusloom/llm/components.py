@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,7 +38,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         step = written(_star(e, True), "large-star")
         new = written(_star(step, False), "small-star")
+        release(step)
         # done when both steps leave the stars as they are
         if new.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(new, ["u", "v"], "left_anti").isEmpty():
+            release(e)
             return new.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        release(e)
         e = new

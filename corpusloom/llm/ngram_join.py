@@ -19,15 +19,22 @@ don't come together even with nothing left out (mostly sets of 3 or 4 shingles),
 bound says nothing, and the first n - 3/4 n + 1 shingles in the order of their hashes
 are keys as well: similar sets share one of these.
 
+Keys. Sets are classes: copies have one class id, a 64-bit hash of the set, and make
+each key once. A document emits a few keys more than D + 1, so that similar pairs
+agree in several (see ``_need``); documents with fewer shared keys than that are out
+before any pair is made. A task combines its keys before the shuffle: of the classes
+with one key it sends on a leader alone, so that the place where a key comes together
+gets no more than a row for each task, and what it leaves out is known to be shared
+already. Keys travel in packed arrays, dealt to as many places as their number asks.
+
 Instead of all pairs of a key, each key first yields a star around its smallest
-document. Links of the stars make components, and only
-documents of keys that still hold several components are looked at again. Their
-pairs meet by rare shingles: with all shingles in one order, rarest first, similar
-sets share one within the first (n - 3 (n + m) / 7) + 1 of either, n and m being the
-sizes. A shingle that no other of these documents has takes a place and meets
-nobody, so a document with many of its own is out, however common the rest is. What
-meets passes the Hamming bound and is verified like any candidate. Copies (equal
-sets) are one class throughout. Components come from distributed star contraction.
+class. Links of the stars make components, and only classes of keys that still hold
+several components are looked at again. Their pairs meet by rare shingles: with all
+shingles in one order, rarest first, similar sets share one within the first (n - 3
+(n + m) / 7) + 1 of either, n and m being the sizes. A shingle that no other of these
+documents has takes a place and meets nobody, so a document with many of its own is
+out, however common the rest is. What meets passes the Hamming bound and is verified
+like any candidate. Components come from distributed star contraction.
 
 Defined results: without words or text a document has an empty set and is linked
 with nothing; documents with fewer than five words have one shingle; rows that
@@ -42,10 +49,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, written
+from .common import packed, release, written
 from .components import connected_components
 from .wordhash import Words, mixed, row_grams, text_slices
 
@@ -59,6 +66,10 @@ NUM, DEN = 3, 4
 SHARES = (0.0, 0.002, 0.02)
 LISTED = 1_000_000
 CHUNK_DOCS = 8192
+#: Keys that a task combines at once, and keys that come together in one place.
+CHUNK_KEYS, PLACE_KEYS = 1_500_000, 500_000
+#: Least and most bits of the number of places.
+LEAST_BITS, MOST_BITS = 6, 18
 #: A size band reaches from 4**k to 4**(k+1); 2.4 * 4**k blocks serve all its sizes.
 BAND = 4
 BLOCKS = 2.4
@@ -78,43 +89,43 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
                 yield batch, first + r, np.unique(row_grams(words, grams, N, r))
 
 
-def _heavy(least_share: float):
-    """Per chunk of documents, the shingles that a share of them holds. A shingle held
-    by that share of all documents is held by it in one chunk at least."""
+def _class_of(s: np.ndarray) -> np.ndarray:
+    """The id of a set's class, as an array of one."""
+    total = mixed(s, 61).sum(dtype=np.uint64, keepdims=True)
+    return mixed(total ^ mixed(np.bitwise_xor.reduce(mixed(s, 62), keepdims=True) + np.uint64(len(s)), 63), 61).view(np.int64)
 
-    def chunk(sets: list[np.ndarray]) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(sets), return_counts=True)
-        keep = n >= max(3, least_share * len(sets))
-        return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}  # copies count once
-        size = 0
-        for _, _, s in _sets(batches):
-            key = int(s.sum(dtype=np.uint64))
-            if key not in sets:
-                sets[key] = s
-                size += len(s)
-            if len(sets) >= CHUNK_DOCS or size > 4_000_000:
-                yield chunk(list(sets.values()))
-                sets, size = {}, 0
-        if sets:
-            yield chunk(list(sets.values()))
+class _Common:
+    """Shingles that a share of the sets of a chunk holds. A shingle held by that share
+    of all sets is held by it in one chunk at least. Copies count once."""
 
-    return run
+    def __init__(self, least_share: float) -> None:
+        self.share, self.sets, self.size = least_share, {}, 0
 
+    def add(self, c: int, s: np.ndarray) -> bool:
+        """Whether the chunk is full."""
+        if c not in self.sets:
+            self.sets[c] = s
+            self.size += len(s)
+        return len(self.sets) >= CHUNK_DOCS or self.size > 2_000_000
 
-def common_shingles(docs: DataFrame, shares: tuple[float, ...] = SHARES) -> list[np.ndarray]:
-    """One sorted array per share. Its size is bounded: at most (mean set size / share)
-    shingles can be so common, and LISTED holds in any case."""
-    heavy = written(
-        docs.select("text").mapInArrow(_heavy(min(shares)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "heavy-shingles"
-    )
-    total = docs.count()
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        h, n = np.unique(np.concatenate(list(self.sets.values())), return_counts=True)
+        keep = n >= max(3, self.share * len(self.sets))
+        self.sets, self.size = {}, 0
+        return h[keep].view(np.int64), n[keep]
+
+
+def common_shingles(heavy: DataFrame, total: int, shares: tuple[float, ...] = SHARES) -> list[np.ndarray]:
+    """One sorted array per share, of ``heavy`` (h, times) over ``total`` rows. Its size is
+    bounded: at most (mean set size / share) shingles can be so common, and LISTED holds
+    in any case."""
+    counts = written(heavy.groupBy("h").agg(F.sum("times").alias("times")), "heavy-shingles")
     out = []
     for share in shares:
-        top = heavy.filter(F.col("n") >= max(3, share * total)).orderBy(F.desc("n"), "h").limit(LISTED).select("h")
+        top = counts.filter(F.col("times") >= max(3, share * total)).orderBy(F.desc("times"), "h").limit(LISTED).select("h")
         out.append(np.sort(top.toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64)))
+    release(counts)
     return out
 
 
@@ -137,18 +148,32 @@ def _schemes(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _block_keys(s: np.ndarray, band: int, tier: int, most: int) -> tuple[np.ndarray, bool]:
-    """Keys of the first ``most`` + 1 non-empty blocks, and whether there are as many."""
+def _slack(most: int) -> int:
+    """Blocks emitted beyond ``most``."""
+    return 1 + most // 4
+
+
+def _need(n: int) -> int:
+    """Keys that a set of ``n`` shingles shares with any similar one. Similar sets differ
+    in no more blocks than either allows for (``most``), so that the first most + slack
+    non-empty blocks of one of them hold slack blocks or more in which both agree, and
+    these are among the first of the other. The least partner, of 3/4 n shingles, has
+    the least slack."""
+    return _slack(((NUM * n + DEN - 1) // DEN + n) // 7)
+
+
+def _block_keys(s: np.ndarray, band: int, tier: int, most: int) -> tuple[np.ndarray, int]:
+    """Keys of the first most + slack non-empty blocks, and how many are non-empty."""
     if not len(s):
-        return s, False
+        return s, 0
     blocks = np.uint64(int(BLOCKS * BAND**band) + 2)
     place = ((mixed(s, 3 + band) >> np.uint64(32)) * blocks) >> np.uint64(32)
     order = np.argsort(place, kind="stable")
     place = place[order]
     heads = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    values = np.bitwise_xor.reduceat(s[order], heads)
-    keys = mixed(values ^ mixed(place[heads] * np.uint64(64) + np.uint64(band), 40 + tier), 50 + tier)
-    return keys[: most + 1], len(heads) > most
+    values = np.bitwise_xor.reduceat(s[order], heads)[: most + _slack(most)]
+    keys = mixed(values ^ mixed(place[heads[: len(values)]] * np.uint64(64) + np.uint64(band), 40 + tier), 50 + tier)
+    return keys, len(heads)
 
 
 def _prefix_keys(s: np.ndarray, band: int) -> np.ndarray:
@@ -157,38 +182,96 @@ def _prefix_keys(s: np.ndarray, band: int) -> np.ndarray:
     return mixed(s[: len(s) - (NUM * len(s) + DEN - 1) // DEN + 1] + np.uint64(band), 55)
 
 
-def _keys(commons: list[np.ndarray]):
-    tiers = [*commons, np.zeros(0, dtype=np.uint64)]
+#: A key on its way: 29 bits beside those of its place, and what it says of its class: met
+#: in the band below its own; few blocks, so that one shared key is enough; stands for
+#: classes of the same task.
+_BELOW, _FEW, _LEADS = 1, 2, 4
 
-    def flush(ids, keys, sizes, tier) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(tier))],
-            names=["key", "id", "n", "tier"],
-        )
+
+def _keys(commons: list[np.ndarray], bits: int):
+    tiers = [*commons, np.zeros(0, dtype=np.uint64)]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+    def of(s: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """Keys of a set, with flags."""
+        for below, (band, most) in enumerate(_schemes(len(s))):
+            found = []
+            for t, common in enumerate(tiers):
+                k, n = _block_keys(_without(s, common), band, t, most)
+                found.append(k)
+                if n >= most + _slack(most):
+                    break
+            else:
+                if n <= most:
+                    found.append(_prefix_keys(s, band))
+                below |= _FEW
+            yield np.concatenate(found), below
+
+    def combined(chunk: int, keys: np.ndarray, cs: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
+        """A row for each place with the keys that come together there, and one for each
+        with those known to be shared, which go anywhere."""
+        order = np.lexsort((cs, keys))
+        keys, cs, flags = keys[order], cs[order], flags[order]
+        head = np.concatenate(([True], keys[1:] != keys[:-1]))
+        more = np.concatenate((~head[1:], [False])) & head
+        place = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        rest = ((keys << np.uint64(bits)) >> np.uint64(35)).astype(np.uint32) << np.uint32(3)
+        rest |= (flags + _LEADS * more).astype(np.uint32)
+        out: list[list] = [[], [], [], []]
+        for mask, known in ((head, 0), (~head, 1)):
+            p, r, c = place[mask], rest[mask], cs[mask]
+            cut = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.zeros(0, dtype=np.int64)
+            for a, b in zip(cut.tolist(), [*cut.tolist(), len(p)][1:], strict=True):
+                at = int(p[a])
+                slot = (1 << bits) + (at * 31 + chunk) % (1 << bits) if known else at
+                for col, v in zip(out, (slot, at, r[a:b].tobytes(), c[a:b].tobytes()), strict=True):
+                    col.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["slot", "place", "keys", "classes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, sizes, tier, held = [], [], [], [], 0
+        keys, cs, flags, held, seen, chunk = [], [], [], 0, set(), 0
         for batch, row, s in _sets(batches):
-            doc = batch.column("doc_id")[row].as_py()
-            if doc is None or not len(s):
+            if not len(s) or not batch.column("doc_id")[row].is_valid:
+                continue
+            c = _class_of(s)
+            if int(c[0]) in seen:
                 continue
-            for band, most in _schemes(len(s)):
-                for t, common in enumerate(tiers):
-                    k, enough = _block_keys(_without(s, common), band, t, most)
-                    if not enough and t == len(tiers) - 1:
-                        k = np.concatenate((k, _prefix_keys(s, band)))
-                    keys.append(k)
-                    ids.append(np.full(len(k), doc, dtype=np.int64))
-                    sizes.append(np.full(len(k), len(s), dtype=np.int32))
-                    tier.append(np.full(len(k), t, dtype=np.int8))
-                    held += len(k)
-                    if enough:
-                        break
-            if held > 100_000:
-                yield flush(ids, keys, sizes, tier)
-                ids, keys, sizes, tier, held = [], [], [], [], 0
+            seen.add(int(c[0]))
+            chunk = chunk or int(c[0]) & 0xFFFF
+            for k, flag in of(s):
+                keys.append(k)
+                cs.append(np.full(len(k), c[0]))
+                flags.append(np.full(len(k), flag, dtype=np.uint8))
+                held += len(k)
+            if held > CHUNK_KEYS:
+                yield combined(chunk, np.concatenate(keys), np.concatenate(cs), np.concatenate(flags))
+                keys, cs, flags, held, seen, chunk = [], [], [], 0, set(), 0
         if keys:
-            yield flush(ids, keys, sizes, tier)
+            yield combined(chunk, np.concatenate(keys), np.concatenate(cs), np.concatenate(flags))
+
+    return run
+
+
+def _shared(bits: int):
+    """What has come together in a slot -> (key, c, below, few) of the shared keys."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rest, cs, places = [], [], []
+        for place, k, c in zip(table.column("place").to_pylist(), table.column("keys"), table.column("classes"), strict=True):
+            rest.append(np.frombuffer(k.as_buffer(), dtype=np.uint32))
+            cs.append(np.frombuffer(c.as_buffer(), dtype=np.int64))
+            places.append(np.full(len(rest[-1]), place, dtype=np.int64))
+        rest, cs = np.concatenate(rest), np.concatenate(cs)
+        keys = (np.concatenate(places) << 29) | (rest >> np.uint32(3)).astype(np.int64)
+        if key[0].as_py() < 1 << bits:
+            order = np.lexsort((cs, keys))
+            rest, cs, keys = rest[order], cs[order], keys[order]
+            head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            size = np.diff(np.append(head, len(keys)))
+            several = (cs[head] != cs[head + size - 1]) | (np.bitwise_or.reduceat(rest, head) & _LEADS > 0)
+            keep = np.repeat(several, size)
+            rest, cs, keys = rest[keep], cs[keep], keys[keep]
+        return pa.table({"key": keys, "c": cs, "below": (rest & _BELOW > 0), "few": (rest & _FEW > 0)})
 
     return run
 
@@ -201,31 +284,42 @@ def _sketch(s: np.ndarray, band: int) -> bytes:
     return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, a 128-bit hash of the set, its band, and its sketches for that band and,
-    where it has partners there, for the band below."""
-    names = ["doc_id", "n", "s1", "s2", "band", "own", "below"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    cols: list[list] = [[] for _ in names]
-
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    for batch, row, s in _sets(batches):
-        a, b = mixed(s, 61).sum(dtype=np.uint64, keepdims=True), np.bitwise_xor.reduce(mixed(s, 62), keepdims=True)
-        bands = [band for band, _ in _schemes(len(s))]
-        values = (
-            batch.column("doc_id")[row].as_py(), len(s), int(a.view(np.int64)[0]), int(b.view(np.int64)[0]), bands[0],
-            _sketch(s, bands[0]), _sketch(s, bands[1]) if len(bands) > 1 else None,
-        )
-        for c, v in zip(cols, values, strict=True):
-            c.append(v)
-        if len(cols[0]) >= 1024:
-            yield flush()
-            for c in cols:
-                c.clear()
-    if cols[0]:
-        yield flush()
+def _signatures(least_share: float):
+    """doc_id, n, the set's class c, its band, its sketches for that band and, where it has
+    partners there, for the band below, and the keys that it shares with similar sets;
+    beside these, rows of h and times for the common shingles of each chunk."""
+    names = ["doc_id", "n", "c", "band", "own", "below", "need", "h", "times"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+
+    def rows(cols: list[list]) -> pa.RecordBatch:
+        n = len(cols[0])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)] + [pa.nulls(n, k) for k in kinds[7:]], names=names)
+
+    def counts(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(h), k) for k in kinds[:7]] + [pa.array(h), pa.array(n.astype(np.int64))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[] for _ in names[:7]]
+        chunk = _Common(least_share)
+        for batch, row, s in _sets(batches):
+            c, bands = int(_class_of(s)[0]), [band for band, _ in _schemes(len(s))]
+            values = (
+                batch.column("doc_id")[row].as_py(), len(s), c, bands[0],
+                _sketch(s, bands[0]), _sketch(s, bands[1]) if len(bands) > 1 else None, _need(len(s)),
+            )
+            for col, v in zip(cols, values, strict=True):
+                col.append(v)
+            if len(cols[0]) >= 1024:
+                yield rows(cols)
+                cols = [[] for _ in cols]
+            if chunk.add(c, s):
+                yield counts(*chunk.taken())
+        if cols[0]:
+            yield rows(cols)
+        if chunk.sets:
+            yield counts(*chunk.taken())
+
+    return run
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,9 +346,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each row as bytes, under its class."""
     ids, sets = [], []
-    for batch, row, s in _sets(batches):
-        ids.append(batch.column("doc_id")[row].as_py())
+    for _, _, s in _sets(batches):
+        ids.append(int(_class_of(s)[0]))
         sets.append(s.tobytes())
         if len(ids) >= 512:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
@@ -263,44 +358,49 @@ def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shingle; ``tag`` tells apart the texts of a repeated doc_id."""
-    names, held, cols = ["id", "n", "tag", "h"], 0, [[], [], [], []]
-    for batch, row, s in _sets(batches):
-        doc, tag = batch.column("doc_id")[row].as_py(), s.sum(dtype=np.uint64, keepdims=True).view(np.int64)[0]
-        for c, v in zip(cols, (np.full(len(s), doc), np.full(len(s), len(s)), np.full(len(s), tag), s.view(np.int64)), strict=True):
+    """One row for each shingle of each row's set, under its class."""
+    names, held, cols = ["id", "n", "h"], 0, [[], [], []]
+    for _, _, s in _sets(batches):
+        for c, v in zip(cols, (np.repeat(_class_of(s), len(s)), np.full(len(s), len(s)), s.view(np.int64)), strict=True):
             c.append(v.astype(np.int64))
         held += len(s)
         if held > 100_000:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
-            held, cols = 0, [[], [], [], []]
+            held, cols = 0, [[], [], []]
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a doc_id in ``ids`` (written, distinct)."""
+def _texts_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each class in ``ids`` (written, distinct), or a few where a
+    doc_id repeats; the sets made of them are joined by class again."""
+    reps = ids.join(nodes.select(F.col("c").alias("id"), "rep"), "id").select("rep")
     few = ids.count() <= BROADCAST_IDS
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+    return docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, F.col("doc_id") == F.col("rep"), "left_semi")
 
 
-def _rare_pairs(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """Candidates (u, v) among the documents of ``placed`` (id, comp): in different
+def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame) -> DataFrame:
+    """Candidates (u, v) among the classes of ``placed`` (id, comp): in different
     components, and with a common shingle within the first ones of both, rarest first.
 
     The larger of two sets, of n shingles, looks once for each class of sizes from 3/4
     n to n, with as many shingles as the least size of the class demands; the smaller is
     found in its own class, with as many as a partner of its own size demands. Only
-    documents of different components are brought together: first the components of a
-    shingle, then their documents."""
-    rows = written(_texts_of(docs, placed.select("id")).mapInArrow(_set_rows, "id long, n long, tag long, h long"), "open-shingles")
+    sets of different components are brought together: first the components of a
+    shingle, then their sets."""
+    rows = _texts_of(docs, nodes, placed.select("id")).mapInArrow(_set_rows, "id long, n long, h long")
+    rows = written(rows.join(F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed, "id"), "open-shingles")
     seen = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranked = (
-        rows.join(seen, "h").groupBy("id", "n", "tag").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
-        .withColumn("own", F.col("n") - F.size("hs")).join(placed, "id")
+        rows.join(seen, "h").groupBy("id", "n", "comp").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("hs"))
+        .withColumn("own", F.col("n") - F.size("hs"))
     )
-    # class of a size: its leading binary digits q and the number e of the others
+    # more shingles of its own than any partner could lack: out
+    ranked = ranked.filter(f"{DEN} * own <= ({DEN - NUM}) * n")
     ranked = written(ranked.select("id", "comp", "n", "own", F.transform("hs", lambda x: x["h"]).alias("hs")), "open-ranked")
+    release(rows)
 
+    # class of a size: its leading binary digits q and the number e of the others
     def first(length: str, q: str, e: str) -> DataFrame:
         most = F.expr(f"CAST(greatest({length} - own, 0) AS INT)")
         return ranked_at.select("id", "comp", F.expr(f"{e} * {4 * FINE} + {q}").alias("size"), F.explode(F.slice("hs", F.lit(1), most)).alias("h"))
@@ -324,93 +424,105 @@ def _rare_pairs(docs: DataFrame, placed: DataFrame) -> DataFrame:
         meet.join(small.select("size", "h", F.col("comp").alias("a"), F.col("id").alias("x")), ["size", "h", "a"])
         .join(large.select("size", "h", F.col("comp").alias("b"), F.col("id").alias("y")), ["size", "h", "b"])
     )
-    return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    pairs = written(pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "rare-pairs")
+    release(ranked, small, large, meet)
+    return pairs
 
 
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
-    """Of the candidate pairs (u, v) of class representatives, the similar ones."""
+    """Of the candidate pairs (u, v) of classes, the similar ones."""
     side = lambda x: nodes.select(
-        F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("band").alias(f"b{x}"), F.col("own").alias(f"o{x}"), F.col("below").alias(f"l{x}")
+        F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("band").alias(f"b{x}"), F.col("own").alias(f"o{x}"), F.col("below").alias(f"l{x}")
     )
     sized = pairs.join(side("u"), "u").join(side("v"), "v").filter(
         (NUM * F.col("nu") <= DEN * F.col("nv")) & (NUM * F.col("nv") <= DEN * F.col("nu"))
     )
-    near = written(sized.mapInArrow(_near, "u long, v long").distinct(), label + "-pairs")
+    near = written(sized.mapInArrow(_near, "u long, v long"), label + "-pairs")
     ids = written(near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct(), label + "-ids")
-    sets = written(_texts_of(docs, ids).mapInArrow(_set_bytes, "id long, s binary"), label + "-sets")
+    sets = written(_texts_of(docs, nodes, ids).mapInArrow(_set_bytes, "id long, s binary"), label + "-sets")
     j = near.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(
         sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v"
     )
-    return written(j.mapInArrow(_verify, "u long, v long").distinct(), label)
+    out = written(j.mapInArrow(_verify, "u long, v long").distinct(), label)
+    release(near, ids, sets)
+    return out
+
+
+def shared_keys(docs: DataFrame, commons: list[np.ndarray], shingles: int) -> DataFrame:
+    """(key, c, below, few) of every key that several classes have. ``shingles``: their
+    number over all rows, from which the number of places follows."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (shingles // 2 // PLACE_KEYS).bit_length()))
+    sent = docs.mapInArrow(_keys(commons, bits), "slot long, place int, keys binary, classes binary")
+    return sent.groupBy("slot").applyInArrow(_shared(bits), "key long, c long, below boolean, few boolean").distinct()
 
 
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signatures, components): doc_id, n per row of ``docs``; doc_id, component_id
-    per linked document."""
+    """(signatures, labels): doc_id, n, c per row of ``docs``; c, component_id for each
+    class of a linked document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = written(docs.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, band int, own binary, below binary"), "signatures")
-    named = sigs.filter("doc_id IS NOT NULL AND n > 0")
-    reps = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    member = written(named.join(reps, ["n", "s1", "s2"]).select("doc_id", "rep").distinct(), "members")
-    nodes = named.join(member.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-
-    keyed = docs.mapInArrow(_keys(common_shingles(docs)), "key long, id long, n int, tier byte")
-    by_key = Window.partitionBy("key").orderBy("id")
-    first = (
-        keyed.filter("tier = 0")
-        .withColumn("shared", F.coalesce(F.lag("id").over(by_key) != F.col("id"), F.lit(False))
-                    | F.coalesce(F.lead("id").over(by_key) != F.col("id"), F.lit(False)))
-        .filter("shared").select("key", "id", "n")
-    )
-    shared = written(first, "shared-keys").unionByName(written(keyed.filter("tier > 0").select("key", "id", "n"), "tier-keys"))
-    keys = written(
-        shared.join(member.withColumnRenamed("doc_id", "id"), "id").select("key", F.col("rep").alias("id"), "n").distinct(), "class-keys"
+    both = written(
+        docs.mapInArrow(
+            _signatures(min(SHARES)), "doc_id long, n long, c long, band int, own binary, below binary, need int, h long, times long"
+        ), "signatures",
     )
-    # stars around the smallest document of each key
-    lead = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("u")).filter("c > 1").select("key", "u")
-    stars = keys.join(lead, "key").filter("id <> u").select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct()
+    sigs = both.filter("n IS NOT NULL")
+    named = sigs.filter("doc_id IS NOT NULL AND n > 0")
+    nodes = named.groupBy("c").agg(F.min(F.struct("doc_id", "n", "band", "need", "own", "below")).alias("x"))
+    nodes = written(nodes.select("c", F.col("x.doc_id").alias("rep"), *[f"x.{k}" for k in ("n", "band", "need", "own", "below")]), "classes")
+    rows, shingles = sigs.agg(F.count(F.lit(1)), F.sum("n")).first()
+    commons = common_shingles(both.filter("h IS NOT NULL").select("h", "times"), rows)
+    keys = written(shared_keys(docs, commons, shingles or 0), "shared-keys")
+    # classes that share as many keys as a similar pair does
+    told = keys.groupBy("c", "below").agg(F.count(F.lit(1)).alias("told"), F.max("few").alias("few")).join(nodes.select("c", "need"), "c")
+    able = told.filter("few OR told >= need").select("c", "below")
+    old, keys = keys, written(keys.join(able, ["c", "below"]).select("key", F.col("c").alias("id")).distinct(), "able-keys")
+    release(old)
+    # stars around the smallest class of each key
+    lead = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("u")).filter("k > 1").select("key", "u")
+    stars = keys.join(lead, "key").filter("id <> u").select("u", F.col("id").alias("v")).distinct()
     stars = written(stars, "stars")
     links = _links(docs, stars, nodes, "star-links")
     comps = connected_components(links)
 
-    # documents of keys that still hold several components
+    # classes of keys that still hold several components
     placed = written(
         keys.join(comps, keys["id"] == comps["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "placed"
     )
-    parted = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
-    still_open = placed.join(parted.filter("lo <> hi AND c > 2").select("key"), "key", "left_semi")
-    rest = _rare_pairs(docs, written(still_open.select("id", "comp").distinct(), "open-documents"))
-    rest = rest.join(stars, ["u", "v"], "left_anti")
-    more = _links(docs, rest, nodes, "cross-links")
-    final = connected_components(links.unionByName(more))
-    placed_docs = member.join(final, member["rep"] == final["node"], "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("component_id")
-    )
+    release(keys)
+    parted = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k"))
+    still_open = placed.join(parted.filter("lo <> hi AND k > 2").select("key"), "key", "left_semi")
+    rest = _rare_pairs(docs, nodes, written(still_open.select("id", "comp").distinct(), "open-classes"))
+    more = _links(docs, rest.join(stars, ["u", "v"], "left_anti"), nodes, "cross-links")
+    release(placed, stars, rest)
     # rows that repeat a doc_id with other texts join the components of all of them
-    many = placed_docs.groupBy("doc_id").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
-    odd = many.filter("lo <> hi")
-    if odd.isEmpty():
-        return sigs, many.select("doc_id", F.col("lo").alias("component_id"))
-    edges = placed_docs.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    merged = connected_components(edges)
-    return sigs, many.join(merged, many["doc_id"] == merged["node"], "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("component_id")
-    )
+    many = named.groupBy("doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+    same = named.join(many, "doc_id").select(F.col("lo").alias("u"), F.col("c").alias("v")).filter("u <> v")
+    final = connected_components(links.unionByName(more).unionByName(same))
+    member = final.unionByName(final.select(F.col("component").alias("node"), "component").distinct())
+    member = member.join(nodes.select(F.col("c").alias("node"), "rep"), "node")
+    least = member.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return sigs, written(member.join(least, "component").select(F.col("node").alias("c"), "component_id"), "labels")
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, n, component_id for every row of ``docs``."""
+    sigs, labels = link_components(docs)
+    l = labels.select(F.col("c").alias("l_c"), "component_id")
+    copies = sigs.filter("doc_id IS NOT NULL AND n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    copies = copies.join(l, copies["c"] == l["l_c"], "left_anti").select(F.col("c").alias("l_c"), F.col("rep").alias("component_id"))
+    groups = l.unionByName(copies)
+    joined = sigs.join(groups, (F.col("c") == F.col("l_c")) & (F.col("n") > 0), "left")
+    return joined.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def ngram_join_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    sigs, comps = link_components(docs)
-    c = comps.select(F.col("doc_id").alias("c_id"), "component_id")
-    return sigs.join(c, F.col("doc_id") == F.col("c_id"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return _labelled(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the smallest document of their group; rows linked
     with nothing and rows without doc_id stay."""
-    _, comps = link_components(docs)
-    gone = comps.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    gone = written(_labelled(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
     rows = packed(docs, k_id=F.col("doc_id").cast("long"))
     return rows.join(gone, F.col("k_id") == F.col("gone"), "left_anti").select("doc.*")

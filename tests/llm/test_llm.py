@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -90,8 +91,13 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
     # the candidates by rare shingles alone miss no link
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    met = {(r.u, r.v) for r in ngram_join._rare_pairs(d, d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"))).collect()}
-    links = {(j, i) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["text"])
+    ids = [int(ngram_join._class_of(s)[0]) for _, _, s in ngram_join._sets(iter([batch]))]
+    first = {c: i for i, c in reversed(list(enumerate(ids)))}
+    nodes = spark.createDataFrame([(c, i) for c, i in first.items()], "c long, rep long")
+    met = {(r.u, r.v) for r in ngram_join._rare_pairs(d, nodes, nodes.select(F.col("c").alias("id"), F.col("c").alias("comp"))).collect()}
+    near = [(ids[j], ids[i]) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    links = {(min(p), max(p)) for p in near if p[0] != p[1]}
     assert links and links <= met
 
 
@@ -105,23 +111,35 @@ def test_near_duplicates_of_few_shingles(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
-def test_near_duplicates_share_a_key():
-    """All similar pairs of small sets have a common key, whatever the words."""
+def test_near_duplicates_share_enough_keys():
+    """All similar pairs have as many common keys as either needs, whatever the words and sizes."""
     rng, texts = random.Random(8), []
-    for i in range(8000):
-        w = [f"{rng.randrange(10**9):x}" for _ in range(8 if i % 2 else 5 + i % 20)]
+    for i in range(6000):
+        w = [f"{rng.randrange(10**9):x}" for _ in range(8 if i % 3 == 0 else 5 + i % 20 if i % 3 == 1 else rng.randrange(60, 400))]
         v = w[rng.randrange(3) : len(w) - rng.randrange(3)]
-        if len(v) > 6 and rng.random() < 0.3:
-            v[rng.choice([0, -1])] = "e"
+        for _ in range(rng.randrange(0, max(2, len(w) // 30))):
+            v[rng.choice([0, -1]) if len(v) < 30 else rng.randrange(len(v))] = f"e{rng.randrange(99)}"
+        if rng.random() < 0.2:
+            v += [f"t{k}" for k in range(rng.randrange(len(w) // 3))]
         texts += [" ".join(w), " ".join(v)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
-    keys = [set() for _ in texts]
-    for b in ngram_join._keys([])(iter([batch])):
-        for k, d in zip(b.column("key").to_pylist(), b.column("id").to_pylist(), strict=True):
-            keys[d].add(k)
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
-    similar = [i for i in range(0, len(texts), 2) if 4 * len(sets[i] & sets[i + 1]) >= 3 * len(sets[i] | sets[i + 1])]
-    assert len(similar) > 2000 and [i for i in similar if not keys[i] & keys[i + 1]] == []
+    sets = [s for _, _, s in ngram_join._sets(iter([batch]))]
+    common = [np.unique(np.concatenate(sets)[::7]), np.unique(np.concatenate(sets)[::50])]
+    keys = {int(ngram_join._class_of(s)[0]): set() for s in sets}
+    few, bits = set(), 8
+    for b in ngram_join._keys(common, bits)(iter([batch])):
+        for place, k, c in zip(b.column("place").to_pylist(), b.column("keys").to_pylist(), b.column("classes").to_pylist(), strict=True):
+            for x, y in zip(np.frombuffer(k, dtype=np.uint32).tolist(), np.frombuffer(c, dtype=np.int64).tolist(), strict=True):
+                keys[y].add((place, x >> 3))
+                if x & 2:
+                    few.add(y)
+    classes = [int(ngram_join._class_of(s)[0]) for s in sets]
+    similar = [i for i in range(0, len(sets), 2) if 4 * len(np.intersect1d(sets[i], sets[i + 1])) >= 3 * len(np.union1d(sets[i], sets[i + 1]))]
+    assert len(similar) > 2000
+    for i in similar:
+        for me, other in ((i, i + 1), (i + 1, i)):
+            need = 1 if classes[me] in few else ngram_join._need(len(sets[me]))
+            assert len(keys[classes[me]] & keys[classes[other]]) >= need
 
 
 def test_substrings(docs, empty):
