@@ -27,8 +27,8 @@ with one key it sends on a leader alone, so that the place where a key comes tog
 gets no more than a row for each task, and what it leaves out is known to be shared
 already. Keys travel in packed arrays, dealt to as many places as their number asks.
 
-Instead of all pairs of a key, each key first yields a star around its smallest
-class. Links of the stars make components, and only classes of keys that still hold
+Instead of all pairs of a key, each key first yields a star around one class, that
+of the smallest document. Links of the stars make components, and only classes of keys that still hold
 several components are looked at again. Their pairs meet by rare shingles: with all
 shingles in one order, rarest first, similar sets share one within the first (n - 3
 (n + m) / 7) + 1 of either, n and m being the sizes. A shingle that no other of these
@@ -67,7 +67,7 @@ SHARES = (0.0, 0.002, 0.02)
 LISTED = 1_000_000
 CHUNK_DOCS = 8192
 #: Keys that a task combines at once, and keys that come together in one place.
-CHUNK_KEYS, PLACE_KEYS = 1_500_000, 500_000
+CHUNK_KEYS, PLACE_KEYS = 500_000, 500_000
 #: Least and most bits of the number of places.
 LEAST_BITS, MOST_BITS = 6, 18
 #: A size band reaches from 4**k to 4**(k+1); 2.4 * 4**k blocks serve all its sizes.
@@ -107,7 +107,7 @@ class _Common:
         if c not in self.sets:
             self.sets[c] = s
             self.size += len(s)
-        return len(self.sets) >= CHUNK_DOCS or self.size > 2_000_000
+        return len(self.sets) >= CHUNK_DOCS or self.size > 1_000_000
 
     def taken(self) -> tuple[np.ndarray, np.ndarray]:
         h, n = np.unique(np.concatenate(list(self.sets.values())), return_counts=True)
@@ -473,13 +473,14 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     commons = common_shingles(both.filter("h IS NOT NULL").select("h", "times"), rows)
     keys = written(shared_keys(docs, commons, shingles or 0), "shared-keys")
     # classes that share as many keys as a similar pair does
-    told = keys.groupBy("c", "below").agg(F.count(F.lit(1)).alias("told"), F.max("few").alias("few")).join(nodes.select("c", "need"), "c")
-    able = told.filter("few OR told >= need").select("c", "below")
-    old, keys = keys, written(keys.join(able, ["c", "below"]).select("key", F.col("c").alias("id")).distinct(), "able-keys")
+    told = keys.groupBy("c", "below").agg(F.count(F.lit(1)).alias("told"), F.max("few").alias("few")).join(nodes.select("c", "need", "rep"), "c")
+    able = told.filter("few OR told >= need").select("c", "below", "rep")
+    old, keys = keys, written(keys.join(able, ["c", "below"]).select("key", F.col("c").alias("id"), "rep").distinct(), "able-keys")
     release(old)
-    # stars around the smallest class of each key
-    lead = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("u")).filter("k > 1").select("key", "u")
-    stars = keys.join(lead, "key").filter("id <> u").select("u", F.col("id").alias("v")).distinct()
+    # stars around the class of each key that has the smallest document
+    first = F.min(F.struct("rep", "id"))
+    lead = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), first.alias("x")).filter("k > 1").select("key", F.col("x.id").alias("lead"))
+    stars = keys.join(lead, "key").filter("id <> lead").select(F.least("lead", "id").alias("u"), F.greatest("lead", "id").alias("v")).distinct()
     stars = written(stars, "stars")
     links = _links(docs, stars, nodes, "star-links")
     comps = connected_components(links)
