@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, blank_trimmed, fingerprint, null_safe, packed, written
+from .common import ascii_lower, blank_trimmed, fingerprint, packed, release, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -72,7 +72,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """Per document with a dropped line: doc_id, fp, n_dropped and ``dropped_runs``,
     the keep bitmap as runs of zeros (array of (start, length))."""
     hashes = written(line_hashes(docs, min_chars), "line-hashes")
-    repeated = repeated_lines(hashes, min_docs).select(
+    # written first, so that Spark can split the join at a line that many documents hold
+    repeated = written(repeated_lines(hashes, min_docs), "repeated-lines").select(
         F.col("h1").alias("r1"), F.col("h2").alias("r2"), "top"
     )
     dropped = hashes.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).filter(
@@ -84,10 +85,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         F.col("p"), lambda x, i: F.coalesce(F.get(F.col("p"), i + step) != x + step, F.lit(True))
     )
     runs = per_doc.select("doc_id", "fp", F.size("p").cast("long").alias("n_dropped"), edge(-1).alias("a"), edge(1).alias("b"))
-    return runs.select(
+    maps = runs.select(
         "doc_id", "fp", "n_dropped",
         F.zip_with("a", "b", lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length"))).alias("dropped_runs"),
     )
+    maps = written(maps, "keep-bitmaps")
+    release(hashes)
+    return maps
 
 
 def _kept(lines: Column, runs: Column) -> Column:
@@ -142,11 +146,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 and the run-length keep bitmap of
-    every document."""
+    """doc_id, n_lines, n_dropped, kept_sha256 and the run-length keep bitmap of every
+    document: ``dropped_runs``, start:length of each run of dropped lines."""
     docs = docs.select("doc_id", "text")
     out = apply_bitmaps(docs, keep_bitmaps(docs))
     return out.select(
         F.col("doc")["doc_id"].alias("doc_id"), "n_lines", "n_dropped",
         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+        F.coalesce(
+            F.array_join(F.transform("dropped_runs", lambda r: F.concat_ws(":", r["start"].cast("string"), r["length"].cast("string"))), ","), F.lit("")
+        ).alias("dropped_runs"),
     )

@@ -38,10 +38,13 @@ WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 r AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT k.*, r.top IS NOT NULL AND k.doc_id <> r.top AS gone FROM k LEFT JOIN r USING (key))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+m AS (SELECT k.*, r.top IS NOT NULL AND k.doc_id <> r.top AS gone FROM k LEFT JOIN r USING (key)),
+g AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM m WHERE gone),
+u AS (SELECT doc_id, min(pos) AS first_pos, concat(CAST(min(pos) - 1 AS VARCHAR), ':', CAST(count(*) AS VARCHAR)) AS run FROM g GROUP BY doc_id, island),
+v AS (SELECT doc_id, string_agg(run, ',' ORDER BY first_pos) AS runs FROM u GROUP BY doc_id)
+SELECT m.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256, coalesce(any_value(v.runs), '') AS dropped_runs
+FROM m LEFT JOIN v USING (doc_id) GROUP BY m.doc_id
 """
 
 
