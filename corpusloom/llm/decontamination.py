@@ -1,23 +1,26 @@
 """Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-The benchmark is a query set against all documents, taken in blocks of BLOCK_ITEMS
-items, so that what is sent to the tasks is bounded. Every 5-gram of an item is a
-seed, however many documents hold it. A pass over the documents finds the seeds and
-aligns the words around the hits with the item by Smith-Waterman, which tolerates
-replaced, added and missing words. What frequent seeds bring is held down by a bound
-alone: an alignment scores no more than the item has words that the document, or the
-stretch of it, holds too, so that below the threshold none is computed. The texts
-are read where they lie and nothing is shuffled.
+The benchmark is a query set against all documents, taken in blocks of about
+BLOCK_ITEMS items and BLOCK_CHARS characters, so that what is sent to the tasks is
+bounded. Every 3-gram of an item is a seed, however many documents hold it: edited
+copies keep some run of three words, and a gram left out for being frequent could be
+the only one. A pass over the documents finds the seeds and aligns the words around
+the hits with the item by Smith-Waterman, which tolerates replaced, added and missing
+words. What frequent seeds bring is held down by a bound alone: an alignment scores
+no more than the item has words that the document, or the stretch of it, holds too,
+so that below the threshold none is computed. The texts are read where they lie and
+nothing is shuffled.
 
 Words are lower-cased (A-Z) and free of ASCII punctuation here. The similarity is
 the alignment score (1 for an equal word, -0.5 for a replaced, added or missing
 one) divided by the item's number of words; THRESHOLD and more is a leak. n_seeds is
-the number of places of the document where a 5-gram of the item stands.
+the number of places of the document where a 3-gram of the item stands.
 
 Defined results: null or empty texts and items match nothing; an item of fewer than
-five words is one seed, found as a whole document of these words only; rows that
-repeat a document or an item are each matched; an empty benchmark or an empty table
-gives an empty result; extra columns are ignored.
+three words is one seed, found as a whole document of these words only (anywhere
+else it says nothing); rows that repeat a document or an item are each matched; an
+empty benchmark or an empty table gives an empty result; extra columns are ignored.
+A copy without any three words of the item in a row isn't found.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ from pyspark.sql import functions as F
 from .common import fingerprint, packed, written
 from .wordhash import Words, row_grams, text_slices
 
-N = 5
+N = 3
 THRESHOLD = 0.5
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 MATCH, OTHER, GAP = 1.0, -0.5, 0.5
 
 
@@ -155,11 +158,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """(doc_id, item_id, n_seeds, similarity) for each document and item that align."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("length(text) > 0")
-    n_blocks = -(-items.count() // BLOCK_ITEMS)
+    count, chars = items.agg(F.count(F.lit(1)), F.sum(F.char_length("text"))).first()
+    n_blocks = max(-(-count // BLOCK_ITEMS), -(-(chars or 0) // BLOCK_CHARS))
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_seeds long, similarity double")
     for k in range(n_blocks):
         part = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        rows = part.orderBy("item_id", "text").collect()  # about BLOCK_ITEMS items
+        rows = part.orderBy("item_id", "text").collect()  # a block
         block = _Items([r["item_id"] for r in rows], [r["text"] for r in rows])
         if not len(block.seeds):
             continue

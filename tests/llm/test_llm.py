@@ -182,6 +182,34 @@ def test_leaks_by_brute_force(spark, copies, intact):
     assert len(want) == copies + intact + 14 and got == pytest.approx(want)
 
 
+def test_leaks_by_edit_rate(spark):
+    """Words replaced, added and left out at random, and every fourth word replaced; short items inside long texts."""
+    rng, texts, rates = random.Random(3), [], {}
+    items = [[f"i{k}_{j}" for j in range(rng.randrange(15, 60))] for k in range(12)]
+    for rate in (0.1, 0.2, 0.3, 0.4):
+        for k in range(120):
+            out = []
+            for w in items[k % 12]:
+                if rng.random() >= rate:
+                    out.append(w)
+                else:
+                    out += rng.choice([[f"z{rng.randrange(999)}"], [], [w, f"z{rng.randrange(999)}"]])
+            rates[len(texts)] = rate
+            texts.append(["pre"] * rng.randrange(40) + out + ["post"] * rng.randrange(40))
+    texts += [["z" if j % 4 == 3 else w for j, w in enumerate(x)] for x in items]
+    texts += [["q"] * 50 + ["one", "two", "three"] + ["q"] * 50]
+    a = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(50, "One two, three!"), (51, "one two"), (52, "pre")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(a, b).collect()}
+    index = {w: n for n, w in enumerate(sorted({w for t in texts for w in t} | {w for x in items for w in x}))}
+    code = lambda x: np.array([index[w] for w in x])
+    want = {(i, k) for i, t in enumerate(texts) for k, x in enumerate(items) if decontamination.smith_waterman(code(x), code(t)) >= len(x) / 2}
+    assert got - {(len(texts) - 1, 50)} <= want and (len(texts) - 1, 50) in got and {(480 + k, k) for k in range(12)} <= got
+    for rate in (0.1, 0.2, 0.3, 0.4):
+        mine = {p for p in want if rates.get(p[0]) == rate}
+        assert len(mine & got) >= (0.99 if rate < 0.4 else 0.95) * len(mine) and len(mine) > 30, (rate, len(mine & got), len(mine))
+
+
 def test_pii(spark, empty):
     t = "a@b.com_c@d.e x 1.2.3.4.5.6.7.8 300.1.1.1 y 4111 1111 1111 1111 x +1 (017) 555-7713 () é"
     d = spark.createDataFrame([(1, t), (2, None), (3, "")], "doc_id long, text string")
