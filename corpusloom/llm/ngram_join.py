@@ -36,6 +36,13 @@ documents has takes a place and meets nobody, so a document with many of its own
 out, however common the rest is. What meets passes the Hamming bound and is verified
 like any candidate. Components come from distributed star contraction.
 
+Where a large component meets other sets, members and strangers aren't paired. Both
+are compared with the component's hub, and kept as what they differ in from it. With
+differences of x and y shingles, two sets differ in x + y less twice what these have in
+common; a stranger that isn't similar to the hub is only similar to a member that has
+much of its difference in common with it. These differences meet by their rare
+shingles, in the same manner.
+
 Defined results: without words or text a document has an empty set and is linked
 with nothing; documents with fewer than five words have one shingle; rows that
 repeat a ``doc_id`` are one node and each returned; a row without ``doc_id`` is
@@ -73,6 +80,8 @@ LEAST_BITS, MOST_BITS = 6, 18
 #: A size band reaches from 4**k to 4**(k+1); 2.4 * 4**k blocks serve all its sizes.
 BAND = 4
 BLOCKS = 2.4
+#: Open classes up to which a component's members are paired with those of another.
+SMALL = 4
 #: Partners by rare shingles meet in classes of size, FINE or more to each doubling.
 FINE = 16
 #: Ids up to which a list of documents to read again is sent to all executors.
@@ -379,8 +388,8 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, F.col("doc_id") == F.col("rep"), "left_semi")
 
 
-def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame) -> DataFrame:
-    """Candidates (u, v) among the classes of ``placed`` (id, comp): in different
+def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, candidates (u, v)) among the classes of ``placed`` (id, comp): in different
     components, and with a common shingle within the first ones of both, rarest first.
 
     The larger of two sets, of n shingles, looks once for each class of sizes from 3/4
@@ -420,13 +429,77 @@ def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame) -> DataFra
     small, large = written(small, "rare-small"), written(large, "rare-large")
     comps = lambda df, c: df.select("size", "h", F.col("comp").alias(c)).distinct()
     meet = written(comps(small, "a").join(comps(large, "b"), ["size", "h"]).filter("a <> b"), "rare-meetings")
-    pairs = (
-        meet.join(small.select("size", "h", F.col("comp").alias("a"), F.col("id").alias("x")), ["size", "h", "a"])
-        .join(large.select("size", "h", F.col("comp").alias("b"), F.col("id").alias("y")), ["size", "h", "b"])
+    a_side = small.select("size", "h", F.col("comp").alias("a"), F.col("id").alias("x"))
+    b_side = large.select("size", "h", F.col("comp").alias("b"), F.col("id").alias("y"))
+    # the larger of two components is met by its hub, unless both are small
+    known = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > SMALL).join(hubs, "comp")
+    known = written(known, "open-hubs")
+    of = lambda c: known.select(F.col("comp").alias(c), F.struct("k", F.col("comp").alias("i"), "hub").alias(f"h{c}"))
+    meet = meet.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    by_a = F.col("ha").isNotNull() & (F.col("hb").isNull() | (F.col("ha") > F.col("hb")))
+    meet = written(meet.withColumn("by", F.when(by_a, "a").when(F.col("hb").isNotNull(), "b")), "known-meetings")
+    pairs = meet.filter("by IS NULL").select("size", "h", "a", "b").join(a_side, ["size", "h", "a"]).join(b_side, ["size", "h", "b"])
+    strangers = meet.filter("by = 'a'").join(b_side, ["size", "h", "b"]).select(F.col("a").alias("comp"), F.col("ha.hub").alias("hub"), F.col("y").alias("id"))
+    strangers = strangers.unionByName(
+        meet.filter("by = 'b'").join(a_side, ["size", "h", "a"]).select(F.col("b").alias("comp"), F.col("hb.hub").alias("hub"), F.col("x").alias("id"))
+    )
+    strangers = written(strangers.distinct(), "strangers")
+    links, more = _by_hub(docs, nodes, placed, known, strangers)
+    pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).unionByName(more)
+    pairs = written(pairs.distinct(), "rare-pairs")
+    release(ranked, small, large, meet, known, strangers)
+    return links, pairs
+
+
+def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a set and that of the hub -> in what they differ, and whether they link."""
+    names = ["hub", "id", "stranger", "n", "d", "linked", "hs"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+    for batch in batches:
+        cols: list[list] = [[], [], [], []]
+        for x, y in zip(batch.column("s"), batch.column("hub_s"), strict=True):
+            a, b = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+            delta = np.setxor1d(a, b, assume_unique=True)
+            both = (len(a) + len(b) - len(delta)) // 2
+            for c, v in zip(cols, (len(a), len(delta), DEN * both >= NUM * (both + len(delta)), delta.view(np.int64)), strict=True):
+                c.append(v)
+        known = [batch.column(k) for k in names[:3]]
+        yield pa.RecordBatch.from_arrays(known + [pa.array(c, k) for c, k in zip(cols, kinds[3:], strict=True)], names=names)
+
+
+def _by_hub(docs: DataFrame, nodes: DataFrame, placed: DataFrame, known: DataFrame, strangers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links of strangers with hubs, candidates (u, v) of the other strangers and members).
+
+    ``strangers`` (comp, hub, id) are to be compared with all members of comp. With 7 d -
+    n for a set of n shingles that differs in d from the hub, two similar sets have at
+    least half of the sum of theirs, by 7, in common (a similar pair differs in no more
+    than (n + m) / 7). So each shows, rarest first, as many of the shingles that both
+    sides have as may be missed, and one more."""
+    ids = strangers.select("comp").distinct()
+    members = placed.join(known.select("comp", "hub"), "comp").join(ids, "comp", "left_semi").filter("id <> hub")
+    asked = members.select("hub", "id", F.lit(False).alias("stranger")).unionByName(strangers.select("hub", "id", F.lit(True).alias("stranger")))
+    asked = written(asked, "asked")
+    wanted = written(asked.select("id").unionByName(asked.select(F.col("hub").alias("id"))).distinct(), "asked-ids")
+    sets = written(_texts_of(docs, nodes, wanted).mapInArrow(_set_bytes, "id long, s binary").dropDuplicates(["id"]), "asked-sets")
+    j = asked.join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("s").alias("hub_s")), "hub")
+    deltas = written(j.mapInArrow(_deltas, "hub long, id long, stranger boolean, n long, d long, linked boolean, hs array<long>"), "deltas")
+    links = written(deltas.filter("stranger AND linked").select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v")), "hub-links")
+    apart = deltas.filter("NOT (stranger AND linked)").withColumn("w", F.expr(f"{NUM + DEN} * d - n"))
+    shown = apart.select("hub", "stranger", "id", "w", F.explode("hs").alias("h"))
+    both = shown.groupBy("hub", "h").agg(F.count(F.lit(1)).alias("df"), F.min("stranger").alias("lo"), F.max("stranger").alias("hi")).filter("lo <> hi")
+    ranked = shown.join(both.select("hub", "h", "df"), ["hub", "h"]).groupBy("hub", "stranger", "id", "w").agg(
+        F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs")
     )
-    pairs = written(pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "rare-pairs")
-    release(ranked, small, large, meet)
-    return pairs
+    low = apart.groupBy("hub").agg(F.min(F.when(F.col("stranger"), F.col("w"))).alias("low_s"), F.min(F.when(~F.col("stranger"), F.col("w"))).alias("low_m"))
+    ranked = ranked.join(low, "hub")
+    least = F.greatest(F.lit(1), F.ceil((F.col("w") + F.when(F.col("stranger"), F.col("low_m")).otherwise(F.col("low_s"))) / F.lit(2 * (NUM + DEN)))).cast("int")
+    first = ranked.select("hub", "stranger", "id", F.explode(F.slice("hs", F.lit(1), F.greatest(F.size("hs") - least + 1, F.lit(0)))).alias("x"))
+    first = written(first.select("hub", "stranger", "id", "x.h"), "delta-first")
+    side = lambda s, c: first.filter(F.col("stranger") == s).select("hub", "h", F.col("id").alias(c))
+    pairs = side(False, "x").join(side(True, "y"), ["hub", "h"]).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    pairs = written(pairs.distinct(), "delta-pairs")
+    release(asked, wanted, sets, deltas, first)
+    return links, pairs
 
 
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
@@ -492,8 +565,12 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     release(keys)
     parted = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k"))
     still_open = placed.join(parted.filter("lo <> hi AND k > 2").select("key"), "key", "left_semi")
-    rest = _rare_pairs(docs, nodes, written(still_open.select("id", "comp").distinct(), "open-classes"))
-    more = _links(docs, rest.join(stars, ["u", "v"], "left_anti"), nodes, "cross-links")
+    # hub of a component: the class with most links
+    ends = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    ends = ends.join(comps, ends["id"] == comps["node"], "left").select(F.coalesce("component", "id").alias("comp"), "id", "k")
+    hubs = ends.groupBy("comp").agg(F.max(F.struct("k", "id")).alias("x")).select("comp", F.col("x.id").alias("hub"))
+    by_hub, rest = _rare_pairs(docs, nodes, written(still_open.select("id", "comp").distinct(), "open-classes"), hubs)
+    more = _links(docs, rest.join(stars, ["u", "v"], "left_anti"), nodes, "cross-links").unionByName(by_hub)
     release(placed, stars, rest)
     # rows that repeat a doc_id with other texts join the components of all of them
     many = named.groupBy("doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
