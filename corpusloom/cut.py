@@ -8,14 +8,25 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` under ``spark.checkpoint.dir`` and read it again, which cuts lineage.
-    Only where that setting is unset a folder of our own is made and set."""
+    Only where that setting is unset and the master is local a folder of our own is made
+    and set. The shuffle files of the write go when it has ended."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-corpusloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/corpusloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    old = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if old is None else spark.conf.set(SHUFFLE_CLEANUP, old)
     return spark.read.schema(df.schema).parquet(path)

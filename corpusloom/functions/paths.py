@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The line ends that Python's splitlines() knows.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# Languages by suffix and names of code fences.
 LANGUAGES = {".py": "python"}
 FENCES = {"py": "python", "js": "javascript", "ts": "typescript"}
 

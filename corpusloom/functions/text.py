@@ -15,6 +15,7 @@ def clean_patterns(df: DataFrame, key: str, text: str) -> DataFrame:
     lines = df.select(key, F.posexplode(F.split(F.trim(F.coalesce(text, F.lit(""))), "\n")).alias("pos", "raw"))
     raw = F.regexp_replace("raw", r"^\s+|\s+$", "")
     kept = lines.select(key, "pos", raw.alias("raw")).filter("raw <> '' AND NOT startswith(raw, '```') AND NOT startswith(raw, '#')")
+    # The list marks.
     bare = F.regexp_replace(F.regexp_replace("raw", r"^[-*](?:\s+|$)", ""), r"^[0-9]+\.(?:\s+|$)", "")
     out = kept.select(key, "pos", F.regexp_replace(bare, r"^\s+|\s+$", "").alias("pattern"))
     p = F.col("pattern")
@@ -36,10 +37,10 @@ def json_in(text: Column, opening: str, closing: str) -> Column:
 def parse_actions(df: DataFrame, text: str) -> DataFrame:
     """``df`` with action (its name, null if rejected) and payload (the JSON object)."""
     kind = "map<string,string>"
-    whole = F.from_json(text, kind, STRICT)
+    whole = F.when(F.col(text).rlike(r"^\s*\{"), F.from_json(text, kind, STRICT))
     part = json_in(F.col(text), "{", "}")
     ok = F.coalesce(F.element_at(whole, "action"), F.lit(None))
-    inner = F.element_at(F.from_json(part, kind, STRICT), "action")
+    inner = F.when(F.try_parse_json(text).isNull(), F.element_at(F.from_json(part, kind, STRICT), "action"))
     return df.withColumn("action", F.coalesce(ok, inner)).withColumn(
         "payload", F.when(ok.isNotNull(), F.col(text)).when(inner.isNotNull(), part)
     )

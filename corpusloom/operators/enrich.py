@@ -17,7 +17,7 @@ from .ignore import last_of
 SYSTEM = "You are a code analysis assistant. Analyze the following code elements and return a JSON array with summary and risks for each."
 HEAD = "Analyze these code elements:"
 TAIL = 'Return JSON array: [{"node_id": "...", "summary": "...", "risks": ["..."]}]'
-ROLL_SYSTEM = "You are a code analysis assistant. Summarize the following child components into a single cohesive summary for the parent. " + 'Return JSON: [{"node_id": "...", "summary": "..."}]'
+ROLL_SYSTEM = "You are a code analysis assistant. Summarize the following child components into a single cohesive summary for the parent. Return JSON: [{\"node_id\": \"...\", \"summary\": \"...\"}]"
 
 
 def pending(nodes: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def pending(nodes: DataFrame) -> DataFrame:
 def prompts(batched: DataFrame, with_code: bool = True) -> DataFrame:
     """(repo, batch, prompt) of nodes with batch, type, name, lines and, if wanted, code."""
     num = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    parts = [F.concat(F.lit("- type: "), F.col("type")), F.concat(F.lit("- name: "), F.col("name")), F.concat(F.lit("- lines: "), num("start_line"), F.lit("-"), num("end_line"))]
+    parts = [F.concat(F.lit("- type: "), num("type")), F.concat(F.lit("- name: "), num("name")), F.concat(F.lit("- lines: "), num("start_line"), F.lit("-"), num("end_line"))]
     if with_code:
         block = F.concat(F.lit("- code:\n```"), fence(file_of(F.col("node_id"))), F.lit("\n"), F.col("code"), F.lit("\n```"))
         parts.append(F.coalesce(block, F.lit("- code: (not available)")))
@@ -62,10 +62,12 @@ def call_model(rows: DataFrame, send: Callable[[str, str], str], system: str = S
 
 
 def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(results, rejected batches). The whole answer as a JSON array, else its greedy
-    ``[...]``; elements that aren't objects with a node_id are dropped."""
+    """(results, rejected batches). The whole answer as a JSON array, or if it isn't JSON
+    its greedy ``[...]``; elements that aren't objects with a node_id are dropped."""
     many = "array<string>"
-    arr = F.coalesce(F.from_json("response", many, STRICT), F.from_json(json_in(F.col("response"), "[", "]"), many, STRICT))
+    inner = F.from_json(json_in(F.col("response"), "[", "]"), many, STRICT)
+    whole = F.when(F.col("response").rlike(r"^\s*\["), F.from_json("response", many, STRICT))
+    arr = F.when(F.try_parse_json("response").isNotNull(), whole).otherwise(inner)
     parsed = responses.withColumn("items__", arr)
     x = F.from_json("item", "node_id string, summary string, risks array<string>", STRICT)
     rows = parsed.select("repo", "batch", F.posexplode("items__").alias("pos", "item")).select("repo", "batch", "pos", x.alias("x"))

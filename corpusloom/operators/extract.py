@@ -94,8 +94,7 @@ def numbered_code(symbols: DataFrame, texts: DataFrame) -> DataFrame:
 
     t = texts.select("repo", "path", lines(F.col("text")).alias("all__"))
     j = symbols.filter("start_line <= end_line").join(t, ["repo", "path"])
-    code = F.transform(_cut(F.col("all__"), F.col("start_line"), F.col("end_line")), lambda x, i: F.concat(F.lpad((F.col("start_line") + i).cast("string"), 4, " "), F.lit(" | "), x))
-    head = F.array(F.concat("node_id", F.lit(" - Quellcode")), F.lit(""), F.concat(F.lit("```"), fence(F.col("path"))))
-    head = F.transform(head, lambda x, i: F.when(i == 0, F.concat(F.lit("# "), x)).otherwise(x))
+    code = F.transform(_cut(F.col("all__"), F.col("start_line"), F.col("end_line")), lambda x, i: F.format_string("%4d | %s", F.col("start_line") + i, x))
+    head = F.array(F.concat(F.lit("# "), "node_id", F.lit(" - Quellcode")), F.lit(""), F.concat(F.lit("```"), fence(F.col("path"))))
     foot = F.array(F.lit("```"), F.lit(""), F.concat(F.lit("Zeilen "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")))
     return j.select("repo", "node_id", F.array_join(F.concat(head, code, foot), "\n").alias("report"))

@@ -26,24 +26,24 @@ def contains_edges(symbol_rows: DataFrame) -> DataFrame:
     return symbol_rows.select("repo", F.col("path").alias("src"), F.col("node_id").alias("dst"), F.lit(CONTAINS).alias("relationship"))
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo, src, name, strategy, dst). Four candidate paths per import, the first that
-    is a file wins, else the name is external (strategy 5). The candidates of a
-    directory's imports are made and joined once for all its files."""
-    named = imports.select("repo", "src", "name", directory(F.col("src")).alias("dir"))
-    asked = named.select("repo", "dir", "name").distinct()
+def candidates(imports: DataFrame) -> DataFrame:
+    """(repo, dir, name, k, path): the four paths that an import may mean, made once for
+    all files of a directory."""
+    asked = imports.select("repo", directory(F.col("src")).alias("dir"), "name").distinct()
     here = F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/")))
     dotted = F.translate("name", ".", "/")
-    wanted = asked.select(
-        "repo", "dir", "name",
-        F.posexplode(
-            F.array(
-                F.concat(here, "name", F.lit(".py")), F.concat(dotted, F.lit(".py")),
-                F.concat(here, "name", F.lit("/__init__.py")), F.concat(dotted, F.lit("/__init__.py")),
-            )
-        ).alias("k", "path"),
+    paths = F.array(
+        F.concat(here, "name", F.lit(".py")), F.concat(dotted, F.lit(".py")),
+        F.concat(here, "name", F.lit("/__init__.py")), F.concat(dotted, F.lit("/__init__.py")),
     )
-    hits = wanted.join(files.select("repo", "path").distinct(), ["repo", "path"]).groupBy("repo", "dir", "name").agg(
+    return asked.select("repo", "dir", "name", F.posexplode(paths).alias("k", "path"))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, src, name, strategy, dst). Of the four candidate paths of an import the first
+    that is a file wins, else the name is external (strategy 5)."""
+    named = imports.select("repo", "src", "name", directory(F.col("src")).alias("dir"))
+    hits = candidates(imports).join(files.select("repo", "path").distinct(), ["repo", "path"]).groupBy("repo", "dir", "name").agg(
         F.min(F.struct((F.col("k") + 1).alias("k"), "path")).alias("hit")
     )
     return named.join(hits, ["repo", "dir", "name"], "left").select(

@@ -48,15 +48,25 @@ def roll_up(nodes: DataFrame, edges: DataFrame, cut, summarise=joined_summary) -
     of (id, summary) to a column; ``cut`` writes a level's rows and reads them again."""
     top = nodes.agg(F.max("level")).first()[0]
     kids = edges.filter(F.col("relationship") == CONTAINS).select("repo", "src", "dst")
+    known = cut(nodes.filter("summary <> ''").select("repo", "node_id", "summary"))
+    parents = cut(nodes.filter("level IS NOT NULL").join(kids.select("repo", F.col("src").alias("node_id")).distinct(), ["repo", "node_id"], "left_semi").select("repo", "node_id", "level"))
+    fresh = []  # one small table for each level; a node's children stand one level below it
     for level in range((top or 0) - 1, -1, -1):
-        child = nodes.filter("summary <> ''").select("repo", F.col("node_id").alias("dst"), "summary")
-        parent = nodes.filter(F.col("level") == level).select("repo", F.col("node_id").alias("src"))
-        told = kids.join(parent, ["repo", "src"], "left_semi").join(child, ["repo", "dst"])
+        child = known
+        if fresh:
+            child = known.join(fresh[-1], ["repo", "node_id"], "left_anti").unionByName(fresh[-1])
+        parent = parents.filter(F.col("level") == level).select("repo", F.col("node_id").alias("src"))
+        told = kids.join(parent, ["repo", "src"], "left_semi").join(child.select("repo", F.col("node_id").alias("dst"), "summary"), ["repo", "dst"])
         new = told.groupBy("repo", F.col("src").alias("node_id")).agg(
-            summarise(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("id"), "summary")))).alias("new__")
+            summarise(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("id"), "summary")))).alias("summary")
         )
-        nodes = cut(nodes.join(new, ["repo", "node_id"], "left").withColumn("summary", F.coalesce("new__", "summary")).drop("new__"))
-    return nodes
+        fresh.append(cut(new))
+    for k, new in enumerate(fresh):
+        all_new = new if k == 0 else all_new.unionByName(new)
+    if not fresh:
+        return nodes
+    j = nodes.join(all_new.withColumnRenamed("summary", "new__"), ["repo", "node_id"], "left")
+    return j.select(*[F.coalesce("new__", "summary").alias(c) if c == "summary" else F.col(c) for c in nodes.columns])
 
 
 def contained_by(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ matches decides."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +16,14 @@ from ..functions.paths import ancestors, base_name
 HARD = (".git", ".venv", "__pycache__")
 META = (".gitignore",)
 DEFAULTS = (
-    ".git .svn .hg .fslckout _darcs .bzr .DS_Store Thumbs.db dist build out target bin obj vendor node_modules bower_components .npm "
-    ".yarn .pnpm-store .next .nuxt .output .astro .svelte-kit .vercel .netlify .cache .parcel-cache .turbo coverage .nyc_output .venv "
-    "venv env .env virtualenv __pycache__ .pytest_cache .mypy_cache .ruff_cache .hypothesize htmlcov .coverage cover .tox .nox "
-    "site-packages .phpunit.cache .php-cs-fixer.cache wp-admin wp-includes .dart_tool .pub-cache .flutter-plugins "
-    ".flutter-plugins-dependencies .gradle gradle .settings .classpath .project packages TestResults .vs cmake-build-debug "
-    "cmake-build-release CMakeFiles pkg .idea .vscode"
-).split()
+    ".git", ".svn", ".hg", ".fslckout", "_darcs", ".bzr", ".DS_Store", "Thumbs.db", "dist", "build", "out", "target", "bin", "obj",
+    "vendor", "node_modules", "bower_components", ".npm", ".yarn", ".pnpm-store", ".next", ".nuxt", ".output", ".astro", ".svelte-kit",
+    ".vercel", ".netlify", ".cache", ".parcel-cache", ".turbo", "coverage", ".nyc_output", ".venv", "venv", "env", ".env", "virtualenv",
+    "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".hypothesize", "htmlcov", ".coverage", "cover", ".tox", ".nox",
+    "site-packages", ".phpunit.cache", ".php-cs-fixer.cache", "wp-admin", "wp-includes", ".dart_tool", ".pub-cache", ".flutter-plugins",
+    ".flutter-plugins-dependencies", ".gradle", "gradle", ".settings", ".classpath", ".project", "packages", "TestResults", ".vs",
+    "cmake-build-debug", "cmake-build-release", "CMakeFiles", "pkg", ".idea", ".vscode",
+)
 WILD = ("*.egg-info",)
 
 
@@ -57,6 +60,12 @@ def compiled(pattern: str) -> tuple[str, bool] | None:
     return ("" if anchored else "(?:.*/)?") + out + ("/.*" if only_dir else "(?:/.*)?"), negated
 
 
+def _compile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = [(p, *c) for p in frame["pattern"] if p is not None and (c := compiled(p)) is not None]
+        yield pd.DataFrame(rows, columns=["pattern", "regex", "negated"])
+
+
 def load_patterns(ignore_files: DataFrame) -> DataFrame:
     """(repo, seq, pattern) of rows (repo, text): trimmed lines, without blanks and comments."""
     lines = ignore_files.select("repo", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r\n|\n|\r")).alias("seq", "pattern"))
@@ -97,8 +106,7 @@ def filter_inventory(files: DataFrame, patterns: list[str] = ()) -> DataFrame:
 def filter_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """As filter_inventory with patterns per repository, ``rules`` (repo, seq, pattern).
     The compiled rules meet the files by repository; each file keeps its last match."""
-    rows = [(r["pattern"], *c) for r in rules.select("pattern").distinct().collect() if (c := compiled(r["pattern"])) is not None]
-    table = files.sparkSession.createDataFrame(rows, "pattern string, regex string, negated boolean")
+    table = rules.select("pattern").distinct().mapInPandas(_compile, "pattern string, regex string, negated boolean")
     known = rules.join(table, "pattern").select(F.col("repo").alias("r_repo"), "seq", "regex", "negated")
     j = filter_hard(files).join(known, (F.col("repo") == F.col("r_repo")) & F.expr("rlike(path, concat('(?s)^(?:', regex, ')$'))"), "left")
     last = j.groupBy(*files.columns).agg(F.max_by("negated", "seq").alias("negated"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import base_name
 from ..schemas import CONTAINS, IMPORTS
 from .graph import callers
 from .packages import crossing_imports, internal_imports, package_pairs
@@ -64,7 +65,7 @@ def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def packages(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    inner = internal_imports(edges, nodes).select("repo", F.col("package").alias("node_id"), F.concat(F.lit("- "), "src", F.lit(" importiert "), "dst").alias("i"))
+    inner = internal_imports(edges, nodes).select("repo", F.col("package").alias("node_id"), F.concat(F.lit("- "), base_name(F.col("src")), F.lit(" importiert "), base_name(F.col("dst"))).alias("i"))
     cross = crossing_imports(edges, nodes).withColumnRenamed("package", "node_id")
     j = (
         nodes.filter("type = 'package'").join(_children(nodes, edges), ["repo", "node_id"], "left")

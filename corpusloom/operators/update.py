@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import IMPORTS
+from ..schemas import EXTERNAL, IMPORTS
 from . import graph
 
 
@@ -13,20 +13,29 @@ def update_graph(
     nodes: DataFrame, edges: DataFrame, changes: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFrame, repair: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, counts). ``files`` is the inventory after the change; ``symbols`` and
-    ``imports`` are those of the changed files, or with ``repair`` of all files: then all
-    imports are resolved again, so that edges into modified files and names that a new
-    file has taken come out as in a full build."""
+    ``imports`` are those of the changed files, or with ``repair`` the imports of all
+    files. Only imports of changed files are resolved; with ``repair`` also those of
+    files with an import that may mean a changed path, so that edges into modified files
+    and names that a new file has taken come out as in a full build."""
     gone = changes.filter("status IN ('D', 'M')").select("repo", "path").distinct()
     live = changes.filter("status IN ('A', 'M')").select("repo", "path").distinct().join(files, ["repo", "path"])
     doomed = graph.doomed_by_files(edges, gone)
     kept_nodes, kept_edges = graph.remove_nodes(nodes, edges, doomed)
+    again = live.select("repo", F.col("path").alias("src"))
+    if repair:
+        asked = graph.candidates(imports).join(changes.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+        touched = imports.select("repo", "src", "name", graph.directory(F.col("src")).alias("dir")).join(
+            asked.select("repo", "dir", "name").distinct(), ["repo", "dir", "name"], "left_semi"
+        )
+        again = again.unionByName(touched.select("repo", "src")).distinct()
+        stale = again.withColumn("relationship", F.lit(IMPORTS))
+        kept_edges = kept_edges.join(stale, ["repo", "src", "relationship"], "left_anti").select(*edges.columns)
     new_symbols = graph.symbol_nodes(symbols.join(live.select("repo", "path"), ["repo", "path"], "left_semi"))
-    resolved = graph.resolve_imports(imports, files)
+    resolved = graph.resolve_imports(imports.join(again, ["repo", "src"], "left_semi").join(files.select("repo", F.col("path").alias("src")), ["repo", "src"], "left_semi"), files)
     if repair:
-        kept_edges = kept_edges.filter(F.col("relationship") != IMPORTS)
-        kept_nodes = kept_nodes.filter("type IS DISTINCT FROM 'external_module'")
-    else:
-        resolved = resolved.join(live.select("repo", F.col("path").alias("src")), ["repo", "src"], "left_semi")
+        used = kept_edges.filter(F.col("dst").startswith(EXTERNAL)).select("repo", F.col("dst").alias("node_id")).distinct()
+        externals = kept_nodes.filter("type = 'external_module'").join(used, ["repo", "node_id"], "left_semi")
+        kept_nodes = kept_nodes.filter("type IS DISTINCT FROM 'external_module'").unionByName(externals.select(*kept_nodes.columns))
     fresh = graph.file_nodes(live).unionByName(new_symbols.drop("path"), allowMissingColumns=True)
     fresh = fresh.unionByName(graph.external_nodes(resolved), allowMissingColumns=True)
     out_nodes = kept_nodes.join(fresh.select("repo", "node_id"), ["repo", "node_id"], "left_anti").unionByName(fresh, allowMissingColumns=True)

@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame
 from ..operators import graph, hierarchy
 
 
-def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, project: str | None = None) -> tuple[DataFrame, DataFrame]:
+def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, project: str | None = None, cut=None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of inventory, code nodes and imports; with ``project`` also the
-    package hierarchy and levels."""
-    sym = graph.symbol_nodes(symbols)
-    resolved = graph.resolve_imports(imports, files)
+    package hierarchy and levels. ``cut`` (table, label) writes what several parts of the
+    graph are made of and reads it again."""
+    cut = cut or (lambda df, label: df)
+    files = cut(files, "files")
+    sym = cut(graph.symbol_nodes(symbols), "symbols")
+    resolved = cut(graph.resolve_imports(imports, files), "resolved")
     nodes = graph.file_nodes(files).unionByName(sym.drop("path"), allowMissingColumns=True)
     nodes = nodes.unionByName(graph.external_nodes(resolved), allowMissingColumns=True)
     edges = graph.contains_edges(sym).unionByName(graph.import_edges(resolved))

@@ -23,7 +23,7 @@ def _files(s: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(s: SparkSession, d: str, project: str | None = None) -> tuple[DataFrame, DataFrame]:
-    return build_graph(_files(s, d), view(s, d, "c_symbols"), view(s, d, "c_imports"), project)
+    return build_graph(_files(s, d), view(s, d, "c_symbols"), view(s, d, "c_imports"), project, written)
 
 
 def _enriched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -86,12 +86,12 @@ def _changes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _updated(s: SparkSession, d: str, repair: bool) -> tuple[DataFrame, DataFrame]:
-    ch = _changes(s, d)
-    before = _files(s, d).join(ch.filter("status = 'A'"), ["repo", "path"], "left_anti")
-    after = _files(s, d).join(ch.filter("status = 'D'"), ["repo", "path"], "left_anti")
-    sym, imp = view(s, d, "c_symbols"), view(s, d, "c_imports")
+    ch, all_files = _changes(s, d), written(_files(s, d), "files")
+    before = all_files.join(ch.filter("status = 'A'"), ["repo", "path"], "left_anti")
+    after = all_files.join(ch.filter("status = 'D'"), ["repo", "path"], "left_anti")
+    sym, imp = written(view(s, d, "c_symbols"), "symbols"), written(view(s, d, "c_imports"), "imports")
     inside = lambda rows, f, c: rows.join(f.select("repo", F.col("path").alias(c)), ["repo", c], "left_semi")
-    nodes, edges = build_graph(before, inside(sym, before, "path"), inside(imp, before, "src"))
+    nodes, edges = build_graph(before, inside(sym, before, "path"), inside(imp, before, "src"), None, written)
     n, e, _ = update.update_graph(written(nodes, "n"), written(edges, "e"), ch, after, inside(sym, after, "path"), inside(imp, after, "src"), repair)
     return n, e
 
@@ -102,7 +102,7 @@ def _conv(s: SparkSession, d: str) -> DataFrame:
 
 def _answers(s: SparkSession, d: str) -> DataFrame:
     """Model answers derived from the symbols: clean, fenced and broken ones."""
-    b = packages.batches(enrich.pending(_enriched(s, d)[0]), 50)
+    b = packages.batches(enrich.pending(_enriched(s, d)[0]), 50, lambda x: written(x, "pending"))
     item = F.to_json(F.struct("node_id", F.concat(F.lit("does "), "name").alias("summary")))
     g = b.groupBy("repo", "batch").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(item)), ","), F.lit("]")).alias("a"))
     response = F.when(F.col("batch") % 5 == 4, "sorry").when(F.col("batch") % 2 == 1, F.concat(F.lit("Here:\n```json\n"), "a", F.lit("\n```"))).otherwise(F.col("a"))
@@ -160,7 +160,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "f9_fan_in_out": lambda s, d: graph.fan_in_out(g(s, d)[1]).select("node_id", "fan_in", "fan_out"),
         "g1_tree": lambda s, d: tree.tree_lines(_files(s, d)).select("path", "line"),
         "g1_tree_report": lambda s, d: tree.tree_report(_files(s, d), "corpus").select("total_files", "total_folders", "estimated_tokens", F.sha2("tree_string", 256).alias("digest")),
-        "g2_batches": lambda s, d: packages.batches(enrich.pending(_enriched(s, d)[0]), 10).select("node_id", "batch"),
+        "g2_batches": lambda s, d: packages.batches(enrich.pending(_enriched(s, d)[0]), 10, lambda x: written(x, "pending")).select("node_id", "batch"),
         "g3_largest_files": lambda s, d: packages.first_per_repo(_files(s, d), 25, F.desc("size"), "path").select("path", "size", F.col("rank").cast("long").alias("rank")),
         "g4_full_report": lambda s, d: report.full_report(*_enriched(s, d)).drop("repo"),
         "g5_changed_paths": lambda s, d: changes.changed_paths(_changes(s, d), *[x for x in _hashes(s, d)]).select("path"),
@@ -172,7 +172,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "h1_reach": lambda s, d: traverse.reach(written(_imports(s, d), "imports"), _seeds(s, d), lambda x: written(x, "frontier")).select("seed", "node_id", "hops"),
         "h2_impact": lambda s, d: traverse.impact(written(_imports(s, d), "imports"), _seeds(s, d), lambda x: written(x, "frontier"), 3).groupBy("seed").agg(F.count(F.lit(1)).alias("n")),
         "h2_impact_all": lambda s, d: traverse.impact(written(_imports(s, d), "imports"), _query_set(s, d), lambda x: written(x, "frontier")).groupBy("seed").agg(F.count(F.lit(1)).alias("n")),
-        "j1_prompts": lambda s, d: enrich.prompts(packages.batches(enrich.pending(_enriched(s, d)[0]), 10), False).select("batch", "prompt"),
+        "j1_prompts": lambda s, d: enrich.prompts(packages.batches(enrich.pending(_enriched(s, d)[0]), 10, lambda x: written(x, "pending")), False).select("batch", "prompt"),
         "j2_results": lambda s, d: enrich.parse_responses(_answers(s, d))[0].select("node_id", "summary"),
         "j4_clean_patterns": lambda s, d: text.clean_patterns(_content(s, d), "doc_id", "text").select("doc_id", F.col("pos").cast("int").alias("pos"), "pattern"),
         "j5_transcripts": lambda s, d: text.transcripts(_conv(s, d)),
@@ -282,6 +282,6 @@ def oracle_sql() -> dict[str, str]:
         "j5_transcripts": "SELECT conv_id, string_agg(concat('[', upper(role), ']', chr(10), text, chr(10)), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id",
         "j6_actions": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role ELSE 'read' END AS action FROM conversations",
         "r4_code": doc + """ SELECT node_id, concat('# ', node_id, ' - Quellcode', chr(10), chr(10), '```python', chr(10),
-            coalesce(array_to_string(list_transform(range(1, len(y) + 1), lambda i: concat(lpad(CAST(a + i - 1 AS VARCHAR), 4, ' '), ' | ', y[i])), chr(10)) || CASE WHEN len(y) > 0 THEN chr(10) ELSE '' END, ''),
+            coalesce(array_to_string(list_transform(range(1, len(y) + 1), lambda i: concat(repeat(' ', CAST(greatest(0, 4 - len(CAST(a + i - 1 AS VARCHAR))) AS INT)), CAST(a + i - 1 AS VARCHAR), ' | ', y[i])), chr(10)) || CASE WHEN len(y) > 0 THEN chr(10) ELSE '' END, ''),
             '```', chr(10), chr(10), 'Zeilen ', CAST(a AS VARCHAR), '-', CAST(b AS VARCHAR)) AS report FROM s""",
     }
