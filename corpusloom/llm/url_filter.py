@@ -7,11 +7,17 @@ are edges between urls, their connected components are found by distributed
 star contraction, and a block of any member blocks the whole component, but for
 urls that a rule allows explicitly.
 
+All tags of a page are read. Targets are decoded (the entities of HTML's own marks) and
+resolved against the page's url: absolute, ``//host``, ``/path``, ``?query`` and
+relative ones with dot segments. For aliases urls count as equal but for the case of
+scheme and host and for fragments.
+
 Only DataFrame functions run here. Defined results: a null url or one without
 ``://`` has empty host and path, fits no rule and has no aliases; rows that
 repeat a page are each judged; an edge is taken from a page with html even if
-no other page has its target; relative link targets are ignored; an empty table
-gives an empty result; extra columns are ignored.
+no other page has its target; empty targets and those with another scheme are
+ignored; long html is searched whole; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +30,13 @@ from .components import connected_components
 
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-_TAG = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+_TAG = r"(?i)<(?:link|meta)\b[^>]*>"
+_CANONICAL = r"(?i)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"
+_REFRESH = r"(?i)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"
+_HREF = r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+_URL = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+# Entities of HTML's own marks, the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 
 
 def host_of(url: Column) -> Column:
@@ -52,20 +63,54 @@ def ruled(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     return rows.select("*", rule.alias("rule"), own.alias("own"))
 
 
+def _origin(url: Column) -> Column:
+    return F.regexp_extract(url, r"^(?s)(.*?://[^/?#]*)", 1)
+
+
+def _dots_resolved(path: Column) -> Column:
+    """A path without its segments . and .., as a browser resolves them."""
+    parts = F.split(path, "/")
+    empty = F.array().cast("array<string>")
+    kept = F.aggregate(
+        parts, empty,
+        lambda a, x: F.when(x == "..", F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a))
+        .when(x == ".", a).otherwise(F.concat(a, F.array(x))),
+    )
+    last = F.element_at(parts, -1)
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """A link's target as an absolute url; null where it has none."""
+    for entity, mark in ENTITIES:
+        target = F.replace(target, F.lit(entity), F.lit(mark))
+    target = F.regexp_replace(target, "#.*$", "")
+    base = F.regexp_extract(url, r"^(?s)([^?#]*)", 1)
+    above = F.regexp_replace(F.regexp_extract(base, r"^(?s).*?://[^/]*(/.*)?$", 1), "[^/]*$", "")
+    path, query = F.regexp_extract(target, r"^([^?]*)", 1), F.regexp_extract(target, r"^[^?]*(.*)$", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(above == "", "/").otherwise(above), path))
+    return (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target).when((target == "") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"^(?s)(.*?:)//", 1), target))
+        .when(target.startswith("?"), F.concat(base, target))
+        .otherwise(F.concat(_origin(url), _dots_resolved(whole), query))
+    )
+
+
+def alias_key(url: Column) -> Column:
+    """What aliases go by: scheme and host in lower case, no fragment."""
+    return F.concat(ascii_lower(_origin(url)), F.regexp_extract(url, r"^(?s).*?://[^/?#]*([^#]*)", 1))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(u, v) for every canonical link and refresh target found in the html."""
-    tag = F.regexp_extract("html", _TAG, 0)
-    refresh = F.regexp_extract("html", _REFRESH, 0)
-    target = F.explode(
-        F.array(
-            F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-            F.regexp_extract(refresh, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        )
-    )
     hinted = pages.filter("url LIKE '%://%' AND html IS NOT NULL").filter(
         F.col("html").rlike(r"(?i)\bcanonical\b|\brefresh\b")
     )
-    return hinted.select(F.col("url").alias("u"), target.alias("v")).filter("v LIKE '%://%' AND u <> v")
+    tags = hinted.select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag"))
+    target = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", _HREF, 1)).when(F.col("tag").rlike(_REFRESH), F.regexp_extract("tag", _URL, 1))
+    found = tags.select("url", resolved(F.col("url"), target).alias("target")).filter("target LIKE '%://%'")
+    return found.select(alias_key(F.col("url")).alias("u"), alias_key(F.col("target")).alias("v")).filter("u <> v")
 
 
 def judge_urls(pages: DataFrame, edges: DataFrame | None = None, rules: tuple = RULES) -> DataFrame:
@@ -73,7 +118,7 @@ def judge_urls(pages: DataFrame, edges: DataFrame | None = None, rules: tuple =
     such as redirects that a crawler has logged."""
     links = alias_edges(pages)
     if edges is not None:
-        links = links.unionByName(edges.select("u", "v"))
+        links = links.unionByName(edges.select(alias_key(F.col("u")).alias("u"), alias_key(F.col("v")).alias("v")))
     members = connected_components(links)
     rows = ruled(pages.select("page_id", "url"), rules)
     # blocked components: of urls that a page has, or that are only link targets
@@ -84,34 +129,50 @@ def judge_urls(pages: DataFrame, edges: DataFrame | None = None, rules: tuple =
         .filter("own = 'block'").select(F.col("page_id").alias("component")).distinct()
     )
     tainted = nodes.join(blocked, "component", "left_semi").select(F.col("node").alias("t_url"))
-    free = rows.join(tainted, F.col("url") == F.col("t_url"), "left")
+    free = rows.join(tainted.distinct(), alias_key(F.col("url")) == F.col("t_url"), "left")
     return free.select(
         "page_id", "host", "path", "rule",
         F.coalesce("own", F.when(F.col("t_url").isNotNull(), "block").otherwise("allow")).alias("verdict"),
     )
 
 
-#: DuckDB SQL for the rows of judge_urls over ``pages``.
-URL_SQL = r"""
+def _sql() -> str:
+    key = r"concat(translate(regexp_extract({0}, '^((?s:.*?)://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), regexp_extract({0}, '^(?s:.*?)://[^/?#]*([^#]*)', 1))"
+    decoded = "raw"
+    for entity, mark in ENTITIES:
+        decoded = f"replace({decoded}, '{entity}', '{mark.replace(chr(39), chr(39) * 2)}')"
+    return r"""
 WITH RECURSIVE b AS (SELECT page_id, url, html,
     translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-l AS (SELECT url AS u, unnest([
-    regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS v
-  FROM b WHERE url LIKE '%://%'),
-e AS (SELECT u, v FROM l WHERE v LIKE '%://%' AND u <> v UNION SELECT v, u FROM l WHERE v LIKE '%://%' AND u <> v),
-n AS (SELECT url, host, path FROM b UNION SELECT v,
-    translate(regexp_extract(v, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    regexp_extract(v, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) FROM e),
+g AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM b WHERE url LIKE '%://%'),
+w AS (SELECT url, CASE WHEN regexp_matches(tag, '(?i)^<link\b(?s:.*)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?i)^<meta\b(?s:.*)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS raw FROM g),
+x AS (SELECT url, regexp_replace(""" + decoded + r""", '#.*$', '') AS t, regexp_extract(url, '^([^?#]*)', 1) AS base FROM w WHERE raw IS NOT NULL),
+y AS (SELECT *, regexp_extract(t, '^([^?]*)', 1) AS tp, regexp_extract(t, '^[^?]*(.*)$', 1) AS tq,
+    regexp_replace(regexp_extract(base, '^(?s:.*?)://[^/]*(/.*)?$', 1), '[^/]*$', '') AS above FROM x),
+z AS (SELECT *, string_split(CASE WHEN starts_with(tp, '/') THEN tp WHEN above = '' THEN concat('/', tp) ELSE concat(above, tp) END, '/') AS s FROM y),
+d AS (SELECT *, list_reduce(list_transform(s, lambda q: [q]), lambda m, q: CASE WHEN q[1] = '..' THEN CASE WHEN len(m) > 1 THEN m[:len(m) - 1] ELSE m END
+    WHEN q[1] = '.' THEN m ELSE list_concat(m, q) END) AS k FROM z),
+l AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN t = '' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '//') THEN concat(regexp_extract(url, '^((?s:.*?):)//', 1), t) WHEN starts_with(t, '?') THEN concat(base, t)
+    ELSE concat(regexp_extract(url, '^((?s:.*?)://[^/?#]*)', 1), array_to_string(k, '/'), CASE WHEN s[-1] IN ('.', '..') THEN '/' ELSE '' END, tq) END AS target FROM d),
+p AS (SELECT """ + key.format("url") + " AS u, " + key.format("target") + r""" AS v FROM l WHERE target LIKE '%://%'),
+e AS (SELECT u, v FROM p WHERE u <> v UNION SELECT v, u FROM p WHERE u <> v),
+n AS (SELECT u AS url, translate(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(u, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path, false AS page FROM e UNION SELECT url, host, path, true FROM b),
 r AS (SELECT *, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM n),
-t AS (SELECT url FROM r WHERE rule IN ('net/', 'example.com/de/') UNION SELECT e.v FROM t JOIN e ON e.u = t.url)
+t AS (SELECT url FROM r WHERE NOT page AND rule IN ('net/', 'example.com/de/') UNION SELECT e.v FROM t JOIN e ON e.u = t.url)
 SELECT b.page_id, b.host, b.path, r.rule,
   CASE WHEN r.rule IN ('net/', 'example.com/de/') THEN 'block' WHEN r.rule IS NOT NULL THEN 'allow'
-       WHEN b.url IN (SELECT url FROM t WHERE url IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict
-FROM b LEFT JOIN r ON r.url IS NOT DISTINCT FROM b.url
+       WHEN """ + key.format("b.url") + r""" IN (SELECT url FROM t WHERE url IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict
+FROM b LEFT JOIN r ON r.page AND r.url IS NOT DISTINCT FROM b.url
 """
+
+
+#: DuckDB SQL for the rows of judge_urls over ``pages``.
+URL_SQL = _sql()

@@ -251,6 +251,32 @@ def test_urls(spark):
     assert url_filter.judge_urls(p.limit(0)).count() == 0
 
 
+def test_url_aliases(spark):
+    """Links as pages write them, all tags, repeated rows, extra columns and long html, against SQL and by hand."""
+    import duckdb
+
+    tag = '<LINK class=x rel="nofollow canonical" href="{}">'.format
+    pad = "<p>text</p>" * 5000
+    rows = [
+        (1, "http://example.com/q", tag("/de/1"), "block"), (2, "http://example.com/a/b", tag("../de/2"), "block"), (3, "http://example.com/x/y?z=1", tag("./c/../../de/./3"), "block"),
+        (4, "http://a.com/1", tag("//b.net/?a=1&amp;b=2"), "block"), (5, "http://b.com/1", tag("http://c.com/2") + pad + tag("http://d.com/3#top"), "block"),
+        (6, "HTTP://D.com/3", "<meta content='0; URL=/4?x=&#38;' http-equiv=refresh>", "block"), (7, "http://d.com/4?x=&", tag("http://e.net/"), "block"),
+        (8, "http://c.com/2", "", "block"), (9, "http://f.com/1?k=1", tag("?k=2"), "allow"), (10, "http://f.com/1?k=2", tag("mailto:a@b.net"), "allow"),
+        (11, "http://c.com/2", None, "block"), (11, "http://c.com/2", None, "block"), (12, "http://g.com", tag("de"), "allow"), (13, "http://g.com/de", tag(""), "allow"),
+        (14, "http://g.com/dir/", tag(".."), "allow"), (15, "http://h.com/" + "x" * 3000, pad + "<link rel=stylesheet href=http://b.net/s>", "allow"), (16, None, tag("http://b.net/"), "allow"),
+        (17, "http://g.com/", tag("http://www.example.net/en/1"), "allow"), (18, "http://www.example.net/en/1", tag("http://e.net/1"), "allow"),
+    ]
+    rows[14] = (*rows[14][:3], "block")
+    rows[-2] = (*rows[-2][:3], "block")
+    p = spark.createDataFrame([(*r[:3], "clash", "clash") for r in rows], "page_id long, url string, html string, host string, u string")
+    got = [(r.page_id, r.verdict) for r in url_filter.judge_urls(p).orderBy("page_id").collect()]
+    assert got == [(r[0], r[3]) for r in rows]
+    table = p.select("page_id", "url", "html").toPandas()
+    con = duckdb.connect()
+    con.register("pages", table)
+    assert [(a, e) for a, *_, e in sorted(con.execute(url_filter.URL_SQL).fetchall())] == got
+
+
 def test_fixity(spark):
     p = spark.createDataFrame([(i, f"http://h/{i}", "<html>" + "x" * 700 * (i % 5)) for i in range(1200)] + [(None, None, None)], "page_id long, url string, html string")
     got = {r.page_id: r.status for r in warc_fixity.audit_digest(p).collect()}
