@@ -277,11 +277,33 @@ def test_url_aliases(spark):
     assert [(a, e) for a, *_, e in sorted(con.execute(url_filter.URL_SQL).fetchall())] == got
 
 
+def _warc(i, url, html):
+    body = (html or "").encode()
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {url or ''}\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
 def test_fixity(spark):
-    p = spark.createDataFrame([(i, f"http://h/{i}", "<html>" + "x" * 700 * (i % 5)) for i in range(1200)] + [(None, None, None)], "page_id long, url string, html string")
-    got = {r.page_id: r.status for r in warc_fixity.audit_digest(p).collect()}
-    assert {k for k, v in got.items() if v != "ok"} == {i for i in range(1200) if zlib.crc32(str(i).encode()) % 97 == 5}
+    """Changed, shortened, lost and stray records in mid-file, by the rule itself."""
+    rows = [(i, f"http://h/{i}", "" if i % 7 == 0 else "é<html>" + "x" * 700 * (i % 5)) for i in range(1200)]
+    p = spark.createDataFrame([(*r, "clash", 1) for r in rows + [(None, None, None)] * 3], "page_id long, url string, html string, file string, offset long")
+    got = warc_fixity.audit_digest(p).collect()
+    kind = {i: zlib.crc32(str(i).encode()) % 97 for i in range(1200)}
+    want, at = [], {}
+    for i, url, html in rows:
+        body = _warc(i, url, html)
+        changed = kind[i] == 5 or kind[i] == 7 and html
+        want.append((i, f"crawl-{i // 500:05d}.warc", at.get(i // 500, 0), len(body), hashlib.sha256(body).hexdigest(), "corrupt" if changed else "missing" if kind[i] == 6 else "ok"))
+        at[i // 500] = at.get(i // 500, 0) + len(body)
+    extra = {i + warc_fixity.STRAY for i, k in kind.items() if k == 8}
+    assert sorted(tuple(r) for r in got if r.page_id is not None and r.status != "extra") == want and len({x[5] for x in want}) == 3
+    assert extra and {r.page_id for r in got if r.status == "extra"} == extra
+    assert [r.status for r in got if r.page_id is None] == ["ok"] * 3 and len(got) == 1203 + len(extra)
     a = warc_fixity.export_records(p)
     cut = a.filter(F.col("page_id").isNull() | (F.col("page_id") != 7))
     assert [r.status for r in warc_fixity.locate_differences(a, cut).collect()] == ["missing"]
+    assert [r.status for r in warc_fixity.locate_differences(cut, a).collect()] == ["extra"]
+    bare = spark.createDataFrame([(None, None, "d1"), (None, None, "d2"), ("f", 5, "d3"), ("f", 5, "d3")], "file string, offset long, digest string")
+    assert {(r.digest_a, r.digest_b, r.status) for r in warc_fixity.locate_differences(bare, bare.filter("digest <> 'd2'")).collect()} == {("d2", None, "missing")}
+    assert warc_fixity.locate_differences(a, a.limit(0)).count() == 1203
     assert warc_fixity.audit_digest(p.limit(0)).count() == 0
