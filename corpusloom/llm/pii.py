@@ -2,7 +2,7 @@
 
 Base spans (email, ip, card, phone) come from fixed patterns and checks and always
 stay. Wider patterns propose more spans (kinds key, mail, number), on which three
-labelers vote yes, no or abstain: the span's own form (regex), word lists around it
+labelers vote yes, no or abstain: the span's own form (regex), the word before it
 (gazetteer) and the characters it stands between (context). The base spans vote
 too. Expectation-maximisation over the counts of vote patterns estimates how far
 each labeler is to be trusted; its posteriors train the final span classifier, a
@@ -14,7 +14,8 @@ pattern and summing lengths, models are sums over bounded tables of patterns.
 Defined results: a null text is an empty one and has no spans; rows that repeat a
 document are each searched, also without ``doc_id``; without any proposed span the
 models stay at their start; an empty table gives an empty result; extra columns are
-ignored. Positions are code points, ends exclusive.
+ignored; a text's cost grows with its length and, beyond some ten thousand spans, a
+little faster. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -41,19 +42,42 @@ PROPOSED = {
     "mail": (r"[\[(]at[\])]", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]++)*+"),
     "number": (r"[0-9][ ().0-9-]{6,}[0-9]", r"(?<![A-Za-z0-9.+])[0-9][ ().0-9-]{6,}[0-9](?![A-Za-z0-9])"),
 }
-YES = r"(?i)\b(?:e-?mail|mail|phone|tel|mobile|cell|fax|call|contact|card|visa|account|iban|ssn|passport|token|key|secret|password|id)\b[^A-Za-z0-9]*$"
-NO = r"(?i)\b(?:isbn|issn|doi|version|page|pages|figure|fig|table|section|chapter|no|vol|year|rfc|sha|commit|total)\b[^A-Za-z0-9]*$"
+#: The gazetteer: words that stand before personal data, and before numbers that are none,
+#: in English, German, French and Spanish. The last word before a span is looked up.
+TERMS = {
+    1: (
+        "account", "call", "card", "cell", "contact", "email", "e-mail", "fax", "iban", "id", "key", "mail", "mobile", "passport", "password",
+        "passwd", "phone", "pin", "secret", "ssn", "tel", "telephone", "token", "visa", "mastercard", "whatsapp",
+        "ausweis", "handy", "karte", "kennwort", "konto", "kontonummer", "mobil", "passwort", "schluessel", "telefon",
+        "carte", "compte", "courriel", "portable", "passeport", "telecopie", "mdp",
+        "clave", "correo", "cuenta", "movil", "pasaporte", "tarjeta", "telefono",
+    ),
+    -1: (
+        "chapter", "commit", "doi", "fig", "figure", "isbn", "issn", "no", "page", "pages", "rfc", "section", "sha", "table", "total", "version", "vol", "year",
+        "abbildung", "abschnitt", "jahr", "kapitel", "seite", "tabelle", "chapitre", "numero", "tableau", "capitulo", "pagina", "tabla",
+    ),
+}
+#: Matches, or base spans, that are gone through together, so that a text's cost is far
+#: from the square of their number.
+BLOCK = 256
 LABELERS = ("form", "words", "place")
 ROUNDS = 15
 PRIOR, START, LEAST, MOST = 0.5, 0.8, 0.55, 0.98
 
 
-def _found(text: Column, test: str, pattern: str) -> Column:
-    """array<struct<a, b, m, before>> of the leftmost non-overlapping matches."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    start = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int,m:string,before:string>>").alias("out")
-    )
+def _with_matches(t: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+    """``t`` (doc_id, text) -> doc_id and, for each kind, an array<struct<a, b, m, before>> of
+    the leftmost non-overlapping matches. What a step uses more than once is a column
+    of the step before, so that nothing is computed for each element again."""
+    text, none = F.col("text"), F.array().cast("array<struct<a:int,b:int,m:string,before:string>>")
+    long = lambda x: F.char_length(x["s"]) + F.coalesce(F.char_length(x["m"]), F.lit(0))
+    parts = {k: F.arrays_zip(F.split(text, p, -1).alias("s"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("m")) for k, (_, p) in patterns.items()}
+    t = t.select("doc_id", *[F.when(text.rlike(patterns[k][0]), x).alias(k) for k, x in parts.items()])
+    t = t.select("doc_id", *[_blocks(F.col(k)).alias(k) for k in patterns])
+    sums = lambda k: F.transform(k, lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + long(x)))
+    t = t.select("*", *[sums(k).alias(f"{k}_n") for k in patterns])
+    upto = lambda n: F.transform(n, lambda _, i: F.aggregate(F.slice(n, F.lit(1), i), F.lit(0), lambda s, x: s + x))
+    t = t.select("doc_id", *patterns, *[upto(f"{k}_n").alias(f"{k}_n") for k in patterns])
 
     def step(s: Column, x: Column) -> Column:
         a = s["at"] + F.char_length(x["s"])
@@ -61,8 +85,15 @@ def _found(text: Column, test: str, pattern: str) -> Column:
         here = F.struct(a.alias("a"), b.alias("b"), x["m"].alias("m"), F.substring(x["s"], -24, 24).alias("before"))
         return F.struct(b.alias("at"), F.when(x["m"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(here))).alias("out"))
 
-    every = F.aggregate(parts, start, step, lambda s: s["out"])
-    return F.when(text.rlike(test), every).otherwise(start["out"])
+    every = lambda k: F.flatten(
+        F.zip_with(k, f"{k}_n", lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step, lambda s: s["out"]))
+    )
+    return t.select("doc_id", *[F.coalesce(every(k), none).alias(k) for k in patterns])
+
+
+def _blocks(rows: Column) -> Column:
+    last = F.floor((F.greatest(F.size(rows), F.lit(1)) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(rows, i * BLOCK + 1, F.lit(BLOCK)))
 
 
 def _luhn(m: Column) -> Column:
@@ -99,7 +130,8 @@ def _votes(kind: str, x: Column) -> Column:
         # 16 digits that are no base card have failed its checksum
         "number": F.when(m.rlike(r"^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), 1).otherwise(-1),
     }.get(kind, F.lit(1))
-    words = F.when(before.rlike(YES), 1).when(before.rlike(NO), -1)
+    term = F.regexp_extract(F.lower(before), r"([a-z][a-z-]*)[^a-z0-9]*$", 1)
+    words = F.when(term.isin(*TERMS[1]), 1).when(term.isin(*TERMS[-1]), -1)
     place = F.when(before.rlike(r"[=:\"'<(]\s*$"), 1).when(before.rlike(r"[/#_$.,-]$"), -1)
     share = _digits(m) / F.char_length(m)
     return F.struct(
@@ -111,20 +143,20 @@ def _votes(kind: str, x: Column) -> Column:
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, base and proposed: arrays of spans with votes and features."""
-    t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    text = F.col("text")
-
-    def of(kind: str, test: str, pattern: str) -> Column:
-        checked = F.filter(_found(text, test, pattern), lambda x: _CHECK[kind](x["m"]))
-        return F.transform(checked, lambda x: _votes(kind, x))
-
-    both = t.select(
-        "doc_id",
-        F.concat(*[of(k, *v) for k, v in BASE.items()]).alias("base"),
-        F.concat(*[of(k, *v) for k, v in PROPOSED.items()]).alias("wide"),
+    t = _with_matches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), BASE | PROPOSED)
+    of = lambda k: F.transform(F.filter(k, lambda x: _CHECK[k](x["m"])), lambda x: _votes(k, x))
+    both = t.select("doc_id", F.concat(*[of(k) for k in BASE]).alias("base"), F.concat(*[of(k) for k in PROPOSED]).alias("wide"))
+    # base spans by start, in blocks that are looked into only where they may touch
+    ends = F.transform("base", lambda y: F.struct(y["a"].alias("a"), y["b"].alias("b")))
+    blocks = F.transform(
+        _blocks(F.sort_array(ends)),
+        lambda block: F.struct(F.array_min(F.transform(block, lambda y: y["a"])).alias("a"), F.array_max(F.transform(block, lambda y: y["b"])).alias("b"), block.alias("of")),
     )
-    apart = lambda x: ~F.exists("base", lambda y: (x["a"] < y["b"]) & (y["a"] < x["b"]))
-    return both.select("doc_id", "base", F.filter("wide", apart).alias("proposed"))
+    both = both.select("doc_id", "base", "wide", F.when(F.size("wide") > 0, blocks).alias("blocks"))
+    touch = lambda x, y: (x["a"] < y["b"]) & (y["a"] < x["b"])
+    apart = lambda x: ~F.exists("blocks", lambda k: touch(x, k) & F.exists(k["of"], lambda y: touch(x, y)))
+    # a second use of blocks keeps it a column; Spark would put its making into the lambda
+    return both.select("doc_id", "base", F.when(F.size("blocks") > 0, F.filter("wide", apart)).otherwise(F.col("wide")).alias("proposed"))
 
 
 FEATURES = ("kind", "length", "digits", *LABELERS)
