@@ -41,7 +41,8 @@ are compared with the component's hub, and kept as what they differ in from it.
 differences of x and y shingles, two sets differ in x + y less twice what these have in
 common; a stranger that isn't similar to the hub is only similar to a member that has
 much of its difference in common with it. These differences meet by their rare
-shingles, in the same manner.
+shingles, in the same manner. Small components that share a key with a large one are
+its strangers from the start, and meet each other in this way alone.
 
 Defined results: without words or text a document has an empty set and is linked
 with nothing; documents with fewer than five words have one shingle; rows that
@@ -388,17 +389,19 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, F.col("doc_id") == F.col("rep"), "left_semi")
 
 
-def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, candidates (u, v)) among the classes of ``placed`` (id, comp): in different
+def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, candidates (u, v)) among the classes of ``placed`` (id, comp, grp): in different
     components, and with a common shingle within the first ones of both, rarest first.
 
     The larger of two sets, of n shingles, looks once for each class of sizes from 3/4
     n to n, with as many shingles as the least size of the class demands; the smaller is
     found in its own class, with as many as a partner of its own size demands. Only
-    sets of different components are brought together: first the components of a
-    shingle, then their sets."""
+    sets of different groups are brought together: first the groups of a shingle, then
+    their sets. A group is one component, or a component of ``known`` (comp, k, hub) with
+    small ones near it, which are compared within the group by its hub."""
     rows = _texts_of(docs, nodes, placed.select("id")).mapInArrow(_set_rows, "id long, n long, h long")
-    rows = written(rows.join(F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed, "id"), "open-shingles")
+    of_group = placed.select("id", F.col("grp").alias("comp"))
+    rows = written(rows.join(F.broadcast(of_group) if placed.count() <= BROADCAST_IDS else of_group, "id"), "open-shingles")
     seen = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranked = (
         rows.join(seen, "h").groupBy("id", "n", "comp").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("hs"))
@@ -432,8 +435,6 @@ def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame, hubs: Data
     a_side = small.select("size", "h", F.col("comp").alias("a"), F.col("id").alias("x"))
     b_side = large.select("size", "h", F.col("comp").alias("b"), F.col("id").alias("y"))
     # the larger of two components is met by its hub, unless both are small
-    known = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > SMALL).join(hubs, "comp")
-    known = written(known, "open-hubs")
     of = lambda c: known.select(F.col("comp").alias(c), F.struct("k", F.col("comp").alias("i"), "hub").alias(f"h{c}"))
     meet = meet.join(of("a"), "a", "left").join(of("b"), "b", "left")
     by_a = F.col("ha").isNotNull() & (F.col("hb").isNull() | (F.col("ha") > F.col("hb")))
@@ -443,11 +444,12 @@ def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame, hubs: Data
     strangers = strangers.unionByName(
         meet.filter("by = 'b'").join(a_side, ["size", "h", "a"]).select(F.col("b").alias("comp"), F.col("hb.hub").alias("hub"), F.col("x").alias("id"))
     )
-    strangers = written(strangers.distinct(), "strangers")
+    near = placed.filter("grp <> comp").select(F.col("grp").alias("comp"), "id").join(known.select("comp", "hub"), "comp").select("comp", "hub", "id")
+    strangers = written(strangers.unionByName(near).distinct(), "strangers")
     links, more = _by_hub(docs, nodes, placed, known, strangers)
     pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).unionByName(more)
     pairs = written(pairs.distinct(), "rare-pairs")
-    release(ranked, small, large, meet, known, strangers)
+    release(ranked, small, large, meet, strangers)
     return links, pairs
 
 
@@ -468,7 +470,8 @@ def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_hub(docs: DataFrame, nodes: DataFrame, placed: DataFrame, known: DataFrame, strangers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links of strangers with hubs, candidates (u, v) of the other strangers and members).
+    """(links of strangers with hubs, candidates (u, v) of the other strangers with members
+    and with each other).
 
     ``strangers`` (comp, hub, id) are to be compared with all members of comp. With 7 d -
     n for a set of n shingles that differs in d from the hub, two similar sets have at
@@ -483,20 +486,22 @@ def _by_hub(docs: DataFrame, nodes: DataFrame, placed: DataFrame, known: DataFra
     sets = written(_texts_of(docs, nodes, wanted).mapInArrow(_set_bytes, "id long, s binary").dropDuplicates(["id"]), "asked-sets")
     j = asked.join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("s").alias("hub_s")), "hub")
     deltas = written(j.mapInArrow(_deltas, "hub long, id long, stranger boolean, n long, d long, linked boolean, hs array<long>"), "deltas")
-    links = written(deltas.filter("stranger AND linked").select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v")), "hub-links")
-    apart = deltas.filter("NOT (stranger AND linked)").withColumn("w", F.expr(f"{NUM + DEN} * d - n"))
+    links = written(deltas.filter("stranger AND linked AND hub <> id").select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v")), "hub-links")
+    # a stranger that is linked with the hub counts as a member
+    apart = deltas.withColumn("stranger", F.col("stranger") & ~F.col("linked")).withColumn("w", F.expr(f"{NUM + DEN} * d - n"))
     shown = apart.select("hub", "stranger", "id", "w", F.explode("hs").alias("h"))
-    both = shown.groupBy("hub", "h").agg(F.count(F.lit(1)).alias("df"), F.min("stranger").alias("lo"), F.max("stranger").alias("hi")).filter("lo <> hi")
+    both = shown.groupBy("hub", "h").agg(F.count(F.lit(1)).alias("df"), F.min("stranger").alias("lo"), F.max("stranger").alias("hi")).filter("lo <> hi OR hi AND df > 1")
     ranked = shown.join(both.select("hub", "h", "df"), ["hub", "h"]).groupBy("hub", "stranger", "id", "w").agg(
         F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs")
     )
     low = apart.groupBy("hub").agg(F.min(F.when(F.col("stranger"), F.col("w"))).alias("low_s"), F.min(F.when(~F.col("stranger"), F.col("w"))).alias("low_m"))
     ranked = ranked.join(low, "hub")
-    least = F.greatest(F.lit(1), F.ceil((F.col("w") + F.when(F.col("stranger"), F.col("low_m")).otherwise(F.col("low_s"))) / F.lit(2 * (NUM + DEN)))).cast("int")
+    least = F.greatest(F.lit(1), F.ceil((F.col("w") + F.when(F.col("stranger"), F.least("low_m", "low_s")).otherwise(F.col("low_s"))) / F.lit(2 * (NUM + DEN)))).cast("int")
     first = ranked.select("hub", "stranger", "id", F.explode(F.slice("hs", F.lit(1), F.greatest(F.size("hs") - least + 1, F.lit(0)))).alias("x"))
     first = written(first.select("hub", "stranger", "id", "x.h"), "delta-first")
     side = lambda s, c: first.filter(F.col("stranger") == s).select("hub", "h", F.col("id").alias(c))
-    pairs = side(False, "x").join(side(True, "y"), ["hub", "h"]).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    pairs = side(False, "x").join(side(True, "y"), ["hub", "h"]).unionByName(side(True, "x").join(side(True, "y"), ["hub", "h"]).filter("x < y"))
+    pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
     pairs = written(pairs.distinct(), "delta-pairs")
     release(asked, wanted, sets, deltas, first)
     return links, pairs
@@ -569,9 +574,19 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
     ends = ends.join(comps, ends["id"] == comps["node"], "left").select(F.coalesce("component", "id").alias("comp"), "id", "k")
     hubs = ends.groupBy("comp").agg(F.max(F.struct("k", "id")).alias("x")).select("comp", F.col("x.id").alias("hub"))
-    by_hub, rest = _rare_pairs(docs, nodes, written(still_open.select("id", "comp").distinct(), "open-classes"), hubs)
+    still_open = written(still_open.select("key", "id", "comp"), "open-keys")
+    classes = still_open.select("id", "comp").distinct()
+    known = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > SMALL).join(hubs, "comp")
+    known = written(known, "open-hubs")
+    # a small component joins the group of the largest known one that it shares a key with
+    ranked = still_open.join(known.select("comp", "k"), "comp", "left")
+    top = ranked.groupBy("key").agg(F.max(F.when(F.col("k").isNotNull(), F.struct("k", "comp"))).alias("top")).filter("top IS NOT NULL")
+    near = ranked.filter("k IS NULL").join(top, "key").groupBy("comp").agg(F.max("top").alias("top")).select("comp", F.col("top.comp").alias("near"))
+    grouped = classes.join(near, "comp", "left").select("id", "comp", F.coalesce("near", "comp").alias("grp"))
+    by_hub, rest = _rare_pairs(docs, nodes, written(grouped, "open-classes"), known)
+    release(still_open)
     more = _links(docs, rest.join(stars, ["u", "v"], "left_anti"), nodes, "cross-links").unionByName(by_hub)
-    release(placed, stars, rest)
+    release(placed, stars, rest, known)
     # rows that repeat a doc_id with other texts join the components of all of them
     many = named.groupBy("doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
     same = named.join(many, "doc_id").select(F.col("lo").alias("u"), F.col("c").alias("v")).filter("u <> v")

@@ -95,22 +95,28 @@ def test_near_duplicates_by_brute_force(spark):
     ids = [int(ngram_join._class_of(s)[0]) for _, _, s in ngram_join._sets(iter([batch]))]
     first = {c: i for i, c in reversed(list(enumerate(ids)))}
     nodes = spark.createDataFrame([(c, i) for c, i in first.items()], "c long, rep long")
-    alone = nodes.select(F.col("c").alias("id"), F.col("c").alias("comp"))
-    no_hubs = spark.createDataFrame([], "comp long, hub long")
+    alone = nodes.select(F.col("c").alias("id"), F.col("c").alias("comp"), F.col("c").alias("grp"))
+    no_hubs = spark.createDataFrame([], "comp long, k long, hub long")
     met = {(r.u, r.v) for r in ngram_join._rare_pairs(d, nodes, alone, no_hubs)[1].collect()}
     near = [(ids[j], ids[i]) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     links = {(min(p), max(p)) for p in near if p[0] != p[1]}
     assert links and links <= met
     # and so in components around a hub: every set that has a link to one gets one to it
     hub = {c: sorted(first)[k % 7] for k, c in enumerate(sorted(first))}
-    comps = spark.createDataFrame([(c, h) for c, h in hub.items()], "id long, comp long")
-    found, rest = ngram_join._rare_pairs(d, nodes, comps, comps.select("comp", F.col("comp").alias("hub")).distinct())
-    met = {(r.u, r.v) for r in rest.collect()}
-    known = {(r.u, r.v) for r in found.collect()}
-    assert known <= links and known
-    joined = {(x, hub[y]) for p in known for x, y in (p, p[::-1]) if y == hub[y]}
-    for u, v in links:
-        assert hub[u] == hub[v] or (u, v) in met or (u, hub[v]) in joined or (v, hub[u]) in joined
+    for near in (False, True):  # each third class a component of its own, in the group of the one it was in or not
+        comp = {c: c if k % 3 == 0 and c != h else h for k, (c, h) in enumerate(sorted(hub.items()))}
+        comps = spark.createDataFrame([(c, comp[c], h if near else comp[c]) for c, h in hub.items()], "id long, comp long, grp long")
+        known = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).filter("k > 4").withColumn("hub", F.col("comp"))
+        found, rest = ngram_join._rare_pairs(d, nodes, comps, known)
+        met = {(r.u, r.v) for r in rest.collect()}
+        told = {(r.u, r.v) for r in found.collect()}
+        assert told <= links and told
+        joined = {(x, y) for p in told for x, y in (p, p[::-1])}
+        for u, v in links:
+            if comp[u] != comp[v] and (u, v) not in met:
+                # one of them is linked with a hub whose component has the other, or both with one hub
+                ends = [{comp[x]} | {comp[y] for z, y in joined if z == x} for x in (u, v)]
+                assert ends[0] & ends[1]
 
 
 def test_near_duplicates_of_few_shingles(spark):
