@@ -47,8 +47,7 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: The label model's EM and the alignments are not SQL; the stages are tested against
-#: brute-force versions instead.
+#: The label model's EM and the alignments are not SQL.
 ORACLE_SQL = None
 
 
