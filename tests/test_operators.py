@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.cut import written
 from corpusloom.functions import paths, text
-from corpusloom.operators import changes, enrich, extract, graph, hierarchy, ignore, packages, report, traverse, tree
+from corpusloom.operators import changes, enrich, extract, hierarchy, ignore, packages, report, traverse, tree
 from corpusloom.plans.build import build_graph
 from corpusloom.sources import files as sources
 
@@ -142,7 +142,22 @@ def test_stream_applies_changes(spark, tmp_path):
     seen = []
     apply_changes(change_stream(spark, str(tmp_path / "in")), lambda df, k: seen.extend((r.path, r.status) for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == [("a", "D"), ("b", "A"), ("x.py", "M")]
-    assert graph is not None
+
+
+def test_code_report_beyond_four_digits(spark):
+    t = spark.createDataFrame([("", "a.py", "x\n" * 10_001)], "repo string, path string, text string")
+    s = spark.createDataFrame([("", "a.py::f", "a.py", 9_999, 10_001)], "repo string, node_id string, path string, start_line int, end_line int")
+    lines = extract.numbered_code(s, t).first().report.split("\n")
+    assert lines[0] == "# a.py::f - Quellcode" and lines[3:6] == ["9999 | x", "10000 | x", "10001 | x"]
+
+
+def test_answers_of_another_kind(spark):
+    """JSON that isn't an array, or isn't an object, is rejected whole."""
+    r = spark.createDataFrame([("", 0, '{"a": [{"node_id": "x"}]}')], "repo string, batch long, response string")
+    ok, bad = enrich.parse_responses(r)
+    assert ok.count() == 0 and bad.count() == 1
+    a = spark.createDataFrame([('[{"action": "x"}]',), ('so {"action": "y"}',)], "t string")
+    assert [x.action for x in text.parse_actions(a, "t").collect()] == [None, "y"]
 
 
 def test_impact_of_whole_import_chains(spark):
