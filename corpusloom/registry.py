@@ -12,6 +12,7 @@ from .corpus import ctes, view
 from .functions import paths, text
 from .operators import changes, enrich, extract, graph, hierarchy, ignore, packages, report, traverse, tree, update
 from .plans.build import build_graph
+from .report_sql import report_sql
 from .sources import files as sources
 
 PROJECT = "corpus"
@@ -26,9 +27,21 @@ def _graph(s: SparkSession, d: str, project: str | None = None) -> tuple[DataFra
     return build_graph(_files(s, d), view(s, d, "c_symbols"), view(s, d, "c_imports"), project, written)
 
 
-def _enriched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _many_files(s: SparkSession, d: str) -> DataFrame:
+    """The files as repositories of at most a thousand each, so that their number grows with the table."""
+    return view(s, d, "c_files").select(F.concat(F.lit("r"), F.expr("file_key div 1000")).alias("repo"), "path", "size", F.expr("size div 4").alias("token_est"))
+
+
+def _many_graphs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of each of these repositories; imports of another's files are external."""
+    files = written(_many_files(s, d), "files")
+    of = lambda name, c: view(s, d, name).drop("repo").join(files.select("repo", F.col("path").alias(c)), c)
+    return build_graph(files, of("c_symbols", "path"), of("c_imports", "src"), PROJECT, written)
+
+
+def _enriched(s: SparkSession, d: str, graphs: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """The graph with a summary on every third symbol and risks on some."""
-    nodes, edges = _graph(s, d, PROJECT)
+    nodes, edges = graphs(s, d) if graphs else _graph(s, d, PROJECT)
     told = F.col("type").isin("function", "class") & (F.col("start_line") % 3 == 0)
     nodes = nodes.withColumn("summary", F.when(told, F.concat(F.lit("about "), "name"))).withColumn(
         "risks", F.when(told & (F.col("start_line") % 2 == 0), F.array(F.lit("long"), F.lit("untested")))
@@ -120,7 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "a1_inventory": lambda s, d: sources.inventory(view(s, d, "c_files")).select("path", "size", "token_est"),
         "a2_decoded": _a2,
-        "a3_a4_graph_documents": lambda s, d: sources.graph_documents(*_enriched(s, d)).select(F.col("repo"), F.char_length("value").cast("long").alias("chars")),
+        "a3_a4_graph_documents": lambda s, d: sources.graph_documents(*_enriched(s, d, _many_graphs)).select(F.col("repo"), F.char_length("value").cast("long").alias("chars")),
         "a5_file_hashes": lambda s, d: changes.file_hashes(_content(s, d).select("repo", "path", F.col("text").cast("binary").alias("content"))).select("path", "sha256"),
         "b1_inventory_filter": lambda s, d: ignore.filter_inventory(_files(s, d), RULES).select("path"),
         "b2_patterns": lambda s, d: ignore.load_patterns(_content(s, d).select(F.col("path").alias("repo"), "text")).groupBy("repo").agg(F.count(F.lit(1)).alias("n")),
@@ -159,7 +172,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "f8_crossing_imports": lambda s, d: packages.crossing_imports(*g(s, d, PROJECT)[::-1]).select("package", "direction", "other"),
         "f9_fan_in_out": lambda s, d: graph.fan_in_out(g(s, d)[1]).select("node_id", "fan_in", "fan_out"),
         "g1_tree": lambda s, d: tree.tree_lines(_files(s, d)).select("path", "line"),
-        "g1_tree_report": lambda s, d: tree.tree_report(_files(s, d), "corpus").select("total_files", "total_folders", "estimated_tokens", F.sha2("tree_string", 256).alias("digest")),
+        "g1_tree_report": lambda s, d: tree.tree_report(_many_files(s, d), "corpus").select("repo", "total_files", "total_folders", "estimated_tokens", F.sha2("tree_string", 256).alias("digest")),
         "g2_batches": lambda s, d: packages.batches(enrich.pending(_enriched(s, d)[0]), 10, lambda x: written(x, "pending")).select("node_id", "batch"),
         "g3_largest_files": lambda s, d: packages.first_per_repo(_files(s, d), 25, F.desc("size"), "path").select("path", "size", F.col("rank").cast("long").alias("rank")),
         "g4_full_report": lambda s, d: report.full_report(*_enriched(s, d)).drop("repo"),
@@ -213,11 +226,15 @@ def oracle_sql() -> dict[str, str]:
     lines = r"regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')"
     doc = f"""WITH {c}, l AS (SELECT concat(path, '::d') AS node_id, path, CAST(doc_id % 3 + 1 AS INT) AS a, CAST(doc_id % 3 + 1 + doc_id % 5 * 40 AS INT) AS b, {lines} AS x0 FROM c_content),
       k AS (SELECT node_id, path, a, b, CASE WHEN x0[-1] = '' THEN x0[:len(x0) - 1] ELSE x0 END AS x FROM l), s AS (SELECT *, x[a:b] AS y FROM k)"""
-    return {
+    return {k: r(q) for k, q in report_sql().items()} | {
         "a1_inventory": f"WITH {f} SELECT path, size, size // 4 AS token_est FROM c_files",
+        "a2_decoded": f"""WITH {c} SELECT path, CASE WHEN text IS NULL THEN 'unreadable' WHEN doc_id % 50 = 1 THEN 'binary' ELSE '' END AS read_error,
+            CASE WHEN text IS NULL OR doc_id % 50 = 1 THEN -1 ELSE length(text) END AS chars FROM c_content""",
         "a5_file_hashes": f"WITH {c} SELECT path, sha256(text) AS sha256 FROM c_content",
         "b1_inventory_filter": f"""WITH {f} SELECT path FROM c_files WHERE NOT regexp_matches(path, '(^|/)dist/')
           AND NOT (regexp_matches(path, '[.]md$') AND NOT regexp_matches(path, '(^|/)notes7[^/]*[.]md$') OR path LIKE 'src/large%/%' OR regexp_matches(path, '^b3[^/]*/m1[^/]*[.]py(/.*)?$'))""",
+        "b2_patterns": f"""WITH {c}, l AS (SELECT path AS repo, unnest(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\n|\\r')) AS x FROM c_content),
+            t AS (SELECT repo, trim(x, concat(' ', chr(9), chr(11), chr(12))) AS x FROM l) SELECT repo, count(*) AS n FROM t WHERE x <> '' AND NOT starts_with(x, '#') GROUP BY repo""",
         "b3_tree_filter": f"WITH {f} SELECT path FROM c_files WHERE NOT regexp_matches(path, '(^|/)dist/') AND path NOT LIKE '%.md'",
         "b4_language": f"WITH {f} SELECT path, CASE WHEN lower(path) LIKE '%.py' THEN 'python' ELSE '?' END AS language FROM c_files",
         "b5_pending": r("SELECT node_id FROM pend"),
