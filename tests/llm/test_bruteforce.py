@@ -218,3 +218,116 @@ def test_crf_held_out_accuracy(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality IS NOT NULL").collect()}
     rows = [r for r in queries.queries()["op8_quality_crf"](spark, SMALL).filter("held_out").collect() if r.doc_id in labels]
     assert len(rows) > 50 and sum(r.predicted == labels[r.doc_id] for r in rows) >= 0.95 * len(rows)
+
+
+def near_groups(texts):
+    """doc_id -> smallest doc_id reachable by links of similarity 0.75."""
+    sets, top = {}, {i: i for i in texts}
+    for i, t in texts.items():
+        w = words_of((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    for _ in texts:
+        before = dict(top)
+        for i, j in itertools.combinations(texts, 2):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                top[i] = top[j] = min(top[i], top[j])
+        if top == before:
+            break
+    return top
+
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def without_repeated_lines(texts):
+    key = lambda x: x.strip(BLANKS).translate(LOWER)
+    holders = {}
+    for i, t in texts.items():
+        for x in (t or "").split("\n"):
+            holders.setdefault(key(x), set()).add(i)
+    gone = lambda i, x: len(key(x)) >= 40 and len(holders[key(x)]) >= 5 and i != max(holders[key(x)])
+    return {i: "\n".join(x for x in (t or "").split("\n") if not gone(i, x)) for i, t in texts.items()}
+
+
+def aligned(item, text):
+    """Whether the words of the text hold the item with a similarity of 0.5."""
+    plain = lambda t: words_of(re.sub(r"[!-/:-@\[-`{-~]", "", t.translate(LOWER)))
+    a, b = plain(item), plain(text)
+    prev, best = [0.0] * (len(b) + 1), 0.0
+    for x in a:
+        row = [0.0]
+        for j, y in enumerate(b):
+            row.append(max(0.0, prev[j] + (1.0 if x == y else -0.5), prev[j + 1] - 0.5, row[j] - 0.5))
+        prev, best = row, max(best, *row)
+    return best >= len(a) / 2
+
+
+def mix_targets(sizes):
+    """Source -> target: shares by weight, clamped at three epochs, the excess shared again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, clamped = {s: k % 3 + 1 for k, s in enumerate(order)}, set()
+    while True:
+        free = [s for s in order if s not in clamped]
+        left = sum(sizes.values()) - sum(3 * sizes[s] for s in clamped)
+        target = {s: 3 * sizes[s] if s in clamped else left * weight[s] / sum(weight[x] for x in free) for s in order}
+        over = {s for s in free if target[s] > 3 * sizes[s]}
+        if not over:
+            return target
+        clamped |= over
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage on what its predecessor kept, and all of them by ``run``."""
+    import corpus_pipeline
+
+    rng, texts = random.Random(9), []
+    for i in range(150):
+        lines = [" ".join(["".join(rng.choices("abcdefghij", k=6)) if rng.random() < 0.8 else rng.choice(["the", "of", "and"]) for _ in range(12)]).capitalize() + "." for _ in range(rng.randrange(5, 12))]
+        if i % 4 == 0:
+            lines.insert(1, rng.choice(["  This line of the page stands in many of the documents here.", "Another line that is shared by many of the documents here\t"]))
+        texts.append("\n".join(lines))
+    items = [" ".join("".join(rng.choices("klmnopqrst", k=6)) for _ in range(30)) for _ in range(3)]
+    for i in range(0, 30):
+        texts.append(texts[i] if i % 2 else texts[i] + " tail.")
+    for i in range(40, 52):
+        cut = ["zz" if j % 6 == 5 else w for j, w in enumerate(items[i % 3].split())]
+        texts.append(texts[i] + "\n" + " ".join(items[i % 3].split()[: (9, 20, 30)[i % 3]] if i < 46 else cut) + ".\n" + texts[i + 20])
+    texts += ["### $$ || <a> ## " * 20, "too short", None, "", "the same words here " * 40, "12345 67890 " * 60]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = [(n + 1, texts[k], "en", rng.choice(["a", "b", "c", "d", None]) if rng.random() < 0.6 else "hot", len(texts[k] or "")) for n, k in enumerate(order)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def quality(docs):
+        verdict = quality_verdicts([t for t in docs.values()])
+        return {i: t for (i, t), v in zip(docs.items(), verdict, strict=True) if v[3]}
+
+    def one_of_each(docs):
+        return {i: docs[i] for i, top in near_groups(docs).items() if i == top}
+
+    def clean(docs):
+        return {i: t for i, t in docs.items() if not any(aligned(x, t) for x in items)}
+
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = [len(rows)]
+    for (_, stage), plain in zip(corpus_pipeline.STAGES[:-1], (quality, without_repeated_lines, one_of_each, clean), strict=True):
+        before = {r.doc_id: r.text for r in now.collect()}
+        out = stage(spark, now, str(tmp_path))
+        kept = out.collect()
+        assert out.columns == now.columns and {r.doc_id: r.text for r in kept} == plain(before) != before
+        now = spark.createDataFrame([tuple(r) for r in kept], schema)
+        sizes.append(len(kept))
+    assert sizes[0] > sizes[1] == sizes[2] > sizes[3] > sizes[4] > 90
+    given = {r.doc_id: r for r in now.collect()}
+    size = {i: len(words_of(r.text)) for i, r in given.items()}
+    per = {s: sum(size[i] for i, r in given.items() if r.source == s) for s in {r.source for r in given.values()}}
+    target = mix_targets(per)
+    mix = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()}
+    for s, t in target.items():
+        taken = sum(r.taken for r in mix.values() if r.source == s)
+        assert abs(taken - t) <= max(size.values()) and all(math.isclose(r.target, t) for r in mix.values() if r.source == s)
+    assert all(r.text == given[i].text and r.taken == r.copies * size[i] and 1 <= r.copies <= 3 for i, r in mix.items())
+    assert {r.doc_id: r.copies for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {i: r.copies for i, r in mix.items()}
