@@ -29,7 +29,9 @@ already. Keys travel in packed arrays, dealt to as many places as their number a
 
 Instead of all pairs of a key, each key first yields a star around one class, that
 of the smallest document. Links of the stars make components, and only classes of keys that still hold
-several components are looked at again. Their pairs meet by rare shingles: with all
+several components are looked at again. Stars around the set of each rare shingle that
+has kept most of what it shares join what is left of families of edited copies
+(``_rare_stars``). What then are different components meets in pairs, by rare shingles: with all
 shingles in one order, rarest first, similar sets share one within the first (n - 3
 (n + m) / 7) + 1 of either, n and m being the sizes. A shingle that no other of these
 documents has takes a place and meets nobody, so a document with many of its own is
@@ -293,6 +295,10 @@ def _sketch(s: np.ndarray, band: int) -> bytes:
     return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+#: What ``_signatures`` yields.
+SIGNATURE = "doc_id long, n long, c long, band int, own binary, below binary, need int, h long, times long"
+
+
 def _signatures(least_share: float):
     """doc_id, n, the set's class c, its band, its sketches for that band and, where it has
     partners there, for the band below, and the keys that it shares with similar sets;
@@ -388,15 +394,46 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, F.col("doc_id") == F.col("rep"), "left_semi")
 
 
-def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _merged(df: DataFrame, comps: DataFrame) -> DataFrame:
+    """``df`` with the components (node, component) of its comp, where it has one."""
+    return df.join(comps, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component")
+
+
+def _hubs(links: DataFrame, *comps: DataFrame) -> DataFrame:
+    """(comp, hub): the class with most links of each component."""
+    ends = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    ends = ends.withColumn("comp", F.col("id"))
+    for c in comps:
+        ends = _merged(ends, c)
+    return ends.groupBy("comp").agg(F.max(F.struct("k", "id")).alias("x")).select("comp", F.col("x.id").alias("hub"))
+
+
+def _rare_stars(docs: DataFrame, nodes: DataFrame, small: DataFrame, large: DataFrame) -> DataFrame:
+    """Links of stars that take one document to each rare shingle and class of sizes.
+
+    Edited copies of one text differ from it by d and e shingles, and from each other
+    by d + e at most: whoever has kept most of the text is similar to far more of them
+    than the others are. So the star's middle is the set with the least that is rare
+    (``mass``: each shingle counts as one part in the number of sets that have it)."""
+    lead = small.groupBy("size", "h").agg(F.min(F.struct("mass", "id", "comp")).alias("x"))
+    stars = large.join(lead, ["size", "h"]).filter(F.col("comp") != F.col("x.comp"))
+    stars = stars.select(F.least("id", "x.id").alias("u"), F.greatest("id", "x.id").alias("v")).distinct()
+    stars = written(stars, "rare-stars")
+    found = _links(docs, stars, nodes, "rare-star-links")
+    release(stars)
+    return found
+
+
+def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame, links: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, candidates (u, v)) among the classes of ``placed`` (id, comp): in different
     components, and with a common shingle within the first ones of both, rarest first.
+    ``links`` are those that made the components ``comps`` (node, component).
 
     The larger of two sets, of n shingles, looks once for each class of sizes from 3/4
     n to n, with as many shingles as the least size of the class demands; the smaller is
     found in its own class, with as many as a partner of its own size demands. Only
-    sets of different components are brought together: first the components of a
-    shingle, then their sets."""
+    sets of different components are brought together: stars around one set of each
+    shingle join components, then the components of a shingle meet, then their sets."""
     rows = _texts_of(docs, nodes, placed.select("id")).mapInArrow(_set_rows, "id long, n long, h long")
     rows = written(rows.join(F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed, "id"), "open-shingles")
     seen = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -406,13 +443,14 @@ def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame, hubs: Data
     )
     # more shingles of its own than any partner could lack: out
     ranked = ranked.filter(f"{DEN} * own <= ({DEN - NUM}) * n")
-    ranked = written(ranked.select("id", "comp", "n", "own", F.transform("hs", lambda x: x["h"]).alias("hs")), "open-ranked")
+    mass = F.col("own") + F.aggregate("hs", F.lit(0.0), lambda a, x: a + 1 / x["df"])
+    ranked = written(ranked.select("id", "comp", "n", "own", mass.alias("mass"), F.transform("hs", lambda x: x["h"]).alias("hs")), "open-ranked")
     release(rows)
 
     # class of a size: its leading binary digits q and the number e of the others
     def first(length: str, q: str, e: str) -> DataFrame:
         most = F.expr(f"CAST(greatest({length} - own, 0) AS INT)")
-        return ranked_at.select("id", "comp", F.expr(f"{e} * {4 * FINE} + {q}").alias("size"), F.explode(F.slice("hs", F.lit(1), most)).alias("h"))
+        return ranked_at.select("id", "comp", "mass", F.expr(f"{e} * {4 * FINE} + {q}").alias("size"), F.explode(F.slice("hs", F.lit(1), most)).alias("h"))
 
     e = f"greatest(0, CAST(length(bin(n)) AS INT) - {FINE.bit_length()})"
     least = f"(({NUM} * n + {DEN - 1}) DIV {DEN})"
@@ -427,8 +465,15 @@ def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame, hubs: Data
     )
     large = first(f"n - ({NUM} * (n + m) + {NUM + DEN - 1}) DIV {NUM + DEN} + 1", "q", "e")
     small, large = written(small, "rare-small"), written(large, "rare-large")
-    comps = lambda df, c: df.select("size", "h", F.col("comp").alias(c)).distinct()
-    meet = written(comps(small, "a").join(comps(large, "b"), ["size", "h"]).filter("a <> b"), "rare-meetings")
+    stars = _rare_stars(docs, nodes, small, large)
+    end = lambda x: placed.select(F.col("id").alias(x), F.col("comp").alias("c" + x))
+    joined = stars.join(end("u"), "u").join(end("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    merged = connected_components(joined)
+    small, large, placed = (_merged(df, merged) for df in (small, large, placed))
+    placed = written(placed, "open-merged")
+    hubs = _hubs(links.unionByName(stars), comps, merged)
+    sides = lambda df, c: df.select("size", "h", F.col("comp").alias(c)).distinct()
+    meet = written(sides(small, "a").join(sides(large, "b"), ["size", "h"]).filter("a <> b"), "rare-meetings")
     a_side = small.select("size", "h", F.col("comp").alias("a"), F.col("id").alias("x"))
     b_side = large.select("size", "h", F.col("comp").alias("b"), F.col("id").alias("y"))
     # the larger of two components is met by its hub, unless both are small
@@ -444,11 +489,11 @@ def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame, hubs: Data
         meet.filter("by = 'b'").join(a_side, ["size", "h", "a"]).select(F.col("b").alias("comp"), F.col("hb.hub").alias("hub"), F.col("x").alias("id"))
     )
     strangers = written(strangers.distinct(), "strangers")
-    links, more = _by_hub(docs, nodes, placed, known, strangers)
+    by_hub, more = _by_hub(docs, nodes, placed, known, strangers)
     pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).unionByName(more)
     pairs = written(pairs.distinct(), "rare-pairs")
     release(ranked, small, large, meet, known, strangers)
-    return links, pairs
+    return by_hub.unionByName(stars), pairs
 
 
 def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -529,19 +574,20 @@ def shared_keys(docs: DataFrame, commons: list[np.ndarray], shingles: int) -> Da
     return sent.groupBy("slot").applyInArrow(_shared(bits), "key long, c long, below boolean, few boolean").distinct()
 
 
+def _classes(named: DataFrame) -> DataFrame:
+    """Of the signatures with a doc_id and a set: one row for each class, of its smallest document."""
+    least = named.groupBy("c").agg(F.min(F.struct("doc_id", "n", "band", "need", "own", "below")).alias("x"))
+    return least.select("c", F.col("x.doc_id").alias("rep"), *[f"x.{k}" for k in ("n", "band", "need", "own", "below")])
+
+
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signatures, labels): doc_id, n, c per row of ``docs``; c, component_id for each
     class of a linked document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = written(
-        docs.mapInArrow(
-            _signatures(min(SHARES)), "doc_id long, n long, c long, band int, own binary, below binary, need int, h long, times long"
-        ), "signatures",
-    )
+    both = written(docs.mapInArrow(_signatures(min(SHARES)), SIGNATURE), "signatures")
     sigs = both.filter("n IS NOT NULL")
     named = sigs.filter("doc_id IS NOT NULL AND n > 0")
-    nodes = named.groupBy("c").agg(F.min(F.struct("doc_id", "n", "band", "need", "own", "below")).alias("x"))
-    nodes = written(nodes.select("c", F.col("x.doc_id").alias("rep"), *[f"x.{k}" for k in ("n", "band", "need", "own", "below")]), "classes")
+    nodes = written(_classes(named), "classes")
     rows, shingles = sigs.agg(F.count(F.lit(1)), F.sum("n")).first()
     commons = common_shingles(both.filter("h IS NOT NULL").select("h", "times"), rows)
     keys = written(shared_keys(docs, commons, shingles or 0), "shared-keys")
@@ -565,12 +611,8 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     release(keys)
     parted = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k"))
     still_open = placed.join(parted.filter("lo <> hi AND k > 2").select("key"), "key", "left_semi")
-    # hub of a component: the class with most links
-    ends = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
-    ends = ends.join(comps, ends["id"] == comps["node"], "left").select(F.coalesce("component", "id").alias("comp"), "id", "k")
-    hubs = ends.groupBy("comp").agg(F.max(F.struct("k", "id")).alias("x")).select("comp", F.col("x.id").alias("hub"))
-    by_hub, rest = _rare_pairs(docs, nodes, written(still_open.select("id", "comp").distinct(), "open-classes"), hubs)
-    more = _links(docs, rest.join(stars, ["u", "v"], "left_anti"), nodes, "cross-links").unionByName(by_hub)
+    found, rest = _rare_pairs(docs, nodes, written(still_open.select("id", "comp").distinct(), "open-classes"), links, comps)
+    more = _links(docs, rest.join(stars, ["u", "v"], "left_anti"), nodes, "cross-links").unionByName(found)
     release(placed, stars, rest)
     # rows that repeat a doc_id with other texts join the components of all of them
     many = named.groupBy("doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("doc_id", "lo")

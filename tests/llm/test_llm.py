@@ -94,23 +94,35 @@ def test_near_duplicates_by_brute_force(spark):
     batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["text"])
     ids = [int(ngram_join._class_of(s)[0]) for _, _, s in ngram_join._sets(iter([batch]))]
     first = {c: i for i, c in reversed(list(enumerate(ids)))}
-    nodes = spark.createDataFrame([(c, i) for c, i in first.items()], "c long, rep long")
-    alone = nodes.select(F.col("c").alias("id"), F.col("c").alias("comp"))
-    no_hubs = spark.createDataFrame([], "comp long, hub long")
-    met = {(r.u, r.v) for r in ngram_join._rare_pairs(d, nodes, alone, no_hubs)[1].collect()}
+    nodes = ngram_join._classes(d.mapInArrow(ngram_join._signatures(0.0), ngram_join.SIGNATURE).filter("n > 0"))
     near = [(ids[j], ids[i]) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     links = {(min(p), max(p)) for p in near if p[0] != p[1]}
-    assert links and links <= met
-    # and so in components around a hub: every set that has a link to one gets one to it
-    hub = {c: sorted(first)[k % 7] for k, c in enumerate(sorted(first))}
-    comps = spark.createDataFrame([(c, h) for c, h in hub.items()], "id long, comp long")
-    found, rest = ngram_join._rare_pairs(d, nodes, comps, comps.select("comp", F.col("comp").alias("hub")).distinct())
-    met = {(r.u, r.v) for r in rest.collect()}
-    known = {(r.u, r.v) for r in found.collect()}
-    assert known <= links and known
-    joined = {(x, hub[y]) for p in known for x, y in (p, p[::-1]) if y == hub[y]}
-    for u, v in links:
-        assert hub[u] == hub[v] or (u, v) in met or (u, hub[v]) in joined or (v, hub[u]) in joined
+
+    def reached(edges):
+        """The least class that each one reaches."""
+        top = {c: c for c in first}
+
+        def root(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for u, v in edges:
+            a, b = sorted((root(u), root(v)))
+            top[b] = a
+        return {c: root(c) for c in first}
+
+    # each class alone, and components of seven around a hub, most of whose members aren't similar
+    for hub in ({c: c for c in first}, {c: sorted(first)[k % 7] for k, c in enumerate(sorted(first))}):
+        old = [(h, c) for c, h in hub.items() if c != h]
+        placed = spark.createDataFrame(list(hub.items()), "id long, comp long")
+        found, rest = ngram_join._rare_pairs(
+            d, nodes, placed, spark.createDataFrame(old, "u long, v long"), spark.createDataFrame([(c, h) for h, c in old], "node long, component long")
+        )
+        known = {(r.u, r.v) for r in found.collect()}
+        met = {(r.u, r.v) for r in rest.collect()}
+        assert links and known and known <= links
+        assert reached([*old, *known, *(met & links)]) == reached([*old, *links])
 
 
 def test_near_duplicates_of_few_shingles(spark):
