@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontamination, line_dedup, mixing, ngram_join, pii, quality_crf, quality_rules, substring_dedup, url_filter, warc_fixity,
+    byte_bpe, decontamination, filter_audit, line_dedup, merkle_manifest, mixing, ngram_join, pii, quality_crf, quality_rules, substring_dedup,
+    url_filter, warc_fixity,
 )
 from .common import read_table
 
@@ -28,6 +29,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_crf": lambda s, d: quality_crf.score_documents(_documents(s, d), read_table(s, d, "labels")),
         "op9_ngram_join": lambda s, d: ngram_join.ngram_join_digest(_documents(s, d)),
         "op10_url_filter": lambda s, d: url_filter.judge_urls(read_table(s, d, "pages")),
+        "op11_byte_bpe": lambda s, d: byte_bpe.round_trip_digest(_documents(s, d)),
+        "op12_filter_audit": lambda s, d: filter_audit.audit(read_table(s, d, "documents", "doc_id", "lang", "text"), read_table(s, d, "labels")),
+        "op13_merkle_manifest": lambda s, d: merkle_manifest.manifest_digest(read_table(s, d, "documents")),
     }
 
 
@@ -53,4 +57,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": LINE_SQL,
         "op5_mixing": mixing.MIX_SQL.format(docs="documents"),
         "op10_url_filter": url_filter.URL_SQL,
+        "op12_filter_audit": filter_audit.AUDIT_SQL,
+        "op13_merkle_manifest": merkle_manifest.MANIFEST_SQL,
     }

@@ -121,3 +121,11 @@ def row_grams(words: Words, grams: np.ndarray, n: int, row: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     place = np.arange(b - a) + 1
     return mixed((words.hash[a:b] * _PLACE[place]).sum(dtype=np.uint64, keepdims=True), 20 + b - a)
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span ``start`` to ``end`` of ``raw``."""
+    up, down = _POWERS.upto(len(raw))
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _PLACE[63])
