@@ -99,7 +99,10 @@ class Vocabulary:
         return [self.known[x] for x in pieces]
 
 
-vocabulary = lru_cache(maxsize=2)(Vocabulary)
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """Read once in each worker."""
+    return Vocabulary(path)
 
 
 def encode_pieces(pieces: list[bytes], size: int, words: Vocabulary) -> list[bytes]:
