@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The blanks that Python's strip() and ``\s`` know, as a class for Java's expressions
+#: and for those of DuckDB.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE_RE2 = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 STRICT = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false"}
 
 
+def stripped(text: Column) -> Column:
+    """Without blanks of any script at both ends."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+
+
 def clean_patterns(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, pattern): the lines of a model's answer that look like ignore
     patterns. Fences, blanks and comments go, list marks are stripped, prose (spaces
     without a slash, star or leading dot) is dropped."""
-    lines = df.select(key, F.posexplode(F.split(F.trim(F.coalesce(text, F.lit(""))), "\n")).alias("pos", "raw"))
-    raw = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    kept = lines.select(key, "pos", raw.alias("raw")).filter("raw <> '' AND NOT startswith(raw, '```') AND NOT startswith(raw, '#')")
+    lines = df.select(key, F.posexplode(F.split(stripped(F.coalesce(text, F.lit(""))), "\n")).alias("pos", "raw"))
+    kept = lines.select(key, "pos", stripped(F.col("raw")).alias("raw")).filter("raw <> '' AND NOT startswith(raw, '```') AND NOT startswith(raw, '#')")
     # The list marks.
-    bare = F.regexp_replace(F.regexp_replace("raw", r"^[-*](?:\s+|$)", ""), r"^[0-9]+\.(?:\s+|$)", "")
-    out = kept.select(key, "pos", F.regexp_replace(bare, r"^\s+|\s+$", "").alias("pattern"))
+    bare = F.regexp_replace(F.regexp_replace("raw", rf"^[-*](?:{SPACE}+|$)", ""), rf"^\p{{Nd}}+\.(?:{SPACE}+|$)", "")
+    out = kept.select(key, "pos", stripped(bare).alias("pattern"))
     p = F.col("pattern")
     return out.filter((p != "") & (p.contains("/") | p.contains("*") | p.startswith(".") | ~p.contains(" ")))
 

@@ -25,7 +25,7 @@ def _parsed(text: str) -> list[tuple[str, str, int, int]]:
             kind = "class" if isinstance(node, ast.ClassDef) else "function"
             out.append((kind, node.name, node.lineno, node.end_lineno, node.col_offset))
         elif isinstance(node, ast.Import):
-            out += [("import", a.name, node.lineno, node.lineno, node.col_offset) for a in node.names if a.asname is None]
+            out += [("import", a.name, a.lineno, a.lineno, a.col_offset) for a in node.names if a.asname is None]
         elif isinstance(node, ast.ImportFrom) and not node.level and node.module != "__future__":
             out.append(("import", node.module, node.lineno, node.lineno, node.col_offset))
     return [x[:4] for x in sorted(out, key=lambda x: (x[2], x[4]))]

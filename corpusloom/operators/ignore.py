@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, base_name
+from ..functions.paths import LINE_END, ancestors, base_name
+from ..functions.text import stripped
 
 # Fixed values.
 HARD = (".git", ".venv", "__pycache__")
@@ -27,6 +28,23 @@ DEFAULTS = (
 WILD = ("*.egg-info",)
 
 
+def _one_of(members: str, negated: bool) -> str:
+    """A bracket's members as a class that Java and Python read alike: all signs but
+    letters, digits and those beyond ASCII are quoted, and an empty range holds nothing."""
+    quoted = lambda c: c if c.isalnum() or ord(c) > 127 else "\\" + c
+    out, i = "", 0
+    while i < len(members):
+        if members[i + 1 : i + 2] == "-" and i + 2 < len(members):
+            if members[i] <= members[i + 2]:
+                out += f"{quoted(members[i])}-{quoted(members[i + 2])}"
+            i += 3
+        else:
+            out, i = out + quoted(members[i]), i + 1
+    if not out:
+        return "." if negated else "(?!)"
+    return f"[{'^' * negated}{out}]"
+
+
 def compiled(pattern: str) -> tuple[str, bool] | None:
     """(Java regex over a whole path, negated) of one wildmatch pattern; None for
     blanks and comments. A pattern also covers everything below what it matches."""
@@ -51,8 +69,8 @@ def compiled(pattern: str) -> tuple[str, bool] | None:
             out, i = out + "[^/]*", i + 1
         elif body[i] == "?":
             out, i = out + "[^/]", i + 1
-        elif body[i] == "[" and (m := re.match(r"\[([!^]?)(\]?[^\]]*)\]", body[i:])):
-            out, i = out + "[" + ("^" if m[1] else "") + m[2].replace("\\", "\\\\") + "]", i + m.end()
+        elif body[i] == "[" and (m := re.match(r"(?s)\[([!^]?)(\]?[^\]]*)\]", body[i:])):
+            out, i = out + _one_of(m[2], bool(m[1])), i + m.end()
         elif body[i] == "\\" and i + 1 < len(body):
             out, i = out + re.escape(body[i + 1]), i + 2
         else:
@@ -68,8 +86,8 @@ def _compile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def load_patterns(ignore_files: DataFrame) -> DataFrame:
     """(repo, seq, pattern) of rows (repo, text): trimmed lines, without blanks and comments."""
-    lines = ignore_files.select("repo", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r\n|\n|\r")).alias("seq", "pattern"))
-    trimmed = lines.select("repo", "seq", F.regexp_replace("pattern", r"^\s+|\s+$", "").alias("pattern"))
+    lines = ignore_files.select("repo", F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_END)).alias("seq", "pattern"))
+    trimmed = lines.select("repo", "seq", stripped(F.col("pattern")).alias("pattern"))
     return trimmed.filter("pattern <> '' AND NOT startswith(pattern, '#')")
 
 

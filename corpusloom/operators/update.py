@@ -16,7 +16,9 @@ def update_graph(
     ``imports`` are those of the changed files, or with ``repair`` the imports of all
     files. Only imports of changed files are resolved; with ``repair`` also those of
     files with an import that may mean a changed path, so that edges into modified files
-    and names that a new file has taken come out as in a full build."""
+    and names that a new file has taken come out as in a full build. External modules keep
+    the attributes that they have. counts (repo, removed, added, imports): file nodes
+    taken out, files and definitions put in, and import names of the changed files."""
     gone = changes.filter("status IN ('D', 'M')").select("repo", "path").distinct()
     live = changes.filter("status IN ('A', 'M')").select("repo", "path").distinct().join(files, ["repo", "path"])
     doomed = graph.doomed_by_files(edges, gone)
@@ -32,16 +34,20 @@ def update_graph(
         kept_edges = kept_edges.join(stale, ["repo", "src", "relationship"], "left_anti").select(*edges.columns)
     new_symbols = graph.symbol_nodes(symbols.join(live.select("repo", "path"), ["repo", "path"], "left_semi"))
     resolved = graph.resolve_imports(imports.join(again, ["repo", "src"], "left_semi").join(files.select("repo", F.col("path").alias("src")), ["repo", "src"], "left_semi"), files)
+    known = graph.merge_externals(kept_nodes, graph.external_nodes(resolved))
     if repair:
-        used = kept_edges.filter(F.col("dst").startswith(EXTERNAL)).select("repo", F.col("dst").alias("node_id")).distinct()
-        externals = kept_nodes.filter("type = 'external_module'").join(used, ["repo", "node_id"], "left_semi")
-        kept_nodes = kept_nodes.filter("type IS DISTINCT FROM 'external_module'").unionByName(externals.select(*kept_nodes.columns))
+        used = kept_edges.select("repo", "dst").unionByName(resolved.select("repo", "dst")).filter(F.col("dst").startswith(EXTERNAL)).distinct().withColumnRenamed("dst", "node_id")
+        known = known.filter("type IS DISTINCT FROM 'external_module'").unionByName(
+            known.filter("type = 'external_module'").join(used, ["repo", "node_id"], "left_semi").select(*known.columns)
+        )
     fresh = graph.file_nodes(live).unionByName(new_symbols.drop("path"), allowMissingColumns=True)
-    fresh = fresh.unionByName(graph.external_nodes(resolved), allowMissingColumns=True)
-    out_nodes = kept_nodes.join(fresh.select("repo", "node_id"), ["repo", "node_id"], "left_anti").unionByName(fresh, allowMissingColumns=True)
+    out_nodes = known.join(fresh.select("repo", "node_id"), ["repo", "node_id"], "left_anti").unionByName(fresh, allowMissingColumns=True)
     added = graph.contains_edges(new_symbols).unionByName(graph.import_edges(resolved))
     out_edges = graph.one_edge_per_pair(kept_edges, added.select(*edges.columns))
-    counts = gone.groupBy("repo").agg(F.count(F.lit(1)).alias("removed")).join(
-        live.groupBy("repo").agg(F.count(F.lit(1)).alias("added")), "repo", "full_outer"
-    ).join(graph.import_edges(resolved).groupBy("repo").agg(F.count(F.lit(1)).alias("imports")), "repo", "full_outer").na.fill(0)
+    per_repo = lambda rows, name: rows.groupBy("repo").agg(F.count(F.lit(1)).alias(name))
+    was = gone.join(nodes.filter("type = 'file'").select("repo", F.col("node_id").alias("path")), ["repo", "path"], "left_semi")
+    own = symbols.join(live.select("repo", "path"), ["repo", "path"], "left_semi").filter("type IN ('function', 'class')")
+    mine = imports.join(live.select("repo", F.col("path").alias("src")), ["repo", "src"], "left_semi")
+    counts = per_repo(was, "removed").join(per_repo(live.select("repo").unionByName(own.select("repo")), "added"), "repo", "full_outer")
+    counts = counts.join(per_repo(mine, "imports"), "repo", "full_outer").na.fill(0)
     return out_nodes, out_edges, counts

@@ -198,15 +198,15 @@ _RES = ctes("c_imports", "c_symbols") + r""",
  cand AS (SELECT src, name, 1 AS prio, concat(d, name, '.py') AS path FROM x UNION ALL SELECT src, name, 2, concat(np, '.py') FROM x
    UNION ALL SELECT src, name, 3, concat(d, name, '/__init__.py') FROM x UNION ALL SELECT src, name, 4, concat(np, '/__init__.py') FROM x),
  hit AS (SELECT c.src, c.name, min(c.prio) AS prio, arg_min(c.path, c.prio) AS path FROM cand c JOIN c_files f ON f.path = c.path GROUP BY c.src, c.name),
- res AS (SELECT i.src, i.name, CAST(coalesce(h.prio, 5) AS INT) AS strategy, coalesce(h.path, concat('external::', i.name)) AS dst FROM c_imports i LEFT JOIN hit h ON h.src = i.src AND h.name = i.name),
- imp AS (SELECT DISTINCT src, dst FROM res),
- sym AS (SELECT concat(path, '::', name) AS node_id, path, name, type, start_line, end_line FROM c_symbols
+ res AS MATERIALIZED (SELECT i.src, i.name, CAST(coalesce(h.prio, 5) AS INT) AS strategy, coalesce(h.path, concat('external::', i.name)) AS dst FROM c_imports i LEFT JOIN hit h ON h.src = i.src AND h.name = i.name),
+ imp AS MATERIALIZED (SELECT DISTINCT src, dst FROM res),
+ sym AS MATERIALIZED (SELECT concat(path, '::', name) AS node_id, path, name, type, start_line, end_line FROM c_symbols
    QUALIFY row_number() OVER (PARTITION BY path, name ORDER BY start_line DESC, end_line DESC, type DESC) = 1),
  con AS (SELECT path AS src, node_id AS dst FROM sym),
  edg AS (SELECT src, dst, 'CONTAINS' AS relationship FROM con UNION ALL SELECT src, dst, 'IMPORTS' FROM imp),
  parts AS (SELECT path, string_split(path, '/') AS p FROM c_files),
- pkg AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS node_id, p[i] AS name, CAST(i AS INT) AS level FROM (SELECT p, unnest(range(1, len(p))) AS i FROM parts)),
- pcon AS (SELECT CASE WHEN child LIKE '%/%' THEN regexp_replace(child, '/[^/]*$', '') ELSE 'project::corpus' END AS src, child AS dst FROM (SELECT node_id AS child FROM pkg UNION ALL SELECT path FROM c_files)),
+ pkg AS MATERIALIZED (SELECT DISTINCT array_to_string(p[1:i], '/') AS node_id, p[i] AS name, CAST(i AS INT) AS level FROM (SELECT p, unnest(range(1, len(p))) AS i FROM parts)),
+ pcon AS MATERIALIZED (SELECT CASE WHEN child LIKE '%/%' THEN regexp_replace(child, '/[^/]*$', '') ELSE 'project::corpus' END AS src, child AS dst FROM (SELECT node_id AS child FROM pkg UNION ALL SELECT path FROM c_files)),
  inpkg AS (SELECT src AS parent, dst AS child FROM pcon WHERE src <> 'project::corpus'),
  pend AS (SELECT * FROM sym WHERE start_line % 3 <> 0),
  chg AS (SELECT path, CASE WHEN file_key % 11 = 0 THEN 'D' WHEN file_key % 9 = 0 THEN 'M' ELSE 'A' END AS status FROM c_files WHERE file_key % 11 = 0 OR file_key % 9 = 0 OR file_key % 13 = 0)
@@ -223,7 +223,10 @@ def oracle_sql() -> dict[str, str]:
       fd AS (SELECT event_id, x[2] AS path, x[1] AS status FROM p WHERE x[1] IN ('M', 'A', 'D') AND len(x) >= 2
        UNION ALL SELECT event_id, x[2], 'D' FROM p WHERE x[1] LIKE 'R%' AND len(x) >= 3 UNION ALL SELECT event_id, x[3], 'A' FROM p WHERE x[1] LIKE 'R%' AND len(x) >= 3)"""
     src, dst = _DIR.format("src"), _DIR.format("dst")
-    lines = r"regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')"
+    bare = rf"regexp_replace(regexp_replace(raw, '^[-*]({text.SPACE_RE2}+|$)', ''), '^\p{{Nd}}+[.]({text.SPACE_RE2}+|$)', '')"
+    strip = lambda x: f"regexp_replace({x}, '^{text.SPACE_RE2}+|{text.SPACE_RE2}+$', '', 'g')"
+    ends = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+    lines = f"regexp_split_to_array(text, '{ends}')"
     doc = f"""WITH {c}, l AS (SELECT concat(path, '::d') AS node_id, path, CAST(doc_id % 3 + 1 AS INT) AS a, CAST(doc_id % 3 + 1 + doc_id % 5 * 40 AS INT) AS b, {lines} AS x0 FROM c_content),
       k AS (SELECT node_id, path, a, b, CASE WHEN x0[-1] = '' THEN x0[:len(x0) - 1] ELSE x0 END AS x FROM l), s AS (SELECT *, x[a:b] AS y FROM k)"""
     return {k: r(q) for k, q in report_sql().items()} | {
@@ -233,8 +236,8 @@ def oracle_sql() -> dict[str, str]:
         "a5_file_hashes": f"WITH {c} SELECT path, sha256(text) AS sha256 FROM c_content",
         "b1_inventory_filter": f"""WITH {f} SELECT path FROM c_files WHERE NOT regexp_matches(path, '(^|/)dist/')
           AND NOT (regexp_matches(path, '[.]md$') AND NOT regexp_matches(path, '(^|/)notes7[^/]*[.]md$') OR path LIKE 'src/large%/%' OR regexp_matches(path, '^b3[^/]*/m1[^/]*[.]py(/.*)?$'))""",
-        "b2_patterns": f"""WITH {c}, l AS (SELECT path AS repo, unnest(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\n|\\r')) AS x FROM c_content),
-            t AS (SELECT repo, trim(x, concat(' ', chr(9), chr(11), chr(12))) AS x FROM l) SELECT repo, count(*) AS n FROM t WHERE x <> '' AND NOT starts_with(x, '#') GROUP BY repo""",
+        "b2_patterns": f"""WITH {c}, l AS (SELECT path AS repo, unnest(regexp_split_to_array(coalesce(text, ''), '{ends}')) AS x FROM c_content),
+            t AS (SELECT repo, regexp_replace(x, '^{text.SPACE_RE2}+|{text.SPACE_RE2}+$', '', 'g') AS x FROM l) SELECT repo, count(*) AS n FROM t WHERE x <> '' AND NOT starts_with(x, '#') GROUP BY repo""",
         "b3_tree_filter": f"WITH {f} SELECT path FROM c_files WHERE NOT regexp_matches(path, '(^|/)dist/') AND path NOT LIKE '%.md'",
         "b4_language": f"WITH {f} SELECT path, CASE WHEN lower(path) LIKE '%.py' THEN 'python' ELSE '?' END AS language FROM c_files",
         "b5_pending": r("SELECT node_id FROM pend"),
@@ -292,8 +295,9 @@ def oracle_sql() -> dict[str, str]:
             rc AS (SELECT seed, seed AS node_id FROM seed UNION SELECT rc.seed, i.src FROM rc JOIN imp i ON i.dst = rc.node_id)
             SELECT seed, count(*) AS n FROM rc GROUP BY seed""",
         "j2_results": r(", b AS (SELECT *, (row_number() OVER (ORDER BY node_id) - 1) // 50 AS batch FROM pend) SELECT node_id, concat('does ', name) AS summary FROM b WHERE batch % 5 <> 4"),
-        "j4_clean_patterns": f"""WITH {c}, t AS (SELECT doc_id, string_split(trim(coalesce(text, '')), chr(10)) AS x FROM c_content), u AS (SELECT doc_id, CAST(unnest(range(0, len(x))) AS INT) AS pos, unnest(x) AS raw0 FROM t),
-            v AS (SELECT doc_id, pos, regexp_replace(raw0, '^\\s+|\\s+$', '', 'g') AS raw FROM u), w AS (SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(raw, '^[-*](\\s+|$)', ''), '^[0-9]+[.](\\s+|$)', ''), '^\\s+|\\s+$', '', 'g') AS pattern
+        "j4_clean_patterns": f"""WITH {c}, t AS (SELECT doc_id, string_split({strip("coalesce(text, '')")}, chr(10)) AS x FROM c_content),
+            u AS (SELECT doc_id, CAST(unnest(range(0, len(x))) AS INT) AS pos, unnest(x) AS raw0 FROM t), v AS (SELECT doc_id, pos, {strip('raw0')} AS raw FROM u),
+            w AS (SELECT doc_id, pos, {strip(bare)} AS pattern
               FROM v WHERE raw <> '' AND raw NOT LIKE '```%' AND raw NOT LIKE '#%')
             SELECT doc_id, pos, pattern FROM w WHERE pattern <> '' AND (pattern LIKE '%/%' OR pattern LIKE '%*%' OR pattern LIKE '.%' OR pattern NOT LIKE '% %')""",
         "j5_transcripts": "SELECT conv_id, string_agg(concat('[', upper(role), ']', chr(10), text, chr(10)), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id",

@@ -4,24 +4,25 @@ Each is put behind the registry's common table expressions (``imp``, ``sym``, ``
 from __future__ import annotations
 
 _NL = "chr(10)"
+# The headings of the reports below, as operators/report.py has them.
 
 
 def _section(title: str, items: str) -> str:
     return f"CASE WHEN {items} IS NOT NULL THEN concat('{title}', {_NL}, {_NL}, {items}, {_NL}) END"
 
 
-def _io(out: str, inn: str) -> str:
+def _io(title: str, out: str, inn: str) -> str:
     both = f"concat_ws({_NL}, CASE WHEN {out} IS NOT NULL THEN concat('- Importiert: ', {out}) END, CASE WHEN {inn} IS NOT NULL THEN concat('- Wird importiert von: ', {inn}) END)"
-    return _section("## Abhängigkeiten:", f"nullif({both}, '')")
+    return _section(title, f"nullif({both}, '')")
 
 
 #: The enriched graph, and the children of each node as one text.
 _TOLD = f""", told AS (SELECT *, CASE WHEN start_line % 3 = 0 THEN concat('about ', name) END AS summary, start_line % 6 = 0 AS risky FROM sym),
- node AS (SELECT path AS node_id, 'file' AS type, path AS name, 1 AS rank, 0 AS at, NULL AS summary, false AS risky FROM c_files
+ node AS MATERIALIZED (SELECT path AS node_id, 'file' AS type, path AS name, 1 AS rank, 0 AS at, NULL AS summary, false AS risky FROM c_files
    UNION ALL SELECT node_id, type, name, 2, start_line, summary, risky FROM told UNION ALL SELECT node_id, 'package', name, 0, 0, NULL, false FROM pkg
    UNION ALL SELECT 'project::corpus', 'project', 'corpus', 2, 0, NULL, false UNION ALL SELECT DISTINCT dst, 'external_module', name, 2, 0, NULL, false FROM res WHERE strategy = 5),
- tree AS (SELECT src, dst FROM con UNION ALL SELECT src, dst FROM pcon),
- kid AS (SELECT t.src AS node_id, string_agg(concat('- **', n.name, '**', CASE WHEN n.summary <> '' THEN concat(' - ', n.summary) ELSE '' END), {_NL} ORDER BY n.rank, n.at, n.name, n.node_id) AS kids
+ tree AS MATERIALIZED (SELECT src, dst FROM con UNION ALL SELECT src, dst FROM pcon),
+ kid AS MATERIALIZED (SELECT t.src AS node_id, string_agg(concat('- **', n.name, '**', CASE WHEN n.summary <> '' THEN concat(' - ', n.summary) ELSE '' END), {_NL} ORDER BY n.rank, n.at, n.name, n.node_id) AS kids
    FROM tree t JOIN node n ON n.node_id = t.dst GROUP BY t.src)"""
 
 _SRC, _DST = (f"CASE WHEN {c} LIKE '%/%' THEN regexp_replace({c}, '/[^/]*$', '') END" for c in ("src", "dst"))
@@ -38,12 +39,12 @@ _PACKAGES = _TOLD + f""", j AS (SELECT i.src, i.dst, a.parent AS ps, b.parent AS
  outs AS (SELECT node_id, string_agg(x, ', ' ORDER BY x) AS outgoing FROM (SELECT DISTINCT ps AS node_id, dst AS x FROM j WHERE ps IS NOT NULL AND ps IS DISTINCT FROM pd) GROUP BY node_id),
  ins AS (SELECT node_id, string_agg(x, ', ' ORDER BY x) AS incoming FROM (SELECT DISTINCT pd AS node_id, src AS x FROM j WHERE pd IS NOT NULL AND ps IS DISTINCT FROM pd) GROUP BY node_id)
 SELECT node_id, concat_ws({_NL}, concat('# ', node_id, '/', {_NL}), {_section('## Module:', 'kids')}, {_section('## Interne Struktur:', 'inside')},
- {_io('outgoing', 'incoming').replace('Abhängigkeiten', 'Externe Schnittstellen')}) AS report
+ {_io('## Externe Schnittstellen:', 'outgoing', 'incoming')}) AS report
  FROM pkg LEFT JOIN kid USING (node_id) LEFT JOIN inner_ USING (node_id) LEFT JOIN outs USING (node_id) LEFT JOIN ins USING (node_id)"""
 
 _MODULES = _TOLD + f""", outs AS (SELECT src AS node_id, string_agg(dst, ', ' ORDER BY dst) AS outgoing FROM imp GROUP BY src),
  ins AS (SELECT node_id, string_agg(x, ', ' ORDER BY x) AS incoming FROM (SELECT dst AS node_id, concat(src, ' (1x)') AS x FROM imp) GROUP BY node_id)
-SELECT node_id, concat_ws({_NL}, concat('# ', node_id, {_NL}), {_section('## Enthält:', 'kids')}, {_io('outgoing', 'incoming')}) AS report
+SELECT node_id, concat_ws({_NL}, concat('# ', node_id, {_NL}), {_section('## Enthält:', 'kids')}, {_io('## Abhängigkeiten:', 'outgoing', 'incoming')}) AS report
  FROM node LEFT JOIN kid USING (node_id) LEFT JOIN outs USING (node_id) LEFT JOIN ins USING (node_id) WHERE type = 'file'"""
 
 _SYMBOLS = _TOLD + f""", caller AS (SELECT dst AS path, string_agg(concat('- ', src), {_NL} ORDER BY src) AS callers FROM imp GROUP BY dst)

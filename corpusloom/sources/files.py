@@ -19,7 +19,7 @@ def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = []
             for top, dirs, names in os.walk(os.path.join(root, seed)):
                 dirs[:] = [d for d in dirs if d not in (".git", ".venv", "__pycache__")]
-                for name in names if seed or top == os.path.join(root, "") else names:
+                for name in names:
                     full = os.path.join(top, name)
                     try:
                         info = os.stat(full)
