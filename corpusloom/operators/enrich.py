@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import fence, file_of
 from ..functions.text import STRICT, json_in
+from .extract import snippets
 from .ignore import last_of
+from .packages import batches
 
 # The prompts' wording.
 SYSTEM = "You are a code analysis assistant. Analyze the following code elements and return a JSON array with summary and risks for each."
@@ -19,6 +23,8 @@ HEAD = "Analyze these code elements:"
 TAIL = 'Return JSON array: [{"node_id": "...", "summary": "...", "risks": ["..."]}]'
 ROLL_SYSTEM = "You are a code analysis assistant. Summarize the following child components into a single cohesive summary for the parent. Return JSON: [{\"node_id\": \"...\", \"summary\": \"...\"}]"
 
+_LEDGER = "key string, response string, error string"
+
 
 def pending(nodes: DataFrame) -> DataFrame:
     """Functions and classes that were never enriched."""
@@ -38,15 +44,14 @@ def prompts(batched: DataFrame, with_code: bool = True) -> DataFrame:
     return g.select("repo", "batch", F.concat_ws("\n", F.lit(HEAD + "\n"), F.array_join(items, "\n"), F.lit(TAIL)).alias("prompt"))
 
 
-def call_model(rows: DataFrame, send: Callable[[str, str], str], system: str = SYSTEM, tries: int = 3, wait: float = 1.0) -> DataFrame:
-    """(repo, batch, response, error): ``send(system, prompt)`` for each row, retried with
-    doubled waits; a failing batch leaves the others alone. Write the result before use,
-    so that no retry of a later stage calls again."""
+def answered(rows: DataFrame, send: Callable[[str, str], str], system: str = SYSTEM, tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """``rows`` (with prompt) with response and error: ``send(system, prompt)`` for each
+    row, retried with doubled waits; a failing one leaves the others alone."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for repo, batch, prompt in zip(frame["repo"], frame["batch"], frame["prompt"], strict=True):
+            got = []
+            for prompt in frame["prompt"]:
                 answer = error = None
                 for k in range(tries):
                     try:
@@ -55,10 +60,61 @@ def call_model(rows: DataFrame, send: Callable[[str, str], str], system: str = S
                     except Exception as e:  # noqa: BLE001  a model may fail in any way
                         error = f"{type(e).__name__}: {e}"
                         time.sleep(wait * 2**k if k + 1 < tries else 0)
-                out.append((repo, batch, answer, error))
-            yield pd.DataFrame(out, columns=["repo", "batch", "response", "error"])
+                got.append((answer, error))
+            yield frame.assign(response=[x[0] for x in got], error=[x[1] for x in got])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
+    return rows.mapInPandas(run, schema)
 
-    return rows.select("repo", "batch", "prompt").mapInPandas(run, "repo string, batch long, response string, error string")
+
+def call_model(rows: DataFrame, send: Callable[[str, str], str], system: str = SYSTEM, tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """(repo, batch, response, error) of rows (repo, batch, prompt). Write the result before
+    use, or use ``ask``, so that no retry of a later stage calls again."""
+    return answered(rows.select("repo", "batch", "prompt"), send, system, tries, wait).drop("prompt")
+
+
+def _prompt_key(system: str) -> Column:
+    return F.sha2(F.concat(F.lit(system + "\0"), "prompt"), 256)
+
+
+def ledger_answers(spark: SparkSession, ledger: str) -> DataFrame:
+    """(key, response): what the model has said before, by the hash of what it was asked."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        return spark.createDataFrame([], "key string, response string")
+    rows = spark.read.schema(_LEDGER).option("recursiveFileLookup", "true").parquet(ledger)
+    return rows.filter("response IS NOT NULL").groupBy("key").agg(F.min("response").alias("response"))
+
+
+def ask(
+    rows: DataFrame, send: Callable[[str, str], str], ledger: str, cut, system: str = SYSTEM,
+    at_once: int = 8, per_round: int = 1000, tries: int = 3, wait: float = 1.0,
+) -> DataFrame:
+    """``rows`` (with prompt, not null) with response and error. Answers are kept in the
+    folder ``ledger`` under a hash of system and prompt: what was answered once, in this
+    run or another, isn't asked again, and equal prompts are asked once. ``at_once`` calls
+    run at a time; after each round of about ``per_round`` calls the answers are written,
+    so that a lost executor costs its own calls of one round. Failures aren't kept as
+    answers: the next run asks these again."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("key__", _prompt_key(system))
+    told = ledger_answers(spark, ledger).withColumnRenamed("key", "key__")
+    todo = cut(rows.select("key__", "prompt").dropDuplicates(["key__"]).join(told, "key__", "left_anti"))
+    n = todo.count()
+    rounds = max(1, -(-n // per_round))
+    failed = []
+    for k in range(rounds if n else 0):
+        part = todo.filter(F.pmod(F.xxhash64("key__"), F.lit(rounds)) == k).repartition(at_once)
+        path = f"{ledger.rstrip('/')}/{uuid.uuid4().hex}"
+        answered(part, send, system, tries, wait).select(F.col("key__").alias("key"), "response", "error").write.parquet(path)
+        failed.append(path)
+    out = rows.join(ledger_answers(spark, ledger).withColumnRenamed("key", "key__"), "key__", "left")
+    if failed:
+        errors = spark.read.schema(_LEDGER).parquet(*failed).filter("response IS NULL").select(F.col("key").alias("key__"), "error")
+        out = out.join(errors, "key__", "left")
+    else:
+        out = out.withColumn("error", F.lit(None).cast("string"))
+    return out.drop("key__")
 
 
 def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,3 +152,28 @@ def roll_up_answer(response, node_id):
     """The summary for ``node_id`` in a strictly JSON answer, else null."""
     rows = F.from_json(response, "array<struct<node_id:string,summary:string>>", STRICT)
     return F.get(F.filter(rows, lambda x: x["node_id"] == node_id), F.lit(0))["summary"]
+
+
+def enrich_with_model(
+    nodes: DataFrame, texts: DataFrame, send: Callable[[str, str], str], ledger: str, cut, batch_size: int = 10, **calls
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, failed batches): summaries and risks for the symbols that have none, asked
+    for in batches with their code from ``texts`` (repo, path, text). ``calls`` goes to
+    ``ask``."""
+    todo = pending(nodes).withColumn("path", file_of(F.col("node_id")))
+    batched = batches(cut(snippets(todo, texts)), batch_size, cut)
+    said = cut(ask(prompts(batched), send, ledger, cut, SYSTEM, **calls))
+    results, odd = parse_responses(said.filter("error IS NULL"))
+    failed = said.filter("error IS NOT NULL").select("repo", "batch", "error").unionByName(odd.select("repo", "batch", F.lit("no JSON array").alias("error")))
+    return merge_results(nodes, results), failed
+
+
+def model_summaries(send: Callable[[str, str], str], ledger: str, cut, **calls) -> Callable[[DataFrame], DataFrame]:
+    """For ``roll_up`` and ``roll_up_again``: one call for each parent, its answer if it is
+    strict JSON that names the parent."""
+
+    def answer(parents: DataFrame) -> DataFrame:
+        said = ask(roll_up_prompts(parents), send, ledger, cut, ROLL_SYSTEM, **calls)
+        return said.select("repo", "node_id", roll_up_answer(F.col("response"), F.col("node_id")).alias("summary"))
+
+    return answer

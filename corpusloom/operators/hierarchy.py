@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,33 +44,81 @@ def joined_summary(children: Column) -> Column:
     return F.array_join(F.transform(children, lambda x: F.concat_ws(": ", x["id"], x["summary"])), "; ")
 
 
-def roll_up(nodes: DataFrame, edges: DataFrame, cut, summarise=joined_summary) -> DataFrame:
-    """Summaries from the deepest level up: each node takes those of its children that
-    aren't empty; without any it stays as it is. ``summarise`` maps the ordered array
-    of (id, summary) to a column; ``cut`` writes a level's rows and reads them again."""
+def _climb(nodes: DataFrame, edges: DataFrame, cut, answer: Callable[[DataFrame], DataFrame], start: DataFrame | None) -> list[DataFrame]:
+    """What ``answer`` says about the nodes of each level, (repo, node_id, summary, old),
+    from the deepest up. With ``start`` (repo, node_id) only those above a node of it, or
+    above one whose summary has changed, are asked about."""
     top = nodes.agg(F.max("level")).first()[0]
     kids = edges.filter(F.col("relationship") == CONTAINS).select("repo", "src", "dst")
-    known = cut(nodes.filter("summary <> ''").select("repo", "node_id", "summary"))
-    parents = cut(nodes.filter("level IS NOT NULL").join(kids.select("repo", F.col("src").alias("node_id")).distinct(), ["repo", "node_id"], "left_semi").select("repo", "node_id", "level"))
-    fresh = []  # one small table for each level; a node's children stand one level below it
+    known = cut(nodes.filter("summary <> ''").select("repo", F.col("node_id").alias("dst"), F.col("summary").alias("old__")))
+    parents = nodes.filter("level IS NOT NULL").join(kids.select("repo", F.col("src").alias("node_id")).distinct(), ["repo", "node_id"], "left_semi")
+    parents = cut(parents.select("repo", "node_id", "type", "name", "level", "summary"))
+    changed = None if start is None else cut(start.select("repo", "node_id").distinct())
+    levels: list[DataFrame] = []
     for level in range((top or 0) - 1, -1, -1):
-        child = known
-        if fresh:
-            child = known.join(fresh[-1], ["repo", "node_id"], "left_anti").unionByName(fresh[-1])
-        parent = parents.filter(F.col("level") == level).select("repo", F.col("node_id").alias("src"))
-        told = kids.join(parent, ["repo", "src"], "left_semi").join(child.select("repo", F.col("node_id").alias("dst"), "summary"), ["repo", "dst"])
-        new = told.groupBy("repo", F.col("src").alias("node_id")).agg(
-            summarise(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("id"), "summary")))).alias("summary")
-        )
-        fresh.append(cut(new))
-    for k, new in enumerate(fresh):
-        all_new = new if k == 0 else all_new.unionByName(new)
-    if not fresh:
+        parent = parents.filter(F.col("level") == level)
+        if changed is not None:
+            above = kids.join(changed.withColumnRenamed("node_id", "dst"), ["repo", "dst"], "left_semi").select("repo", F.col("src").alias("node_id"))
+            parent = parent.join(above.unionByName(changed).distinct(), ["repo", "node_id"], "left_semi")
+        told = kids.join(parent.select("repo", F.col("node_id").alias("src")), ["repo", "src"], "left_semi").join(known, ["repo", "dst"], "left")
+        now = F.col("old__")
+        if levels:  # what the deeper levels have got stands before what they had
+            fresh = levels[0]
+            for x in levels[1:]:
+                fresh = fresh.unionByName(x)
+            told = told.join(fresh.select("repo", F.col("node_id").alias("dst"), F.col("summary").alias("new__")), ["repo", "dst"], "left")
+            now = F.coalesce("new__", "old__")
+        told = told.select("repo", F.col("src").alias("node_id"), F.col("dst").alias("id"), now.alias("summary")).filter("summary <> ''")
+        lists = told.groupBy("repo", "node_id").agg(F.sort_array(F.collect_list(F.struct("id", "summary"))).alias("children"))
+        asked = parent.withColumnRenamed("summary", "old").join(lists, ["repo", "node_id"])
+        said = answer(asked).select("repo", "node_id", F.col("summary").alias("said__"))
+        # no answer: the node keeps its summary, and that goes up
+        got = cut(asked.join(said, ["repo", "node_id"], "left").select("repo", "node_id", "said__", "old")).withColumnRenamed("said__", "summary")
+        levels.append(got.filter("summary IS NOT NULL"))
+        if changed is not None:
+            more = levels[-1].filter(~F.col("summary").eqNullSafe(F.col("old"))).select("repo", "node_id")
+            changed = changed.unionByName(more)
+    return levels
+
+
+def _by_column(summarise) -> Callable[[DataFrame], DataFrame]:
+    return lambda asked: asked.select("repo", "node_id", summarise(F.col("children")).alias("summary"))
+
+
+def _with_summaries(nodes: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    if not levels:
         return nodes
-    j = nodes.join(all_new.withColumnRenamed("summary", "new__"), ["repo", "node_id"], "left")
+    fresh = levels[0]
+    for x in levels[1:]:
+        fresh = fresh.unionByName(x)
+    j = nodes.join(fresh.select("repo", "node_id", F.col("summary").alias("new__")), ["repo", "node_id"], "left")
     return j.select(*[F.coalesce("new__", "summary").alias(c) if c == "summary" else F.col(c) for c in nodes.columns])
 
 
+def roll_up(nodes: DataFrame, edges: DataFrame, cut, summarise=joined_summary, answer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Summaries from the deepest level up: each node takes those of its children that
+    aren't empty; without any it stays as it is. ``summarise`` maps the ordered array
+    of (id, summary) to a column; or ``answer`` maps rows (repo, node_id, type, name,
+    children) to (repo, node_id, summary), and rows that it leaves out, or null, failed:
+    these nodes keep what they had, and the others of their level aren't held up.
+    ``cut`` writes a level's rows and reads them again."""
+    return _with_summaries(nodes, _climb(nodes, edges, cut, answer or _by_column(summarise), None))
+
+
+def roll_up_again(
+    nodes: DataFrame, edges: DataFrame, changed: DataFrame, cut, summarise=joined_summary, answer: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, summarised again) after a change: only nodes above ``changed`` (repo,
+    node_id: nodes that have come, that have another summary, or that have lost a child),
+    and further up only while a summary comes out different. The summaries are those of
+    roll_up over all nodes, for a summariser that says the same of the same children."""
+    levels = _climb(nodes, edges, cut, answer or _by_column(summarise), changed)
+    again = nodes.select("repo", "node_id", F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("old")).limit(0)
+    for x in levels:
+        again = again.unionByName(x)
+    return _with_summaries(nodes, levels), again
+
+
 def contained_by(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(repo, child, parent) for parents that are packages."""
     packages = nodes.filter("type = 'package'").select("repo", F.col("node_id").alias("parent"))
@@ -77,5 +127,5 @@ def contained_by(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "contained_by", "containment_edges", "joined_summary", "last_of", "package_nodes", "project_nodes", "roll_up", "with_levels",
+    "contained_by", "containment_edges", "joined_summary", "last_of", "package_nodes", "project_nodes", "roll_up", "roll_up_again", "with_levels",
 ]
