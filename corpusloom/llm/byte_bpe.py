@@ -24,7 +24,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from .wordhash import SLICE_BYTES, span_hashes, text_slices
 
 #: Bytes of distinct pieces that a worker remembers the ids of.
-REMEMBERED = 1 << 22
+REMEMBERED = 1 << 21
 #: Bytes from which a piece is merged alone, and pieces merged together.
 LONG_PIECE, TOGETHER = 64, 4096
 _NO_PAIR = 1 << 62
@@ -63,19 +63,24 @@ class Vocabulary:
         self.start = np.cumsum(self.length) - self.length
         self.flat = np.frombuffer(b"".join(by_id), dtype=np.uint8)
         self.of_byte = np.array([self.ranks[bytes([k])] for k in range(256)])
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of ids that make a token, in order, and its rank; only encoding needs them."""
         get = self.ranks.get
         halves = ((get(x[:k]), get(x[k:]), r) for x, r in self.ranks.items() for k in range(1, len(x)))
         pairs = np.array([(a << 32 | b, r) for a, b, r in halves if a is not None and b is not None])
         pairs = pairs[np.argsort(pairs[:, 0])]
-        self.pair_keys, self.pair_ranks = pairs[:, 0].copy(), pairs[:, 1].copy()
-        self.known: dict[bytes, bytes] = {}
-        self.held = 0
+        return pairs[:, 0].copy(), pairs[:, 1].copy()
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that two ids make, -1 where there is none."""
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+        keys, ranks = self.pairs
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, ranks[at], -1)
 
     def ids(self, pieces: list[bytes]) -> list[bytes]:
         """The packed ids of distinct pieces."""
