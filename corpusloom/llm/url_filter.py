@@ -7,10 +7,11 @@ are edges between urls, their connected components are found by distributed
 star contraction, and a block of any member blocks the whole component, but for
 urls that a rule allows explicitly.
 
-All tags of a page are read. Targets are decoded (the entities of HTML's own marks) and
-resolved against the page's url: absolute, ``//host``, ``/path``, ``?query`` and
-relative ones with dot segments. For aliases urls count as equal but for the case of
-scheme and host and for fragments.
+All tags of a page are read, but for those in comments, scripts, styles and text areas.
+Targets are decoded (numeric entities and those of HTML's own marks, once) and resolved
+against the page's first ``<base href>`` or else its url: absolute, ``//host``,
+``/path``, ``?query`` and relative ones with dot segments. For aliases urls count as
+equal but for the case of scheme and host and for fragments.
 
 Only DataFrame functions run here. Defined results: a null url or one without
 ``://`` has empty host and path, fits no rule and has no aliases; rows that
@@ -35,8 +36,29 @@ _CANONICAL = r"(?i)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"
 _REFRESH = r"(?i)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"
 _HREF = r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
 _URL = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
-# Entities of HTML's own marks, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+_BASE = r"(?i)<base\b[^>]*?\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+#: Stretches of html whose tags don't count, up to their end or the page's.
+_NO_TAGS = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style|textarea)\b.*?(?:</(?:script|style|textarea)\s*>|\z)"
+_ENTITY = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|lt;|gt;|quot;|apos;|amp;)"
+# Entities of HTML's own marks.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def unescaped(text: Column) -> Column:
+    """Text with its entities decoded, each once; numbers of no character as U+FFFD."""
+    found = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+
+    def mark(entity: Column) -> Column:
+        digits = F.regexp_extract(entity, "^&#([0-9]+)", 1)
+        n = F.when(digits != "", digits.cast("int")).otherwise(F.conv(F.regexp_extract(entity, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("int"))
+        n = F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), 0xFFFD).otherwise(n)
+        out = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        for name, sign in ENTITIES:
+            out = F.when(entity == name, sign).otherwise(out)
+        return out
+
+    parts = F.transform(F.split(text, _ENTITY, -1), lambda x, i: F.concat(x, F.coalesce(mark(F.get(found, i)), F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
 
 
 def host_of(url: Column) -> Column:
@@ -82,9 +104,7 @@ def _dots_resolved(path: Column) -> Column:
 
 def resolved(url: Column, target: Column) -> Column:
     """A link's target as an absolute url; null where it has none."""
-    for entity, mark in ENTITIES:
-        target = F.replace(target, F.lit(entity), F.lit(mark))
-    target = F.regexp_replace(target, "#.*$", "")
+    target = F.regexp_replace(unescaped(target), "#.*$", "")
     base = F.regexp_extract(url, r"^(?s)([^?#]*)", 1)
     above = F.regexp_replace(F.regexp_extract(base, r"^(?s).*?://[^/]*(/.*)?$", 1), "[^/]*$", "")
     path, query = F.regexp_extract(target, r"^([^?]*)", 1), F.regexp_extract(target, r"^[^?]*(.*)$", 1)
@@ -107,9 +127,11 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     hinted = pages.filter("url LIKE '%://%' AND html IS NOT NULL").filter(
         F.col("html").rlike(r"(?i)\bcanonical\b|\brefresh\b")
     )
-    tags = hinted.select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag"))
+    clean = hinted.select("url", F.regexp_replace("html", _NO_TAGS, " ").alias("html"))
+    base = resolved(F.col("url"), F.nullif(F.regexp_extract("html", _BASE, 1), F.lit("")))
+    tags = clean.select("url", F.coalesce(base, "url").alias("base"), F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag"))
     target = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", _HREF, 1)).when(F.col("tag").rlike(_REFRESH), F.regexp_extract("tag", _URL, 1))
-    found = tags.select("url", resolved(F.col("url"), target).alias("target")).filter("target LIKE '%://%'")
+    found = tags.select("url", resolved(F.col("base"), target).alias("target")).filter("target LIKE '%://%'")
     return found.select(alias_key(F.col("url")).alias("u"), alias_key(F.col("target")).alias("v")).filter("u <> v")
 
 
@@ -138,25 +160,37 @@ def judge_urls(pages: DataFrame, edges: DataFrame | None = None, rules: tuple =
 
 def _sql() -> str:
     key = r"concat(translate(regexp_extract({0}, '^((?s:.*?)://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), regexp_extract({0}, '^(?s:.*?)://[^/?#]*([^#]*)', 1))"
-    decoded = "raw"
-    for entity, mark in ENTITIES:
-        decoded = f"replace({decoded}, '{entity}', '{mark.replace(chr(39), chr(39) * 2)}')"
+    marks = " ".join(f"WHEN '{e}' THEN '{m.replace(chr(39), chr(39) * 2)}'" for e, m in ENTITIES)
+
+    def resolve(name: str, source: str) -> str:
+        """``name`` (url, target): raw of ``source`` (url, via, raw) resolved against via."""
+        return rf"""
+{name}0 AS (SELECT url, via, string_split_regex(raw, '{_ENTITY}') AS parts, regexp_extract_all(raw, '{_ENTITY}') AS ents FROM {source} WHERE raw <> ''),
+{name}1 AS (SELECT url, via, parts, list_transform(ents, lambda e: CASE e {marks} ELSE chr(CASE WHEN num(e) = 0 OR num(e) > 1114111 OR num(e) BETWEEN 55296 AND 57343 THEN 65533 ELSE num(e) END) END) AS marks FROM {name}0),
+{name}2 AS (SELECT url, via, regexp_replace(array_to_string(list_transform(parts, lambda x, i: concat(x, coalesce(marks[i], ''))), ''), '#.*$', '') AS t, regexp_extract(via, '^([^?#]*)', 1) AS base FROM {name}1),
+{name}3 AS (SELECT *, regexp_extract(t, '^([^?]*)', 1) AS tp, regexp_extract(t, '^[^?]*(.*)$', 1) AS tq,
+    regexp_replace(regexp_extract(base, '^(?s:.*?)://[^/]*(/.*)?$', 1), '[^/]*$', '') AS above FROM {name}2),
+{name}4 AS (SELECT *, string_split(CASE WHEN starts_with(tp, '/') THEN tp WHEN above = '' THEN concat('/', tp) ELSE concat(above, tp) END, '/') AS s FROM {name}3),
+{name}5 AS (SELECT *, list_reduce(list_transform(s, lambda q: [q]), lambda m, q: CASE WHEN q[1] = '..' THEN CASE WHEN len(m) > 1 THEN m[:len(m) - 1] ELSE m END
+    WHEN q[1] = '.' THEN m ELSE list_concat(m, q) END) AS k FROM {name}4),
+{name} AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN t = '' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '//') THEN concat(regexp_extract(via, '^((?s:.*?):)//', 1), t) WHEN starts_with(t, '?') THEN concat(base, t)
+    ELSE concat(regexp_extract(via, '^((?s:.*?)://[^/?#]*)', 1), array_to_string(k, '/'), CASE WHEN s[-1] IN ('.', '..') THEN '/' ELSE '' END, tq) END AS target FROM {name}5),""".replace(
+            "num(e)", "CASE WHEN e[3:3] IN ('x', 'X') THEN CAST(concat('0x', rtrim(e[4:], ';')) AS INT) ELSE CAST(rtrim(e[3:], ';') AS INT) END"
+        )
+
+    no_tags = _NO_TAGS.replace("'", "''")
     return r"""
-WITH RECURSIVE b AS (SELECT page_id, url, html,
+WITH RECURSIVE b AS (SELECT page_id, url, regexp_replace(html, '""" + no_tags + r"""', ' ', 'g') AS html,
     translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-g AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM b WHERE url LIKE '%://%'),
-w AS (SELECT url, CASE WHEN regexp_matches(tag, '(?i)^<link\b(?s:.*)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+c AS (SELECT row_number() OVER () AS at_row, url, html FROM b WHERE url LIKE '%://%'),
+bs AS (SELECT CAST(at_row AS VARCHAR) AS url, url AS via, regexp_extract(html, '""" + _BASE.replace("'", "''") + r"""', 1) AS raw FROM c),
+""" + resolve("bl", "bs") + r"""
+g AS (SELECT c.url, coalesce(bl.target, c.url) AS via, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM c LEFT JOIN bl ON bl.url = CAST(c.at_row AS VARCHAR)),
+w AS (SELECT url, via, CASE WHEN regexp_matches(tag, '(?i)^<link\b(?s:.*)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
     WHEN regexp_matches(tag, '(?i)^<meta\b(?s:.*)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS raw FROM g),
-x AS (SELECT url, regexp_replace(""" + decoded + r""", '#.*$', '') AS t, regexp_extract(url, '^([^?#]*)', 1) AS base FROM w WHERE raw IS NOT NULL),
-y AS (SELECT *, regexp_extract(t, '^([^?]*)', 1) AS tp, regexp_extract(t, '^[^?]*(.*)$', 1) AS tq,
-    regexp_replace(regexp_extract(base, '^(?s:.*?)://[^/]*(/.*)?$', 1), '[^/]*$', '') AS above FROM x),
-z AS (SELECT *, string_split(CASE WHEN starts_with(tp, '/') THEN tp WHEN above = '' THEN concat('/', tp) ELSE concat(above, tp) END, '/') AS s FROM y),
-d AS (SELECT *, list_reduce(list_transform(s, lambda q: [q]), lambda m, q: CASE WHEN q[1] = '..' THEN CASE WHEN len(m) > 1 THEN m[:len(m) - 1] ELSE m END
-    WHEN q[1] = '.' THEN m ELSE list_concat(m, q) END) AS k FROM z),
-l AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN t = '' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
-    WHEN starts_with(t, '//') THEN concat(regexp_extract(url, '^((?s:.*?):)//', 1), t) WHEN starts_with(t, '?') THEN concat(base, t)
-    ELSE concat(regexp_extract(url, '^((?s:.*?)://[^/?#]*)', 1), array_to_string(k, '/'), CASE WHEN s[-1] IN ('.', '..') THEN '/' ELSE '' END, tq) END AS target FROM d),
+""" + resolve("l", "w") + r"""
 p AS (SELECT """ + key.format("url") + " AS u, " + key.format("target") + r""" AS v FROM l WHERE target LIKE '%://%'),
 e AS (SELECT u, v FROM p WHERE u <> v UNION SELECT v, u FROM p WHERE u <> v),
 n AS (SELECT u AS url, translate(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -289,6 +289,33 @@ def test_url_aliases(spark):
     assert [(a, e) for a, *_, e in sorted(con.execute(url_filter.URL_SQL).fetchall())] == got
 
 
+def test_url_links_as_browsers_read_them(spark):
+    """Base, comments, scripts and entities, and the same by SQL."""
+    import duckdb
+
+    can = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://a.com/1", '<base target=x><base href="http://b.net/"><base href="http://c.com/">' + can.format("y"), "block"),
+        (2, "http://a.com/2", "<!-- " + can.format("http://b.net/") + " -->", "allow"),
+        (3, "http://a.com/3", "<!-- x --> " + can.format("http:&#x2F;&#x2f;b.net&#47;"), "block"),
+        (4, "http://a.com/4", "<script>'" + can.format("http://b.net/") + "'</script><style>" + can.format("http://b.net/"), "allow"),
+        (5, "http://a.com/5", "<SCRIPT>x</SCRIPT >" + can.format("//b.net/?a=1&#38;amp;b"), "block"),
+        (6, "http://a.com/6", can.format("/t?x=1&#38;amp;b"), "block"),
+        (7, "http://a.com/t?x=1&amp;b", can.format("http://b.net/"), "block"),
+        (8, "http://a.com/t?x=1&b", "", "allow"),
+        (9, "http://a.com/9", '<base href="/dir/x">' + can.format("../&#233;&#xE9;&#128512;&#0;"), "block"),
+        (10, "http://a.com/éé\U0001f600\ufffd", can.format("http://b.net/9"), "block"),
+        (11, "http://a.com/11", "<!-- never closed " + can.format("http://b.net/"), "allow"),
+        (12, "http://a.com/12", '<base href="">' + can.format("?q&quot;"), "allow"),
+    ]
+    p = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    want = [(r[0], r[3]) for r in rows]
+    assert [(r.page_id, r.verdict) for r in url_filter.judge_urls(p).orderBy("page_id").collect()] == want
+    con = duckdb.connect()
+    con.register("pages", p.toPandas())
+    assert [(a, e) for a, *_, e in sorted(con.execute(url_filter.URL_SQL).fetchall())] == want
+
+
 def _warc(i, url, html):
     body = (html or "").encode()
     head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {url or ''}\r\nContent-Length: {len(body)}\r\n\r\n"
