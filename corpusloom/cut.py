@@ -4,29 +4,50 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame
-
+from pyspark.sql import DataFrame, SparkSession
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and read it again, which cuts lineage.
-    Only where that setting is unset and the master is local a folder of our own is made
-    and set. The shuffle files of the write go when it has ended."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Only where that setting is unset and the master is local a
+    folder of our own is made and set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-corpusloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/corpusloom/{label}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` in the shared folder and read it again, which cuts lineage. The shuffle
+    files of the write go when it has ended; the setting for that is the session's, so
+    queries that run beside in one session share it while a write runs."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
     old = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.unset(SHUFFLE_CLEANUP) if old is None else spark.conf.set(SHUFFLE_CLEANUP, old)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

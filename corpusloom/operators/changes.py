@@ -46,6 +46,15 @@ def detect_changes(feed: DataFrame | None = None, current: DataFrame | None = No
     return diff_hashes(current, stored)
 
 
+def detect_by_repo(feed: DataFrame, current: DataFrame, stored: DataFrame) -> DataFrame:
+    """(repo, path, status) for many repositories at once: of those with rows in ``feed``
+    (repo, line), as their base commit is known, the feed tells; of the others the hashes."""
+    told = parse_feed(feed, "repo").select("repo", "path", "status").distinct()
+    known = feed.select("repo").distinct()
+    others = lambda rows: rows.join(known, "repo", "left_anti")
+    return told.unionByName(diff_hashes(others(current), others(stored)))
+
+
 def change_totals(changes: DataFrame) -> DataFrame:
     return changes.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 

@@ -60,12 +60,22 @@ def build(tables: Versions, files: DataFrame, symbols: DataFrame, imports: DataF
     })
 
 
-def update(tables: Versions, batch: int, changes: DataFrame, live: DataFrame, symbols: DataFrame, imports: DataFrame, cut: Cut, whole: bool = False) -> dict[str, int] | None:
+def update(
+    tables: Versions, batch: int, changes: DataFrame, live: DataFrame, symbols: DataFrame, imports: DataFrame, cut: Cut, whole: bool = False,
+    release: Callable[..., None] | None = None,
+) -> dict[str, int] | None:
     """Apply ``changes`` (repo, path, status). ``live`` is the inventory of those changed
     paths that exist now, ``symbols`` and ``imports`` what these files hold. Returns the
-    counts removed, added and imports, or None if the batch was applied before."""
+    counts removed, added and imports, or None if the batch was applied before. The
+    tables that ``cut`` wrote on the way are given to ``release`` at the end."""
     if tables.is_done(batch):
         return None
+    write, scratch = cut, []
+
+    def cut(rows: DataFrame, label: str) -> DataFrame:
+        scratch.append(write(rows, label))
+        return scratch[-1]
+
     touched = cut(changes.select("repo", "path").distinct(), "touched")
     at = tables.only(touched, "path")
     old = cut(tables.read("files", at).join(touched, ["repo", "path"], "left_semi"), "old")
@@ -106,8 +116,10 @@ def update(tables: Versions, batch: int, changes: DataFrame, live: DataFrame, sy
         },
         whole,
     )
-    n = now.count()
-    return {"removed": old.count(), "added": n + defined.count(), "imports": asked.count()} if done else None
+    counts = {"removed": old.count(), "added": now.count() + defined.count(), "imports": asked.count()}
+    if release:
+        release(*scratch)
+    return counts if done else None
 
 
 def tell(tables: Versions, batch: int, results: DataFrame) -> bool:

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cut import written
+from .cut import fresh_path, release, written
 from .corpus import ctes, view
 from .functions import paths, text
-from .operators import changes, enrich, extract, graph, hierarchy, ignore, packages, report, traverse, tree, update
+from .operators import changes, enrich, extract, graph, hierarchy, ignore, incremental, packages, report, traverse, tree, update
 from .plans.build import build_graph
 from .report_sql import report_sql
 from .sources import files as sources
@@ -82,12 +82,8 @@ def _imports(s: SparkSession, d: str) -> DataFrame:
     return graph.import_edges(graph.resolve_imports(view(s, d, "c_imports"), view(s, d, "c_files")))
 
 
-def _seeds(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "c_files").filter("path LIKE '%.py' AND file_key % 100 = 9").select("repo", F.col("path").alias("seed"))
-
-
 def _query_set(s: SparkSession, d: str) -> DataFrame:
-    """The files whose dependents are asked for in full: ids divisible by 50."""
+    """The files that traversals start from: ids divisible by 50."""
     return view(s, d, "c_files").filter("file_key % 50 = 0").select("repo", F.col("path").alias("seed"))
 
 
@@ -98,15 +94,78 @@ def _changes(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "c_files").select("repo", "path", status.alias("status")).filter("status IS NOT NULL")
 
 
-def _updated(s: SparkSession, d: str, repair: bool) -> tuple[DataFrame, DataFrame]:
+def _updated(s: SparkSession, d: str, repair: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     ch, all_files = _changes(s, d), written(_files(s, d), "files")
     before = all_files.join(ch.filter("status = 'A'"), ["repo", "path"], "left_anti")
     after = all_files.join(ch.filter("status = 'D'"), ["repo", "path"], "left_anti")
     sym, imp = written(view(s, d, "c_symbols"), "symbols"), written(view(s, d, "c_imports"), "imports")
     inside = lambda rows, f, c: rows.join(f.select("repo", F.col("path").alias(c)), ["repo", c], "left_semi")
     nodes, edges = build_graph(before, inside(sym, before, "path"), inside(imp, before, "src"), None, written)
-    n, e, _ = update.update_graph(written(nodes, "n"), written(edges, "e"), ch, after, inside(sym, after, "path"), inside(imp, after, "src"), repair)
-    return n, e
+    return update.update_graph(written(nodes, "n"), written(edges, "e"), ch, after, inside(sym, after, "path"), inside(imp, after, "src"), repair)
+
+
+def _versioned(s: SparkSession, d: str) -> incremental.Versions:
+    """The files before the changes as a full build, then the changes in three batches,
+    the second one handed over twice."""
+    tables = incremental.graph_tables(s, fresh_path(s, "graph"), buckets=16)
+    rows = view(s, d, "c_files").select("repo", "path", "size", F.expr("size div 4").alias("token_est"), F.sha2("path", 256).alias("sha256"), (F.col("file_key") % 3).alias("part"))
+    all_files, ch = written(rows, "files"), written(_changes(s, d), "changes")
+    sym, imp = written(view(s, d, "c_symbols"), "symbols"), written(view(s, d, "c_imports"), "imports")
+    inside = lambda rows, f, c: rows.join(f.select("repo", F.col("path").alias(c)), ["repo", c], "left_semi")
+    before = all_files.join(ch.filter("status = 'A'"), ["repo", "path"], "left_anti").drop("part")
+    incremental.build(tables, before, inside(sym, before, "path"), inside(imp, before, "src"), written)
+    for k in (1, 2, 2, 3):
+        some = ch.join(all_files.filter(F.col("part") == k - 1).select("repo", "path"), ["repo", "path"], "left_semi")
+        live = inside(all_files.drop("part"), some.filter("status <> 'D'"), "path")
+        incremental.update(tables, k, some, live, inside(sym, live, "path"), inside(imp, live, "src"), written, release=release)
+    return tables
+
+
+def _versioned_graph(s: SparkSession, d: str) -> DataFrame:
+    tables = _versioned(s, d)
+    row = lambda df, kind, a, b, c: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), c.alias("c"))
+    n = row(incremental.nodes(tables, PROJECT), "node", "node_id", "type", F.coalesce(F.col("level").cast("string"), F.lit("-")))
+    e = row(incremental.edges(tables, PROJECT), "edge", "src", "dst", F.col("relationship"))
+    return n.unionByName(e).unionByName(row(tables.read("files"), "hash", "path", "sha256", F.lit("")))
+
+
+def _count_parts(system: str, prompt: str) -> str:
+    """A model for the queries: it counts the children, and is down for some parents."""
+    node = prompt.rsplit("node_id: ", 1)[1]
+    if len(node) % 7 == 3:
+        raise ValueError("down")
+    n = sum(line.startswith("- ") for line in prompt.split("\n"))
+    return f'[{{"node_id": "{node}", "summary": "{n} parts"}}]'
+
+
+def _model_roll_up(s: SparkSession, d: str) -> DataFrame:
+    answer = enrich.model_summaries(_count_parts, fresh_path(s, "ledger"), written, wait=0, per_round=20_000)
+    return hierarchy.roll_up(*_enriched(s, d), written, answer=answer).filter("type IN ('file', 'package', 'project') AND summary IS NOT NULL").select("node_id", "summary")
+
+
+def _roll_up_again(s: SparkSession, d: str) -> DataFrame:
+    """All summaries, then some symbols get others and what stands above them follows."""
+    nodes, edges = _enriched(s, d)
+    edges = written(edges, "edges")
+    full = written(hierarchy.roll_up(nodes, edges, written), "rolled")
+    hit = F.col("type").isin("function", "class") & (F.col("start_line") % 30 == 3)
+    edited = full.withColumn("summary", F.when(hit, F.concat(F.lit("again "), "name")).otherwise(F.col("summary")))
+    return hierarchy.roll_up_again(edited, edges, full.filter(hit).select("repo", "node_id"), written)[0]
+
+
+def _detected(s: SparkSession, d: str) -> DataFrame:
+    """Ten repositories, of which five have a feed."""
+    feed = view(s, d, "c_feed").select(F.concat(F.lit("r"), F.col("event_id") % 5).alias("repo"), "line")
+    c = _content(s, d).withColumn("repo", F.concat(F.lit("r"), F.col("doc_id") % 10))
+    h = F.sha2("text", 256)
+    current = c.filter("doc_id % 13 <> 0").select("repo", "path", h.alias("sha256"))
+    stored = c.filter("doc_id % 11 <> 0").select("repo", "path", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x"), h)).otherwise(h).alias("sha256"))
+    return changes.detect_by_repo(feed, current, stored)
+
+
+def _code_prompts(s: SparkSession, d: str) -> DataFrame:
+    sym = _doc_symbols(s, d).select("*", F.lit("function").alias("type"), F.lit("d").alias("name"))
+    return enrich.prompts(packages.batches(extract.snippets(sym, _content(s, d)), 10, lambda x: written(x, "coded")))
 
 
 def _conv(s: SparkSession, d: str) -> DataFrame:
@@ -155,6 +214,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d8_feed": lambda s, d: changes.parse_feed(view(s, d, "c_feed"), "event_id"),
         "d10_updated_edges": lambda s, d: _updated(s, d, False)[1].select("src", "dst", "relationship"),
         "d10_repaired_edges": lambda s, d: _updated(s, d, True)[1].select("src", "dst", "relationship"),
+        "d9_detected": lambda s, d: _detected(s, d).select("repo", "path", "status"),
+        "d10_updated_nodes": lambda s, d: _updated(s, d, False)[0].select("node_id", "type", F.coalesce("name", F.lit("")).alias("name")),
+        "d10_repaired_nodes": lambda s, d: _updated(s, d, True)[0].select("node_id", "type", F.coalesce("name", F.lit("")).alias("name")),
+        "d10_counts": lambda s, d: _updated(s, d, True)[2].drop("repo"),
+        "s1_versioned_graph": _versioned_graph,
         "d11_affected": lambda s, d: changes.affected_directories(_changes(s, d)).select("dir"),
         "d12_merged": lambda s, d: enrich.merge_results(_enriched(s, d)[0], enrich.parse_responses(_answers(s, d))[0]).filter("summary IS NOT NULL").select("node_id", "summary"),
         "d13_callers": lambda s, d: graph.callers(_imports(s, d)).select("dst", "src"),
@@ -162,6 +226,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e2_packages": lambda s, d: hierarchy.package_nodes(_files(s, d)).select("node_id", "name", "level"),
         "e3_levels": lambda s, d: g(s, d, PROJECT)[0].select("node_id", F.coalesce("level", F.lit(-1)).alias("level")),
         "e5_roll_up": lambda s, d: hierarchy.roll_up(*_enriched(s, d), lambda x: written(x, "roll-up")).filter("level <= 2 AND summary <> ''").select("node_id", F.sha2("summary", 256).alias("digest")),
+        "e5_roll_up_again": lambda s, d: _roll_up_again(s, d).filter("level <= 2 AND summary <> ''").select("node_id", F.sha2("summary", 256).alias("digest")),
+        "e5_model_roll_up": _model_roll_up,
         "f1_graph_stats": lambda s, d: graph.graph_stats(*g(s, d)).select("nodes", "edges"),
         "f2_counts": lambda s, d: g(s, d, PROJECT)[0].groupBy("type").agg(F.count(F.lit(1)).alias("n")),
         "f3_inventory_totals": lambda s, d: packages.inventory_totals(_files(s, d)).select("files", "bytes", "tokens"),
@@ -182,10 +248,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "r2_modules": lambda s, d: report.modules(*_enriched(s, d)).select("node_id", "report"),
         "r3_symbols": lambda s, d: report.symbols(*_enriched(s, d)).select("node_id", "report"),
         "r4_code": lambda s, d: extract.numbered_code(_doc_symbols(s, d), _content(s, d)).select("node_id", "report"),
-        "h1_reach": lambda s, d: traverse.reach(written(_imports(s, d), "imports"), _seeds(s, d), lambda x: written(x, "frontier")).select("seed", "node_id", "hops"),
-        "h2_impact": lambda s, d: traverse.impact(written(_imports(s, d), "imports"), _seeds(s, d), lambda x: written(x, "frontier"), 3).groupBy("seed").agg(F.count(F.lit(1)).alias("n")),
+        "h1_reach": lambda s, d: traverse.reach(written(_imports(s, d), "imports"), _query_set(s, d), lambda x: written(x, "frontier")).select("seed", "node_id", "hops", F.coalesce("parent", F.lit("")).alias("parent")),
+        "h1_paths": lambda s, d: traverse.paths(traverse.reach(written(_imports(s, d), "imports"), _query_set(s, d), lambda x: written(x, "frontier")), lambda x: written(x, "paths")).select("seed", "node_id", F.array_join("path", " ").alias("path")),
+        "h2_impact": lambda s, d: traverse.impact(written(_imports(s, d), "imports"), _query_set(s, d), lambda x: written(x, "frontier")).groupBy("seed", "hops").agg(F.count(F.lit(1)).alias("n")),
         "h2_impact_all": lambda s, d: traverse.impact(written(_imports(s, d), "imports"), _query_set(s, d), lambda x: written(x, "frontier")).groupBy("seed").agg(F.count(F.lit(1)).alias("n")),
         "j1_prompts": lambda s, d: enrich.prompts(packages.batches(enrich.pending(_enriched(s, d)[0]), 10, lambda x: written(x, "pending")), False).select("batch", "prompt"),
+        "j1_code_prompts": lambda s, d: _code_prompts(s, d).select("batch", "prompt"),
         "j2_results": lambda s, d: enrich.parse_responses(_answers(s, d))[0].select("node_id", "summary"),
         "j4_clean_patterns": lambda s, d: text.clean_patterns(_content(s, d), "doc_id", "text").select("doc_id", F.col("pos").cast("int").alias("pos"), "pattern"),
         "j5_transcripts": lambda s, d: text.transcripts(_conv(s, d)),
@@ -227,6 +295,11 @@ def oracle_sql() -> dict[str, str]:
     strip = lambda x: f"regexp_replace({x}, '^{text.SPACE_RE2}+|{text.SPACE_RE2}+$', '', 'g')"
     ends = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
     lines = f"regexp_split_to_array(text, '{ends}')"
+    walk = lambda a, b: r(", seed AS (SELECT path AS seed FROM c_files WHERE file_key % 50 = 0)").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+      rc AS (SELECT seed, seed AS node_id, 0 AS hops FROM seed UNION SELECT rc.seed, i.{b}, rc.hops + 1 FROM rc JOIN imp i ON i.{a} = rc.node_id WHERE rc.hops < 40),
+      nr AS MATERIALIZED (SELECT seed, node_id, CAST(min(hops) AS INT) AS hops FROM rc GROUP BY seed, node_id),
+      told AS MATERIALIZED (SELECT n.seed, n.node_id, n.hops, coalesce(min(p.node_id), '') AS parent FROM nr n LEFT JOIN imp i ON i.{b} = n.node_id AND n.hops > 0
+        LEFT JOIN nr p ON p.seed = n.seed AND p.node_id = i.{a} AND p.hops = n.hops - 1 GROUP BY n.seed, n.node_id, n.hops)"""
     doc = f"""WITH {c}, l AS (SELECT concat(path, '::d') AS node_id, path, CAST(doc_id % 3 + 1 AS INT) AS a, CAST(doc_id % 3 + 1 + doc_id % 5 * 40 AS INT) AS b, {lines} AS x0 FROM c_content),
       k AS (SELECT node_id, path, a, b, CASE WHEN x0[-1] = '' THEN x0[:len(x0) - 1] ELSE x0 END AS x FROM l), s AS (SELECT *, x[a:b] AS y FROM k)"""
     return {k: r(q) for k, q in report_sql().items()} | {
@@ -259,6 +332,13 @@ def oracle_sql() -> dict[str, str]:
         "d7_hash_diff": h("""SELECT coalesce(c.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'A' WHEN c.path IS NULL THEN 'D' ELSE 'M' END AS status
             FROM cur c FULL JOIN old o ON c.path = o.path WHERE c.h IS DISTINCT FROM o.h"""),
         "d8_feed": feed + " SELECT event_id, path, status FROM fd",
+        "d9_detected": f"""WITH {c}, {ctes('c_feed')}, p AS (SELECT concat('r', event_id % 5) AS repo, string_split(line, chr(9)) AS x FROM c_feed),
+            fd AS (SELECT repo, x[2] AS path, x[1] AS status FROM p WHERE x[1] IN ('M', 'A', 'D') AND len(x) >= 2
+             UNION SELECT repo, x[2], 'D' FROM p WHERE x[1] LIKE 'R%' AND len(x) >= 3 UNION SELECT repo, x[3], 'A' FROM p WHERE x[1] LIKE 'R%' AND len(x) >= 3),
+            hs AS (SELECT concat('r', doc_id % 10) AS repo, path, doc_id, sha256(text) AS h FROM c_content WHERE doc_id % 10 >= 5),
+            cur AS (SELECT repo, path, h FROM hs WHERE doc_id % 13 <> 0), old AS (SELECT repo, path, CASE WHEN doc_id % 7 = 0 THEN 'x' || h ELSE h END AS h FROM hs WHERE doc_id % 11 <> 0)
+            SELECT repo, path, status FROM fd UNION ALL SELECT coalesce(c.repo, o.repo), coalesce(c.path, o.path), CASE WHEN o.path IS NULL THEN 'A' WHEN c.path IS NULL THEN 'D' ELSE 'M' END
+            FROM cur c FULL JOIN old o ON c.repo = o.repo AND c.path = o.path WHERE c.h IS DISTINCT FROM o.h""",
         "d10_repaired_edges": r(""", live AS (SELECT path FROM c_files WHERE path NOT IN (SELECT path FROM chg WHERE status = 'D')),
             h2 AS (SELECT c.src, c.name, arg_min(c.path, c.prio) AS path FROM cand c JOIN live f ON f.path = c.path GROUP BY c.src, c.name)
             SELECT DISTINCT i.src, coalesce(h2.path, concat('external::', i.name)) AS dst, 'IMPORTS' AS relationship FROM c_imports i JOIN live ON live.path = i.src LEFT JOIN h2 ON h2.src = i.src AND h2.name = i.name
@@ -285,15 +365,18 @@ def oracle_sql() -> dict[str, str]:
         "g2_batches": r("SELECT node_id, (row_number() OVER (ORDER BY node_id) - 1) // 10 AS batch FROM pend"),
         "g3_largest_files": f"WITH {f} SELECT path, size, row_number() OVER (ORDER BY size DESC, path) AS rank FROM c_files QUALIFY rank <= 25",
         "g5_changed_paths": f"WITH {f}, {c} SELECT path FROM c_files WHERE file_key % 11 = 0 OR file_key % 9 = 0 OR file_key % 13 = 0 UNION SELECT path FROM c_content WHERE doc_id % 13 <> 0 OR doc_id % 10 <> 0",
-        "h1_reach": r(""", seed AS (SELECT path AS seed FROM c_files WHERE path LIKE '%.py' AND file_key % 100 = 9)""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
-            rc AS (SELECT seed, seed AS node_id, 0 AS hops FROM seed UNION SELECT rc.seed, i.dst, rc.hops + 1 FROM rc JOIN imp i ON i.src = rc.node_id WHERE rc.hops < 40)
-            SELECT seed, node_id, CAST(min(hops) AS INT) AS hops FROM rc GROUP BY seed, node_id""",
-        "h2_impact": r(""", seed AS (SELECT path AS seed FROM c_files WHERE path LIKE '%.py' AND file_key % 100 = 9)""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
-            rc AS (SELECT seed, seed AS node_id, 0 AS hops FROM seed UNION SELECT rc.seed, i.src, rc.hops + 1 FROM rc JOIN imp i ON i.dst = rc.node_id WHERE rc.hops < 3)
-            SELECT seed, count(DISTINCT node_id) AS n FROM rc GROUP BY seed""",
+        "h1_reach": walk("src", "dst") + " SELECT seed, node_id, hops, parent FROM told",
+        "h1_paths": walk("src", "dst") + """, pt AS (SELECT seed, node_id, node_id AS path FROM told WHERE hops = 0 UNION ALL SELECT t.seed, t.node_id, concat(pt.path, ' ', t.node_id) FROM pt JOIN told t ON t.seed = pt.seed AND t.parent = pt.node_id AND t.hops > 0)
+            SELECT seed, node_id, path FROM pt""",
+        "h2_impact": walk("dst", "src") + " SELECT seed, hops, count(*) AS n FROM told GROUP BY seed, hops",
         "h2_impact_all": r(""", seed AS (SELECT path AS seed FROM c_files WHERE file_key % 50 = 0)""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
             rc AS (SELECT seed, seed AS node_id FROM seed UNION SELECT rc.seed, i.src FROM rc JOIN imp i ON i.dst = rc.node_id)
             SELECT seed, count(*) AS n FROM rc GROUP BY seed""",
+        "j1_code_prompts": doc + """, m AS (SELECT node_id, a, b, row_number() OVER (ORDER BY node_id) - 1 AS n, CASE WHEN y IS NULL OR len(y) = 0 OR array_to_string(y, chr(10)) = '' THEN NULL WHEN len(y) > 100
+              THEN concat(array_to_string(y[1:100], chr(10)), chr(10), '... (truncated, ', CAST(len(y) - 100 AS VARCHAR), ' more lines)') ELSE array_to_string(y, chr(10)) END AS code FROM s)
+            SELECT n // 10 AS batch, concat_ws(chr(10), concat('Analyze these code elements:', chr(10)), string_agg(concat('### ', n % 10 + 1, '. ', node_id, chr(10), '- type: function', chr(10), '- name: d', chr(10), '- lines: ', a, '-', b, chr(10),
+              CASE WHEN code IS NULL THEN '- code: (not available)' ELSE concat('- code:', chr(10), '```python', chr(10), code, chr(10), '```') END, chr(10)), chr(10) ORDER BY n),
+              'Return JSON array: [{"node_id": "...", "summary": "...", "risks": ["..."]}]') AS prompt FROM m GROUP BY n // 10""",
         "j2_results": r(", b AS (SELECT *, (row_number() OVER (ORDER BY node_id) - 1) // 50 AS batch FROM pend) SELECT node_id, concat('does ', name) AS summary FROM b WHERE batch % 5 <> 4"),
         "j4_clean_patterns": f"""WITH {c}, t AS (SELECT doc_id, string_split({strip("coalesce(text, '')")}, chr(10)) AS x FROM c_content),
             u AS (SELECT doc_id, CAST(unnest(range(0, len(x))) AS INT) AS pos, unnest(x) AS raw0 FROM t), v AS (SELECT doc_id, pos, {strip('raw0')} AS raw FROM u),

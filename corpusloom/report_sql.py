@@ -60,26 +60,58 @@ SELECT node_id, type, coalesce(summary, '') AS summary, CASE WHEN risky THEN 'lo
  FROM node LEFT JOIN outs USING (node_id) LEFT JOIN ins USING (node_id)"""
 
 #: Paths have at most three directories, so three steps up reach the project.
-_ROLL = """, f AS (SELECT path AS id, string_agg(concat(node_id, ': about ', name), '; ' ORDER BY node_id) AS s FROM sym WHERE start_line % 3 = 0 GROUP BY path)"""
-for _level, _below in ((3, "f"), (2, "k3"), (1, "k2"), (0, "k1")):
-    _parent = f"JOIN pkg k ON k.node_id = p.src AND k.level = {_level}" if _level else "AND p.src = 'project::corpus'"
-    _ROLL += f""", p{_level} AS (SELECT p.src AS id, string_agg(concat(c.id, ': ', c.s), '; ' ORDER BY c.id) AS s FROM pcon p JOIN {_below} c ON c.id = p.dst {_parent} GROUP BY p.src),
- k{_level} AS (SELECT id, s FROM f UNION ALL SELECT id, s FROM p{_level})"""
-_ROLL += """ SELECT id AS node_id, sha256(s) AS digest FROM (SELECT id, s FROM p2 UNION ALL SELECT id, s FROM p1 UNION ALL SELECT id, s FROM p0
- UNION ALL SELECT id, s FROM f WHERE id NOT LIKE '%/%/%' UNION ALL SELECT node_id, concat('about ', name) FROM sym WHERE start_line % 3 = 0 AND path NOT LIKE '%/%')"""
+def _roll(word: str) -> str:
+    out = f""", f AS (SELECT path AS id, string_agg(concat(node_id, ': ', {word}, name), '; ' ORDER BY node_id) AS s FROM sym WHERE start_line % 3 = 0 GROUP BY path)"""
+    for level, below in ((3, "f"), (2, "k3"), (1, "k2"), (0, "k1")):
+        parent = f"JOIN pkg k ON k.node_id = p.src AND k.level = {level}" if level else "AND p.src = 'project::corpus'"
+        out += f""", p{level} AS (SELECT p.src AS id, string_agg(concat(c.id, ': ', c.s), '; ' ORDER BY c.id) AS s FROM pcon p JOIN {below} c ON c.id = p.dst {parent} GROUP BY p.src),
+ k{level} AS (SELECT id, s FROM f UNION ALL SELECT id, s FROM p{level})"""
+    return out + f""" SELECT id AS node_id, sha256(s) AS digest FROM (SELECT id, s FROM p2 UNION ALL SELECT id, s FROM p1 UNION ALL SELECT id, s FROM p0
+ UNION ALL SELECT id, s FROM f WHERE id NOT LIKE '%/%/%' UNION ALL SELECT node_id, concat({word}, name) FROM sym WHERE start_line % 3 = 0 AND path NOT LIKE '%/%')"""
+
+
+def _counted() -> str:
+    """The model that counts children, and fails for ids of some lengths."""
+    out = """, f AS (SELECT path AS id, count(*) AS n FROM sym WHERE start_line % 3 = 0 AND length(path) % 7 <> 3 GROUP BY path)"""
+    for level, below in ((3, "f"), (2, "k3"), (1, "k2"), (0, "k1")):
+        parent = f"JOIN pkg k ON k.node_id = p.src AND k.level = {level}" if level else "AND p.src = 'project::corpus'"
+        out += f""", p{level} AS (SELECT p.src AS id, count(*) AS n FROM pcon p JOIN {below} c ON c.id = p.dst {parent} WHERE length(p.src) % 7 <> 3 GROUP BY p.src),
+ k{level} AS (SELECT id, n FROM f UNION ALL SELECT id, n FROM p{level})"""
+    return out + " SELECT id AS node_id, concat(n, ' parts') AS summary FROM (SELECT * FROM f UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p0)"
+
 
 _PROMPTS = f""", b AS (SELECT *, row_number() OVER (ORDER BY node_id) - 1 AS n FROM pend)
 SELECT n // 10 AS batch, concat_ws({_NL}, concat('Analyze these code elements:', {_NL}),
  string_agg(concat('### ', n % 10 + 1, '. ', node_id, {_NL}, '- type: ', type, {_NL}, '- name: ', name, {_NL}, '- lines: ', start_line, '-', end_line, {_NL}), {_NL} ORDER BY n),
  'Return JSON array: [{{"node_id": "...", "summary": "...", "risks": ["..."]}}]') AS prompt FROM b GROUP BY n // 10"""
 
-_UPDATED = """, bef AS (SELECT path FROM c_files WHERE path NOT IN (SELECT path FROM chg WHERE status = 'A')), live AS (SELECT path FROM c_files WHERE path NOT IN (SELECT path FROM chg WHERE status = 'D')),
+#: Imports before and after the changes; ``res2`` is what a full build afterwards has.
+_STATES = """, bef AS (SELECT path FROM c_files WHERE path NOT IN (SELECT path FROM chg WHERE status = 'A')), live AS (SELECT path FROM c_files WHERE path NOT IN (SELECT path FROM chg WHERE status = 'D')),
  h1 AS (SELECT c.src, c.name, arg_min(c.path, c.prio) AS path FROM cand c JOIN bef f ON f.path = c.path GROUP BY c.src, c.name),
  h2 AS (SELECT c.src, c.name, arg_min(c.path, c.prio) AS path FROM cand c JOIN live f ON f.path = c.path GROUP BY c.src, c.name),
- old AS (SELECT DISTINCT i.src, coalesce(h1.path, concat('external::', i.name)) AS dst FROM c_imports i LEFT JOIN h1 ON h1.src = i.src AND h1.name = i.name WHERE i.src NOT IN (SELECT path FROM chg))
-SELECT src, dst, 'IMPORTS' AS relationship FROM old WHERE dst NOT IN (SELECT path FROM chg WHERE status IN ('D', 'M'))
-UNION ALL SELECT DISTINCT i.src, coalesce(h2.path, concat('external::', i.name)), 'IMPORTS' FROM c_imports i JOIN chg ON chg.path = i.src AND chg.status IN ('A', 'M') LEFT JOIN h2 ON h2.src = i.src AND h2.name = i.name
-UNION ALL SELECT src, dst, 'CONTAINS' FROM con WHERE src IN (SELECT path FROM live)"""
+ old AS (SELECT DISTINCT i.src, coalesce(h1.path, concat('external::', i.name)) AS dst FROM c_imports i LEFT JOIN h1 ON h1.src = i.src AND h1.name = i.name WHERE i.src NOT IN (SELECT path FROM chg)),
+ was AS (SELECT DISTINCT coalesce(h1.path, concat('external::', i.name)) AS dst FROM c_imports i JOIN bef ON bef.path = i.src LEFT JOIN h1 ON h1.src = i.src AND h1.name = i.name),
+ res2 AS MATERIALIZED (SELECT DISTINCT i.src, coalesce(h2.path, concat('external::', i.name)) AS dst FROM c_imports i JOIN live ON live.path = i.src LEFT JOIN h2 ON h2.src = i.src AND h2.name = i.name),
+ edited AS (SELECT res2.src, res2.dst FROM res2 JOIN chg ON chg.path = res2.src),
+ plain AS (SELECT path AS node_id, 'file' AS type, '' AS name FROM live UNION ALL SELECT node_id, type, name FROM sym WHERE path IN (SELECT path FROM live))
+"""
+_UPDATED = _STATES + """SELECT src, dst, 'IMPORTS' AS relationship FROM old WHERE dst NOT IN (SELECT path FROM chg WHERE status IN ('D', 'M'))
+UNION ALL SELECT src, dst, 'IMPORTS' FROM edited UNION ALL SELECT src, dst, 'CONTAINS' FROM con WHERE src IN (SELECT path FROM live)"""
+_OUTSIDE = "SELECT * FROM plain UNION ALL SELECT dst, 'external_module', substr(dst, 11) FROM (SELECT dst FROM {0}) WHERE starts_with(dst, 'external::')"
+_UPDATED_NODES = _STATES + _OUTSIDE.format("was UNION SELECT dst FROM edited")
+_REPAIRED_NODES = _STATES + _OUTSIDE.format("(SELECT DISTINCT dst FROM res2)")
+_COUNTS = """, am AS (SELECT path FROM chg WHERE status <> 'D') SELECT (SELECT count(*) FROM chg WHERE status <> 'A') AS removed,
+ (SELECT count(*) FROM am) + (SELECT count(*) FROM c_symbols WHERE path IN (SELECT path FROM am)) AS added, (SELECT count(*) FROM c_imports WHERE src IN (SELECT path FROM am)) AS imports"""
+_VERSIONED = _STATES + """, sp AS (SELECT path, string_split(path, '/') AS p FROM live),
+ dirs AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS dir, i FROM (SELECT p, unnest(range(1, len(p))) AS i FROM sp)),
+ child AS (SELECT dir AS id FROM dirs UNION ALL SELECT path FROM live)
+SELECT 'node' AS kind, path AS a, 'file' AS b, CAST(len(p) AS VARCHAR) AS c FROM sp
+UNION ALL SELECT 'node', node_id, type, CAST(len(string_split(path, '/')) + 1 AS VARCHAR) FROM sym WHERE path IN (SELECT path FROM live)
+UNION ALL SELECT 'node', dst, 'external_module', '-' FROM (SELECT DISTINCT dst FROM res2) WHERE starts_with(dst, 'external::')
+UNION ALL SELECT 'node', dir, 'package', CAST(i AS VARCHAR) FROM dirs UNION ALL SELECT 'node', 'project::corpus', 'project', '0'
+UNION ALL SELECT 'edge', src, dst, 'IMPORTS' FROM res2 UNION ALL SELECT 'edge', src, dst, 'CONTAINS' FROM con WHERE src IN (SELECT path FROM live)
+UNION ALL SELECT 'edge', CASE WHEN id LIKE '%/%' THEN regexp_replace(id, '/[^/]*$', '') ELSE 'project::corpus' END, id, 'CONTAINS' FROM child
+UNION ALL SELECT 'hash', path, sha256(path), '' FROM live"""
 
 #: The lines of the tree of each repository; ``{repo}`` tells a file's.
 _TREE = """, own AS (SELECT {repo} AS repo, path FROM c_files), sp AS (SELECT repo, path, string_split(path, '/') AS p FROM own),
@@ -98,6 +130,8 @@ SELECT repo, total_files, total_folders, CAST(floor(length(tree) / 3.5) AS BIGIN
 
 def report_sql() -> dict[str, str]:
     return {
-        "d10_updated_edges": _UPDATED, "e5_roll_up": _ROLL, "g1_tree": _LINES, "g1_tree_report": _TREES, "g4_full_report": _FULL, "j1_prompts": _PROMPTS,
+        "d10_updated_edges": _UPDATED, "d10_updated_nodes": _UPDATED_NODES, "d10_repaired_nodes": _REPAIRED_NODES, "d10_counts": _COUNTS, "s1_versioned_graph": _VERSIONED,
+        "e5_roll_up": _roll("'about '"), "e5_roll_up_again": _roll("CASE WHEN start_line % 30 = 3 THEN 'again ' ELSE 'about ' END"), "e5_model_roll_up": _counted(),
+        "g1_tree": _LINES, "g1_tree_report": _TREES, "g4_full_report": _FULL, "j1_prompts": _PROMPTS,
         "r0_overview": _OVERVIEW, "r1_packages": _PACKAGES, "r2_modules": _MODULES, "r3_symbols": _SYMBOLS,
     }
