@@ -4,8 +4,6 @@ matches decides."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,10 +76,86 @@ def compiled(pattern: str) -> tuple[str, bool] | None:
     return ("" if anchored else "(?:.*/)?") + out + ("/.*" if only_dir else "(?:/.*)?"), negated
 
 
-def _compile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = [(p, *c) for p in frame["pattern"] if p is not None and (c := compiled(p)) is not None]
-        yield pd.DataFrame(rows, columns=["pattern", "regex", "negated"])
+class Rules:
+    """The patterns of one repository as a program: plain names and ``*.suffix`` are looked
+    up for each part of a path, plain anchored paths for each directory above it, and
+    only what is left is matched one by one. The last pattern that matches decides."""
+
+    def __init__(self, patterns: list[str]) -> None:
+        self.names: list[dict[str, tuple[int, bool]]] = [{}, {}]  # at 1: only above something
+        self.suffixes: list[dict[str, tuple[int, bool]]] = [{}, {}]
+        self.paths: list[dict[str, tuple[int, bool]]] = [{}, {}]
+        self.others: list[tuple[int, bool, re.Pattern]] = []
+        for seq, pattern in enumerate(patterns):
+            if (c := compiled(pattern)) is None:
+                continue
+            entry, only_dir = (seq, c[1]), int(pattern.rstrip(" ").endswith("/"))
+            body = pattern[c[1] :].strip(" ").rstrip("/")
+            plain = not re.search(r"[*?\[\\!#]", body[1:] if body.startswith("*.") else body)
+            if plain and "/" in body and not body.startswith("*"):
+                self.paths[only_dir][body.lstrip("/")] = entry
+            elif plain and "/" not in body and body.startswith("*."):
+                self.suffixes[only_dir][body[1:]] = entry
+            elif plain and "/" not in body and pattern.lstrip("!").startswith(body):
+                self.names[only_dir][body] = entry
+            else:
+                self.others.append((*entry, re.compile(f"(?s)(?:{c[0]})\\Z")))
+        self.lengths = sorted({len(x) for d in self.suffixes for x in d})
+
+    def last(self, path: str) -> bool | None:
+        """Whether the last pattern that matches takes the path back; None if none does."""
+        best: tuple[int, bool | None] = (-1, None)
+        parts = path.split("/")
+        for k, part in enumerate(parts):
+            for only_dir in (0, 1):
+                if only_dir and k + 1 == len(parts):
+                    continue
+                best = max(best, self.names[only_dir].get(part, best))
+                for n in self.lengths:
+                    best = max(best, self.suffixes[only_dir].get(part[-n:], best))
+                if self.paths[only_dir]:
+                    best = max(best, self.paths[only_dir].get("/".join(parts[: k + 1]), best))
+        for seq, negated, regex in reversed(self.others):
+            if seq < best[0]:
+                break
+            if regex.match(path):
+                return negated
+        return best[1]
+
+
+def rule_verdicts(files: DataFrame, rules: DataFrame, tree: bool = False, per_slice: int = 50_000) -> DataFrame:
+    """(repo, path, negated) for the files that a rule of their repository decides about.
+    Each repository's patterns become one program; it meets the repository's files in
+    slices of about ``per_slice``, so that neither files x rules rows nor a large
+    repository in one task arise. With ``tree`` a rule that hides a directory hides all
+    below it: such files come with negated false."""
+    # Lists are as long as one repository's rule files.
+    lists = rules.groupBy("repo").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "pattern"))), lambda x: x["pattern"]).alias("patterns"))
+    mine = files.join(rules.select("repo").distinct(), "repo", "left_semi").select("repo", "path")
+    slices = mine.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / per_slice).cast("int").alias("n"))
+    dealt = mine.join(slices, "repo").select("repo", "path", F.pmod(F.xxhash64("path"), F.col("n")).cast("int").alias("slice"))
+    programs = lists.join(slices, "repo").select("repo", "patterns", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slice"))
+
+    def decide(paths: pd.DataFrame, program: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(paths) and len(program):
+            rule = Rules(list(program["patterns"].iloc[0]))
+            hidden: dict[str, bool] = {}
+            for repo, path in sorted(set(zip(paths["repo"], paths["path"], strict=True))):
+                said = rule.last(path)
+                if tree:
+                    parts = path.split("/")
+                    for k in range(1, len(parts)):
+                        d = "/".join(parts[:k]) + "/"
+                        if d not in hidden:
+                            hidden[d] = rule.last(d) is False
+                        said = False if hidden[d] else said
+                if said is not None:
+                    rows.append((repo, path, said))
+        return pd.DataFrame(rows, columns=["repo", "path", "negated"])
+
+    by = ["repo", "slice"]
+    return dealt.groupBy(*by).cogroup(programs.groupBy(*by)).applyInPandas(decide, "repo string, path string, negated boolean")
 
 
 def load_patterns(ignore_files: DataFrame) -> DataFrame:
@@ -121,14 +195,20 @@ def filter_inventory(files: DataFrame, patterns: list[str] = ()) -> DataFrame:
     return files.filter(~hard & ~rule)
 
 
-def filter_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """As filter_inventory with patterns per repository, ``rules`` (repo, seq, pattern).
-    The compiled rules meet the files by repository; each file keeps its last match."""
-    table = rules.select("pattern").distinct().mapInPandas(_compile, "pattern string, regex string, negated boolean")
-    known = rules.join(table, "pattern").select(F.col("repo").alias("r_repo"), "seq", "regex", "negated")
-    j = filter_hard(files).join(known, (F.col("repo") == F.col("r_repo")) & F.expr("rlike(path, concat('(?s)^(?:', regex, ')$'))"), "left")
-    last = j.groupBy(*files.columns).agg(F.max_by("negated", "seq").alias("negated"))
-    return last.filter(F.coalesce("negated", ~ignored_by_default(F.col("path")))).select(*files.columns)
+def filter_by_rules(files: DataFrame, rules: DataFrame, per_slice: int = 50_000) -> DataFrame:
+    """As filter_inventory with patterns per repository, ``rules`` (repo, seq, pattern): the
+    last match of a file's repository decides, else the defaults."""
+    rows = filter_hard(files)
+    said = rule_verdicts(rows, rules, per_slice=per_slice).withColumnsRenamed({"repo": "r__", "path": "p__", "negated": "n__"})
+    j = rows.join(said, (F.col("repo") == F.col("r__")) & (F.col("path") == F.col("p__")), "left")
+    return j.filter(F.coalesce("n__", ~ignored_by_default(F.col("path")))).select(*files.columns)
+
+
+def filter_tree_by_rules(files: DataFrame, rules: DataFrame, per_slice: int = 50_000) -> DataFrame:
+    """As filter_tree with patterns per repository."""
+    rows = filter_tree(files)
+    hidden = rule_verdicts(rows, rules, True, per_slice).filter("NOT negated").select("repo", "path")
+    return rows.join(hidden, ["repo", "path"], "left_anti")
 
 
 def filter_hard(files: DataFrame) -> DataFrame:

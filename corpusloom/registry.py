@@ -17,6 +17,7 @@ from .sources import files as sources
 
 PROJECT = "corpus"
 RULES = ["*.md", "!notes7*.md", "/src/large*/", "b3*/m1*.py"]
+OTHER_RULES = ["*.py", "!m1*.py", "b2[0-4]/", "!dist", "__init__.py"]
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
@@ -32,6 +33,14 @@ def _many_files(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "c_files").select(F.concat(F.lit("r"), F.expr("file_key div 1000")).alias("repo"), "path", "size", F.expr("size div 4").alias("token_est"))
 
 
+def _rules(s: SparkSession, d: str) -> DataFrame:
+    """Rules of every repository, by its number: two sets in turn, and none for each third."""
+    repos = _many_files(s, d).select("repo").distinct()
+    k = F.substring("repo", 2, 9).cast("int") % 3
+    sets = F.when(k == 0, F.array(*map(F.lit, RULES))).when(k == 1, F.array(*map(F.lit, OTHER_RULES)))
+    return repos.select("repo", F.posexplode(sets).alias("seq", "pattern"))
+
+
 def _many_graphs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The graph of each of these repositories; imports of another's files are external."""
     files = written(_many_files(s, d), "files")
@@ -195,6 +204,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a3_a4_graph_documents": lambda s, d: sources.graph_documents(*_enriched(s, d, _many_graphs)).select(F.col("repo"), F.char_length("value").cast("long").alias("chars")),
         "a5_file_hashes": lambda s, d: changes.file_hashes(_content(s, d).select("repo", "path", F.col("text").cast("binary").alias("content"))).select("path", "sha256"),
         "b1_inventory_filter": lambda s, d: ignore.filter_inventory(_files(s, d), RULES).select("path"),
+        "b1_rules_by_repo": lambda s, d: ignore.filter_by_rules(_many_files(s, d), _rules(s, d)).select("repo", "path"),
+        "b3_rules_by_repo": lambda s, d: ignore.filter_tree_by_rules(_many_files(s, d), _rules(s, d)).select("repo", "path"),
         "b2_patterns": lambda s, d: ignore.load_patterns(_content(s, d).select(F.col("path").alias("repo"), "text")).groupBy("repo").agg(F.count(F.lit(1)).alias("n")),
         "b3_tree_filter": lambda s, d: ignore.filter_tree(_files(s, d), ["*.md"]).select("path"),
         "b4_language": lambda s, d: _files(s, d).select("path", F.coalesce(paths.language(F.col("path")), F.lit("?")).alias("language")),
@@ -295,6 +306,9 @@ def oracle_sql() -> dict[str, str]:
     strip = lambda x: f"regexp_replace({x}, '^{text.SPACE_RE2}+|{text.SPACE_RE2}+$', '', 'g')"
     ends = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
     lines = f"regexp_split_to_array(text, '{ends}')"
+    by_repo = f"""WITH {f}, m AS (SELECT concat('r', file_key // 1000) AS repo, file_key // 1000 % 3 AS k, path, regexp_matches(path, '[.]md$') AS md, regexp_matches(path, '(^|/)notes7[^/]*[.]md$') AS notes7,
+      path LIKE 'src/large%/%' AS large, regexp_matches(path, '^b3[^/]*/m1[^/]*[.]py(/.*)?$') AS b3m1, path LIKE '%.py' AS py, regexp_matches(path, '(^|/)m1[^/]*[.]py$') AS m1,
+      regexp_matches(path, '(^|/)b2[0-4]/') AS b2, regexp_matches(path, '(^|/)dist/') AS dist, regexp_matches(path, '(^|/)__init__[.]py$') AS init FROM c_files) """
     walk = lambda a, b: r(", seed AS (SELECT path AS seed FROM c_files WHERE file_key % 50 = 0)").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
       rc AS (SELECT seed, seed AS node_id, 0 AS hops FROM seed UNION SELECT rc.seed, i.{b}, rc.hops + 1 FROM rc JOIN imp i ON i.{a} = rc.node_id WHERE rc.hops < 40),
       nr AS MATERIALIZED (SELECT seed, node_id, CAST(min(hops) AS INT) AS hops FROM rc GROUP BY seed, node_id),
@@ -309,6 +323,10 @@ def oracle_sql() -> dict[str, str]:
         "a5_file_hashes": f"WITH {c} SELECT path, sha256(text) AS sha256 FROM c_content",
         "b1_inventory_filter": f"""WITH {f} SELECT path FROM c_files WHERE NOT regexp_matches(path, '(^|/)dist/')
           AND NOT (regexp_matches(path, '[.]md$') AND NOT regexp_matches(path, '(^|/)notes7[^/]*[.]md$') OR path LIKE 'src/large%/%' OR regexp_matches(path, '^b3[^/]*/m1[^/]*[.]py(/.*)?$'))""",
+        "b1_rules_by_repo": by_repo + """SELECT repo, path FROM m WHERE CASE k WHEN 0 THEN CASE WHEN b3m1 THEN false WHEN large THEN false WHEN notes7 THEN true WHEN md THEN false ELSE NOT dist END
+            WHEN 1 THEN CASE WHEN init THEN false WHEN dist THEN true WHEN b2 THEN false WHEN m1 THEN true WHEN py THEN false ELSE NOT dist END ELSE NOT dist END""",
+        "b3_rules_by_repo": by_repo + """SELECT repo, path FROM m WHERE NOT dist AND CASE k WHEN 0 THEN NOT (large OR b3m1 OR md AND NOT notes7)
+            WHEN 1 THEN NOT (init OR b2 OR py AND NOT m1) ELSE true END""",
         "b2_patterns": f"""WITH {c}, l AS (SELECT path AS repo, unnest(regexp_split_to_array(coalesce(text, ''), '{ends}')) AS x FROM c_content),
             t AS (SELECT repo, regexp_replace(x, '^{text.SPACE_RE2}+|{text.SPACE_RE2}+$', '', 'g') AS x FROM l) SELECT repo, count(*) AS n FROM t WHERE x <> '' AND NOT starts_with(x, '#') GROUP BY repo""",
         "b3_tree_filter": f"WITH {f} SELECT path FROM c_files WHERE NOT regexp_matches(path, '(^|/)dist/') AND path NOT LIKE '%.md'",
