@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .cut import fresh_path, release, written
 from .corpus import ctes, view
 from .functions import paths, text
-from .operators import changes, enrich, extract, graph, hierarchy, ignore, incremental, packages, report, traverse, tree, update
+from .operators import changes, enrich, extract, graph, hierarchy, ignore, incremental, packages, parts, report, traverse, tree, update
 from .plans.build import build_graph
 from .report_sql import report_sql
 from .sources import files as sources
@@ -172,6 +172,24 @@ def _detected(s: SparkSession, d: str) -> DataFrame:
     return changes.detect_by_repo(feed, current, stored)
 
 
+def _metadata(s: SparkSession, d: str) -> DataFrame:
+    files = _many_files(s, d)
+    commits = files.select("repo").distinct().select("repo", F.sha2("repo", 256).alias("commit_hash"), F.lit("2024-01-01T00:00:00").alias("build_time"))
+    return sources.build_metadata(files.select("repo", "path", F.sha2("path", 256).alias("sha256")), commits)
+
+
+def _round_trip(s: SparkSession, d: str) -> DataFrame:
+    """What comes back of the documents: nodes, edges and metadata, a row each."""
+    folder = fresh_path(s, "documents")
+    nodes, edges = _enriched(s, d, _many_graphs)
+    sources.save_documents(nodes, edges, folder, _metadata(s, d))
+    n, e, m = sources.load_documents(s, folder)
+    row = lambda df, kind, a, b: df.select("repo", F.lit(kind).alias("kind"), F.col(a).alias("a"), b.alias("b"))
+    text = F.concat_ws(" ", F.coalesce("type", F.lit("-")), F.coalesce("summary", F.lit("-")), F.coalesce(F.array_join("risks", ","), F.lit("-")), F.coalesce(F.col("level").cast("string"), F.lit("-")), F.coalesce(F.col("size").cast("string"), F.lit("-")))
+    out = row(n, "node", "node_id", text).unionByName(row(e, "edge", "src", F.concat_ws(" ", "dst", "relationship")))
+    return out.unionByName(row(m, "hash", "path", F.concat_ws(" ", "commit_hash", "build_time", "sha256")))
+
+
 def _code_prompts(s: SparkSession, d: str) -> DataFrame:
     sym = _doc_symbols(s, d).select("*", F.lit("function").alias("type"), F.lit("d").alias("name"))
     return enrich.prompts(packages.batches(extract.snippets(sym, _content(s, d)), 10, lambda x: written(x, "coded")))
@@ -201,7 +219,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "a1_inventory": lambda s, d: sources.inventory(view(s, d, "c_files")).select("path", "size", "token_est"),
         "a2_decoded": _a2,
-        "a3_a4_graph_documents": lambda s, d: sources.graph_documents(*_enriched(s, d, _many_graphs)).select(F.col("repo"), F.char_length("value").cast("long").alias("chars")),
+        "a3_a4_graph_documents": lambda s, d: sources.document_lines(*_enriched(s, d, _many_graphs), _metadata(s, d)).groupBy("repo", "part").agg(
+            F.count(F.lit(1)).alias("lines")
+        ),
+        "a3_a4_round_trip": _round_trip,
         "a5_file_hashes": lambda s, d: changes.file_hashes(_content(s, d).select("repo", "path", F.col("text").cast("binary").alias("content"))).select("path", "sha256"),
         "b1_inventory_filter": lambda s, d: ignore.filter_inventory(_files(s, d), RULES).select("path"),
         "b1_rules_by_repo": lambda s, d: ignore.filter_by_rules(_many_files(s, d), _rules(s, d)).select("repo", "path"),
@@ -253,6 +274,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "g2_batches": lambda s, d: packages.batches(enrich.pending(_enriched(s, d)[0]), 10, lambda x: written(x, "pending")).select("node_id", "batch"),
         "g3_largest_files": lambda s, d: packages.first_per_repo(_files(s, d), 25, F.desc("size"), "path").select("path", "size", F.col("rank").cast("long").alias("rank")),
         "g4_full_report": lambda s, d: report.full_report(*_enriched(s, d)).drop("repo"),
+        "g4_edge_parts": lambda s, d: parts.edge_lists(_graph(s, d, PROJECT)[1], written, 50).drop("repo"),
+        "r2_module_parts": lambda s, d: parts.module_texts(*_enriched(s, d), written, 50).drop("repo"),
         "g5_changed_paths": lambda s, d: changes.changed_paths(_changes(s, d), *[x for x in _hashes(s, d)]).select("path"),
         "r0_overview": lambda s, d: report.overview(*_enriched(s, d)).select("report"),
         "r1_packages": lambda s, d: report.packages(*_enriched(s, d)).select("node_id", "report"),

@@ -128,10 +128,49 @@ _TREES = _TREE.format(repo="concat('r', file_key // 1000)") + f""", t AS (SELECT
 SELECT repo, total_files, total_folders, CAST(floor(length(tree) / 3.5) AS BIGINT) AS estimated_tokens, sha256(tree) AS digest FROM t"""
 
 
+_EDGE_PARTS = """, e AS (SELECT src, dst, 'IMPORTS' AS r FROM imp UNION ALL SELECT src, dst, 'CONTAINS' FROM con UNION ALL SELECT src, dst, 'CONTAINS' FROM pcon),
+ b AS (SELECT src AS node_id, 'out' AS direction, concat(r, ' ', dst) AS x FROM e UNION ALL SELECT dst, 'in', concat(r, ' ', src) FROM e),
+ n AS (SELECT *, row_number() OVER (PARTITION BY node_id, direction ORDER BY x) - 1 AS k FROM b)
+SELECT node_id, direction, k // 50 AS part, concat(CASE WHEN k // 50 > 0 THEN '; ' ELSE '' END, string_agg(x, '; ' ORDER BY k)) AS edges FROM n GROUP BY node_id, direction, k // 50"""
+
+_MODULE_PARTS = _TOLD + f""", item AS (SELECT c.src AS node_id, 1 AS section, row_number() OVER (PARTITION BY c.src ORDER BY n.at, n.name, n.node_id) - 1 AS k, {_NL} AS sep,
+   concat('- **', n.name, '**', CASE WHEN n.summary <> '' THEN concat(' - ', n.summary) ELSE '' END) AS x FROM con c JOIN node n ON n.node_id = c.dst
+  UNION ALL SELECT src, 2, row_number() OVER (PARTITION BY src ORDER BY dst) - 1, ', ', dst FROM imp
+  UNION ALL SELECT dst, 3, row_number() OVER (PARTITION BY dst ORDER BY src) - 1, ', ', concat(src, ' (1x)') FROM imp WHERE dst IN (SELECT path FROM c_files)),
+ cnt AS (SELECT *, count(*) OVER (PARTITION BY node_id, section) AS n FROM item),
+ pt AS (SELECT node_id, section, k // 50 AS part, concat(CASE WHEN k // 50 > 0 THEN any_value(sep) ELSE '' END, CASE WHEN section = 1 THEN string_agg(x, {_NL} ORDER BY k) ELSE string_agg(x, ', ' ORDER BY k) END) AS t, max(k) + 1 = any_value(n) AS last FROM cnt GROUP BY node_id, section, k // 50),
+ o AS (SELECT DISTINCT src FROM imp), i AS (SELECT DISTINCT dst FROM imp)
+SELECT pt.node_id, section, part, concat(CASE WHEN part > 0 THEN '' WHEN section = 1 THEN concat({_NL}, '## Enthält:', {_NL}, {_NL}) WHEN section = 2 THEN concat({_NL}, '## Abhängigkeiten:', {_NL}, {_NL}, '- Importiert: ')
+   WHEN o.src IS NOT NULL THEN concat({_NL}, '- Wird importiert von: ') ELSE concat({_NL}, '## Abhängigkeiten:', {_NL}, {_NL}, '- Wird importiert von: ') END, t,
+   CASE WHEN last AND NOT (section = 2 AND i.dst IS NOT NULL) THEN {_NL} ELSE '' END) AS text
+ FROM pt LEFT JOIN o ON o.src = pt.node_id LEFT JOIN i ON i.dst = pt.node_id
+UNION ALL SELECT path, 0, 0, concat('# ', path, {_NL}) FROM c_files"""
+
+#: The graphs of repositories of a thousand files each.
+_MANY = """, own AS (SELECT path, size, concat('r', file_key // 1000) AS repo FROM c_files),
+ mcand AS (SELECT o.repo, c.* FROM cand c JOIN own o ON o.path = c.src),
+ mhit AS (SELECT c.repo, c.src, c.name, arg_min(c.path, c.prio) AS path FROM mcand c JOIN own f ON f.path = c.path AND f.repo = c.repo GROUP BY c.repo, c.src, c.name),
+ mimp AS (SELECT DISTINCT o.repo, i.src, coalesce(h.path, concat('external::', i.name)) AS dst FROM c_imports i JOIN own o ON o.path = i.src LEFT JOIN mhit h ON h.src = i.src AND h.name = i.name AND h.repo = o.repo),
+ msp AS (SELECT repo, path, size, string_split(path, '/') AS p FROM own),
+ mdir AS (SELECT DISTINCT repo, array_to_string(p[1:i], '/') AS dir, i FROM (SELECT repo, p, unnest(range(1, len(p))) AS i FROM msp)),
+ mkid AS (SELECT repo, dir AS id FROM mdir UNION ALL SELECT repo, path FROM own),
+ mnode AS (SELECT repo, path AS id, concat('file - - ', len(p), ' ', size) AS x FROM msp
+   UNION ALL SELECT o.repo, node_id, concat(type, ' ', CASE WHEN start_line % 3 = 0 THEN concat('about ', name) ELSE '-' END, ' ', CASE WHEN start_line % 6 = 0 THEN 'long,untested' ELSE '-' END, ' ', len(string_split(sym.path, '/')) + 1, ' -') FROM sym JOIN own o ON o.path = sym.path
+   UNION ALL SELECT DISTINCT repo, dst, 'external_module - - - -' FROM mimp WHERE starts_with(dst, 'external::')
+   UNION ALL SELECT repo, dir, concat('package - - ', i, ' -') FROM mdir UNION ALL SELECT DISTINCT repo, 'project::corpus', 'project - - 0 -' FROM own),
+ medge AS (SELECT repo, src, concat(dst, ' IMPORTS') AS x FROM mimp UNION ALL SELECT o.repo, con.src, concat(con.dst, ' CONTAINS') FROM con JOIN own o ON o.path = con.src
+   UNION ALL SELECT repo, CASE WHEN id LIKE '%/%' THEN regexp_replace(id, '/[^/]*$', '') ELSE 'project::corpus' END, concat(id, ' CONTAINS') FROM mkid)"""
+_ROUND_TRIP = _MANY + """ SELECT repo, 'node' AS kind, id AS a, x AS b FROM mnode UNION ALL SELECT repo, 'edge', src, x FROM medge
+ UNION ALL SELECT repo, 'hash', path, concat(sha256(repo), ' 2024-01-01T00:00:00 ', sha256(path)) FROM own"""
+_DOCUMENTS = _MANY + """ SELECT repo, part, count(*) AS lines FROM (SELECT repo, 1 AS part FROM mnode UNION ALL SELECT repo, 3 FROM medge UNION ALL SELECT repo, 5 FROM own
+ UNION ALL SELECT repo, unnest([0, 2, 4, 6]) FROM (SELECT DISTINCT repo FROM own)) GROUP BY repo, part"""
+
+
 def report_sql() -> dict[str, str]:
     return {
         "d10_updated_edges": _UPDATED, "d10_updated_nodes": _UPDATED_NODES, "d10_repaired_nodes": _REPAIRED_NODES, "d10_counts": _COUNTS, "s1_versioned_graph": _VERSIONED,
         "e5_roll_up": _roll("'about '"), "e5_roll_up_again": _roll("CASE WHEN start_line % 30 = 3 THEN 'again ' ELSE 'about ' END"), "e5_model_roll_up": _counted(),
+        "g4_edge_parts": _EDGE_PARTS, "r2_module_parts": _MODULE_PARTS, "a3_a4_round_trip": _ROUND_TRIP, "a3_a4_graph_documents": _DOCUMENTS,
         "g1_tree": _LINES, "g1_tree_report": _TREES, "g4_full_report": _FULL, "j1_prompts": _PROMPTS,
         "r0_overview": _OVERVIEW, "r1_packages": _PACKAGES, "r2_modules": _MODULES, "r3_symbols": _SYMBOLS,
     }

@@ -175,3 +175,28 @@ def test_impact_of_whole_import_chains(spark):
         want[r.seed], deepest = len(seen), max(deepest, hops)
     assert {r.seed: r.n for r in registry.queries()["h2_impact_all"](spark, d).collect()} == want
     assert deepest > 3
+
+
+def test_parts_joined_are_the_whole(spark, built):
+    """A target that most edges have is cut into parts, which joined are its report."""
+    from corpusloom.operators import parts
+
+    (nodes, edges), _ = built
+    more = spark.createDataFrame([("", f"m{k}.py", "utils.py", "IMPORTS") for k in range(57)], edges.schema)
+    files = spark.createDataFrame([("", f"m{k}.py", "file") for k in range(57)], "repo string, node_id string, type string")
+    nodes = nodes.unionByName(files, allowMissingColumns=True)
+    nodes = nodes.withColumn("summary", F.when(F.col("node_id").isin("utils.py", "main.py::main"), "does")).withColumn("risks", F.when(F.col("node_id") == "utils.py", F.array(F.lit("a"), F.lit("b"))))
+    edges = edges.unionByName(more)
+    want = {r.node_id: r.report for r in report.modules(nodes, edges).collect()}
+    for size in (1, 5, 1000):
+        rows = parts.module_texts(nodes, edges, lambda x: written(x, "t"), size).collect()
+        got = {}
+        for r in sorted(rows, key=lambda r: (r.node_id, r.section, r.part)):
+            got[r.node_id] = got.get(r.node_id, "") + r.text
+        assert got == want
+        assert sum(r.node_id == "utils.py" and r.section == 3 for r in rows) == -(-58 // size)
+    lists = parts.edge_lists(edges, lambda x: written(x, "t"), 7).collect()
+    whole = {r.node_id: r.in_edges for r in report.full_report(nodes, edges).collect()}
+    assert "".join(r.edges for r in sorted(lists, key=lambda r: r.part) if (r.node_id, r.direction) == ("utils.py", "in")) == whole["utils.py"]
+    with pytest.raises(ValueError):
+        parts.in_parts(edges, ["src"], ["dst"], "dst", ",", written, 0)
