@@ -126,9 +126,8 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def fan_in_out(edges: DataFrame) -> DataFrame:
-    """(repo, node_id, fan_in, fan_out) over edges of all kinds."""
-    i = edges.groupBy("repo", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("i"))
-    o = edges.groupBy("repo", F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("o"))
-    return i.join(o, ["repo", "node_id"], "full_outer").select(
-        "repo", "node_id", F.coalesce("i", F.lit(0)).cast("long").alias("fan_in"), F.coalesce("o", F.lit(0)).cast("long").alias("fan_out")
+    """(repo, node_id, fan_in, fan_out) over edges of all kinds, in one pass over them."""
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o"))))
+    return edges.select("repo", ends.alias("x")).groupBy("repo", F.col("x.node_id").alias("node_id")).agg(
+        F.sum("x.i").cast("long").alias("fan_in"), F.sum("x.o").cast("long").alias("fan_out")
     )

@@ -23,3 +23,9 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, projec
         nodes = hierarchy.with_levels(nodes.unionByName(pkg, allowMissingColumns=True).unionByName(hierarchy.project_nodes(files, project), allowMissingColumns=True))
         edges = edges.unionByName(hierarchy.containment_edges(files, pkg, project))
     return nodes, edges
+
+
+def graph_edges(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """The edges of ``build_graph`` alone: with one reader nothing is worth writing."""
+    resolved = graph.resolve_imports(imports, files)
+    return graph.contains_edges(graph.symbol_nodes(symbols)).unionByName(graph.import_edges(resolved))

@@ -11,7 +11,7 @@ from .cut import fresh_path, release, written
 from .corpus import ctes, view
 from .functions import paths, text
 from .operators import changes, enrich, extract, graph, hierarchy, ignore, incremental, packages, parts, report, traverse, tree, update
-from .plans.build import build_graph
+from .plans.build import build_graph, graph_edges
 from .report_sql import report_sql
 from .sources import files as sources
 
@@ -28,6 +28,15 @@ def _graph(s: SparkSession, d: str, project: str | None = None) -> tuple[DataFra
     return build_graph(_files(s, d), view(s, d, "c_symbols"), view(s, d, "c_imports"), project, written)
 
 
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    return graph_edges(_files(s, d), view(s, d, "c_symbols"), view(s, d, "c_imports"))
+
+
+def _both(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges for a query that reads the edges more than once: written once."""
+    return nodes, written(edges, "edges")
+
+
 def _many_files(s: SparkSession, d: str) -> DataFrame:
     """The files as repositories of at most a thousand each, so that their number grows with the table."""
     return view(s, d, "c_files").select(F.concat(F.lit("r"), F.expr("file_key div 1000")).alias("repo"), "path", "size", F.expr("size div 4").alias("token_est"))
@@ -240,7 +249,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d2_externals": lambda s, d: graph.external_nodes(graph.resolve_imports(view(s, d, "c_imports"), view(s, d, "c_files"))).select("node_id", "name"),
         "d3_import_edges": lambda s, d: _imports(s, d).select("src", "dst"),
         "d4_contains_edges": lambda s, d: graph.contains_edges(graph.symbol_nodes(view(s, d, "c_symbols"))).select("src", "dst"),
-        "d5_removed_files": lambda s, d: graph.remove_files(*g(s, d), view(s, d, "c_files").filter("file_key % 5 = 0").select("repo", "path"))[1].select("src", "dst", "relationship"),
+        "d5_removed_files": lambda s, d: graph.remove_files(*_both(*g(s, d)), view(s, d, "c_files").filter("file_key % 5 = 0").select("repo", "path"))[1].select("src", "dst", "relationship"),
         "d6_removed_nodes": lambda s, d: graph.remove_nodes(*g(s, d), graph.external_nodes(graph.resolve_imports(view(s, d, "c_imports"), view(s, d, "c_files"))))[1].groupBy("relationship").agg(F.count(F.lit(1)).alias("n")),
         "d7_hash_diff": lambda s, d: changes.diff_hashes(*_hashes(s, d)).select("path", "status"),
         "d8_feed": lambda s, d: changes.parse_feed(view(s, d, "c_feed"), "event_id"),
@@ -266,20 +275,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "f4_change_totals": lambda s, d: changes.change_totals(changes.parse_feed(view(s, d, "c_feed"))),
         "f5_importers": lambda s, d: packages.importers(_imports(s, d)).select("dst", "src", "n"),
         "f6_package_pairs": lambda s, d: packages.package_pairs(_imports(s, d)).select("src_package", "dst_package"),
-        "f7_internal_imports": lambda s, d: packages.internal_imports(*g(s, d, PROJECT)[::-1]).select("package", "src", "dst"),
-        "f8_crossing_imports": lambda s, d: packages.crossing_imports(*g(s, d, PROJECT)[::-1]).select("package", "direction", "other"),
-        "f9_fan_in_out": lambda s, d: graph.fan_in_out(g(s, d)[1]).select("node_id", "fan_in", "fan_out"),
+        "f7_internal_imports": lambda s, d: packages.internal_imports(*_both(*g(s, d, PROJECT))[::-1]).select("package", "src", "dst"),
+        "f8_crossing_imports": lambda s, d: packages.crossing_imports(*_both(*g(s, d, PROJECT))[::-1]).select("package", "direction", "other"),
+        "f9_fan_in_out": lambda s, d: graph.fan_in_out(_edges(s, d)).select("node_id", "fan_in", "fan_out"),
         "g1_tree": lambda s, d: tree.tree_lines(_files(s, d)).select("path", "line"),
         "g1_tree_report": lambda s, d: tree.tree_report(_many_files(s, d), "corpus").select("repo", "total_files", "total_folders", "estimated_tokens", F.sha2("tree_string", 256).alias("digest")),
         "g2_batches": lambda s, d: packages.batches(enrich.pending(_enriched(s, d)[0]), 10, lambda x: written(x, "pending")).select("node_id", "batch"),
         "g3_largest_files": lambda s, d: packages.first_per_repo(_files(s, d), 25, F.desc("size"), "path").select("path", "size", F.col("rank").cast("long").alias("rank")),
-        "g4_full_report": lambda s, d: report.full_report(*_enriched(s, d)).drop("repo"),
+        "g4_full_report": lambda s, d: report.full_report(*_both(*_enriched(s, d))).drop("repo"),
         "g4_edge_parts": lambda s, d: parts.edge_lists(_graph(s, d, PROJECT)[1], written, 50).drop("repo"),
         "r2_module_parts": lambda s, d: parts.module_texts(*_enriched(s, d), written, 50).drop("repo"),
         "g5_changed_paths": lambda s, d: changes.changed_paths(_changes(s, d), *[x for x in _hashes(s, d)]).select("path"),
         "r0_overview": lambda s, d: report.overview(*_enriched(s, d)).select("report"),
-        "r1_packages": lambda s, d: report.packages(*_enriched(s, d)).select("node_id", "report"),
-        "r2_modules": lambda s, d: report.modules(*_enriched(s, d)).select("node_id", "report"),
+        "r1_packages": lambda s, d: report.packages(*_both(*_enriched(s, d))).select("node_id", "report"),
+        "r2_modules": lambda s, d: report.modules(*_both(*_enriched(s, d))).select("node_id", "report"),
         "r3_symbols": lambda s, d: report.symbols(*_enriched(s, d)).select("node_id", "report"),
         "r4_code": lambda s, d: extract.numbered_code(_doc_symbols(s, d), _content(s, d)).select("node_id", "report"),
         "h1_reach": lambda s, d: traverse.reach(written(_imports(s, d), "imports"), _query_set(s, d), lambda x: written(x, "frontier")).select("seed", "node_id", "hops", F.coalesce("parent", F.lit("")).alias("parent")),
