@@ -111,8 +111,8 @@ def mix_digest(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 def mix_documents(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix: the documents taken at least once, all their columns, and size,
-    source_size, target, copies and taken."""
-    names = {"size", "source_size", "target", "copies", "taken"}
+    source_size, target, copies and taken. Where ``docs`` has a column of such a name
+    it stays, and the operator's own is called ``mix_size`` and so on."""
     rows = written(_sized(docs), "sizes")
     picks = _taken(rows, source_targets(rows, weights, max_epochs), seed).filter("copies > 0").distinct()
     full = packed(docs, k_id=F.col("doc_id"), k_source=F.col("source"), k_fp=F.xxhash64("text"))
@@ -120,10 +120,12 @@ def mix_documents(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] =
         picks,
         F.col("k_id").eqNullSafe(F.col("doc_id")) & F.col("k_source").eqNullSafe(F.col("source")) & (F.col("k_fp") == F.col("fp")),
     )
-    return j.select(
-        *[F.col("doc")[c].alias(c) for c in docs.columns if c not in names],
-        "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
-    )
+    own = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": F.col("copies"), "taken": F.col("size") * F.col("copies")}
+
+    def free(name: str) -> str:
+        return free("mix_" + name) if name in docs.columns else name
+
+    return j.select(*[F.col("doc")[c].alias(c) for c in docs.columns], *[c.alias(free(name)) for name, c in own.items()])
 
 
 #: DuckDB SQL for the rows of mix_digest over a table ``{docs}``.

@@ -316,6 +316,13 @@ def test_url_links_as_browsers_read_them(spark):
     assert [(a, e) for a, *_, e in sorted(con.execute(url_filter.URL_SQL).fetchall())] == want
 
 
+def test_mix_keeps_a_callers_columns(spark):
+    d = spark.createDataFrame([(1, "a b c", "s", 99, "mine", 7), (2, "d", "t", 98, None, 8)], "doc_id long, text string, source string, size long, target string, mix_size int")
+    got = {r.doc_id: r for r in mixing.mix_documents(d).collect()}
+    assert got and all((r.size, r.target, r.mix_size) == {1: (99, "mine", 7), 2: (98, None, 8)}[k] for k, r in got.items())
+    assert all(r.mix_mix_size == {1: 3, 2: 1}[k] and r.taken == r.copies * r.mix_mix_size and r.mix_target > 0 for k, r in got.items())
+
+
 def _warc(i, url, html):
     body = (html or "").encode()
     head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {url or ''}\r\nContent-Length: {len(body)}\r\n\r\n"
