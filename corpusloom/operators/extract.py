@@ -242,6 +242,14 @@ def snippets(symbols: DataFrame, texts: DataFrame, max_lines: int = MAX_LINES) -
     return j.withColumn("code", F.nullif(code, F.lit(""))).drop("all__", "cut__")
 
 
+def code_rejects(symbols: DataFrame, texts: DataFrame) -> DataFrame:
+    """(repo, node_id, reason): the symbols that ``numbered_code`` has no report of."""
+    a, b = F.col("start_line"), F.col("end_line")
+    reason = F.when(a.isNull() | b.isNull(), "no line range").when(a > b, "inverted line range").when(F.col("there__").isNull(), "no source")
+    j = symbols.join(texts.select("repo", "path", F.lit(True).alias("there__")), ["repo", "path"], "left")
+    return j.select("repo", "node_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def numbered_code(symbols: DataFrame, texts: DataFrame) -> DataFrame:
     """(repo, node_id, report): the code report of every symbol with a valid line range."""
     from ..functions.paths import fence

@@ -88,6 +88,13 @@ def _doc_symbols(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _odd_symbols(s: SparkSession, d: str) -> DataFrame:
+    """Symbols of which some have no range, an inverted one, or no source."""
+    k = F.col("doc_id")
+    lost = F.when(k % 11 == 0, F.concat(F.lit("gone/"), "path")).otherwise(F.col("path"))
+    return _content(s, d).select("repo", F.concat("path", F.lit("::d")).alias("node_id"), lost.alias("path"), F.when(k % 13 != 0, 1).alias("start_line"), F.when(k % 7 == 0, 0).otherwise(9).alias("end_line"))
+
+
 def _hashes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = _content(s, d)
     h = F.sha2("text", 256)
@@ -242,14 +249,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "b5_pending": lambda s, d: enrich.pending(_enriched(s, d)[0]).select("node_id"),
         "b6_parent_package": lambda s, d: graph.symbol_nodes(view(s, d, "c_symbols")).select("node_id", F.coalesce(paths.parent_package(F.col("node_id")), F.lit("-")).alias("package")),
         "b7_rejected_symbols": lambda s, d: graph.check_symbols(graph.symbol_nodes(view(s, d, "c_symbols")), view(s, d, "c_files").filter("file_key % 3 <> 0"))[1].select("node_id", "reason"),
+        "b7_rejected_imports": lambda s, d: graph.check_imports(_imports(s, d), graph.file_nodes(_files(s, d).join(view(s, d, "c_files").filter("file_key % 3 <> 0").select("repo", "path"), ["repo", "path"], "left_semi")))[1].select("src", "dst", "reason"),
         "c1_extracted": lambda s, d: extract.extract_symbols(_sources(s, d)).select("path", "type", "name", "start_line", "end_line", "parse_status"),
         "c4_symbols": lambda s, d: graph.symbol_nodes(view(s, d, "c_symbols")).select("node_id", "type", "name", "start_line", "end_line"),
         "c5_snippets": lambda s, d: extract.snippets(_doc_symbols(s, d), _content(s, d)).select("node_id", F.coalesce("code", F.lit("-")).alias("code")),
         "d1_resolved": lambda s, d: graph.resolve_imports(view(s, d, "c_imports"), view(s, d, "c_files")).select("src", "name", "strategy", "dst"),
         "d2_externals": lambda s, d: graph.external_nodes(graph.resolve_imports(view(s, d, "c_imports"), view(s, d, "c_files"))).select("node_id", "name"),
         "d3_import_edges": lambda s, d: _imports(s, d).select("src", "dst"),
+        "d3_lazy_targets": lambda s, d: graph.lazy_nodes(graph.file_nodes(_files(s, d)), _imports(s, d)).select("node_id"),
         "d4_contains_edges": lambda s, d: graph.contains_edges(graph.symbol_nodes(view(s, d, "c_symbols"))).select("src", "dst"),
         "d5_removed_files": lambda s, d: graph.remove_files(*_both(*g(s, d)), view(s, d, "c_files").filter("file_key % 5 = 0").select("repo", "path"))[1].select("src", "dst", "relationship"),
+        "d5_rejected": lambda s, d: graph.remove_files(*g(s, d, PROJECT), _files(s, d).select("repo", "path").unionByName(hierarchy.package_nodes(_files(s, d)).select("repo", F.col("node_id").alias("path"))))[2].select("path", "reason"),
         "d6_removed_nodes": lambda s, d: graph.remove_nodes(*g(s, d), graph.external_nodes(graph.resolve_imports(view(s, d, "c_imports"), view(s, d, "c_files"))))[1].groupBy("relationship").agg(F.count(F.lit(1)).alias("n")),
         "d7_hash_diff": lambda s, d: changes.diff_hashes(*_hashes(s, d)).select("path", "status"),
         "d8_feed": lambda s, d: changes.parse_feed(view(s, d, "c_feed"), "event_id"),
@@ -291,6 +301,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "r2_modules": lambda s, d: report.modules(*_both(*_enriched(s, d))).select("node_id", "report"),
         "r3_symbols": lambda s, d: report.symbols(*_enriched(s, d)).select("node_id", "report"),
         "r4_code": lambda s, d: extract.numbered_code(_doc_symbols(s, d), _content(s, d)).select("node_id", "report"),
+        "r4_rejected": lambda s, d: extract.code_rejects(_odd_symbols(s, d), _content(s, d)).select("node_id", "reason"),
         "h1_reach": lambda s, d: traverse.reach(written(_imports(s, d), "imports"), _query_set(s, d), lambda x: written(x, "frontier")).select("seed", "node_id", "hops", F.coalesce("parent", F.lit("")).alias("parent")),
         "h1_paths": lambda s, d: traverse.paths(traverse.reach(written(_imports(s, d), "imports"), _query_set(s, d), lambda x: written(x, "frontier")), lambda x: written(x, "paths")).select("seed", "node_id", F.array_join("path", " ").alias("path")),
         "h2_impact": lambda s, d: traverse.impact(written(_imports(s, d), "imports"), _query_set(s, d), lambda x: written(x, "frontier")).groupBy("seed", "hops").agg(F.count(F.lit(1)).alias("n")),
@@ -378,6 +389,11 @@ def oracle_sql() -> dict[str, str]:
         "d4_contains_edges": r("SELECT src, dst FROM con"),
         "d5_removed_files": r(""", doomed AS (SELECT path AS id FROM c_files WHERE file_key % 5 = 0 UNION SELECT dst FROM con JOIN c_files f ON f.path = src WHERE f.file_key % 5 = 0)
             SELECT src, dst, relationship FROM edg WHERE src NOT IN (SELECT id FROM doomed) AND dst NOT IN (SELECT id FROM doomed)"""),
+        "d5_rejected": r("SELECT node_id AS path, 'no such file node' AS reason FROM pkg"),
+        "b7_rejected_imports": r("SELECT src, dst, 'source is no node' AS reason FROM imp WHERE src IN (SELECT path FROM c_files WHERE file_key % 3 = 0)"),
+        "d3_lazy_targets": r("SELECT DISTINCT dst AS node_id FROM imp WHERE dst NOT IN (SELECT path FROM c_files)"),
+        "r4_rejected": f"""WITH {c} SELECT concat(path, '::d') AS node_id, CASE WHEN doc_id % 13 = 0 THEN 'no line range' WHEN doc_id % 7 = 0 THEN 'inverted line range' ELSE 'no source' END AS reason
+            FROM c_content WHERE doc_id % 13 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0""",
         "d6_removed_nodes": r("SELECT relationship, count(*) AS n FROM edg WHERE dst NOT LIKE 'external::%' GROUP BY relationship"),
         "d7_hash_diff": h("""SELECT coalesce(c.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'A' WHEN c.path IS NULL THEN 'D' ELSE 'M' END AS status
             FROM cur c FULL JOIN old o ON c.path = o.path WHERE c.h IS DISTINCT FROM o.h"""),
