@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, packed
+from .common import ascii_lower, written
 from .components import connected_components
 
 #: (verdict, host, path prefix)
@@ -44,21 +44,28 @@ _ENTITY = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|lt;|gt;|quot;|apos;|amp;)"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 
-def unescaped(text: Column) -> Column:
-    """Text with its entities decoded, each once; numbers of no character as U+FFFD."""
-    found = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+def _mark(entity: Column) -> Column:
+    """The sign that an entity stands for; U+FFFD for numbers of no character."""
+    n = entity["n"]
+    sign = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    out = F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), sign).otherwise("\ufffd")
+    for name, sign in ENTITIES:
+        out = F.when(entity["e"] == name, sign).otherwise(out)
+    return out
 
-    def mark(entity: Column) -> Column:
-        digits = F.regexp_extract(entity, "^&#([0-9]+)", 1)
-        n = F.when(digits != "", digits.cast("int")).otherwise(F.conv(F.regexp_extract(entity, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("int"))
-        n = F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), 0xFFFD).otherwise(n)
-        out = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-        for name, sign in ENTITIES:
-            out = F.when(entity == name, sign).otherwise(out)
-        return out
 
-    parts = F.transform(F.split(text, _ENTITY, -1), lambda x, i: F.concat(x, F.coalesce(mark(F.get(found, i)), F.lit(""))))
-    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
+def _number(entity: Column) -> Column:
+    """An entity e and the number n that it gives, if it does."""
+    digits = F.nullif(F.regexp_extract(entity, "^&#([0-9]+)", 1), F.lit(""))
+    n = F.coalesce(digits, F.conv(F.regexp_extract(entity, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10)).cast("int")
+    return F.struct(entity.alias("e"), n.alias("n"))
+
+
+def unescaped(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with the entities of the column ``text`` decoded, each once."""
+    found = rows.withColumn("marks__", F.when(F.col(text).contains("&"), F.transform(F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)), _number), _mark)))
+    parts = F.transform(F.split(text, _ENTITY, -1), lambda x, i: F.concat(x, F.coalesce(F.get("marks__", i), F.lit(""))))
+    return found.withColumn(text, F.when(F.size("marks__") > 0, F.array_join(parts, "")).otherwise(F.col(text))).drop("marks__")
 
 
 def host_of(url: Column) -> Column:
@@ -102,19 +109,23 @@ def _dots_resolved(path: Column) -> Column:
     return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
 
 
-def resolved(url: Column, target: Column) -> Column:
-    """A link's target as an absolute url; null where it has none."""
-    target = F.regexp_replace(unescaped(target), "#.*$", "")
-    base = F.regexp_extract(url, r"^(?s)([^?#]*)", 1)
-    above = F.regexp_replace(F.regexp_extract(base, r"^(?s).*?://[^/]*(/.*)?$", 1), "[^/]*$", "")
-    path, query = F.regexp_extract(target, r"^([^?]*)", 1), F.regexp_extract(target, r"^[^?]*(.*)$", 1)
-    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(above == "", "/").otherwise(above), path))
-    return (
-        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target).when((target == "") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
-        .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"^(?s)(.*?:)//", 1), target))
-        .when(target.startswith("?"), F.concat(base, target))
-        .otherwise(F.concat(_origin(url), _dots_resolved(whole), query))
+def resolved(rows: DataFrame, url: str, target: str) -> DataFrame:
+    """``rows`` with the column ``target``, a link's, as an absolute url against the column
+    ``url``; null where it has none. Step by step, so that no expression holds another
+    more than once."""
+    t, u = F.col(target), F.col(url)
+    step = unescaped(rows, target).withColumn(target, F.regexp_replace(target, "#.*$", ""))
+    step = step.withColumns({"base__": F.regexp_extract(u, r"^(?s)([^?#]*)", 1), "path__": F.regexp_extract(t, r"^([^?]*)", 1), "query__": F.regexp_extract(t, r"^[^?]*(.*)$", 1)})
+    step = step.withColumn("above__", F.regexp_replace(F.regexp_extract("base__", r"^(?s).*?://[^/]*(/.*)?$", 1), "[^/]*$", ""))
+    whole = F.when(F.col("path__").startswith("/"), F.col("path__")).otherwise(F.concat(F.when(F.col("above__") == "", "/").otherwise(F.col("above__")), "path__"))
+    step = step.withColumn("whole__", whole)
+    out = (
+        F.when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), t).when((t == "") | t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(t.startswith("//"), F.concat(F.regexp_extract(u, r"^(?s)(.*?:)//", 1), t))
+        .when(t.startswith("?"), F.concat("base__", t))
+        .otherwise(F.concat(_origin(u), _dots_resolved(F.col("whole__")), "query__"))
     )
+    return step.withColumn(target, out).drop("base__", "path__", "query__", "above__", "whole__")
 
 
 def alias_key(url: Column) -> Column:
@@ -128,10 +139,12 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         F.col("html").rlike(r"(?i)\bcanonical\b|\brefresh\b")
     )
     clean = hinted.select("url", F.regexp_replace("html", _NO_TAGS, " ").alias("html"))
-    base = resolved(F.col("url"), F.nullif(F.regexp_extract("html", _BASE, 1), F.lit("")))
-    tags = clean.select("url", F.coalesce(base, "url").alias("base"), F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag"))
+    tags = clean.select("url", F.nullif(F.regexp_extract("html", _BASE, 1), F.lit("")).alias("base"), F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag"))
     target = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", _HREF, 1)).when(F.col("tag").rlike(_REFRESH), F.regexp_extract("tag", _URL, 1))
-    found = tags.select("url", resolved(F.col("base"), target).alias("target")).filter("target LIKE '%://%'")
+    # written before each resolution, else the optimizer copies one's expressions into the next
+    links = written(tags.select("url", "base", target.alias("target")), "alias-tags").filter("target <> ''")
+    based = written(resolved(links, "url", "base"), "alias-bases")
+    found = written(resolved(based.withColumn("base", F.coalesce("base", "url")), "base", "target"), "alias-targets").filter("target LIKE '%://%'")
     return found.select(alias_key(F.col("url")).alias("u"), alias_key(F.col("target")).alias("v")).filter("u <> v")
 
 
