@@ -79,23 +79,32 @@ def tree_levels(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
 
 
 def subtree_roots(levels: list[DataFrame]) -> DataFrame:
-    """(grp, h, level) of the node of each group that covers all its leaves."""
+    """(grp, h, level, node) of the node of each group that covers all its leaves; node has
+    lo, hi, n and, above the leaves, kids."""
     out = None
     for k, level in enumerate(levels):
-        own = level.filter(_is_root()).select("grp", "h", F.lit(k).alias("level"))
+        kids = F.col("kids") if k else F.lit(None).cast("array<string>").alias("kids")
+        own = level.filter(_is_root()).select("grp", "h", F.lit(k).alias("level"), F.struct("lo", "hi", "n", kids).alias("node"))
         out = own if out is None else out.unionByName(own)
     return out
 
 
+#: Levels whose joins make one job; the lowest of them is written.
+TOGETHER = 3
+
+
 def proofs(levels: list[DataFrame], tops: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The leaves of ``levels`` with subroot and proof, an array of (before, after): the
     joined hashes of the siblings on both sides, from the leaf up. ``tops`` (grp, level,
-    subroot, proof) holds what stands above the root of each group."""
+    subroot, node, proof) holds the root of each group and what stands above it."""
     above = None
     for k in range(len(levels) - 1, -1, -1):
         level, width = levels[k], fanout**k
-        top = tops.filter(F.col("level") == k).select(F.col("grp").alias("t_grp"), "subroot", "proof")
-        here = level.filter(_is_root()).join(top, F.col("grp") == F.col("t_grp")).drop("t_grp")
+        top = tops.filter(F.col("level") == k)
+        if k:
+            here = top.select("grp", "node.*", F.col("subroot").alias("h"), "subroot", "proof").select(*level.columns, "subroot", "proof")
+        else:
+            here = level.filter(_is_root()).join(top.select(F.col("grp").alias("t_grp"), "subroot", "proof"), F.col("grp") == F.col("t_grp")).drop("t_grp")
         if above is not None:
             p = above.select(
                 F.col("grp").alias("p_grp"), F.floor(F.col("lo") / (width * fanout)).alias("p_bucket"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"),
@@ -110,7 +119,7 @@ def proofs(levels: list[DataFrame], tops: DataFrame, fanout: int = FANOUT) -> Da
                 F.array_join(F.slice("p_kids", F.lit(1), n_before), "").alias("before"), F.array_join(F.slice("p_kids", n_before + 2, n_after), "").alias("after")
             )
             here = j.select(*level.columns, "subroot", F.concat(F.array(step), F.col("p_proof")).alias("proof")).unionByName(here)
-        above = here
+        above = written(here, f"above-{k}") if k and k % TOGETHER == 0 else here
     return above
 
 
@@ -130,12 +139,12 @@ def inclusion_proofs(leaves: DataFrame) -> tuple[DataFrame, str | None]:
     rows = ranked(leaves.withColumn("grp", grp).drop("source"), *[c for c in leaves.columns if c != "source"])
     levels = tree_levels(rows)
     roots = written(subtree_roots(levels), "subroots")
-    sources = ranked(roots.select(F.lit("").alias("grp"), F.col("grp").alias("source"), "h", F.col("level").alias("own")), "source")
+    sources = ranked(roots.select(F.lit("").alias("grp"), F.col("grp").alias("source"), "h", F.col("level").alias("own"), "node"), "source")
     upper = tree_levels(sources)
     root = upper[-1].filter(_is_root()).select("h").first()
     none = F.array().cast("array<struct<before:string,after:string>>")
-    start = subtree_roots(upper).select("grp", "level", F.col("h").alias("subroot"), none.alias("proof"))
-    tops = proofs(upper, start).select(F.col("source").alias("grp"), F.col("own").alias("level"), F.col("h").alias("subroot"), "proof")
+    start = subtree_roots(upper).select("grp", "level", F.col("h").alias("subroot"), "node", none.alias("proof"))
+    tops = proofs(upper, start).select(F.col("source").alias("grp"), F.col("own").alias("level"), F.col("h").alias("subroot"), "node", "proof")
     tops = written(tops, "tops")
     release(*upper, roots)
     return proofs(levels, tops), root[0] if root else None
