@@ -55,6 +55,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,7 @@ from .components import connected_components
 from .wordhash import Words, mixed, row_grams, text_slices
 
 N = 5
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Similarity NUM / DEN.
 NUM, DEN = 3, 4
 #: Shares of the documents from which a shingle is left out, tier by tier (0: seen in
@@ -469,8 +471,9 @@ def _rare_pairs(docs: DataFrame, nodes: DataFrame, placed: DataFrame, links: Dat
     end = lambda x: placed.select(F.col("id").alias(x), F.col("comp").alias("c" + x))
     joined = stars.join(end("u"), "u").join(end("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     merged = connected_components(joined)
-    small, large, placed = (_merged(df, merged) for df in (small, large, placed))
-    placed = written(placed, "open-merged")
+    placed = written(_merged(placed, merged), "open-merged")
+    now = F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed
+    small, large = (df.drop("comp").join(now, "id") for df in (small, large))
     hubs = _hubs(links.unionByName(stars), comps, merged)
     sides = lambda df, c: df.select("size", "h", F.col("comp").alias(c)).distinct()
     meet = written(sides(small, "a").join(sides(large, "b"), ["size", "h"]).filter("a <> b"), "rare-meetings")
@@ -580,6 +583,25 @@ def _classes(named: DataFrame) -> DataFrame:
     return least.select("c", F.col("x.doc_id").alias("rep"), *[f"x.{k}" for k in ("n", "band", "need", "own", "below")])
 
 
+def _small_batches(link):
+    """Rows with whole sets go to Python some hundred at a time: ten thousand, Spark's own
+    measure, of two sets of thousands of shingles each would be gigabytes. The setting is
+    the session's while the links are made."""
+
+    @wraps(link)
+    def run(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        conf = docs.sparkSession.conf
+        old = conf.get(BATCH_ROWS, None)
+        conf.set(BATCH_ROWS, "512")
+        try:
+            return link(docs)
+        finally:
+            conf.unset(BATCH_ROWS) if old is None else conf.set(BATCH_ROWS, old)
+
+    return run
+
+
+@_small_batches
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signatures, labels): doc_id, n, c per row of ``docs``; c, component_id for each
     class of a linked document."""
