@@ -277,6 +277,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e2_packages": lambda s, d: hierarchy.package_nodes(_files(s, d)).select("node_id", "name", "level"),
         "e3_levels": lambda s, d: g(s, d, PROJECT)[0].select("node_id", F.coalesce("level", F.lit(-1)).alias("level")),
         "e5_roll_up": lambda s, d: hierarchy.roll_up(*_enriched(s, d), lambda x: written(x, "roll-up")).filter("level <= 2 AND summary <> ''").select("node_id", F.sha2("summary", 256).alias("digest")),
+        "e5_roll_up_by_repo": lambda s, d: hierarchy.roll_up(*_enriched(s, d, _many_graphs), lambda x: written(x, "roll-up")).filter("level <= 2 AND summary <> ''").select("repo", "node_id", F.sha2("summary", 256).alias("digest")),
         "e5_roll_up_again": lambda s, d: _roll_up_again(s, d).filter("level <= 2 AND summary <> ''").select("node_id", F.sha2("summary", 256).alias("digest")),
         "e5_model_roll_up": _model_roll_up,
         "f1_graph_stats": lambda s, d: graph.graph_stats(*g(s, d)).select("nodes", "edges"),
@@ -297,6 +298,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "r2_module_parts": lambda s, d: parts.module_texts(*_enriched(s, d), written, 50).drop("repo"),
         "g5_changed_paths": lambda s, d: changes.changed_paths(_changes(s, d), *[x for x in _hashes(s, d)]).select("path"),
         "r0_overview": lambda s, d: report.overview(*_enriched(s, d)).select("report"),
+        "r0_overview_parts": lambda s, d: parts.overview_texts(*_both(*_enriched(s, d)), written, 50).select("section", "part", "text"),
         "r1_packages": lambda s, d: report.packages(*_both(*_enriched(s, d))).select("node_id", "report"),
         "r2_modules": lambda s, d: report.modules(*_both(*_enriched(s, d))).select("node_id", "report"),
         "r3_symbols": lambda s, d: report.symbols(*_enriched(s, d)).select("node_id", "report"),

@@ -33,6 +33,14 @@ _OVERVIEW = _TOLD + f""", pair AS (SELECT DISTINCT concat('- ', a, ' importiert
 SELECT concat_ws({_NL}, concat('# corpus', {_NL}), {_section('## Hauptbereiche:', 'kids')}, {_section('## Architektur-Hinweise:', 'hints')}) AS report
  FROM node LEFT JOIN kid USING (node_id) CROSS JOIN hint WHERE type = 'project'"""
 
+_OVERVIEW_PARTS = _TOLD + f""", pair AS (SELECT DISTINCT concat('- ', a, ' importiert ', b) AS h FROM (SELECT {_SRC} AS a, {_DST} AS b FROM imp) WHERE a <> b),
+ item AS (SELECT 1 AS section, row_number() OVER (ORDER BY n.rank, n.at, n.name, n.node_id) - 1 AS k, concat('- **', n.name, '**', CASE WHEN n.summary <> '' THEN concat(' - ', n.summary) ELSE '' END) AS x
+   FROM tree t JOIN node n ON n.node_id = t.dst WHERE t.src = 'project::corpus' UNION ALL SELECT 2, row_number() OVER (ORDER BY h) - 1, h FROM pair),
+ cnt AS (SELECT *, count(*) OVER (PARTITION BY section) AS n FROM item)
+SELECT section, k // 50 AS part, concat(CASE WHEN k // 50 > 0 THEN {_NL} WHEN section = 1 THEN concat({_NL}, '## Hauptbereiche:', {_NL}, {_NL}) ELSE concat({_NL}, '## Architektur-Hinweise:', {_NL}, {_NL}) END,
+   string_agg(x, {_NL} ORDER BY k), CASE WHEN max(k) + 1 = any_value(n) THEN {_NL} ELSE '' END) AS text FROM cnt GROUP BY section, k // 50
+UNION ALL SELECT 0, 0, concat('# corpus', {_NL})"""
+
 _PACKAGES = _TOLD + f""", j AS (SELECT i.src, i.dst, a.parent AS ps, b.parent AS pd FROM imp i LEFT JOIN inpkg a ON a.child = i.src LEFT JOIN inpkg b ON b.child = i.dst),
  inn AS (SELECT DISTINCT ps AS node_id, concat('- ', {_BASE.format('src')}, ' importiert ', {_BASE.format('dst')}) AS x FROM j WHERE ps = pd),
  inner_ AS (SELECT node_id, string_agg(x, {_NL} ORDER BY x) AS inside FROM inn GROUP BY node_id),
@@ -160,6 +168,19 @@ _MANY = """, own AS (SELECT path, size, concat('r', file_key // 1000) AS repo FR
    UNION ALL SELECT repo, dir, concat('package - - ', i, ' -') FROM mdir UNION ALL SELECT DISTINCT repo, 'project::corpus', 'project - - 0 -' FROM own),
  medge AS (SELECT repo, src, concat(dst, ' IMPORTS') AS x FROM mimp UNION ALL SELECT o.repo, con.src, concat(con.dst, ' CONTAINS') FROM con JOIN own o ON o.path = con.src
    UNION ALL SELECT repo, CASE WHEN id LIKE '%/%' THEN regexp_replace(id, '/[^/]*$', '') ELSE 'project::corpus' END, concat(id, ' CONTAINS') FROM mkid)"""
+
+
+def _roll_by_repo() -> str:
+    out = _MANY + """, mtree AS (SELECT repo, CASE WHEN id LIKE '%/%' THEN regexp_replace(id, '/[^/]*$', '') ELSE 'project::corpus' END AS src, id FROM mkid),
+ f AS (SELECT o.repo, o.path AS id, string_agg(concat(node_id, ': about ', name), '; ' ORDER BY node_id) AS s FROM sym JOIN own o ON o.path = sym.path WHERE start_line % 3 = 0 GROUP BY o.repo, o.path)"""
+    for level, below in ((3, "f"), (2, "k3"), (1, "k2"), (0, "k1")):
+        parent = f"JOIN mdir k ON k.repo = p.repo AND k.dir = p.src AND k.i = {level}" if level else "AND p.src = 'project::corpus'"
+        out += f""", p{level} AS (SELECT p.repo, p.src AS id, string_agg(concat(c.id, ': ', c.s), '; ' ORDER BY c.id) AS s FROM mtree p JOIN {below} c ON c.repo = p.repo AND c.id = p.id {parent} GROUP BY p.repo, p.src),
+ k{level} AS (SELECT * FROM f UNION ALL SELECT * FROM p{level})"""
+    return out + """ SELECT repo, id AS node_id, sha256(s) AS digest FROM (SELECT * FROM p2 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p0 UNION ALL SELECT * FROM f WHERE id NOT LIKE '%/%/%'
+ UNION ALL SELECT o.repo, node_id, concat('about ', name) FROM sym JOIN own o ON o.path = sym.path WHERE start_line % 3 = 0 AND o.path NOT LIKE '%/%')"""
+
+
 _ROUND_TRIP = _MANY + """ SELECT repo, 'node' AS kind, id AS a, x AS b FROM mnode UNION ALL SELECT repo, 'edge', src, x FROM medge
  UNION ALL SELECT repo, 'hash', path, concat(sha256(repo), ' 2024-01-01T00:00:00 ', sha256(path)) FROM own"""
 _DOCUMENTS = _MANY + """ SELECT repo, part, count(*) AS lines FROM (SELECT repo, 1 AS part FROM mnode UNION ALL SELECT repo, 3 FROM medge UNION ALL SELECT repo, 5 FROM own
@@ -169,8 +190,8 @@ _DOCUMENTS = _MANY + """ SELECT repo, part, count(*) AS lines FROM (SELECT repo,
 def report_sql() -> dict[str, str]:
     return {
         "d10_updated_edges": _UPDATED, "d10_updated_nodes": _UPDATED_NODES, "d10_repaired_nodes": _REPAIRED_NODES, "d10_counts": _COUNTS, "s1_versioned_graph": _VERSIONED,
-        "e5_roll_up": _roll("'about '"), "e5_roll_up_again": _roll("CASE WHEN start_line % 30 = 3 THEN 'again ' ELSE 'about ' END"), "e5_model_roll_up": _counted(),
+        "e5_roll_up": _roll("'about '"), "e5_roll_up_again": _roll("CASE WHEN start_line % 30 = 3 THEN 'again ' ELSE 'about ' END"), "e5_model_roll_up": _counted(), "e5_roll_up_by_repo": _roll_by_repo(),
         "g4_edge_parts": _EDGE_PARTS, "r2_module_parts": _MODULE_PARTS, "a3_a4_round_trip": _ROUND_TRIP, "a3_a4_graph_documents": _DOCUMENTS,
         "g1_tree": _LINES, "g1_tree_report": _TREES, "g4_full_report": _FULL, "j1_prompts": _PROMPTS,
-        "r0_overview": _OVERVIEW, "r1_packages": _PACKAGES, "r2_modules": _MODULES, "r3_symbols": _SYMBOLS,
+        "r0_overview": _OVERVIEW, "r0_overview_parts": _OVERVIEW_PARTS, "r1_packages": _PACKAGES, "r2_modules": _MODULES, "r3_symbols": _SYMBOLS,
     }

@@ -200,3 +200,30 @@ def test_parts_joined_are_the_whole(spark, built):
     assert "".join(r.edges for r in sorted(lists, key=lambda r: r.part) if (r.node_id, r.direction) == ("utils.py", "in")) == whole["utils.py"]
     with pytest.raises(ValueError):
         parts.in_parts(edges, ["src"], ["dst"], "dst", ",", written, 0)
+
+
+def test_overview_parts_joined_are_the_whole(spark, built):
+    """Main areas and hints come in parts; a project without any, and no project at all, too."""
+    from corpusloom.operators import parts
+
+    (nodes, edges), _ = built
+    dirs = [f"d{k}" for k in range(23)]
+    files = [f"{d}/m.py" for d in dirs]
+    rows = [("", d, "package", d) for d in dirs] + [("", f, "file", f) for f in files] + [("bare", "project::b", "project", None), ("none", "a.py", "file", "a.py")]
+    rows += [("", "project::corpus", "project", "corpus")] if not nodes.filter("type = 'project' AND repo = ''").count() else []
+    more = spark.createDataFrame(rows, "repo string, node_id string, type string, name string")
+    project = nodes.filter("type = 'project' AND repo = ''").select("node_id").first()
+    top = project.node_id if project else "project::corpus"
+    links = [("", top, d, "CONTAINS") for d in dirs] + [("", a, b, "IMPORTS") for a, b in zip(files, files[1:], strict=False)]
+    links += [("none", "x/a.py", "y/b.py", "IMPORTS")]
+    nodes = nodes.unionByName(more, allowMissingColumns=True)
+    nodes = nodes.withColumn("summary", F.when(F.col("node_id").isin(top, "d3", "project::b"), "does")).withColumn("risks", F.array().cast("array<string>"))
+    edges = edges.unionByName(spark.createDataFrame(links, edges.schema))
+    want = {r.repo: r.report for r in report.overview(nodes, edges).collect()}
+    assert want["none"].endswith("No project node found.\n") and "d22" in want[""] and want["bare"] == "# project::b\n\ndoes\n"
+    for size in (1, 5, 1000):
+        rows = parts.overview_texts(nodes, edges, lambda x: written(x, "t"), size).collect()
+        got = {}
+        for r in sorted(rows, key=lambda r: (r.repo, r.section, r.part)):
+            got[r.repo] = got.get(r.repo, "") + r.text
+        assert got == want
