@@ -9,6 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import registry
 from corpusloom.functions import text
 from corpusloom.operators import extract, ignore
 
@@ -107,3 +108,14 @@ def test_tasks_of_equal_bytes(spark):
         assert len(dealt) == tasks and sum(r.n for r in dealt) == sum(sizes)
         assert max(r.n for r in dealt) < 1.5 * sum(sizes) / tasks
     assert extract.deal_by_size(files.limit(0), F.col("size")).count() == 0
+
+
+def test_inventory_query_and_sql_take_back_alike(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(67, "SMALL TIN", "Brand#11", 1), (7507, "SMALL TIN", "Brand#12", 1), (36, "SMALL TIN", "Brand#13", 1), (747, "SMALL TIN", "Brand#14", 1), (41, "SMALL TIN", "Brand#15", 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_type string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.path for r in registry.queries()["b1_inventory_filter"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    told = {r[0] for r in con.execute(registry.oracle_sql()["b1_inventory_filter"]).fetchall()}
+    assert got == told == {"dist/b12/notes7507.md", "src/small tin/b14/notes747.md", "src/small tin/b15/m41.py"}
