@@ -1,12 +1,15 @@
 """Small fixtures for the corpus operators."""
 
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.cut import written
 from corpusloom.functions import paths, text
 from corpusloom.operators import changes, enrich, extract, hierarchy, ignore, packages, report, traverse, tree
-from corpusloom.plans.build import build_graph
+from corpusloom.plans.build import build_graph, build_tree
 from corpusloom.sources import files as sources
 
 MAIN = "from utils import helper_function\n\ndef main():\n    pass\n"
@@ -227,3 +230,46 @@ def test_overview_parts_joined_are_the_whole(spark, built):
         for r in sorted(rows, key=lambda r: (r.repo, r.section, r.part)):
             got[r.repo] = got.get(r.repo, "") + r.text
         assert got == want
+
+
+def _random_tree(spark, seed):
+    """Files of two repositories, their hierarchy and symbols of which some have summaries."""
+    rng = random.Random(seed)
+    files = sorted({(r, "/".join([*rng.choices("ab", k=rng.randint(0, 3)), f"m{rng.randint(0, 6)}.py"])) for r in ("x", "y") for _ in range(25)})
+    f = spark.createDataFrame([(*p, 1, 1) for p in files], "repo string, path string, size long, token_est long")
+    sym = [(*p, "function", f"s{k}", k + 1, k + 2) for p in files for k in range(rng.randint(0, 4))]
+    nodes, edges = build_tree(f, spark.createDataFrame(sym, "repo string, path string, type string, name string, start_line int, end_line int"), "p")
+    told = (F.col("type") == "function") & (F.xxhash64("repo", "node_id", F.lit(seed)) % 3 != 0) | F.col("node_id").isin("a/b", "a/m1.py", "b/b/b")
+    return nodes.withColumn("summary", F.when(told, F.concat(F.lit("ü "), "node_id"))), edges
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pieces_are_the_roll_up(spark, seed):
+    cut = lambda x: written(x, "t")
+    nodes, edges = (written(x, "t") for x in _random_tree(spark, seed))
+    whole = hierarchy.roll_up(nodes, edges, cut).filter("level <= 2 AND summary <> ''")
+    want = {(r.repo, r.node_id): r.summary for r in whole.collect()}
+    pieces = {}
+    for r in sorted(hierarchy.roll_up_pieces(nodes, edges, cut, 2).collect(), key=lambda r: r.place):
+        pieces.setdefault((r.repo, r.node_id), []).append(r.text)
+    symbols = {k: [v] for k, v in want.items() if "::s" in k[1]}
+    assert {k: "".join(v) for k, v in pieces.items()} == {k: v for k, v in want.items() if k not in symbols}
+    # a project's text lies in as many pieces as files below it have one
+    assert all(len(v) > 5 for k, v in pieces.items() if k[1] == "project::p")
+    told = lambda df: {(r.repo, r.node_id): r.digest for r in df.collect()}
+    assert told(hierarchy.roll_up_digests(nodes, edges, cut, 2)) == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+
+
+def test_digests_again_are_those_of_a_full_roll_up(spark):
+    cut = lambda x: written(x, "t")
+    nodes, edges = (written(x, "t") for x in _random_tree(spark, 3))
+    hit = (F.col("type") == "function") & (F.col("repo") == "x") & F.col("name").isin("s0")
+    edited = nodes.withColumn("summary", F.when(hit, F.lit("again")).otherwise(F.col("summary")))
+    told = lambda df: {(r.repo, r.node_id): r.digest for r in df.collect()}
+    before = cut(hierarchy.roll_up_digests(nodes, edges, cut, 2))
+    got = told(hierarchy.roll_up_digests(edited, edges, cut, 2, before, nodes.filter(hit).select("repo", "node_id")))
+    assert got == told(hierarchy.roll_up_digests(edited, edges, cut, 2)) != told(before)
+    # what no change stands below is taken from before, not read again
+    odd = before.withColumn("digest", F.lit("old"))
+    kept = {k for k, v in told(hierarchy.roll_up_digests(edited, edges, cut, 2, odd, nodes.filter(hit).select("repo", "node_id"))).items() if v == "old"}
+    assert {r for r, _ in kept} >= {"y"} and ("x", "project::p") not in kept
