@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.cut import written
+from corpusloom.cut import release, written
 from corpusloom.functions import paths, text
 from corpusloom.operators import changes, enrich, extract, hierarchy, ignore, packages, report, traverse, tree
 from corpusloom.plans.build import build_graph, build_tree
@@ -273,3 +273,16 @@ def test_digests_again_are_those_of_a_full_roll_up(spark):
     odd = before.withColumn("digest", F.lit("old"))
     kept = {k for k, v in told(hierarchy.roll_up_digests(edited, edges, cut, 2, odd, nodes.filter(hit).select("repo", "node_id"))).items() if v == "old"}
     assert {r for r, _ in kept} >= {"y"} and ("x", "project::p") not in kept
+
+
+@pytest.mark.parametrize("max_hops", [None, 2])
+def test_counts_are_those_of_reach(spark, max_hops):
+    rng = random.Random(7)
+    cut = lambda x: written(x, "t")
+    rows = {(r, f"n{rng.randint(0, 90)}", f"n{rng.randint(0, 90)}") for r in ("x", "y") for _ in range(130)}
+    e = spark.createDataFrame(sorted(rows), "repo string, src string, dst string")
+    s = spark.createDataFrame([(r, f"n{k}") for r in ("x", "y") for k in range(100)] + [("x", "n1")], "repo string, seed string")
+    got = {tuple(r) for r in traverse.reach_counts(e, s, cut, release, max_hops, per_slice=128).select("repo", "seed", "hops", "n").collect()}
+    want = traverse.reach(e, s, cut, max_hops).groupBy("repo", "seed", "hops").agg(F.count(F.lit(1)).alias("n"))
+    assert got == {tuple(r) for r in want.collect()}
+    assert max(h for _, _, h, _ in got) >= 2
