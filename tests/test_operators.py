@@ -286,3 +286,13 @@ def test_counts_are_those_of_reach(spark, max_hops):
     want = traverse.reach(e, s, cut, max_hops).groupBy("repo", "seed", "hops").agg(F.count(F.lit(1)).alias("n"))
     assert got == {tuple(r) for r in want.collect()}
     assert max(h for _, _, h, _ in got) >= 2
+
+
+def test_a_tree_is_the_graph_without_imports(spark, built):
+    (nodes, edges), texts = built
+    files = texts.select("repo", "path", F.char_length("text").cast("long").alias("size"), F.lit(1).cast("long").alias("token_est"))
+    tree_nodes, tree_edges = build_tree(files, extract.definitions(extract.extract_symbols(texts)), "p")
+    key = lambda df, *cols: {tuple(r) for r in df.select(*cols).collect()}
+    cols = ("repo", "node_id", "type", "name", "size", "level")
+    assert key(tree_nodes, *cols) == key(nodes.filter("type <> 'external_module'"), *cols)
+    assert key(tree_edges, "src", "dst") == key(edges.filter("relationship = 'CONTAINS'"), "src", "dst")
