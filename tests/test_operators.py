@@ -296,3 +296,51 @@ def test_a_tree_is_the_graph_without_imports(spark, built):
     cols = ("repo", "node_id", "type", "name", "size", "level")
     assert key(tree_nodes, *cols) == key(nodes.filter("type <> 'external_module'"), *cols)
     assert key(tree_edges, "src", "dst") == key(edges.filter("relationship = 'CONTAINS'"), "src", "dst")
+
+
+def _shortest(edges, seed):
+    """{node: (hops, smallest predecessor, path)} by walking from one seed."""
+    out, level = {seed: (0, None, [seed])}, [seed]
+    while level:
+        up = {}
+        for a in level:
+            for b in edges.get(a, ()):
+                if b not in out:
+                    up[b] = min(up.get(b, a), a)
+        for b, a in up.items():
+            out[b] = (out[a][0] + 1, a, [*out[a][2], b])
+        level = list(up)
+    return out
+
+
+def test_reach_and_paths_are_shortest(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "HOT", 4)
+    rng = random.Random(11)
+    cut = lambda x: written(x, "t")
+    rows = {(r, f"n{rng.randint(0, 90)}", f"n{min(rng.randint(0, 90), rng.randint(0, 90))}") for r in ("x", "y") for _ in range(170)}
+    seeds = [(r, f"n{k}") for r in ("x", "y") for k in range(100)]
+    e = spark.createDataFrame(sorted(rows), "repo string, src string, dst string")
+    s = spark.createDataFrame([*seeds, ("x", "n1")], "repo string, seed string")
+    graphs = {r: {} for r in ("x", "y")}
+    for r, a, b in rows:
+        graphs[r].setdefault(a, []).append(b)
+    want = {(r, seed, n): v for r, seed in seeds for n, v in _shortest(graphs[r], seed).items()}
+    got = traverse.reach(e, s, cut).collect()
+    assert len(got) == len(want) and {(r.repo, r.seed, r.node_id): (r.hops, r.parent) for r in got} == {k: v[:2] for k, v in want.items()}
+    got = traverse.reach_paths(e, s, cut).collect()
+    assert len(got) == len(want) and {(r.repo, r.seed, r.node_id): r.path for r in got} == {k: v[2] for k, v in want.items()}
+    assert max(v[0] for v in want.values()) >= 4
+
+
+def test_reach_writes_no_row_for_each_pair(spark):
+    wrote = []
+
+    def cut(rows):
+        wrote.append(written(rows, "t"))
+        return wrote[-1]
+
+    pairs = [("", f"s{k:02}", "hub") for k in range(64)] + [("", "hub", f"leaf{k}") for k in range(100)]
+    e = spark.createDataFrame(pairs, "repo string, src string, dst string")
+    s = e.filter("dst = 'hub'").select("repo", F.col("src").alias("seed"))
+    assert traverse.reach(e, s, cut).count() == traverse.reach_paths(e, s, cut).count() == 64 * 102
+    assert max(t.count() for t in wrote) <= 300
