@@ -152,3 +152,23 @@ def test_update_keeps_what_is_known_of_externals(spark, repair):
     assert got["external::os"] == "stdlib" and ("external::re" in got) != repair and len(got) == 5 - repair
     assert [(r.removed, r.added, r.imports) for r in counts.collect()] == [(2, 3, 2)]
     assert {(r.src, r.dst) for r in e.collect()} == {("b.py", "external::os"), ("c.py", "external::os"), ("b.py", "b.py::g")}
+
+
+def test_update_writes_what_it_reads_twice_and_equals_a_full_build(spark):
+    tree = {"a/x.py": "import y\nimport b.z\n", "a/y.py": "import os\n", "c.py": "import a.x\nimport b.z\n"}
+    after = {"a/x.py": tree["a/x.py"], "b/z.py": "import os\ndef g():\n    pass\n", "c.py": "import a.y\n"}
+    ch = spark.createDataFrame([("", "a/y.py", "D"), ("", "b/z.py", "A"), ("", "c.py", "M")], "repo string, path string, status string")
+    labels = []
+
+    def cut(rows, label):
+        labels.append(label)
+        return _cut(rows, label)
+
+    was, now = build_graph(*_parsed(spark, tree), None, _cut), _parsed(spark, after)
+    n, e, counts = update.update_graph(*was, ch, *now, True, cut)
+    nodes, edges = build_graph(*now, None, _cut)
+    key = lambda df, *cols: sorted(tuple(r) for r in df.select(*cols).collect())
+    assert key(n, "node_id", "type") == key(nodes, "node_id", "type") and key(e, "src", "dst", "relationship") == key(edges, "src", "dst", "relationship")
+    # imports are resolved, and files to do again found, in one written table
+    assert sorted(labels) == ["again", "doomed", "every", "live"]
+    assert [(r.removed, r.added, r.imports) for r in counts.collect()] == [(2, 3, 2)] == [(r.removed, r.added, r.imports) for r in update.change_counts(was[0], ch, *now).collect()]
