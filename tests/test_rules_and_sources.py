@@ -4,6 +4,7 @@ import ast
 import os
 import random
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -63,6 +64,16 @@ def test_blanks_of_all_scripts(spark):
     assert [r.pattern for r in ignore.load_patterns(p).collect()] == ["*.md"]
 
 
+def test_ends_are_stripped_without_a_look_at_every_run_of_blanks(spark):
+    """A run of 200,000 blanks inside a text was tried again from each of its places."""
+    run = "x" + " " * 200_000 + "y"
+    odd = [chr(k) for k in range(0x3100) if chr(k).isspace() or k in (0x200B, 0x180E, 0xFEFF)]
+    rows = [(1, run)] + [(k + 2, f"{c}{c}a{c}b{c}") for k, c in enumerate(odd)] + [(9998, " \u2028\r\n"), (9999, "")]
+    began = time.monotonic()
+    got = {r.id: r.t for r in spark.createDataFrame(rows, "id int, t string").select("id", text.stripped(F.col("t")).alias("t")).collect()}
+    assert got == {k: t.strip() for k, t in rows} and time.monotonic() - began < 15
+
+
 def test_line_of_the_imported_name(spark):
     t = spark.createDataFrame([("", "a.py", "import a, \\\n  b\n"), ("", "b.py", "import a, \\\n  b\ndef (\n")], "repo string, path string, text string")
     got = {(r.path, r.name, r.start_line, r.parse_status) for r in extract.extract_symbols(t).collect()}
