@@ -137,6 +137,20 @@ def test_batch_size_and_roll_up(spark, built):
     assert {r.node_id: r.summary for r in up.collect()}["project::p"] == "main.py: main.py::main: does; utils.py: utils.py::helper_function: does"
 
 
+def test_batches_never_meet_by_repository_alone(spark):
+    rows = [(r, f"n{k:03d}") for r in ("a", None, "b") for k in range(57)]
+    nodes = spark.createDataFrame(rows, "repo string, node_id string").repartition(5)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = packages.batches(nodes, 10, lambda x: written(x, "t"))
+        assert {(r.repo, r.node_id): r.batch for r in got.collect()} == {(r, n): int(n[1:]) // 10 for r, n in rows}
+        dealt = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in x]
+        assert dealt and all("shiftright(at__" in x or "p__" in x for x in dealt)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_stream_applies_changes(spark, tmp_path):
     from corpusloom.streaming.updates import apply_changes, change_stream
 
