@@ -358,3 +358,41 @@ def test_reach_writes_no_row_for_each_pair(spark):
     s = e.filter("dst = 'hub'").select("repo", F.col("src").alias("seed"))
     assert traverse.reach(e, s, cut).count() == traverse.reach_paths(e, s, cut).count() == 64 * 102
     assert max(t.count() for t in wrote) <= 300
+
+
+def test_imports_are_resolved_by_two_joins(spark):
+    """Equal to the rule on random names; no import is multiplied by its candidate paths."""
+    from corpusloom.operators import graph
+
+    rng = random.Random(5)
+    dirs = ["", "a", "a/b", "b", "c/d"]
+    at = lambda d, x: f"{d}/{x}" if d else x
+    files = {at(d, x) for d in dirs for x in ("a.py", "b.py", "d.py", "__init__.py", "x.md", "a/b.py", "d/__init__.py", "__init__") if rng.random() < 0.5}
+    asked = {(at(d, f"m{k}.py"), rng.choice(["a", "b", "a.b", "c.d", "d", "__init__", "os", "a.b.a", "b/a", "", "x.md"])) for d in dirs for k in range(12)}
+
+    def rule(src, name):
+        d, dotted = src.rpartition("/")[0], name.replace(".", "/")
+        four = [at(d, f"{name}.py") if name or d else ".py", f"{dotted}.py", at(d, f"{name}/__init__.py"), f"{dotted}/__init__.py"]
+        return next(((k + 1, p) for k, p in enumerate(four) if p in files), (5, f"external::{name}"))
+
+    imports = spark.createDataFrame([("", *x) for x in sorted(asked)] + [("", "a/m0.py", None), (None, "a/m0.py", "b")], "repo string, src string, name string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = graph.resolve_imports(imports, spark.createDataFrame([("", p) for p in sorted(files)], "repo string, path string"))
+        got = {(r.repo, r.src, r.name): (r.strategy, r.dst) for r in out.collect()}
+        assert "posexplode" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == {("", s, n): rule(s, n) for s, n in asked} | {("", "a/m0.py", None): (5, None), (None, "a/m0.py", "b"): (5, "external::b")}
+    assert [r.d for r in spark.createDataFrame([("a/b",), ("a",), ("/a",), ("a/",), (None,)], "p string").select(paths.directory(F.col("p")).alias("d")).collect()] == ["a", "", "", "a", None]
+
+
+def test_externals_are_removed_without_resolving_again(spark, monkeypatch):
+    from corpusloom import registry
+    from corpusloom.operators import graph
+
+    calls, plain = [], graph.resolve_imports
+    monkeypatch.setattr(graph, "resolve_imports", lambda *x: calls.append(1) or plain(*x))
+    registry.queries()["d6_removed_nodes"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
