@@ -142,10 +142,12 @@ def build_metadata(hashes: DataFrame, commits: DataFrame) -> DataFrame:
     return commits.select("repo", "commit_hash", "build_time").join(hashes.select("repo", "path", "sha256"), "repo", "left")
 
 
-def document_lines(nodes: DataFrame, edges: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+def document_lines(nodes: DataFrame, edges: DataFrame, metadata: DataFrame | None = None, cut=None) -> DataFrame:
     """(repo, part, key, line): a node-link JSON document for each repository, as lines that
     are in order by (part, key) and joined are the document. Nodes, links and file hashes
-    have a line each, so that no document is ever one row."""
+    have a line each, so that no document is ever one row. ``cut`` (table, label) writes
+    the first key of each part and reads it again: Spark then knows that these are few,
+    and the lines needn't move to meet them. Nodes and edges are read twice."""
     cols = [c for c in nodes.columns if c not in ("repo", "node_id")]
     comma = lambda first, body: F.concat(F.when(first, "").otherwise(","), body)
     n = nodes.select("repo", F.lit(1).alias("part"), F.col("node_id").alias("key"), F.to_json(F.struct(F.col("node_id").alias("id"), *cols)).alias("line"))
@@ -169,16 +171,19 @@ def document_lines(nodes: DataFrame, edges: DataFrame, metadata: DataFrame | Non
     for part, line in fixed:
         rows = rows.unionByName(repos.select("repo", F.lit(part).alias("part"), F.lit("").alias("key"), line.alias("line")))
     first = rows.groupBy(F.col("repo").alias("f_repo"), F.col("part").alias("f_part")).agg(F.min("key").alias("f_key"))
+    first = cut(first, "first") if cut else first
     j = rows.join(first, F.col("repo").eqNullSafe(F.col("f_repo")) & (F.col("part") == F.col("f_part")))
     listed = F.col("part").isin(1, 3, 5)
     return j.select("repo", "part", "key", F.when(listed, comma(F.col("key") == F.col("f_key"), F.col("line"))).otherwise(F.col("line")).alias("line"))
 
 
-def save_documents(nodes: DataFrame, edges: DataFrame, folder: str, metadata: DataFrame | None = None) -> None:
+def save_documents(nodes: DataFrame, edges: DataFrame, folder: str, metadata: DataFrame | None = None, cut=None, compression: str = "none") -> None:
     """Write the documents as text, a folder for each repository whose files, one behind the
-    other by name, are its document. Range partitions share a large one."""
-    lines = document_lines(nodes, edges, metadata)
-    lines.repartitionByRange("repo", "part", "key").sortWithinPartitions("repo", "part", "key").select("repo", F.col("line").alias("value")).write.mode("overwrite").partitionBy("repo").text(folder)
+    other by name, are its document, with ``compression`` ("gzip") a packed one. Range
+    partitions share a large one."""
+    lines = document_lines(nodes, edges, metadata, cut)
+    lines = lines.repartitionByRange("repo", "part", "key").sortWithinPartitions("repo", "part", "key")
+    lines.select("repo", F.col("line").alias("value")).write.mode("overwrite").option("compression", compression).partitionBy("repo").text(folder)
 
 
 def load_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -130,3 +130,19 @@ def test_build_keeps_one_node_for_each_file(spark):
     empty = spark.createDataFrame([], "repo string, path string, type string, name string, start_line int, end_line int")
     nodes, edges = build_graph(files, empty, spark.createDataFrame([("", "a.py", "a")], "repo string, src string, name string"))
     assert nodes.count() == 1 and [(r.src, r.dst) for r in edges.collect()] == [("a.py", "a.py")]
+
+
+def test_packed_documents_round_trip(spark, tmp_path):
+    """The first keys are written before the lines meet them, and the text may be packed."""
+    nodes, edges = _graph(spark)
+    labels = []
+
+    def cut(df, label):
+        labels.append(label)
+        return written(df, label)
+
+    sources.save_documents(nodes, edges, f"{tmp_path}/docs", None, cut, "gzip")
+    n, e, _ = sources.load_documents(spark, f"{tmp_path}/docs")
+    cols = [c.split()[0] for c in NODES.split(", ")]
+    assert _set(n, *cols) == _set(nodes, *cols) and _set(e, "repo", "src", "dst", "relationship") == _set(edges, "repo", "src", "dst", "relationship")
+    assert labels == ["first"] and list(tmp_path.glob("docs/repo=a/*.gz")) and not list(tmp_path.glob("docs/repo=a/*.txt"))
