@@ -396,3 +396,26 @@ def test_externals_are_removed_without_resolving_again(spark, monkeypatch):
     monkeypatch.setattr(graph, "resolve_imports", lambda *x: calls.append(1) or plain(*x))
     registry.queries()["d6_removed_nodes"](spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_only_long_lists_are_numbered(spark):
+    """Lists of few rows are sorted as one; those of many by range partitions, with the same parts."""
+    from corpusloom.operators import parts
+
+    rows = [("k0", f"v{k:04d}") for k in range(700)] + [(f"k{k % 90}", f"w{k:04d}") for k in range(900)] + [(None, "n"), (None, "m")]
+    df = spark.createDataFrame(rows, "key string, v string").repartition(3)
+    for common, most in ((20_000, 0), (640, 790), (1, 2000)):
+        numbered = []
+
+        def cut(x, label="t", numbered=numbered):
+            out = written(x, label)
+            numbered += [out.count()] if "at__" in x.columns else []
+            return out
+
+        got = {(r.key, r.part): (r.text, r.last) for r in parts.in_parts(df, ["key"], ["v"], "v", ",", cut, 7, common).collect()}
+        want = {}
+        for key in {k for k, _ in rows}:
+            vs = sorted(v for k, v in rows if k == key)
+            for p in range(-(-len(vs) // 7)):
+                want[(key, p)] = (("," if p else "") + ",".join(vs[p * 7 : p * 7 + 7]), p * 7 + 7 >= len(vs))
+        assert got == want and len(numbered) == 1 and numbered[0] <= most and (common > 640 or numbered[0] >= 700)
