@@ -419,3 +419,14 @@ def test_only_long_lists_are_numbered(spark):
             for p in range(-(-len(vs) // 7)):
                 want[(key, p)] = (("," if p else "") + ",".join(vs[p * 7 : p * 7 + 7]), p * 7 + 7 >= len(vs))
         assert got == want and len(numbered) == 1 and numbered[0] <= most and (common > 640 or numbered[0] >= 700)
+
+
+def test_overview_joins_the_projects_children_only(spark, built):
+    from corpusloom.operators import parts
+
+    (nodes, edges), _ = built
+    nodes = nodes.withColumn("summary", F.lit("s")).withColumn("risks", F.array().cast("array<string>"))
+    seen = []
+    cut = lambda x: seen.append(x.columns) or written(x, "t")
+    parts.overview_texts(nodes, edges, cut, 5)
+    assert ["repo", "node_id", "id"] in seen
