@@ -430,3 +430,20 @@ def test_overview_joins_the_projects_children_only(spark, built):
     cut = lambda x: seen.append(x.columns) or written(x, "t")
     parts.overview_texts(nodes, edges, cut, 5)
     assert ["repo", "node_id", "id"] in seen
+
+
+def test_package_report_meets_packages_once(spark):
+    """Its lists are those of the two functions on imports; what is few is written first."""
+    rows = [("", p, t, p) for p, t in (("a", "package"), ("a/b", "package"), ("a/x.py", "file"), ("a/y.py", "file"), ("a/b/z.py", "file"), ("top.py", "file"), ("a/x.py::f", "function"))]
+    nodes = spark.createDataFrame(rows, "repo string, node_id string, type string, name string").withColumn("summary", F.lit("s")).withColumn("risks", F.array(F.lit("r"))).withColumn("start_line", F.lit(1))
+    links = [("a", "a/x.py", "CONTAINS"), ("a", "a/y.py", "CONTAINS"), ("a", "a/b", "CONTAINS"), ("a/b", "a/b/z.py", "CONTAINS"), ("a/x.py", "a/x.py::f", "CONTAINS")]
+    links += [("a/x.py", "a/y.py", "IMPORTS"), ("a/x.py", "a/y.py", "IMPORTS"), ("a/x.py", "a/b/z.py", "IMPORTS"), ("top.py", "a/x.py", "IMPORTS"), ("a/b/z.py", "external::os", "IMPORTS"), ("top.py", "external::os", "IMPORTS")]
+    edges = spark.createDataFrame([("", *x) for x in links], "repo string, src string, dst string, relationship string")
+    labels = []
+    got = {r.node_id: r.report for r in report.packages(nodes, edges, lambda df, label: labels.append(label) or written(df, label)).collect()}
+    assert labels == ["packages", "inside"] and got == {r.node_id: r.report for r in report.packages(nodes, edges).collect()}
+    inner = {(r.package, r.src, r.dst) for r in packages.internal_imports(edges, nodes).collect()}
+    cross = {(r.package, r.direction, r.other) for r in packages.crossing_imports(edges, nodes).collect()}
+    assert inner == {("a", "a/x.py", "a/y.py")} and cross == {("a", "out", "a/b/z.py"), ("a/b", "in", "a/x.py"), ("a", "in", "top.py"), ("a/b", "out", "external::os")}
+    assert got["a"].count("x.py importiert y.py") == 1 and "- Importiert: a/b/z.py\n- Wird importiert von: top.py\n" in got["a"]
+    assert "Interne Struktur" not in got["a/b"] and "- Importiert: external::os\n- Wird importiert von: a/x.py\n" in got["a/b"]
