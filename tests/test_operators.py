@@ -447,3 +447,13 @@ def test_package_report_meets_packages_once(spark):
     assert inner == {("a", "a/x.py", "a/y.py")} and cross == {("a", "out", "a/b/z.py"), ("a/b", "in", "a/x.py"), ("a", "in", "top.py"), ("a/b", "out", "external::os")}
     assert got["a"].count("x.py importiert y.py") == 1 and "- Importiert: a/b/z.py\n- Wird importiert von: top.py\n" in got["a"]
     assert "Interne Struktur" not in got["a/b"] and "- Importiert: external::os\n- Wird importiert von: a/x.py\n" in got["a/b"]
+
+
+def test_full_report_is_written_before_it_is_sorted(spark, built):
+    (nodes, edges), _ = built
+    nodes = nodes.withColumn("summary", F.lit("s")).withColumn("risks", F.array(F.lit("r")))
+    labels = []
+    rows = report.full_report(nodes, edges, lambda df, label: labels.append(label) or written(df, label)).collect()
+    assert labels == ["report"] and rows == report.full_report(nodes, edges).collect() and [r.node_id for r in rows] == sorted(r.node_id for r in rows)
+    told = {r.node_id: (r.out_edges, r.in_edges) for r in rows}
+    assert told["main.py"] == ("CONTAINS main.py::main; IMPORTS utils.py", "CONTAINS project::p") and told["main.py::main"] == ("", "CONTAINS main.py")
