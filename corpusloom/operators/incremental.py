@@ -1,7 +1,7 @@
 """The graph as a versioned set of tables, kept equal to a full build by deltas.
 
 Beside files, symbols and resolved imports the set holds a reverse candidate index
-(for each path that an import may mean, who asks for it) and for each directory the
+(for each path that an import may mean, without its ending, who asks for it) and for each directory the
 number of files below it. A batch of changes reads only the buckets of the changed
 paths and of what they touch: imports are found by the index when a path that they
 may mean appears or vanishes, and packages appear and vanish by their counts.
@@ -41,7 +41,7 @@ def _resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _asked(imports: DataFrame) -> DataFrame:
-    return graph.candidates(imports).select("repo", "path", "dir", "name")
+    return graph.asked_names(imports).select("repo", "path", "dir", "name")
 
 
 def _below(files: DataFrame) -> DataFrame:
@@ -88,7 +88,8 @@ def update(
         now.join(old, key, "left_anti").select(*key, F.lit(1).alias("step")).unionByName(old.join(now, key, "left_anti").select(*key, F.lit(-1).alias("step"))), "moved"
     )
     # imports of other files that may mean a path which has come or gone
-    hit = cut(tables.read("asked", tables.only(moved, "path")).join(moved, key, "left_semi").select("repo", "dir", "name").distinct(), "hit")
+    meant = cut(graph.names_of(moved), "meant")
+    hit = cut(tables.read("asked", tables.only(meant, "path")).join(meant, key, "left_semi").select("repo", "dir", "name").distinct(), "hit")
     beside = F.concat(F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/"))), F.lit("_"))  # a path in that directory
     near = tables.read("resolved", tables.only(hit.select("repo", beside.alias("path")), "path"))
     near = near.join(touched.withColumnRenamed("path", "src"), ["repo", "src"], "left_anti")
@@ -128,25 +129,41 @@ def tell(tables: Versions, batch: int, results: DataFrame) -> bool:
     return tables.commit(batch, {"told": rows}, {"told": rows.select("repo", F.col("node_id").alias("unit"))})
 
 
-def packages(tables: Versions, as_of: int | None = None) -> DataFrame:
+def read_once(tables: Versions, cut: Cut, as_of: int | None = None) -> Callable[[str], DataFrame]:
+    """A reader for ``nodes`` and ``edges`` that finds a table's rows at its first use and has
+    ``cut`` write them for the others."""
+    known: dict[str, DataFrame] = {}
+
+    def read(table: str) -> DataFrame:
+        if table not in known:
+            known[table] = cut(tables.read(table, as_of=as_of), table)
+        return known[table]
+
+    return read
+
+
+def packages(tables: Versions, as_of: int | None = None, read: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """The package nodes: directories with a file below them."""
-    d = tables.read("directories", as_of=as_of)
+    d = read("directories") if read else tables.read("directories", as_of=as_of)
     return d.select("repo", F.col("dir").alias("node_id"), F.lit("package").alias("type"), base_name(F.col("dir")).alias("name"), depth(F.col("dir")).alias("level"))
 
 
-def nodes(tables: Versions, project: str | None = None, as_of: int | None = None) -> DataFrame:
-    """All nodes, with packages, project and levels if a project's name is given."""
-    files = tables.read("files", as_of=as_of)
-    out = graph.file_nodes(files).unionByName(tables.read("symbols", as_of=as_of).drop("path"), allowMissingColumns=True)
-    out = out.unionByName(graph.external_nodes(tables.read("resolved", as_of=as_of)), allowMissingColumns=True)
+def nodes(tables: Versions, project: str | None = None, as_of: int | None = None, read: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """All nodes, with packages, project and levels if a project's name is given; ``read`` as
+    of ``read_once``."""
+    read = read or (lambda table: tables.read(table, as_of=as_of))
+    files = read("files")
+    out = graph.file_nodes(files).unionByName(read("symbols").drop("path"), allowMissingColumns=True)
+    out = out.unionByName(graph.external_nodes(read("resolved")), allowMissingColumns=True)
     if project is not None:
-        out = out.unionByName(packages(tables, as_of), allowMissingColumns=True).unionByName(hierarchy.project_nodes(files, project), allowMissingColumns=True)
+        out = out.unionByName(packages(tables, as_of, read), allowMissingColumns=True).unionByName(hierarchy.project_nodes(files, project), allowMissingColumns=True)
         out = hierarchy.with_levels(out)
     return out.join(tables.read("told", as_of=as_of), ["repo", "node_id"], "left")
 
 
-def edges(tables: Versions, project: str | None = None, as_of: int | None = None) -> DataFrame:
-    out = graph.contains_edges(tables.read("symbols", as_of=as_of)).unionByName(graph.import_edges(tables.read("resolved", as_of=as_of)))
+def edges(tables: Versions, project: str | None = None, as_of: int | None = None, read: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    read = read or (lambda table: tables.read(table, as_of=as_of))
+    out = graph.contains_edges(read("symbols")).unionByName(graph.import_edges(read("resolved")))
     if project is not None:
-        out = out.unionByName(hierarchy.containment_edges(tables.read("files", as_of=as_of), packages(tables, as_of), project))
+        out = out.unionByName(hierarchy.containment_edges(read("files"), packages(tables, as_of, read), project))
     return out

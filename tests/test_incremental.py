@@ -172,3 +172,23 @@ def test_update_writes_what_it_reads_twice_and_equals_a_full_build(spark):
     # imports are resolved, and files to do again found, in one written table
     assert sorted(labels) == ["again", "doomed", "every", "live"]
     assert [(r.removed, r.added, r.imports) for r in counts.collect()] == [(2, 3, 2)] == [(r.removed, r.added, r.imports) for r in update.change_counts(was[0], ch, *now).collect()]
+
+
+def test_tables_are_read_once_and_asked_for_by_two_names(spark, tmp_path):
+    files = spark.createDataFrame([("", p, 1, 1, "h") for p in ("a/x.py", "a/y.py", "b/__init__.py")], "repo string, path string, size long, token_est long, sha256 string")
+    symbols = spark.createDataFrame([("", "a/x.py", "function", "f", 1, 2)], "repo string, path string, type string, name string, start_line int, end_line int")
+    imports = spark.createDataFrame([("", "a/x.py", "y"), ("", "a/x.py", "b"), ("", "a/y.py", "q.r"), ("", "a/y.py", "b")], "repo string, src string, name string")
+    tables = incremental.graph_tables(spark, f"{tmp_path}/g", buckets=4)
+    incremental.build(tables, files, symbols, imports, _cut)
+    asked = [(r.dir, r.name, r.path) for r in tables.read("asked").collect()]
+    assert sorted(asked) == [("a", "b", "a/b"), ("a", "b", "b"), ("a", "q.r", "a/q.r"), ("a", "q.r", "q/r"), ("a", "y", "a/y"), ("a", "y", "y")]
+    # what is meant as a package and as a module comes and goes
+    changes = spark.createDataFrame([("", "a/b.py", "A"), ("", "b/__init__.py", "D"), ("", "q/r/__init__.py", "A")], "repo string, path string, status string")
+    live = spark.createDataFrame([("", p, 1, 1, "h") for p in ("a/b.py", "q/r/__init__.py")], files.schema)
+    incremental.update(tables, 1, changes, live, symbols.limit(0), imports.limit(0), _cut)
+    labels = []
+    read = incremental.read_once(tables, lambda df, label: labels.append(label) or _cut(df, label))
+    n, e = incremental.nodes(tables, "p", read=read), incremental.edges(tables, "p", read=read)
+    assert sorted(labels) == ["directories", "files", "resolved", "symbols"]
+    assert _rows(n, "node_id") == _rows(incremental.nodes(tables, "p"), "node_id") and _rows(e, "src", "dst") == _rows(incremental.edges(tables, "p"), "src", "dst")
+    assert {(r.src, r.dst) for r in e.filter("relationship = 'IMPORTS'").collect()} == {("a/x.py", "a/y.py"), ("a/x.py", "a/b.py"), ("a/y.py", "a/b.py"), ("a/y.py", "q/r/__init__.py")}
