@@ -45,6 +45,8 @@ WINDOW = 50
 GRAM = 16
 #: Confirmed windows per shard, pieces per slice and windows per automaton.
 SHARD, SLICE, AUTOMATON = 20_000, 20_000, 20_000
+#: A window's hash is made of those of runs of so many words.
+STRIDE = 10
 
 
 def _windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,16 +56,24 @@ def _windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         z = np.zeros(0, dtype=np.int64)
         return z, z, w.hash[:0]
     g = w.grams(GRAM)
-    k = WINDOW - GRAM + 1
-    view = np.lib.stride_tricks.sliding_window_view(g, k)
+    least, at = g, np.arange(len(g))  # least gram of the next 1, 2, 4, ... and its place, the first of equal ones
+    width, k = 1, WINDOW - GRAM + 1
+    while width < k:
+        d = min(width, k - width)
+        at = np.where(least[d:] < least[:-d], at[d:], at[:-d])
+        least = np.minimum(least[d:], least[:-d])
+        width += d
     start = np.arange(n - WINDOW + 1)
     row = np.searchsorted(w.first, start, side="right") - 1
     ok = start + WINDOW <= w.first[row + 1]
-    start, row = start[ok], row[ok]
-    at = np.empty(len(start), dtype=np.int64)
-    for a in range(0, len(start), 1 << 15):  # bounded memory
-        at[a : a + (1 << 15)] = view[start[a : a + (1 << 15)]].argmin(axis=1)
-    return start, row, start + at
+    return start[ok], row[ok], at[start[ok]]
+
+
+def _row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of 64-bit values, which run over, from each of ``first`` to the next."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values, out=sums[1:])
+    return (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,13 +88,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = anchor[1:] != anchor[:-1]
             rows, hashes = row[new], g[anchor[new]] if len(anchor) else g[:0]
             cut = np.searchsorted(rows, np.arange(len(offsets)))
-            out: list[list] = [[], [], [], [], [], []]
-            for r in range(len(offsets) - 1):
-                a, b = w.first[r], w.first[r + 1]
-                place = np.arange(b - a, dtype=np.uint64)
-                s = [int(mixed(w.hash[a:b] ^ mixed(place, 5 + i), 7 + i).sum(dtype=np.uint64, keepdims=True).view(np.int64)[0]) for i in range(2)]
-                for c, v in zip(out, (ids[first + r], fps[first + r], int(b - a), *s, np.unique(hashes[cut[r] : cut[r + 1]]).view(np.int64)), strict=True):
-                    c.append(v)
+            n = np.diff(w.first)
+            place = (np.arange(len(w.hash)) - np.repeat(w.first[:-1], n)).astype(np.uint64)
+            sums = [_row_sums(mixed(w.hash ^ mixed(place, 5 + i), 7 + i), w.first) for i in range(2)]
+            anchors = [np.unique(hashes[cut[r] : cut[r + 1]]).view(np.int64) for r in range(len(n))]
+            out = (ids[first : first + len(n)], fps[first : first + len(n)], n, *sums, anchors)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "fp", "n_words", "s1", "s2", "anchors"])
 
@@ -118,23 +126,36 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "doc_id", "fp", "start", "words"])
 
 
+def _weighted(values: np.ndarray, step: int, n: int, seed: int) -> np.ndarray:
+    """Hash of the ``n`` values, ``step`` apart, from each one on."""
+    place = mixed(np.arange(n, dtype=np.uint64), seed) | np.uint64(1)
+    total = np.zeros(max(0, len(values) - step * (n - 1)), dtype=np.uint64)
+    for k in range(n):
+        total += values[k * step : k * step + len(total)] * place[k]
+    return mixed(total, seed + 1)
+
+
 def _window_hashes(words: np.ndarray) -> np.ndarray:
-    n = len(words) - WINDOW + 1
-    place = mixed(np.arange(WINDOW, dtype=np.uint64), 9) | np.uint64(1)
-    view = np.lib.stride_tricks.sliding_window_view(words.astype(np.uint64), WINDOW)
-    return mixed((mixed(view, 10) * place).sum(axis=1, dtype=np.uint64), 11) if n > 0 else np.zeros(0, dtype=np.uint64)
+    """Hash of the WINDOW words from each word on: of runs of STRIDE, then of these."""
+    runs = _weighted(mixed(words.astype(np.uint64), 10), 1, STRIDE, 11)
+    return _weighted(runs, STRIDE, WINDOW // STRIDE, 13)
 
 
 def _piece_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of pieces, many pieces at a time: their words lie one behind the other
+    in one buffer, and a window that runs from one piece into the next is left out."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            hashes = [_window_hashes(np.frombuffer(x.as_buffer(), dtype=np.uint32)) for x in part.column("words")]
-            n = np.array([len(h) for h in hashes])
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            words = part.column("words").cast(pa.large_binary())
+            cuts = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+            hashes = _window_hashes(np.frombuffer(words.buffers()[2], dtype=np.uint8)[cuts[0] : cuts[-1]].view(np.uint32))
+            first = (cuts - cuts[0]) // 4
+            n = np.maximum(np.diff(first) - WINDOW + 1, 0)
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             repeat = lambda c: np.repeat(part.column(c).to_numpy(zero_copy_only=False), n)  # noqa: B023, E731
-            pos = repeat("start") + np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(repeat("anchor")), pa.array(repeat("doc_id")), pa.array(repeat("fp")), pa.array(pos)],
+                [pa.array(hashes[np.repeat(first[:-1], n) + within].view(np.int64)), *(pa.array(repeat(c)) for c in ("anchor", "doc_id", "fp")), pa.array(repeat("start") + within)],
                 names=["h", "anchor", "doc_id", "fp", "pos"],
             )
 
@@ -172,23 +193,38 @@ def _automata(passages: pd.DataFrame) -> Iterator[ahocorasick.Automaton]:
         yield machine
 
 
+def _runs(found: list[tuple[int, int]], doc: int) -> list[tuple[int, int]]:
+    """Stretches that windows of documents before ``doc`` cover, of (last word, first document)."""
+    runs: list[tuple[int, int]] = []
+    a = b = -1
+    for end, first in found:
+        if first < doc:
+            if end - WINDOW + 1 > b:
+                if b >= 0:
+                    runs.append((a, b))
+                a = end - WINDOW + 1
+            b = end + 1
+    return [*runs, (a, b)] if b >= 0 else runs
+
+
 def _locate(key: tuple, pieces: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
-    """Every stretch of the pieces that windows of smaller documents cover."""
+    """Every stretch of the pieces that windows of smaller documents cover. Equal pieces
+    are streamed once."""
     hits: list[tuple] = []
-    rows = list(zip(pieces["doc_id"], pieces["fp"], pieces["start"], (tuple(np.frombuffer(x, dtype=np.uint32).tolist()) for x in pieces["words"]), strict=True)) if len(passages) else []
-    for machine in _automata(passages) if rows else ():
-        for doc, fp, start, words in rows:
-            a = b = -1
-            for end, first in machine.iter(words):
-                if first >= doc:
+    if len(passages):
+        equal: dict[bytes, list] = {}
+        for row in zip(pieces["words"], pieces["doc_id"], pieces["fp"], pieces["start"], strict=True):
+            equal.setdefault(row[0], []).append(row[1:])
+        texts = [(tuple(np.frombuffer(x, dtype=np.uint32).tolist()), rows) for x, rows in equal.items()]
+        for machine in _automata(passages):
+            for words, rows in texts:
+                found = list(machine.iter(words))
+                if not found:
                     continue
-                if end - WINDOW + 1 > b:
-                    if b >= 0:
-                        hits.append((doc, fp, start + a, start + b))
-                    a = end - WINDOW + 1
-                b = end + 1
-            if b >= 0:
-                hits.append((doc, fp, start + a, start + b))
+                latest = max(first for _, first in found)
+                every = _runs(found, latest + 1)
+                for doc, fp, start in rows:
+                    hits.extend((doc, fp, start + a, start + b) for a, b in (every if doc > latest else _runs(found, doc)))
     return pd.DataFrame(hits, columns=["doc_id", "fp", "a", "b"]).astype("int64")
 
 

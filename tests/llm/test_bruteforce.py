@@ -8,6 +8,8 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 
@@ -153,6 +155,44 @@ def test_substring_dedup(spark, monkeypatch, automaton):
     assert got == want and len({x[1] for x in want.values()}) > 20
 
 
+def test_windows_of_many_pieces_at_once(monkeypatch):
+    """Pieces of a batch are hashed together; no window runs from one into the next."""
+    rng, plain, calls = random.Random(3), substring_dedup._window_hashes, []
+    monkeypatch.setattr(substring_dedup, "_window_hashes", lambda x: calls.append(1) or plain(x))
+    pieces = [[rng.randrange(3) for _ in range(rng.choice([50, 51, 60, 84]))] for _ in range(60)]
+    pieces += [p[: rng.randrange(50, len(p) + 1)] for p in pieces]
+    numbers = [np.array(p, dtype=np.uint32).tobytes() for p in pieces]
+    cols = {"anchor": list(range(120)), "doc_id": list(range(120)), "fp": [7] * 120, "start": [3 * i for i in range(120)], "words": numbers}
+    batch = pa.RecordBatch.from_pydict(cols, pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("start", pa.int64()), ("words", pa.binary())]))
+    got = [r for b in substring_dedup._piece_windows(iter([batch.slice(1)])) for r in b.to_pylist()]
+    want = [(i, 3 * i + a, tuple(p[a : a + 50])) for i, p in enumerate(pieces) if i for a in range(len(p) - 49)]
+    assert [(r["doc_id"], r["pos"]) for r in got] == [x[:2] for x in want] and {r["fp"] for r in got} == {7}
+    classes = {(r["h"], x[2]) for r, x in zip(got, want, strict=True)}
+    assert len(classes) == len({h for h, _ in classes}) == len({x for _, x in classes}) and len(calls) == 1
+
+
+def test_equal_pieces_are_streamed_once(monkeypatch):
+    """Copies of a piece go through the automata once, and each gets the stretches of its own document."""
+    automata, streamed = substring_dedup._automata, []
+
+    class Counted:
+        def __init__(self, machine):
+            self.machine = machine
+
+        def iter(self, words):
+            streamed.append(words)
+            return self.machine.iter(words)
+
+    monkeypatch.setattr(substring_dedup, "_automata", lambda x: (Counted(m) for m in automata(x)))
+    number = lambda *w: np.array(w, dtype=np.uint32).tobytes()
+    early, late = range(60), range(100, 155)
+    passages = pd.DataFrame({"doc_id": [1, 5], "words": [number(*early), number(*late)]})
+    pieces = pd.DataFrame({"doc_id": [1, 3, 5, 9], "fp": 0, "start": [0, 10, 20, 30], "words": [number(*early, 99, *late)] * 4})
+    got = substring_dedup._locate((0, 0), pieces, passages)
+    assert sorted(map(tuple, got[["doc_id", "a", "b"]].to_numpy().tolist())) == [(3, 10, 70), (5, 20, 80), (9, 30, 90), (9, 91, 146)]
+    assert len(streamed) == 1
+
+
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
