@@ -128,6 +128,29 @@ def test_reports(built):
     assert report.overview(nodes, edges).first().report.startswith("# p\n\n## Hauptbereiche:\n\n- **main.py**\n")
 
 
+def test_module_reports_of_files_and_their_children(spark, built):
+    """Repeated imports are told once, children given are those looked up, and only a file has importers, however it is called."""
+    (nodes, edges), _ = built
+    nodes = nodes.withColumn("summary", F.when(F.col("type") == "function", "does")).withColumn("risks", F.lit(None).cast("array<string>"))
+    want = {r.node_id: r.report for r in report.modules(nodes, edges).collect()}
+    files, imports = nodes.filter("type = 'file'"), edges.filter("relationship = 'IMPORTS'")
+    kids = nodes.filter("type IN ('function', 'class')").withColumn("parent", paths.file_of(F.col("node_id")))
+    assert {r.node_id: r.report for r in report.modules(files, imports.unionByName(imports), kids).collect()} == want and len(want) > 1
+    alike = files.limit(1).withColumn("node_id", F.lit("external::os"))
+    got = {r.node_id: r.report for r in report.modules(files.unionByName(alike), imports, kids).collect()}
+    assert got.pop("external::os") == "# external::os\n\n## Abhängigkeiten:\n\n- Wird importiert von: utils.py (1x)\n" and got == want
+
+
+def test_imports_meet_files_without_being_sorted(spark):
+    from corpusloom.operators import graph
+
+    imports = spark.range(9).selectExpr("'' AS repo", "concat('d/m', id, '.py') AS src", "concat('m', id + 1) AS name")
+    out = graph.resolve_imports(imports, imports.selectExpr("repo", "src AS path"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert {(r.src, r.strategy, r.dst) for r in out.collect()} == {(f"d/m{i}.py", *((1, f"d/m{i + 1}.py") if i < 8 else (5, "external::m9"))) for i in range(9)}
+
+
 def test_batch_size_and_roll_up(spark, built):
     (nodes, edges), _ = built
     with pytest.raises(ValueError):
