@@ -383,6 +383,30 @@ def test_reach_writes_no_row_for_each_pair(spark):
     assert max(t.count() for t in wrote) <= 300
 
 
+def test_paths_that_end_are_not_written(spark, monkeypatch):
+    """Where every seed has a path of its own, only nodes from which it goes on have rows."""
+    monkeypatch.setattr(traverse, "PACK", 7)
+    wrote = []
+
+    def cut(rows):
+        wrote.append(written(rows, "t"))
+        sizes.append(wrote[-1].count())
+        return wrote[-1]
+
+    sizes = []
+    way = [(f"s{k:02}", f"m{k:02}") for k in range(70)] + [(f"m{k:02}", "hub") for k in range(70)] + [("hub", f"leaf{k}") for k in range(60)] + [(f"leaf{k}", f"end{k % 50}") for k in range(60)]
+    e = spark.createDataFrame([("", a, b) for a, b in way], "repo string, src string, dst string")
+    s = e.filter("dst LIKE 'm%'").select("repo", F.col("src").alias("seed"))
+    graph_of = {}
+    for a, b in way:
+        graph_of.setdefault(a, []).append(b)
+    for max_hops in (None, 3):
+        want = {(x, n): " ".join(v[2]) for x in graph_of if x[0] == "s" for n, v in _shortest(graph_of, x).items() if max_hops is None or v[0] <= max_hops}
+        got = traverse.reach_path_texts(e, s, cut, max_hops, release).collect()
+        assert len(got) == len(want) and {(r.seed, r.node_id): r.path for r in got} == want
+    assert max(sizes) <= 400  # of 70 * 60 paths to a leaf
+
+
 def test_imports_are_resolved_by_two_joins(spark):
     """Equal to the rule on random names; no import is multiplied by its candidate paths."""
     from corpusloom.operators import graph
