@@ -33,7 +33,7 @@ Cut = Callable[[DataFrame, str], DataFrame]
 
 
 def graph_tables(spark: SparkSession, folder: str, buckets: int = 64) -> Versions:
-    return Versions(spark, folder, TABLES, append_only=("asked",), buckets=buckets)
+    return Versions(spark, folder, TABLES, append_only=("asked",), buckets=buckets, parts={"resolved": "name"})
 
 
 def _resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def update(
     at = tables.only(touched, "path")
     old = cut(tables.read("files", at).join(touched, ["repo", "path"], "left_semi"), "old")
     now = cut(live.join(touched, ["repo", "path"], "left_semi").select(*old.columns), "now")
-    inside = lambda rows, c: rows.join(now.select("repo", F.col("path").alias(c)), ["repo", c], "left_semi")
+    inside = lambda rows, c: rows.join(now.select("repo", F.col("path").alias(c)).hint("shuffle_hash"), ["repo", c], "left_semi")
     defined = cut(inside(symbols.filter("type IN ('function', 'class')"), "path"), "defined")
     asked = cut(inside(imports, "src").select("repo", "src", "name").distinct(), "asked")
     key = ["repo", "path"]
@@ -91,28 +91,27 @@ def update(
     meant = cut(graph.names_of(moved), "meant")
     hit = cut(tables.read("asked", tables.only(meant, "path")).join(meant, key, "left_semi").select("repo", "dir", "name").distinct(), "hit")
     beside = F.concat(F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/"))), F.lit("_"))  # a path in that directory
-    near = tables.read("resolved", tables.only(hit.select("repo", beside.alias("path")), "path"))
-    near = near.join(touched.withColumnRenamed("path", "src"), ["repo", "src"], "left_anti")
-    again = cut(near.join(hit, ["repo", "dir", "name"], "left_semi"), "again")
-    sources = again.select("repo", "src").distinct()
-    rest = near.join(sources, ["repo", "src"], "left_semi").join(again.select("repo", "src", "name"), ["repo", "src", "name"], "left_anti")
-    todo = cut(asked.unionByName(again.select("repo", "src", "name")), "todo")
+    near = tables.read("resolved", tables.only(hit.select("repo", beside.alias("path")), "path"), like=hit)
+    again = cut(near.select("repo", "src", "name").join(touched.withColumnRenamed("path", "src"), ["repo", "src"], "left_anti"), "again")
+    todo = cut(asked.unionByName(again), "todo")
     paths = graph.candidates(todo).select("repo", "path")
     there = tables.read("files", tables.only(paths, "path")).join(touched, key, "left_anti").unionByName(now)
     # directories by the files that have come or gone below them
     step = cut(moved.select("repo", F.explode(ancestors(F.col("path"))).alias("dir"), "step").groupBy("repo", "dir").agg(F.sum("step").alias("step")).filter("step <> 0"), "step")
     had = tables.read("directories", tables.only(step, "dir"))
     counted = step.join(had, ["repo", "dir"], "left").select("repo", "dir", (F.coalesce("n", F.lit(0)) + F.col("step")).alias("n")).filter("n > 0")
-    gone_nodes = tables.read("symbols", at).join(touched, key, "left_semi").select("repo", F.col("node_id").alias("unit")).unionByName(touched.select("repo", F.col("path").alias("unit")))
+    # of the nodes of these files those that something is told of
+    theirs = tables.read("symbols", at, like=touched).select("repo", "node_id").unionByName(touched.select("repo", F.col("path").alias("node_id")))
+    gone_nodes = tables.read("told", at).select("repo", "node_id").join(theirs, ["repo", "node_id"], "left_semi").select("repo", F.col("node_id").alias("unit"))
     by_path = touched.select("repo", F.col("path").alias("unit"))
     done = tables.commit(
         batch,
         {
-            "files": now, "symbols": graph.symbol_nodes(defined), "resolved": _resolved(todo, there).unionByName(rest.select("repo", "src", "dir", "name", "strategy", "dst")),
+            "files": now, "symbols": graph.symbol_nodes(defined), "resolved": _resolved(todo, there),
             "asked": _asked(asked), "directories": counted,
         },
         {
-            "files": by_path, "symbols": by_path, "resolved": by_path.unionByName(sources.select("repo", F.col("src").alias("unit"))),
+            "files": by_path, "symbols": by_path, "resolved": by_path.unionByName(again.select("repo", F.col("src").alias("unit"), F.col("name").alias("part")), allowMissingColumns=True),
             "directories": step.select("repo", F.col("dir").alias("unit")), "told": gone_nodes,
         },
         whole,

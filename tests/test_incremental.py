@@ -192,3 +192,28 @@ def test_tables_are_read_once_and_asked_for_by_two_names(spark, tmp_path):
     assert sorted(labels) == ["directories", "files", "resolved", "symbols"]
     assert _rows(n, "node_id") == _rows(incremental.nodes(tables, "p"), "node_id") and _rows(e, "src", "dst") == _rows(incremental.edges(tables, "p"), "src", "dst")
     assert {(r.src, r.dst) for r in e.filter("relationship = 'IMPORTS'").collect()} == {("a/x.py", "a/y.py"), ("a/x.py", "a/b.py"), ("a/y.py", "a/b.py"), ("a/y.py", "q/r/__init__.py")}
+
+
+def test_imports_that_stay_as_they_are_are_not_written_again(spark, tmp_path):
+    """Of a file with many imports only the one that means a path that comes or goes is resolved again."""
+    tables = incremental.graph_tables(spark, f"file://{tmp_path}/graph", buckets=2)
+    inventory = "repo string, path string, size long, token_est long, sha256 string"
+    files = lambda *paths: spark.createDataFrame([("", p, 1, 0, p) for p in paths], inventory)
+    symbols = spark.createDataFrame([("", "a.py", "function", "f", 1, 2)], "repo string, path string, type string, name string, start_line int, end_line int")
+    names = [f"x{k}" for k in range(20)] + ["new", "b"]
+    imports = spark.createDataFrame([("", "a.py", n) for n in names], "repo string, src string, name string")
+    nothing = lambda df: df.limit(0)
+    changes = lambda *rows: spark.createDataFrame([("", *r) for r in rows], "repo string, path string, status string")
+    got = lambda: {(r.src, r.dst) for r in incremental.edges(tables).filter("relationship = 'IMPORTS'").collect()}
+    want = lambda *known: {("a.py", f"{n}.py" if n in known else f"external::{n}") for n in names}
+    stored = lambda batch: spark.read.parquet(f"file://{tmp_path}/graph/resolved/batch={batch}").count()
+    assert incremental.build(tables, files("a.py", "b.py"), symbols, imports, _cut) and got() == want("b")
+    incremental.update(tables, 1, changes(("new.py", "A")), files("new.py"), nothing(symbols), nothing(imports), _cut)
+    assert got() == want("b", "new") and stored(1) == 1
+    incremental.update(tables, 2, changes(("new.py", "D"), ("b.py", "D")), nothing(files("b.py")), nothing(symbols), nothing(imports), _cut)
+    assert got() == want() and stored(2) == 2
+    incremental.update(tables, 3, changes(("new.py", "A")), files("new.py"), nothing(symbols), nothing(imports), _cut, whole=True)
+    assert got() == want("new") and stored(3) == len(names)
+    incremental.update(tables, 4, changes(("a.py", "M")), files("a.py"), symbols, imports.filter("name IN ('new', 'x1')"), _cut)
+    assert got() == {("a.py", "new.py"), ("a.py", "external::x1")} and stored(4) == 2
+    assert tables.vacuum() == [0, 1, 2] and got() == {("a.py", "new.py"), ("a.py", "external::x1")}
